@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language, mixing
+from . import language, mixing, pieces
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op3_language_id": language.op3_language_id,
     "op10_mix_sources": mixing.op10_mix_sources,
 }

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows that one group of the ranking window holds on average; groups are cut by hash, so no source makes a larger one.
-RANKED_TOGETHER = 20_000
+RANKED_TOGETHER = 2_000
 #: More sources than this are an error: the schedule of one period is a table that is broadcast.
 MOST_SOURCES = 1024
 

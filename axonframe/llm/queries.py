@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import language, mixing, pieces
+from . import language, mixing, pieces, quality
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
+    "op2_quality_rules": quality.op2_quality_rules,
     "op3_language_id": language.op3_language_id,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 SQL = {
+    "op2_quality_rules": quality.SQL,
     "op10_mix_sources": mixing.SQL,
 }

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import language, mixing, neardup, pieces, quality
+from . import language, mixing, neardup, pieces, quality, vectors
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_language_id": language.op3_language_id,
     "op5_minhash_near_dedup": neardup.op5_minhash_near_dedup,
+    "op6_embedding_near_dedup": vectors.op6_embedding_near_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 SQL = {
     "op2_quality_rules": quality.SQL,
     "op5_minhash_near_dedup": neardup.SQL,
+    "op6_embedding_near_dedup": vectors.SQL,
     "op10_mix_sources": mixing.SQL,
 }

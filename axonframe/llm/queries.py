@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, mixing, neardup, pieces, quality, vectors
+from . import language, lines, mixing, neardup, pieces, quality, vectors
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -10,11 +10,13 @@ QUERIES = {
     "op3_language_id": language.op3_language_id,
     "op5_minhash_near_dedup": neardup.op5_minhash_near_dedup,
     "op6_embedding_near_dedup": vectors.op6_embedding_near_dedup,
+    "op7_line_dedup": lines.op7_line_dedup,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 SQL = {
     "op2_quality_rules": quality.SQL,
     "op5_minhash_near_dedup": neardup.SQL,
     "op6_embedding_near_dedup": vectors.SQL,
+    "op7_line_dedup": lines.SQL,
     "op10_mix_sources": mixing.SQL,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, lines, mixing, neardup, pieces, private, quality, vectors
+from . import language, licenses, lines, mixing, neardup, pieces, private, quality, vectors
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_minhash_near_dedup": neardup.op5_minhash_near_dedup,
     "op6_embedding_near_dedup": vectors.op6_embedding_near_dedup,
     "op7_line_dedup": lines.op7_line_dedup,
+    "op8_license_scan": licenses.op8_license_scan,
     "op9_pii_pseudonyms": private.op9_pii_pseudonyms,
     "op10_mix_sources": mixing.op10_mix_sources,
 }

@@ -1,12 +1,13 @@
 """MinHash near-dedup with HyperMinHash sketches: banded compressed registers, corrected estimates, exact checks.
 
-A document's set holds its distinct five-word shingles, as 64-bit hashes. Its sketch has 128 registers: a shingle
+A document's set holds its distinct five-word shingles, as 64-bit hashes. Its sketch has 1,024 registers: a shingle
 falls into one by its first bits, and the register keeps the smallest of a second hash as the number of leading
 zeros and ten mantissa bits. Documents with equal sets form a class, and one of them stands for it. Bands of four
-registers (empty ones filled from others chosen by hash) give buckets, and each bucket pairs its first member with
-the others. Links are confirmed on whole sets: first one pair for each document, then the pairs whose ends are still
-apart and whose estimated similarity allows it, last all pairs of a bucket whose ends are still apart. So a large group
-of near copies costs a few pairs each, and no pair that shares a bucket goes unchecked unless already connected.
+registers (empty ones filled from others chosen by hash) give buckets, and each bucket pairs one member, the one that
+shares most buckets, with the others. Links are confirmed on whole sets: first one pair for each document, then the
+pairs whose ends are still apart and whose estimated similarity allows it, last what else a bucket holds whose ends are
+still apart: pairs of small buckets one by one, large buckets block against block, where only pairs whose estimates
+allow a link come out. No pair that shares a bucket goes unchecked unless it is connected already.
 """
 
 from __future__ import annotations
@@ -23,13 +24,16 @@ from pyspark.sql import types as T
 from .common import components, saved
 
 WORDS = 5
-REGISTERS = 128
+REGISTERS = 1024
 BANDS, ROWS = 24, 4
 MANTISSA = 10
 #: Share of registers that agree by chance in unlike sets of equal size, times 2 ** MANTISSA (HyperMinHash paper).
 BY_CHANCE = 0.169919487159739
 #: An estimate may miss the similarity by so many standard deviations before a pair is left unchecked.
-DEVIATIONS = 6
+DEVIATIONS = 5
+#: Buckets above this size are compared in blocks.
+SMALL = 32
+BLOCK = 512
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _REMEMBERED = 400_000
@@ -68,7 +72,7 @@ def registers(found: np.ndarray) -> np.ndarray:
     """The sketch of a set: for each register leading zeros and mantissa of its least hash, 0 if it is empty."""
     out = np.zeros(REGISTERS, np.uint16)
     if len(found):
-        cell = (found >> np.uint64(57)).astype(np.int64)
+        cell = (found >> np.uint64(54)).astype(np.int64)
         bits = _mixed(found, 0xA0761D6478BD642F).astype(np.float64).view(np.uint64)
         zeros = np.clip(1086 - (bits >> np.uint64(52)).astype(np.int64), 0, 63)
         tail = 1023 - ((bits >> np.uint64(52 - MANTISSA)) & np.uint64(1023)).astype(np.int64)
@@ -78,13 +82,13 @@ def registers(found: np.ndarray) -> np.ndarray:
     return out
 
 
-_TRIES = np.random.default_rng(5).integers(0, REGISTERS, (256, REGISTERS))
+_TRIES = np.random.default_rng(5).integers(0, REGISTERS, (1024, BANDS * ROWS))
 
 
 def band_keys(sketches: np.ndarray) -> np.ndarray:
     """A key for each band of each sketch (rows), after empty registers are filled from others chosen by hash."""
-    full = sketches.astype(np.uint64)
-    row, col = np.nonzero(sketches == 0)
+    full = sketches[:, : BANDS * ROWS].astype(np.uint64)
+    row, col = np.nonzero(full == 0)
     for places in _TRIES:
         if not len(row):
             break
@@ -93,18 +97,30 @@ def band_keys(sketches: np.ndarray) -> np.ndarray:
         row, col = row[got == 0], col[got == 0]
     for r, c in zip(row, col, strict=True):  # a few registers of very small sets
         full[r, c] = next((x for x in np.roll(sketches[r], -c) if x), 0)
-    used = full[:, : BANDS * ROWS].reshape(len(full), BANDS, ROWS)
+    used = full.reshape(len(full), BANDS, ROWS)
     packed = used[..., 0] << np.uint64(48) | used[..., 1] << np.uint64(32) | used[..., 2] << np.uint64(16) | used[..., 3]
     return _mixed(packed + _mixed(np.arange(BANDS, dtype=np.uint64) + np.uint64(1), 0xE7037ED1A0B428DB), 0x8EBC6AF09C88C6E3).view(np.int64)
 
 
-def estimated(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Jaccard estimates of sketch pairs, less what agrees by chance, and the registers that they rest on."""
-    used = ((a > 0) | (b > 0)).sum(1)
-    same = ((a == b) & (a > 0)).sum(1)
-    ratio = 4.0 * n_a * n_b / np.maximum((n_a + n_b).astype(float) ** 2, 1)
-    chance = used * BY_CHANCE / 2**MANTISSA * ratio
-    return np.clip((same - chance) / np.maximum(used - chance, 1), 0, 1), used
+def may_link(same: np.ndarray, used: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs may have the similarity, from the registers that agree and those in use in either sketch.
+
+    The estimate is less what agrees by chance. Registers sample the union without replacement, so it deviates by
+    the binomial's root less the sampled share.
+    """
+    goal = percent / 100
+    total = n_a + n_b
+    chance = used * BY_CHANCE / 2**MANTISSA * 4.0 * n_a * n_b / np.maximum(total.astype(float) ** 2, 1)
+    value = (same - chance) / np.maximum(used - chance, 1)
+    left = np.clip(1 - used / np.maximum(total / (1 + goal), 1), 0.02, 1)
+    return value >= goal - DEVIATIONS * np.sqrt(goal * (1 - goal) * left / np.maximum(used, 1)) - 1 / np.maximum(used, 1)
+
+
+def _blockwise(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Registers that agree and that are in use in either, for all pairs of rows of a and b."""
+    same = np.stack([((row == b) & (row > 0)).sum(1) for row in a])
+    used = np.stack([((row > 0) | (b > 0)).sum(1) for row in a])
+    return same, used
 
 
 def sketched(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -145,15 +161,14 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose estimate lies within DEVIATIONS of the similarity."""
     side = lambda x: sketches.select(F.col("id").alias(x), F.col("sketch").alias(f"s_{x}"), F.col("n").alias(f"n_{x}"))
     both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "s_a", "s_b", "n_a", "n_b")
-    goal = percent / 100
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.stack([np.frombuffer(x, np.uint16) for x in batch[k].to_pylist()]) for k in ("s_a", "s_b"))
-                value, used = estimated(a, b, batch["n_a"].to_numpy(), batch["n_b"].to_numpy())
-                near = value >= goal - DEVIATIONS * np.sqrt(goal * (1 - goal) / np.maximum(used, 1))
-                yield batch.select(["a", "b"]).filter(pa.array(near))
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                a, b = (np.stack([np.frombuffer(x, np.uint16) for x in part[k].to_pylist()]) for k in ("s_a", "s_b"))
+                near = may_link(((a == b) & (a > 0)).sum(1), ((a > 0) | (b > 0)).sum(1), part["n_a"].to_numpy(), part["n_b"].to_numpy(), percent)
+                yield part.select(["a", "b"]).filter(pa.array(near))
 
     return both.mapInArrow(run, pairs.select("a", "b").schema)
 
@@ -179,6 +194,41 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, pairs.select("a", "b").schema)
 
 
+def _of_blocks(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of large buckets in different components that may link: (key, id, n, component, size), blocks of a
+    bucket each against each. A pair that shares several buckets counts in the first of its bands."""
+    cut = mixed.withColumn("k", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), "k"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    dealt = cut.select("key", "id", "n", "component", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).join(sketches.select("id", "sketch"), "id")
+
+    def compare(group: pa.Table) -> pa.Table:
+        own, ids = group["own"].to_numpy(), group["id"].combine_chunks()
+        n, comp = group["n"].to_numpy(), group["component"].to_pandas().factorize()[0]
+        sk = np.stack([np.frombuffer(x, np.uint16) for x in group["sketch"].to_pylist()])
+        keys, key = band_keys(sk), group["key"][0].as_py()
+        i, j = np.flatnonzero(own == group["lo"][0].as_py()), np.flatnonzero(own == group["hi"][0].as_py())
+        out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, int), np.zeros(0, int))]
+        for at in range(0, len(i), 64):
+            rows = i[at : at + 64]
+            open_ = comp[rows][:, None] != comp[j][None, :]
+            if group["lo"][0] == group["hi"][0]:
+                open_ &= rows[:, None] < j[None, :]
+            band = int(np.argmax(keys[rows[0]] == key))
+            for b in range(band):
+                open_ &= keys[rows, b][:, None] != keys[j, b][None, :]
+            if open_.any():
+                same, used = _blockwise(sk[rows], sk[j])
+                ok = open_ & may_link(same, used, n[rows][:, None], n[j][None, :], percent)
+                x, y = np.nonzero(ok)
+                out.append((rows[x], j[y]))
+        a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+        return pa.table({"a": ids.take(pa.array(a)), "b": ids.take(pa.array(b))})
+
+    kind = mixed.schema["id"].dataType
+    found = dealt.groupBy("key", "lo", "hi").applyInArrow(compare, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """The pairs (a, b) whose ends are in different components (nodes without a label are their own)."""
     side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
@@ -201,11 +251,13 @@ def linked(docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_c
     reps = sketches.join(classes.select(F.col("rep").alias("id"), *by_set), ["id", *by_set], "left_semi").dropDuplicates(["id"])
     reps = saved(reps.where(F.col("n") * (100 - percent) >= percent))  # smaller sets are equal or not linked
     bands = saved(_banded(reps))
-    shared = bands.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("many")).where("many > 1").drop("many")
+    shared = bands.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
     bands = saved(bands.join(shared, "key"))
+    known = bands.groupBy("id").agg(F.sum("many").alias("known"))  # an original shares more buckets with its copies than they share
+    leaders = bands.join(known, "id").groupBy("key").agg(F.max(F.struct("known", "n", "id")).alias("m"))
+    leaders = leaders.select("key", F.col("m.id").alias("first"), F.col("m.n").alias("n_first"), F.col("m.known").alias("known"))
     close = f"least(n, n_first) * 100L >= greatest(n, n_first) * {percent}L"
-    sizes = reps.select(F.col("id").alias("first"), F.col("n").alias("n_first"))
-    stars = bands.where("id <> first").groupBy("first", "id").agg(F.count("*").alias("c"), F.first("n").alias("n")).join(sizes, "first").where(close)
+    stars = bands.join(leaders, "key").where("id <> first").where(close).groupBy("first", "id").agg(F.max("known").alias("c"))
     stars = saved(stars.select(F.col("first").alias("a"), F.col("id").alias("b"), "c"))
     member = bands.select("id").distinct()
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
@@ -222,13 +274,16 @@ def linked(docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_c
 
     own = bands.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     counted = own.groupBy("key", "component").agg(F.count("*").alias("c"))
-    main = counted.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", F.col("m.component").alias("main"))
-    mixed = saved(own.join(main, "key"))
-    x = mixed.where("component <> main").select("key", F.col("id").alias("a"), F.col("n").alias("n"), F.col("component").alias("ca"))
-    y = mixed.select("key", F.col("id").alias("b"), F.col("n").alias("n_first"), F.col("component").alias("cb"), "main")
+    main = counted.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k"), F.sum("c").alias("size"))
+    mixed = saved(own.join(main.where("k > 1").select("key", "size", F.col("m.component").alias("main")), "key"))
+    small = mixed.where(f"size <= {SMALL}")
+    x = small.where("component <> main").select("key", F.col("id").alias("a"), "n", F.col("component").alias("ca"))
+    y = small.select("key", F.col("id").alias("b"), F.col("n").alias("n_first"), F.col("component").alias("cb"), "main")
     cross = x.join(y, "key").where("ca <> cb and (cb = main or a < b)").where(close)
-    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    more = saved(_confirmed(_likely(cross, reps, percent), texts, percent))
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    cross = _likely(cross, reps, percent).union(_of_blocks(mixed.where(f"size > {SMALL}"), reps, percent)).distinct()
+    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = saved(_confirmed(cross.join(done, ["a", "b"], "left_anti"), texts, percent))
     if not more.isEmpty():
         labels = components(links.union(more))
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import language, licenses, lines, mixing, neardup, pieces, private, quality, vectors
+from . import language, licenses, lines, mixing, neardup, ngrams, pieces, private, quality, vectors
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_language_id": language.op3_language_id,
+    "op4_lm_scoring": ngrams.op4_lm_scoring,
     "op5_minhash_near_dedup": neardup.op5_minhash_near_dedup,
     "op6_embedding_near_dedup": vectors.op6_embedding_near_dedup,
     "op7_line_dedup": lines.op7_line_dedup,

@@ -49,7 +49,7 @@ def _banded(lines: DataFrame) -> DataFrame:
 
 
 def _shingle_set(text: str) -> Column:
-    parts = f"transform(array(encode({text}, 'UTF-16BE')), u -> array_distinct(transform({_starts('u')}, i -> substring(u, i, {2 * SHINGLE}))))[0]"
+    parts = f"transform(array(encode({text}, 'UTF-16BE')), u -> array_distinct(transform({_starts('u')}, i -> xxhash64(substring(u, i, {2 * SHINGLE})))))[0]"
     return F.expr(parts)
 
 

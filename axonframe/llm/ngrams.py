@@ -32,7 +32,7 @@ from .common import saved
 
 DISCOUNT = 0.75
 #: Tokens of a pack, and of one context before it is split.
-PACK = 4_000_000
+PACK = 1_500_000
 HOT = 500_000
 #: Parts that the words are dealt into by their hash's first bits when a context is split.
 PARTS = 4096

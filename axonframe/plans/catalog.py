@@ -2,5 +2,581 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from axonframe.functions import waveform as wf
+from axonframe.operators import cluster as cl
+from axonframe.operators import curate as cu
+from axonframe.operators import detect as de
+from axonframe.operators import quality as qu
+from axonframe.operators import trains as tr
+from axonframe.sources import tables as src
+
+DAY = 86_400_000_000
+MINUTE = 60_000_000
+FS = 20  # samples a second of the stand-in trace
+LOW = 5.0  # detection threshold of the stand-in trace
+
 QUERIES: dict = {}
 SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers the function under its name, with its SQL twin if there is one."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df, digits: int = 6, **by_name):
+    """Doubles rounded, since engines add in different orders."""
+    kinds = dict(df.dtypes)
+    return df.select(*[F.round(c, by_name.get(c, digits)).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
+
+
+# Tables of the SQL twins.
+SPK = "spikes as (select vec_id as spike_id, label as cluster, list_transform(embedding, lambda x: x::double) as w from embeddings)"
+PTS = SPK + ", points as (select spike_id, cluster, unnest(w) as v, generate_subscripts(w, 1) - 1 as pos from spikes)"
+AE = SPK + ", ae as (select spike_id, cluster, list_min(w) as amplitude, sqrt(list_sum(list_transform(w, lambda x: x * x))) / len(w) as energy from spikes)"
+TRC = "trace as (select event_type as channel, row_number() over (partition by event_type order by ts, event_id) - 1 as ix, value as v from events)"
+TRN = "train as (select event_id as id, event_type as unit, (user_id % 5)::int as rec, strftime(ts, '%Y-%m-%d') as trial, epoch_us(ts) as us, epoch_us(ts) / 60e6 as t from events)"
+REC = "rec as (select r_regionkey as rec, r_regionkey * 5000.0::double + 20000.0 as fs, (r_regionkey * 1000)::bigint as offs from region)"
+FEA = "features as (select l_returnflag as cluster, l_quantity as x, l_extendedprice as y, l_discount as z from lineitem)"
+
+
+def with_shape(spark, sf):
+    s = src.spikes(spark, sf)
+    return s.withColumn("amplitude", wf.amplitude(F.col("w"))).withColumn("energy", wf.energy(F.col("w")))
+
+
+# Waveforms ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"""with {PTS}, lows as (select spike_id, min(pos) as low from points p join (select spike_id as s, min(v) as m from points group by 1) q on s = spike_id and v = m group by 1),
+near as (select spike_id, pos, v, lag(v) over o as b, lead(v) over o as a from points window o as (partition by spike_id order by pos)),
+peaks as (select near.spike_id, max(pos) as pk from near join lows on lows.spike_id = near.spike_id where v > b and v > a and pos < low group by 1),
+tops as (select p.spike_id, min(pos) as tp from points p join lows on lows.spike_id = p.spike_id join (select p2.spike_id as s, max(v) as m from points p2 join lows l2 on l2.spike_id = p2.spike_id where pos < low group by 1) q on s = p.spike_id and v = m where pos < low group by 1),
+e as (select spike_id, min(v) as amplitude, sqrt(sum(v * v)) / count(*) as energy from points group by 1)
+select e.spike_id, round(amplitude, 6) as amplitude, round(energy, 6) as energy, round((lo.v - hi.v) / (low - coalesce(pk, tp)), 6) as slope
+from e join lows on lows.spike_id = e.spike_id left join peaks on peaks.spike_id = e.spike_id left join tops on tops.spike_id = e.spike_id
+join points lo on lo.spike_id = e.spike_id and lo.pos = low left join points hi on hi.spike_id = e.spike_id and hi.pos = coalesce(pk, tp)""")
+def waveform_features(spark, sf):
+    s = with_shape(spark, sf)
+    return rounded(s.select("spike_id", "amplitude", "energy", wf.slope(F.col("w")).alias("slope")))
+
+
+@query(f"with {PTS}, e as (select spike_id as s, sqrt(sum(v * v)) / count(*) as energy from points group by 1) select spike_id, pos::int as pos, round(v / energy, 6) as v from points join e on s = spike_id")
+def scaled_waveform_samples(spark, sf):
+    return rounded(src.spikes(spark, sf).select("spike_id", F.posexplode(wf.scaled(F.col("w"))).alias("pos", "v")))
+
+
+@query(f"with {PTS} select spike_id, (pos // 10)::int as pos, v from points where pos % 10 = 0")
+def downsampled_waveform(spark, sf):
+    return src.spikes(spark, sf).select("spike_id", F.posexplode(wf.every(F.col("w"), 10)).alias("pos", "v"))
+
+
+@query(f"with {PTS} select cluster, min(v) as lo, max(v) as hi from points group by 1")
+def waveform_range(spark, sf):
+    return qu.waveform_range(src.spikes(spark, sf))
+
+
+@query(f"with {PTS} select cluster, pos::int as pos, round(avg(v), 6) as mean_v, round(stddev_pop(v), 6) as sd_v, count(*) as n from points group by 1, 2")
+def mean_waveform(spark, sf):
+    return rounded(qu.mean_waveforms(src.spikes(spark, sf)))
+
+
+@query(f"with {PTS} select cluster, (pos // 10)::int as pos, round(avg(v), 6) as mean_v, round(stddev_pop(v), 6) as sd_v, count(*) as n from points where pos % 10 = 0 group by 1, 2")
+def downsampled_mean_waveform(spark, sf):
+    return rounded(qu.mean_waveforms(src.spikes(spark, sf).withColumn("w", wf.every(F.col("w"), 10))))
+
+
+@query(f"""with {PTS}, grid as (select spike_id, j, j * 0.4::double as x from spikes, (select unnest(range(0, 160)) as j))
+select grid.spike_id, j::int as pos, round(a.v + (b.v - a.v) * least(x - a.pos, 1), 6) as v from grid
+join points a on a.spike_id = grid.spike_id and a.pos = least(floor(x)::int, 63) join points b on b.spike_id = grid.spike_id and b.pos = least(floor(x)::int + 1, 63)""")
+def resampled_waveform(spark, sf):
+    return rounded(src.spikes(spark, sf).select("spike_id", F.posexplode(wf.resampled(F.col("w"), 20.0, 50.0)).alias("pos", "v")))
+
+
+@query(f"""with recursive {SPK}, levels(spike_id, a, d) as (select spike_id, w, []::double[] from spikes union all
+select spike_id, list_transform(range(1, len(a) // 2 + 1), lambda i: (a[2 * i - 1] + a[2 * i]) / sqrt(2)), list_concat(list_transform(range(1, len(a) // 2 + 1), lambda i: (a[2 * i - 1] - a[2 * i]) / sqrt(2)), d) from levels where len(a) > 1)
+select spike_id, (generate_subscripts(c, 1) - 1)::int as k, round(unnest(c), 6) as coef from (select spike_id, list_concat(a, d) as c from levels where len(a) = 1)""")
+def haar_coefficients(spark, sf):
+    return rounded(src.spikes(spark, sf).select("spike_id", F.posexplode(wf.haar(F.col("w"))).alias("k", "coef")))
+
+
+@query(f"""with {PTS}, ends as (select cluster as c, quantile_cont(v, 0.05) as lo, quantile_cont(v, 0.95) as hi from points group by 1),
+cells as (select cluster, pos::int as pos, least(floor((v - lo) / (hi - lo) * 50), 49)::int as level, count(*) as n from points join ends on c = cluster where v between lo and hi group by 1, 2, 3)
+select cluster, pos, level, n, round(cume_dist() over (partition by cluster order by n), 6) as shade from cells""")
+def waveform_density(spark, sf):
+    return rounded(qu.waveform_density(src.spikes(spark, sf)))
+
+
+# Intervals and trains ------------------------------------------------------------------------------------------------
+
+
+@query(f"""with {TRN}, d as (select unit, (us - lag(us) over (partition by unit order by us)) / 60e6 as ms from train)
+select unit, count(*) as n, count(ms) as n_isi, count(case when ms < 1 then 1 end) as v1, count(case when ms < 2 then 1 end) as v2,
+round(count(case when ms < 1 then 1 end) * 100.0::double / count(*), 6) as v1_pct, round(count(case when ms < 2 then 1 end) * 100.0::double / count(*), 6) as v2_pct from d group by 1""")
+def isi_violations(spark, sf):
+    t = tr.intervals(src.train(spark, sf).select("unit", "us"), ["unit"], "us", DAY)
+    return rounded(tr.isi_violations(t, ["unit"], F.col("isi") / 60e6))
+
+
+def _by_recording(spark, sf):
+    t = tr.intervals(src.train(spark, sf).select("unit", "rec", "us"), ["unit", "rec"], "us", DAY)
+    return t.join(F.broadcast(src.recordings(spark, sf)), "rec").withColumn("ms", F.col("isi") / F.col("fs") / 1000.0)
+
+
+@query(f"""with {TRN}, {REC}, d as (select unit, train.rec, (us - lag(us) over (partition by unit, train.rec order by us)) / fs / 1000.0::double as ms from train join rec on rec.rec = train.rec)
+select unit, count(*) as n, count(ms) as n_isi, count(case when ms < 1 then 1 end) as v1, count(case when ms < 2 then 1 end) as v2,
+round(count(case when ms < 1 then 1 end) * 100.0::double / count(*), 6) as v1_pct, round(count(case when ms < 2 then 1 end) * 100.0::double / count(*), 6) as v2_pct from d group by 1""")
+def isi_by_recording(spark, sf):
+    return rounded(tr.isi_violations(_by_recording(spark, sf), ["unit"], F.col("ms")))
+
+
+@query(f"""with {TRN}, {REC}, d as (select unit, train.rec, (us - lag(us) over (partition by unit, train.rec order by us)) / fs / 1000.0::double as ms from train join rec on rec.rec = train.rec)
+select rec, count(*) as n, round(avg(ms), 6) as mean_ms, round(median(ms), 6) as median_ms from d group by 1""")
+def recording_interval_stats(spark, sf):
+    return rounded(_by_recording(spark, sf).groupBy("rec").agg(F.count("*").alias("n"), F.avg("ms").alias("mean_ms"), F.median("ms").alias("median_ms")))
+
+
+@query(f"""with {TRN}, d as (select unit, (us - lag(us) over (partition by unit order by us)) / 60e6 as ms from train), c as (select unit, least(floor(ms), 10)::int as bin, count(*) as n from d where ms is not null group by 1, 2)
+select u.unit, b.bin::int as bin, coalesce(c.n, 0) as n from (select distinct unit from train) u cross join (select unnest(range(0, 11)) as bin) b left join c on c.unit = u.unit and c.bin = b.bin""")
+def isi_histogram(spark, sf):
+    t = tr.intervals(src.train(spark, sf).select("unit", "us"), ["unit"], "us", DAY)
+    return tr.isi_histogram(t, ["unit"], F.col("isi") / 60e6)
+
+
+def _pairs(spark, sf):
+    t = src.train(spark, sf).select("id", "unit", "t")
+    return t.select(F.col("id").alias("i"), F.col("unit").alias("x"), F.col("t").alias("tx")), t.select(F.col("id").alias("j"), F.col("unit").alias("y"), F.col("t").alias("ty"))
+
+
+_GRID = "cross join (select unnest(range(0, 40)) as ix) g"
+_HIST = "least(floor(d + 20), 39)::int"
+
+
+@query(f"""with {TRN}, p as (select x.unit as x, y.unit as y, x.t - y.t as d from train x join train y on abs(x.t - y.t) <= 20 where x.unit < y.unit),
+c as (select x, y, {_HIST} as ix, count(*) as n from p group by 1, 2, 3), u as (select unit, count(*) as n_x from train group by 1)
+select a.unit as x, b.unit as y, (g.ix - 20)::int as bin_start, coalesce(c.n, 0) as n, round(coalesce(c.n, 0) / a.n_x::double, 6) as counts_per_spike_ms
+from u a join u b on a.unit < b.unit {_GRID} left join c on c.x = a.unit and c.y = b.unit and c.ix = g.ix""")
+def pairwise_correlograms(spark, sf):
+    x, y = _pairs(spark, sf)
+    sizes = x.groupBy("x").agg(F.count("*").alias("n_x"))
+    grid = sizes.join(F.broadcast(sizes.select(F.col("x").alias("y"))), F.col("x") < F.col("y"))
+    pairs = tr.band_join(x, y, [], "tx", "ty", 20.0).where("x < y")
+    return rounded(tr.correlogram(pairs, ["x", "y"], F.col("tx") - F.col("ty"), grid, 20))
+
+
+@query(f"""with {TRN}, p as (select x.t - y.t as d from train x join train y on abs(x.t - y.t) <= 20 where x.unit = 'click' and y.unit = 'view'), c as (select {_HIST} as ix, count(*) as n from p group by 1),
+u as (select unit as x, count(*) as n_x from train where unit = 'click' group by 1)
+select x, (g.ix - 20)::int as bin_start, coalesce(c.n, 0) as n, round(coalesce(c.n, 0) / n_x::double, 6) as counts_per_spike_ms from u {_GRID} left join c on c.ix = g.ix""")
+def cross_correlogram(spark, sf):
+    x, y = _pairs(spark, sf)
+    x, y = x.where("x = 'click'"), y.where("y = 'view'")
+    return rounded(tr.correlogram(tr.band_join(x, y, [], "tx", "ty", 20.0), ["x"], F.col("tx") - F.col("ty"), x.groupBy("x").agg(F.count("*").alias("n_x")), 20))
+
+
+@query(f"""with {TRN}, p as (select x.unit as x, x.t - y.t as d from train x join train y on x.unit = y.unit and x.id <> y.id and abs(x.t - y.t) <= 20), c as (select x, {_HIST} as ix, count(*) as n from p group by 1, 2),
+u as (select unit as x, count(*) as n_x from train group by 1)
+select u.x, (g.ix - 20)::int as bin_start, coalesce(c.n, 0) as n, round(coalesce(c.n, 0) / n_x::double, 6) as counts_per_spike_ms from u {_GRID} left join c on c.ix = g.ix and c.x = u.x""")
+def auto_correlogram(spark, sf):
+    x, y = _pairs(spark, sf)
+    pairs = tr.band_join(x, y.withColumnRenamed("y", "x"), ["x"], "tx", "ty", 20.0).where("i <> j")
+    return rounded(tr.correlogram(pairs, ["x"], F.col("tx") - F.col("ty"), x.groupBy("x").agg(F.count("*").alias("n_x")), 20))
+
+
+def _in_day(spark, sf):
+    return src.train(spark, sf).select("unit", "trial", (F.col("us") % DAY).alias("at"))
+
+
+def _rates(spark, sf):
+    return tr.psth(_in_day(spark, sf), ["unit", "trial"], "at", 0, DAY, 240 * MINUTE, 60 * MINUTE, MINUTE)
+
+
+def _centred(spark, sf):
+    return _rates(spark, sf).withColumn("center", F.col("center") - DAY // 2)
+
+
+_RATES = f"""{TRN}, inday as (select unit, trial, us % {DAY} as tod from train), starts as (select unnest(range(0, 20)) * {60 * MINUTE} as start),
+hits as (select unit, trial, start, count(*) as n from inday join starts on tod >= start and tod <= start + {240 * MINUTE} group by 1, 2, 3),
+rates as (select k.unit, k.trial, (s.start + {120 * MINUTE})::bigint as center, coalesce(n, 0) * 1000.0::double / 240 as rate from (select distinct unit, trial from inday) k cross join starts s
+left join hits on hits.unit = k.unit and hits.trial = k.trial and hits.start = s.start),
+centred as (select unit, trial, center - {DAY // 2} as center, rate from rates)"""
+
+
+@query(f"with {_RATES} select unit, trial, center, round(rate, 6) as rate from rates")
+def psth(spark, sf):
+    return rounded(_rates(spark, sf))
+
+
+@query(f"with {_RATES} select unit, center, round(sum(rate) / (select count(distinct trial) from rates), 6) as rate from rates group by 1, 2")
+def mean_psth(spark, sf):
+    return rounded(tr.mean_psth(_rates(spark, sf)))
+
+
+_W = tr.gaussian_weights(3.0)
+_MIRROR = "case when ((ix + k) % 40 + 40) % 40 < 20 then ((ix + k) % 40 + 40) % 40 else 39 - ((ix + k) % 40 + 40) % 40 end"
+
+
+@query(f"""with {_RATES}, w as (select unnest({[k - len(_W) // 2 for k in range(len(_W))]}) as k, unnest({[float(x) for x in _W]}) as weight), r as (select unit, trial, center, rate, row_number() over (partition by unit, trial order by center) - 1 as ix from rates)
+select r.unit, r.trial, r.center, round(sum(weight * o.rate), 4) as rate from r cross join w join r o on o.unit = r.unit and o.trial = r.trial and o.ix = {_MIRROR.replace('ix', 'r.ix')} group by 1, 2, 3""")
+def smoothed_psth(spark, sf):
+    return rounded(tr.smoothed(_rates(spark, sf), ["unit", "trial"]), 4)
+
+
+@query(f"""with {TRN}, inday as (select unit, trial, us % {DAY} as tod from train), starts as (select unnest(range(0, 45)) * {30 * MINUTE} as start),
+hits as (select unit, trial, start, count(*) as n from inday join starts on tod >= start and tod <= start + {120 * MINUTE} group by 1, 2, 3)
+select k.unit, k.trial, (s.start + {60 * MINUTE})::bigint as center, round(coalesce(n, 0) * 1000.0::double / 120, 6) as rate from (select distinct unit, trial from inday) k cross join starts s
+left join hits on hits.unit = k.unit and hits.trial = k.trial and hits.start = s.start""")
+def binned_rate(spark, sf):
+    return rounded(tr.binned_rate(_in_day(spark, sf), ["unit", "trial"], "at", 0, DAY, 120 * MINUTE, 30 * MINUTE, MINUTE))
+
+
+@query(f"""with {_RATES}, b as (select unit, trial, avg(rate) as m from centred where center < 0 group by 1, 2), s as (select unit, avg(m) as mean, stddev_pop(m) as sd from b group by 1)
+select c.unit, trial, center, round((rate - mean) / nullif(sd, 0), 4) as z from centred c join s on s.unit = c.unit""")
+def zscore_baseline(spark, sf):
+    return rounded(tr.zscored(_centred(spark, sf)), 4)
+
+
+@query(f"with {_RATES}, b as (select unit, avg(rate) as base from centred where center < 0 group by 1) select c.unit, trial, center, round(rate - base, 4) as rate from centred c join b on b.unit = c.unit")
+def remove_baseline(spark, sf):
+    return rounded(tr.without_baseline(_centred(spark, sf)), 4)
+
+
+@query(f"""with {_RATES}, s as (select unit, avg(case when center < 0 then rate end) as ma, avg(case when center >= 0 then rate end) as mb, var_pop(case when center < 0 then rate end) as va, var_pop(case when center >= 0 then rate end) as vb,
+count(case when center < 0 then 1 end) as na, count(case when center >= 0 then 1 end) as nb from centred group by 1) select unit, round(mb - ma, 4) as difference, round(sqrt(va / na + vb / nb) / sqrt(na + nb), 4) as sem from s""")
+def mean_difference(spark, sf):
+    return rounded(tr.mean_difference(_centred(spark, sf), ["unit"], "rate", F.col("center") >= 0), 4)
+
+
+@query(f"""with {_RATES}, r as (select unit, center >= 0 as b, rate, rank() over (partition by unit order by rate) + (count(*) over (partition by unit, rate) - 1) / 2.0 as rk from centred),
+s as (select unit, count(case when not b then 1 end) as n_a, count(case when b then 1 end) as n_b, sum(case when b then rk end) as rb from r group by 1),
+t as (select unit, sum(c * c * c - c)::double as ties from (select unit, rate, count(*) as c from centred group by 1, 2) group by 1),
+u as (select s.unit, n_a, n_b, (rb - n_b * (n_b + 1) / 2.0)::double as ub, ties from s join t on t.unit = s.unit)
+select unit, n_a::bigint as n_a, n_b::bigint as n_b, round(n_a::double * n_b - (n_a::double * n_b - ub), 4) as u,
+round(sign(ub - n_a * n_b / 2.0) * greatest(abs(ub - n_a * n_b / 2.0) - 0.5, 0) / sqrt(n_a * n_b / 12.0 * ((n_a + n_b + 1) - ties / ((n_a + n_b) * (n_a + n_b - 1)))), 4) as z from u""")
+def mann_whitney_u(spark, sf):
+    return rounded(tr.mann_whitney(_centred(spark, sf), ["unit"], "rate", F.col("center") < 0).select("unit", F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b"), "u", "z"), 4)
+
+
+@query()
+def response_test(spark, sf):
+    """The Mann-Whitney test with its two-sided p; SQL has no error function."""
+    t = tr.mann_whitney(_centred(spark, sf), ["unit"], "rate", F.col("center") >= 0)
+    return rounded(t.withColumn("p", tr.two_sided_p(F.col("z"))))
+
+
+@query(f"with {TRN}, {REC} select id, unit, round((us % {DAY} + offs) / (fs / 1000.0::double), 2) as time_ms, round((us % {DAY} + offs) / fs, 2) as time_s from train join rec on rec.rec = train.rec")
+def unit_time_vector(spark, sf):
+    s = src.train(spark, sf).select("id", "unit", "rec", (F.col("us") % DAY).alias("sample"))
+    ms = tr.unit_times(s, src.recordings(spark, sf), "ms").withColumnRenamed("time", "time_ms")
+    return rounded(tr.unit_times(ms, src.recordings(spark, sf), "s").select("id", "unit", "time_ms", F.col("time").alias("time_s")), 2)
+
+
+@query(f"""with {TRN}, {REC}, m as (select rec.rec, fs, max(us % 1000000) as last from rec left join train on train.rec = rec.rec group by 1, 2)
+select rec, floor(coalesce(sum(coalesce(last, 0) + 3 * fs) over (order by rec rows between unbounded preceding and 1 preceding), 0))::bigint as "offset" from m""")
+def recording_offsets(spark, sf):
+    s = src.train(spark, sf).select("rec", (F.col("us") % 1_000_000).alias("sample"))
+    return tr.recording_offsets(s, src.recordings(spark, sf))
+
+
+@query(f"""with {TRN}, f as (select unit as u, min(us) as t0, max(us) as t1 from train group by 1) select unit, ((us - t0) // {5 * DAY})::int as "window", count(*) as n, min(us) as first_t, max(us) as last_t
+from train join f on u = unit where (t1 - t0) / {5 * DAY} < 10 group by 1, 2""")
+def windows_over_time(spark, sf):
+    return tr.windows_over_time(src.train(spark, sf).select("unit", "us"), ["unit"], "us", 5 * DAY)
+
+
+# Detection -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"with {TRC} select channel, round(avg(v) - 5 * median(abs(v) / 0.6745), 6) as threshold from trace group by 1")
+def detection_threshold(spark, sf):
+    return rounded(de.detection_threshold(src.trace(spark, sf)))
+
+
+_RUNS = f"{TRC}, low as (select channel, ix, v, ix - row_number() over (partition by channel order by ix) as grp from trace where v <= {LOW}), runs as (select channel, ix, v, dense_rank() over (partition by channel order by grp)::bigint as run from low)"
+
+
+@query(f"with {_RUNS} select channel, run, min(ix) as first_ix, max(ix) as last_ix, count(*) as n from runs group by 1, 2")
+def threshold_runs(spark, sf):
+    return de.threshold_runs(src.trace(spark, sf), LOW)
+
+
+_FOUND = f"{_RUNS}, found as (select channel, run, ix, v from (select *, row_number() over (partition by channel, run order by v, ix) as k from runs) where k = 1)"
+
+
+@query(f"with {_FOUND} select channel, run, ix, v from found")
+def detected_spikes(spark, sf):
+    return de.detected_spikes(src.trace(spark, sf), LOW)
+
+
+_A, _B = de.snapshot_bounds(10_000.0, 0.5, 1.0)
+
+
+@query(f"""with {_FOUND}, s as (select found.channel, found.ix, t.ix - found.ix - {_A} as pos, t.v, count(*) over (partition by found.channel, found.ix) as n from found join trace t on t.channel = found.channel and t.ix >= found.ix + {_A} and t.ix < found.ix + {_B})
+select channel, ix, pos::int as pos, v from s where n = {_B - _A}""")
+def spike_snapshots(spark, sf):
+    s = de.spike_snapshots(src.trace(spark, sf), LOW, 10_000.0)
+    return s.withColumn("pos", F.col("pos").cast("int"))
+
+
+_CUT = f"""{TRC}, sizes as (select channel, max(ix) + 1 as n, (max(ix) + 1) // {FS} as seconds, count(case when v > 120 then 1 end) as breaches from trace group by 1),
+secs as (select trace.channel, ix // {FS} as sec, count(case when v > 120 then 1 end) as b from trace join sizes on sizes.channel = trace.channel where ix // {FS} < seconds group by 1, 2),
+st as (select channel, count(case when b > 0 then 1 end) as secs_above, coalesce(avg(case when b > 0 then b end), 0) as mean_breaches, min(case when b > 2.0 then sec end) as early from secs group by 1),
+cuts as (select sizes.channel, seconds, breaches * {FS}::double / n as breach_rate, secs_above, mean_breaches,
+case when breaches * {FS}::double / n >= 1.0 and secs_above >= 2 and mean_breaches >= 2.0 then coalesce(early, seconds) else seconds end as cutoff from sizes join st on st.channel = sizes.channel)"""
+
+
+def _cutoffs(spark, sf):
+    return de.recording_cutoff(src.trace(spark, sf), FS, 120.0, 1.0, 2, 2.0)
+
+
+@query(f"with {_CUT} select channel, seconds, round(breach_rate, 6) as breach_rate, secs_above, round(mean_breaches, 6) as mean_breaches, cutoff from cuts")
+def recording_cutoff(spark, sf):
+    return rounded(_cutoffs(spark, sf))
+
+
+@query(f"with {_CUT} select trace.channel, ix, v from trace join cuts on cuts.channel = trace.channel where cutoff >= 1 and ix < cutoff * {FS}")
+def trace_truncated(spark, sf):
+    return de.truncated(src.trace(spark, sf), _cutoffs(spark, sf), FS, 1)
+
+
+@query(f"with {TRC} select channel, ix // {FS} as sec, round(avg(v), 6) as mean_v from trace group by 1, 2")
+def voltage_per_second(spark, sf):
+    return rounded(de.voltage_per_second(src.trace(spark, sf), FS))
+
+
+@query(f"with {TRC}, s as (select channel as c, stddev_pop(v) as sd from trace group by 1) select channel, ix, v from trace join s on c = channel where abs(v) < 3 * sd")
+def artifacts_removed(spark, sf):
+    return de.without_artifacts(src.trace(spark, sf), 3.0)
+
+
+@query(f"""with {TRC}, m as (select channel, max(abs(v)) * stddev_samp(v) as m from trace group by 1) select channel, round(m, 4) as measure, m > (select median(m) + 1.5 * stddev_samp(m) from m) as outlier from m""")
+def outlier_channels(spark, sf):
+    m = src.trace(spark, sf).groupBy("channel").agg((F.max(F.abs("v")) * F.stddev_samp("v")).alias("measure"))
+    limit = m.agg((F.median("measure") + 1.5 * F.stddev_samp("measure")).alias("limit"))
+    return rounded(m.crossJoin(F.broadcast(limit)).select("channel", "measure", (F.col("measure") > F.col("limit")).alias("outlier")), 4)
+
+
+@query()
+def bandpassed_trace(spark, sf):
+    return rounded(de.bandpass(src.trace(spark, sf), 20_000.0, 300.0, 3000.0))
+
+
+@query()
+def dejittered_waveforms(spark, sf):
+    s = src.spikes(spark, sf).select("spike_id", wf.dejittered(F.col("w"), 8, 16).alias("w")).where("w is not null")
+    return rounded(s.select("spike_id", F.posexplode("w").alias("pos", "v")))
+
+
+# Unit quality --------------------------------------------------------------------------------------------------------
+
+
+_COV2 = """m as (select cluster as c, count(*) as n, avg(amplitude) as ma, avg(energy) as me, var_samp(amplitude) as saa, var_samp(energy) as see, covar_samp(amplitude, energy) as sae from ae where cluster >= 0 group by 1),
+out as (select c, n, ((amplitude - ma) * (amplitude - ma) * see - 2 * (amplitude - ma) * (energy - me) * sae + (energy - me) * (energy - me) * saa) / (saa * see - sae * sae) as d2 from ae join m on cluster <> c),
+l as (select c, n, sum(exp(-d2 / 2)) / n as l_ratio from out group by 1, 2)"""
+
+
+@query(f"with {AE}, {_COV2} select c as cluster, n, round(l_ratio, 6) as l_ratio from l")
+def l_ratio(spark, sf):
+    return rounded(qu.l_ratios(with_shape(spark, sf), ["amplitude", "energy"]))
+
+
+_ISO = f"""{AE}, {_COV2}, timed as (select cluster, epoch_us(ts) as t from spikes join events on event_id = spike_id),
+d as (select cluster, (t - lag(t) over (partition by cluster order by t)) / 3600e6 as ms from timed),
+v as (select cluster, count(*) as n_timed, count(case when ms < 1 then 1 end) as v1, count(case when ms < 2 then 1 end) as v2, count(case when ms < 1 then 1 end) * 100.0::double / count(*) as v1_pct, count(case when ms < 2 then 1 end) * 100.0::double / count(*) as v2_pct from d group by 1)"""
+
+
+@query(f"""with {_ISO} select cluster, n, v1, v2, round(v1_pct, 6) as v1_pct, round(v2_pct, 6) as v2_pct, round(l_ratio, 6) as l_ratio, v1_pct <= 0.5 and l_ratio <= 0.1 as isolated,
+case when v1_pct > 1 and l_ratio > 0.1 then 'red' when (v1_pct > 0.5 and l_ratio > 0.1) or v1_pct > 1 then 'orange' when v1_pct > 0.5 or l_ratio > 0.1 then 'yellow' end as severity
+from l join v on cluster = c""")
+def isolation_report(spark, sf):
+    ratios = qu.l_ratios(with_shape(spark, sf), ["amplitude", "energy"])
+    t = tr.intervals(src.timed_spikes(spark, sf).select("cluster", "t"), ["cluster"], "t", DAY)
+    v = tr.isi_violations(t, ["cluster"], F.col("isi") / 3600e6).drop("n", "n_isi")
+    r = ratios.join(v, "cluster").withColumn("isolated", qu.isolated(F.col("v1_pct"), F.col("l_ratio"))).withColumn("severity", qu.severity(F.col("v1_pct"), F.col("l_ratio")))
+    return rounded(r.select("cluster", "n", "v1", "v2", "v1_pct", "v2_pct", "l_ratio", "isolated", "severity"))
+
+
+_MAH = f"""{FEA}, m as (select cluster as component, avg(x) mx, avg(y) my, avg(z) mz, var_samp(x) xx, var_samp(y) yy, var_samp(z) zz, covar_samp(x, y) xy, covar_samp(x, z) xz, covar_samp(y, z) yz from features group by 1),
+inv as (select *, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) as det from m),
+dist as (select cluster, component, sqrt(((x - mx) * (x - mx) * (yy * zz - yz * yz) + (y - my) * (y - my) * (xx * zz - xz * xz) + (z - mz) * (z - mz) * (xx * yy - xy * xy)
++ 2 * (x - mx) * (y - my) * (xz * yz - xy * zz) + 2 * (x - mx) * (z - mz) * (xy * yz - xz * yy) + 2 * (y - my) * (z - mz) * (xy * xz - xx * yz)) / det) as distance from features cross join inv)"""
+
+
+@query(f"with {_MAH} select cluster, component, count(*) as n, round(avg(distance), 4) as mean_d, round(min(distance), 4) as min_d, round(max(distance), 4) as max_d from dist group by 1, 2")
+def mahalanobis_to_clusters(spark, sf):
+    d = qu.mahalanobis(src.features(spark, sf), ["x", "y", "z"])
+    return rounded(d.groupBy("cluster", "component").agg(F.count("*").alias("n"), F.avg("distance").alias("mean_d"), F.min("distance").alias("min_d"), F.max("distance").alias("max_d")), 4)
+
+
+@query(f"""with {_MAH}, e as (select cluster as c, component as k, min(distance) as lo, max(distance) as hi from dist group by 1, 2)
+select cluster, component, least(floor((distance - lo) / ((hi - lo) / 10)), 9)::int as bin, count(*) as n from dist join e on c = cluster and k = component group by 1, 2, 3""")
+def mahalanobis_histogram(spark, sf):
+    return qu.equal_bins(qu.mahalanobis(src.features(spark, sf), ["x", "y", "z"]), ["cluster", "component"], "distance")
+
+
+@query(f"""with {AE}, s as (select cluster as c, avg(amplitude) as m, stddev_pop(amplitude) as sd from ae group by 1) select cluster, count(*) as n, count(case when amplitude <= m - 1.5 * sd then 1 end) as rejected, count(case when not amplitude <= m - 1.5 * sd then 1 end) as kept
+from ae join s on c = cluster group by 1""")
+def amplitude_outliers(spark, sf):
+    r = qu.without_outliers(with_shape(spark, sf).select("cluster", "amplitude"), "amplitude", 1.5)
+    return r.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if(F.col("kept_cluster") == -1).alias("rejected"), F.count_if(F.col("kept_cluster") != -1).alias("kept"))
+
+
+@query(f"""with {FEA}, g as (select s.solution, c.component from (select unnest(range(2, 8)) as solution) s join (select unnest(range(0, 7)) as component) c on component < solution),
+lab as (select s.solution, (l_partkey % s.solution)::bigint as component from lineitem cross join (select unnest(range(2, 8)) as solution) s where l_partkey % 50 < s.solution * 8), n as (select solution, component, count(*) as n from lab group by 1, 2)
+select g.solution::int as solution, not bool_or(coalesce(n, 0) <= 5) as valid from g left join n on n.solution = g.solution and n.component = g.component group by 1""")
+def cluster_sizes_valid(spark, sf):
+    solutions = spark.range(2, 8).select(F.col("id").cast("int").alias("solution"))
+    grid = solutions.withColumn("component", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("solution") - 1).cast("long"))))
+    rows = src.table(spark, sf, "lineitem").select("l_partkey").crossJoin(F.broadcast(solutions)).where("l_partkey % 50 < solution * 8")
+    sizes = rows.groupBy("solution", (F.col("l_partkey") % F.col("solution")).alias("component")).agg(F.count("*").alias("n"))
+    return cl.valid_solutions(grid.join(sizes, ["solution", "component"], "left"), 3)
+
+
+@query(f"""with {FEA} select 'x' as a, 'y' as b, round(corr(x, y), 6) as r from features union all select 'x', 'z', round(corr(x, z), 6) from features union all select 'y', 'z', round(corr(y, z), 6) from features""")
+def feature_pairs(spark, sf):
+    names = spark.createDataFrame([(0, "x"), (1, "y"), (2, "z")], "pos int, name string")
+    wide = src.features(spark, sf).agg(F.corr("x", "y").alias("xy"), F.corr("x", "z").alias("xz"), F.corr("y", "z").alias("yz"))
+    long = wide.unpivot([], ["xy", "xz", "yz"], "pair", "r")
+    return rounded(cl.feature_pairs(names).withColumn("pair", F.concat("a", "b")).join(long, "pair").select("a", "b", "r"))
+
+
+_FITS = "fits as (select l_returnflag as channel, l_linenumber as k, (l_suppkey % 10)::bigint as seed, avg(l_extendedprice) as bic, max(l_discount) > 0.05 as converged from lineitem group by 1, 2, 3)"
+
+
+@query(f"with {_FITS} select channel, k, seed, round(bic, 4) as bic from (select *, row_number() over (partition by channel, k order by bic, seed) as rk from fits where converged) where rk = 1")
+def best_restart_by_bic(spark, sf):
+    rows = src.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("channel"), F.col("l_linenumber").alias("k"), (F.col("l_suppkey") % 10).alias("seed"), "l_extendedprice", "l_discount")
+    fits = rows.groupBy("channel", "k", "seed").agg(F.avg("l_extendedprice").alias("bic"), (F.max("l_discount") > 0.05).alias("converged"))
+    return rounded(cl.best_fits(fits, ["channel", "k"]), 4)
+
+
+@query("select channel, k::int as k, seed::int as seed from (select distinct event_type as channel from events) cross join (select unnest(range(2, 8)) as k) cross join (select unnest(range(0, 10)) as seed)")
+def cluster_grid(spark, sf):
+    return cl.cluster_grid(src.table(spark, sf, "events").select(F.col("event_type").alias("channel")).distinct())
+
+
+@query()
+def gmm_best(spark, sf):
+    """The best mixture of each recording's spikes by BIC, over cluster counts and seeds, in grouped NumPy fits."""
+    rows = with_shape(spark, sf).withColumn("slope", F.coalesce(wf.slope(F.col("w")), F.lit(0.0))).withColumn("channel", F.col("cluster") % 2)
+    return rounded(cl.best_fits(cl.mixtures(rows, "channel", ["amplitude", "energy", "slope"]), ["channel"]), 3)
+
+
+@query()
+def pca_scores(spark, sf):
+    s = cl.pca_scores(src.spikes(spark, sf).withColumn("w", wf.scaled(F.col("w"))), 3)
+    return rounded(s.select("spike_id", *[F.abs(F.get("pcs", F.lit(i))).alias(f"pc{i}") for i in range(3)]), 4)
+
+
+@query()
+def pca_variance(spark, sf):
+    """Shares of the variance until their sum is above 0.95."""
+    _, model = cl.pca_model(src.spikes(spark, sf))
+    ratios = spark.createDataFrame([(i, float(x)) for i, x in enumerate(model.explainedVariance)], "component int, ratio double")
+    return rounded(cl.variance_curve(ratios, 0.95))
+
+
+@query()
+def wavelet_selected(spark, sf):
+    c = src.spikes(spark, sf).select("spike_id", F.posexplode(wf.haar(F.col("w"))).alias("k", "coef"))
+    return rounded(cl.selected_coefficients(c), 5)
+
+
+# Curation, status, catalog --------------------------------------------------------------------------------------------
+
+
+def _active(spark, sf):
+    t = src.train(spark, sf)
+    return t.select("rec", F.substring("unit", 1, 1).alias("name"), (F.ascii("unit") % 7).alias("cluster"), F.col("id").alias("spike_id"), F.col("us").alias("t"))
+
+
+_ACT = f"{TRN}, active as (select rec, unit[1] as name, (ascii(unit) % 7)::int as cluster, id as spike_id, us as t from train)"
+
+
+@query(f"with {_ACT} select case when cluster in (1, 3) then 99 else cluster end as cluster, count(*) as n, min(t) as first_t, max(t) as last_t from active group by 1")
+def merge_clusters(spark, sf):
+    return cu.merge(_active(spark, sf), [1, 3], 99).groupBy("cluster").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+
+
+@query(f"with {_ACT} select case when cluster = 1 then cluster * 10 + rec else cluster end as cluster, count(*) as n from active group by 1")
+def split_by_recording(spark, sf):
+    return cu.split_by_recording(_active(spark, sf), 1).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_ACT} select cluster, count(*) as n from active where cluster not in (1, 3) group by 1")
+def discard_clusters(spark, sf):
+    return cu.discard(_active(spark, sf), [1, 3]).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query(f"with {_ACT} select rec, name, cluster, spike_id, t from active where spike_id not in (select vec_id from embeddings where label = 3)")
+def delete_spikes(spark, sf):
+    gone = src.spikes(spark, sf).where("cluster = 3").select("spike_id")
+    return cu.delete_spikes(_active(spark, sf), gone).select("rec", "name", "cluster", "spike_id", "t")
+
+
+@query("select true as equal")
+def clusters_equal(spark, sf):
+    a = _active(spark, sf)
+    back = cu.merge(cu.split_by_recording(a, 1), [10, 11, 12, 13, 14], 1)
+    return cu.equal_clusters(a.where("cluster = 1"), back.where("cluster = 1"))
+
+
+@query(f"""with {_ACT}, d as (select cluster, rec, (t - lag(t) over (partition by cluster, rec order by t)) / 60e6 as ms from active) select cluster, count(*) as n, count(case when ms < 1 then 1 end) as v1, count(case when ms < 2 then 1 end) as v2 from d group by 1""")
+def curation_summary(spark, sf):
+    t = tr.intervals(_active(spark, sf).select("cluster", "rec", "t"), ["cluster", "rec"], "t", DAY)
+    return tr.isi_violations(t, ["cluster"], F.col("isi") / 60e6).select("cluster", "n", "v1", "v2")
+
+
+@query(f"""with {_ACT}, f as (select r_regionkey::int as cluster, r_regionkey = 1 as single, r_regionkey = 2 as pyramidal from region) select active.cluster, single, pyramidal, count(*) as n from active join f on f.cluster = active.cluster group by 1, 2, 3""")
+def saved_units(spark, sf):
+    flags = src.table(spark, sf, "region").select(F.col("r_regionkey").alias("cluster"), (F.col("r_regionkey") == 1).alias("single"), (F.col("r_regionkey") == 2).alias("pyramidal"))
+    units, _ = cu.save_units(_active(spark, sf), flags)
+    return units.groupBy("cluster", "single", "pyramidal").agg(F.count("*").alias("n"))
+
+
+@query("""with grid as (select c.channel, k::int as k from (select distinct event_type as channel from events) c cross join (select unnest(range(2, 8)) as k)), done as (select event_type as channel, (user_id % 5 + 2)::int as k from events where value > 150)
+select channel, k from grid where not exists (select 1 from done where done.channel = grid.channel and done.k = grid.k)""")
+def pending_work(spark, sf):
+    e = src.table(spark, sf, "events")
+    grid = e.select(F.col("event_type").alias("channel")).distinct().withColumn("k", F.explode(F.sequence(F.lit(2), F.lit(7))))
+    done = e.where("value > 150").select(F.col("event_type").alias("channel"), (F.col("user_id") % 5 + 2).cast("int").alias("k"))
+    return cu.missing(grid, done, ["channel", "k"])
+
+
+@query("select distinct (user_id % 5)::int as rec, event_type as channel from events")
+def catalog(spark, sf):
+    return src.table(spark, sf, "events").select((F.col("user_id") % 5).cast("int").alias("rec"), F.col("event_type").alias("channel")).distinct()
+
+
+@query("select event_type as channel, count(*) as n from events where contains(lower(event_type), 'u') group by 1")
+def channels_named(spark, sf):
+    e = src.table(spark, sf, "events").where(F.lower("event_type").contains("u"))
+    return e.groupBy(F.col("event_type").alias("channel")).agg(F.count("*").alias("n"))
+
+
+@query("select e.event_id, coalesce(r.value, e.value) as v from events e left join (select event_id, value from events where user_id % 2 = 0) r on r.event_id = e.event_id")
+def referenced_or_raw(spark, sf):
+    e = src.table(spark, sf, "events").select("event_id", "user_id", "value")
+    ref = e.where("user_id % 2 = 0").select("event_id", F.col("value").alias("ref"))
+    return e.join(ref, "event_id", "left").select("event_id", F.coalesce("ref", "value").alias("v"))
+
+
+@query(f"with {TRN}, m as (select unit, median(t - floor(t / 1440) * 1440) as mid from train group by 1) select unit, round(mid, 4) as median_t, rank() over (order by mid)::int as place from m")
+def ensemble_order(spark, sf):
+    from pyspark.sql.window import Window
+
+    mid = src.train(spark, sf).groupBy("unit").agg(F.median(F.col("t") - F.floor(F.col("t") / 1440) * 1440).alias("mid"))
+    return rounded(mid.select("unit", F.col("mid").alias("median_t"), F.rank().over(Window.orderBy("mid")).alias("place")), 4)  # one row a unit
+
+
+@query(f"with {AE} select cluster, round(quantile_cont(amplitude, 0.95), 6) as p95 from ae group by 1")
+def held_unit_percentile(spark, sf):
+    return rounded(with_shape(spark, sf).groupBy("cluster").agg(F.percentile("amplitude", 0.95).alias("p95")))

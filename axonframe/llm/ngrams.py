@@ -48,7 +48,7 @@ def _packed(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         top = int(a.max()) if len(a) else 0
         kind = next(k for k in ("<u1", "<u2", "<u4", "<u8") if top < 256 ** int(k[2]))
-        planes = np.ascontiguousarray(a.astype(kind)).view(np.uint8).reshape(len(a), -1).T
+        planes = np.ascontiguousarray(a.astype(kind)).view(np.uint8).reshape(len(a), int(kind[2])).T
         out.append(int(kind[2]).to_bytes(1, "little") + len(a).to_bytes(8, "little") + np.ascontiguousarray(planes).tobytes())
     return zstandard.compress(b"".join(out), 1)
 

@@ -272,11 +272,11 @@ def response_test(spark, sf):
     return rounded(t.withColumn("p", tr.two_sided_p(F.col("z"))))
 
 
-@query(f"with {TRN}, {REC} select id, unit, round((us % {DAY} + offs) / (fs / 1000.0::double), 2) as time_ms, round((us % {DAY} + offs) / fs, 2) as time_s from train join rec on rec.rec = train.rec")
+@query(f"with {TRN}, {REC} select id, unit, (us % {DAY} + offs) / (fs / 1000.0::double) as time_ms, (us % {DAY} + offs) / fs as time_s from train join rec on rec.rec = train.rec")
 def unit_time_vector(spark, sf):
     s = src.train(spark, sf).select("id", "unit", "rec", (F.col("us") % DAY).alias("sample"))
     ms = tr.unit_times(s, src.recordings(spark, sf), "ms").withColumnRenamed("time", "time_ms")
-    return rounded(tr.unit_times(ms, src.recordings(spark, sf), "s").select("id", "unit", "time_ms", F.col("time").alias("time_s")), 2)
+    return tr.unit_times(ms, src.recordings(spark, sf), "s").select("id", "unit", "time_ms", F.col("time").alias("time_s"))
 
 
 @query(f"""with {TRN}, {REC}, m as (select rec.rec, fs, max(us % 1000000) as last from rec left join train on train.rec = rec.rec group by 1, 2)

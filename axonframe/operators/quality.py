@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +63,6 @@ def chi2_sf(x: Column, df: int) -> Column:
 
 def chi2_sf_odd(x: Column, df: int) -> Column:
     """The same for odd degrees of freedom, by math.erfc in an Arrow batch: Spark SQL has no error function."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def tail(v: pd.Series) -> pd.Series:

@@ -1,10 +1,10 @@
 """Fuzzy line dedup by MinHash, in DataFrame and SQL operations only.
 
 Lines are known by 128 bits of hash. Their shingles are runs of eight characters (the whole line if it is shorter).
-Twenty-four minima of the shingles' hashes, three to a band, make eight bands; lines with equal bands meet in a
-sorted bucket and pair with its first line and with the one before. Exact Jaccard similarity confirms pairs, components
-join them, and then all pairs of a bucket that are still apart are checked. One line of each component stays: the first
-by document id and line number.
+Twenty-one minima of the shingles' hashes, three to a band, make seven bands; lines with equal bands meet in a
+bucket. Exact Jaccard similarity confirms links: first each line with the bucket head that it shares most bands with, then
+with other heads that it is still apart from, last all lines of a bucket that are still apart, block against block within an
+expression, from which only links come out. One line of each component stays: the first by document id and line number.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from pyspark.sql.window import Window
 from .common import components, saved
 
 SHINGLE = 8
-BANDS, ROWS = 8, 3
+BANDS, ROWS = 7, 3
+#: Lines of a bucket that are compared in one row, at most about twice as many.
+BLOCK = 64
 #: Lines link from this Jaccard similarity of their shingle sets, in hundredths.
 PERCENT = 80
 #: What a shingle's hash is combined with by exclusive or: the least value belongs to the shingle nearest to the constant.
@@ -26,7 +28,7 @@ _NEAR = [(0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64) >> 33 for k in range(BANDS *
 def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """(doc, no, line): the lines that hold a word, numbered from 0 within the text, of rows with an id."""
     rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("doc"), F.posexplode(F.split(text_column, "\n")).alias("no", "line"))
-    return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    return rows.where(F.btrim("line", F.lit(" \t\n\x0b\f\r")) != "")
 
 
 def _named(lines: DataFrame) -> DataFrame:
@@ -67,36 +69,60 @@ def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.join(labels, "name", "left").withColumn("component", F.coalesce("component", "name"))
 
 
-def fuzzy_components(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Links (a, b) between names, struct(h1, h2), of lines whose similarity is percent or more, found as the module says."""
-    lines = _lines(docs, id_column, text_column)
-    in_bucket = Window.partitionBy("key").orderBy("name")
-    met = _banded(lines.select("line")).select("key", F.struct("h1", "h2").alias("name"))
-    met = met.withColumn("prev", F.lag("name").over(in_bucket)).withColumn("next", F.lead("name").over(in_bucket))
-    met = met.withColumn("first", F.first("name").over(in_bucket))
-    met = saved(met.where("prev is not null or next is not null").drop("next"))
-    after = met.where("prev is not null")
-    stars = after.select(F.col("first").alias("a"), F.col("name").alias("b")).union(after.select(F.col("prev").alias("a"), F.col("name").alias("b")))
-    stars = saved(stars.where("a <> b").distinct())
+def _of_blocks(mixed: DataFrame, met: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) to confirm of lines of a bucket in different components: mixed (key, name, component, size).
+
+    Blocks of a bucket are compared each with each, in the bucket of the least key that two lines share.
+    """
+    names = mixed.select("name").distinct()
+    keys = met.join(names, "name", "left_semi").groupBy("name").agg(F.collect_list("key").alias("keys"))
+    sets = texts.join(names, "name", "left_semi").select("name", F.transform(_shingle_set("line"), lambda x: F.shiftrightunsigned(x, 33).cast("int")).alias("s"))
+    cut = mixed.withColumn("k", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("name"), "k"))
+    cut = cut.join(keys, "name").join(sets, "name")
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    dealt = dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    groups = dealt.groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("own", "name", "component", "keys", "s")).alias("m"))
+    near = f"""transform(array(size(array_intersect(a.s, b.s))), i -> 100L * i >= {percent - 1}L * (size(a.s) + size(b.s) - i))[0]"""
+    pair = f"""((lo = hi and j > i) or (lo <> hi and a.own = lo and b.own = hi)) and a.component <> b.component
+        and 100L * least(size(a.s), size(b.s)) >= {percent}L * greatest(size(a.s), size(b.s))
+        and key = array_min(array_intersect(a.keys, b.keys)) and {near}"""
+    found = f"flatten(transform(m, (a, i) -> transform(filter(m, (b, j) -> {pair}), b -> struct(least(a.name, b.name) as a, greatest(a.name, b.name) as b))))"
+    return groups.select(F.explode(F.expr(found)).alias("p")).select("p.a", "p.b")
+
+
+def fuzzy_links(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between names, struct(h1, h2), of lines (line) whose similarity is percent or more, found as the module says."""
+    bands = saved(_banded(lines).select("key", F.struct("h1", "h2").alias("name")))
+    shared = bands.groupBy("key").agg(F.min("name.h1").alias("low"), F.max("name.h1").alias("high")).where("low <> high").select("key", "low")
+    met = saved(bands.join(shared, "key"))
+    heads = met.where("name.h1 = low").groupBy("key").agg(F.min("name.h1").alias("h1"), F.min("name.h2").alias("h2"))
+    stars = met.join(heads.select("key", F.struct("h1", "h2").alias("head")), "key").where("head <> name")
+    stars = saved(stars.groupBy(F.col("head").alias("a"), F.col("name").alias("b")).agg(F.count("*").alias("c")))
     needed = met.select("name.h1", "name.h2").distinct()
-    texts = _named(lines.select("line")).join(needed, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    texts = _named(lines).join(needed, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
     texts = saved(texts.select(F.struct("h1", "h2").alias("name"), "line"))
-    links = _confirmed(stars, texts, percent)
+
+    best = stars.groupBy("b").agg(F.min(F.struct((-F.col("c")).alias("c"), "a")).alias("m")).select("m.a", "b")
+    best = saved(best)
+    links = _confirmed(best, texts, percent)
+    labels = components(links)
+    label = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
+    rest = stars.select("a", "b").join(best, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    rest = rest.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    links = links.union(_confirmed(rest, texts, percent))
 
     own = _labelled(met.select("key", "name"), links)
     counted = own.groupBy("key", "component").agg(F.count("*").alias("c"))
-    main = counted.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("key", F.col("m.component").alias("main"))
-    mixed = saved(own.join(main, "key"))
-    x = mixed.where("component <> main").select("key", F.col("name").alias("a"), F.col("component").alias("ca"))
-    y = mixed.select("key", F.col("name").alias("b"), F.col("component").alias("cb"), "main")
-    cross = x.join(y, "key").where("ca <> cb and (cb = main or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return links.union(_confirmed(cross.join(stars, ["a", "b"], "left_anti"), texts, percent))
+    parted = counted.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("size")).where("k > 1").select("key", "size")
+    mixed = saved(own.join(parted, "key"))
+    return links.union(_confirmed(_of_blocks(mixed, met, texts, percent).distinct(), texts, percent))
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc, no, exact): the lines to drop; exact says that the line stays elsewhere letter by letter."""
-    lines = _named(_lines(docs, id_column, text_column)).select("doc", "no", F.struct("h1", "h2").alias("name"))
-    links = saved(fuzzy_components(docs, percent, id_column, text_column))
+    every = _lines(docs, id_column, text_column)
+    lines = saved(_named(every).select("doc", "no", F.struct("h1", "h2").alias("name")))
+    links = saved(fuzzy_links(every.select("line"), percent))
     kinds = lines.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("doc", "no")).alias("first"))
     linked = components(links).select(F.col("node").alias("name"), "component")
     kinds = kinds.join(linked, "name", "left").where("n > 1 or component is not null")

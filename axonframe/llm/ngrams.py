@@ -31,9 +31,10 @@ from pyspark.sql import types as T
 from .common import saved
 
 DISCOUNT = 0.75
-#: Tokens of a pack, and of one context before it is split.
+#: Tokens of a pack, of a shard, and of one context before it is split.
 PACK = 1_500_000
-HOT = 500_000
+SHARD = 700_000
+HOT = 250_000
 #: Parts that the words are dealt into by their hash's first bits when a context is split.
 PARTS = 4096
 _START, _UNKNOWN = np.uint64(1), np.uint64(0)
@@ -343,6 +344,8 @@ def _scored(sent: DataFrame, mass: np.ndarray) -> DataFrame:
             got = [_unpacked(blobs[k]) for k in mine]
             context = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
             word, times, code, total, splits = (np.concatenate([g[i] for g in got]) for i in (1, 3, 4, 5, 6))
+            ends = np.cumsum([0, *[len(g[0]) for g in got]])
+            del got
             train = np.flatnonzero((times & np.uint64(1)) > 0)
             times = (times >> np.uint64(1)).astype(np.int64)
             order = train[np.lexsort((word[train], context[train]))]
@@ -355,10 +358,9 @@ def _scored(sent: DataFrame, mass: np.ndarray) -> DataFrame:
             trie = BigramTrie(context[at], word[at], count, total[at].astype(float), share)
             unigram = 10.0 ** (code.astype(float) / 65535 * _LEAST)
             log = np.empty(len(word))
-            for a in range(0, len(word), 500_000):
-                b = a + 500_000
+            for a in range(0, len(word), 200_000):
+                b = a + 200_000
                 log[a:b] = np.log10(np.maximum(trie.probability(context[a:b], word[a:b], unigram[a:b]), 1e-300))
-            ends = np.cumsum([0, *[len(g[0]) for g in got]])
             for k, a, b in zip(mine, ends, ends[1:], strict=False):
                 doc = _unpacked(blobs[k])[2].astype(np.int64)
                 each = np.bincount(doc, weights=log[a:b] * times[a:b])
@@ -406,7 +408,7 @@ def scored_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     mass[0] += DISCOUNT * v / (v + 1) / max(n, 1)
     held = F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % 7 == 2
     texts = docs.where(~held).count()
-    shards = max(word_shards, n // 2_500_000 + 1)
+    shards = max(word_shards, n // SHARD + 1)
     sent = _sent(packs.where("shard = -1"), words.where("pack is not null"), word_shards, shards, n, v, texts)
     found = _summed(_scored(sent, mass))
     ids = packs.where("shard = -1").select("pack", F.posexplode("ids").alias("ix", "id"))

@@ -18,7 +18,7 @@ from .common import components, saved
 SHINGLE = 8
 BANDS, ROWS = 7, 3
 #: Lines of a bucket that are compared in one row, at most about twice as many.
-BLOCK = 64
+BLOCK = 3072
 #: Lines link from this Jaccard similarity of their shingle sets, in hundredths.
 PERCENT = 80
 #: What a shingle's hash is combined with by exclusive or: the least value belongs to the shingle nearest to the constant.

@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Rows of a group that a task fits in memory; larger groups are fitted by pyspark.ml, job by job.
-FIT_IN_TASK = 2_000_000
-
 
 def pca_model(rows: DataFrame, column: str = "w", k: int | None = None):
     """(scaler, model): centring and principal components of an array column; k components, all if None."""
@@ -114,7 +111,7 @@ def fit_mixture(x: np.ndarray, k: int, seed: int, tol: float = 1e-3, most: int =
 def mixtures(rows: DataFrame, channel: str, columns: list[str], least: int = 2, most: int = 5, restarts: int = 3) -> DataFrame:
     """(channel, k, seed, converged, bic, sizes): a fit for each channel, cluster count and seed, each in a group of its own.
 
-    Rows travel once for each fit; a channel must fit a task (FIT_IN_TASK rows), and larger ones go to mixture_ml.
+    Rows travel once for each fit; a channel must fit a task's memory; mixture_ml is for larger ones.
     """
     kind = rows.schema[channel].dataType
     fits = rows.select(F.col(channel).alias("channel"), F.array(*columns).alias("x"))

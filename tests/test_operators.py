@@ -91,3 +91,21 @@ def test_curation(spark):
     s.edit("drop", curate.discard(s.spikes, [1]))
     assert s.spikes.count() == 8 and s.log() == ["split 1", "merge", "drop"] and s.undo().count() == 12
     assert not curate.equal_clusters(df.where("cluster = 1"), df.where("cluster = 2")).first().equal
+
+
+def test_pca_scores(spark):
+    x = np.random.default_rng(5).standard_normal((50, 6)) * [5, 3, 2, 1, 0.5, 0.1] + 7
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "spike_id int, w array<double>")
+    got = np.array([r.pcs for r in cluster.pca_scores(df, 3).orderBy("spike_id").collect()])
+    off = x - x.mean(0)
+    _, _, axes = np.linalg.svd(off, full_matrices=False)
+    assert np.allclose(np.abs(got), np.abs(off @ axes[:3].T), atol=1e-6)
+
+
+def test_lilliefors(spark):
+    v = np.random.default_rng(6).exponential(size=40)
+    df = spark.createDataFrame([("u", float(y)) for y in v], "k string, v double")
+    z = np.sort((v - v.mean()) / v.std(ddof=1))
+    phi = np.array([0.5 * (1 + math.erf(y / math.sqrt(2))) for y in z])
+    e = np.arange(1, 41) / 40
+    assert cluster.lilliefors(df, ["k"], "v").first().d == pytest.approx(max(np.abs(e - phi).max(), np.abs(phi - e + 1 / 40).max()), abs=1e-6)

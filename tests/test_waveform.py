@@ -45,3 +45,10 @@ def test_resample(spark):
     w = [0.0, 2.0, 4.0, 0.0]
     got = run(spark, [w], wf.resampled(F.col("w"), 1.0, 2.0))[0]
     assert got == [0, 1, 2, 3, 4, 2, 0, 0]
+
+
+def test_dejitter(spark):
+    w = [0.0] * 10
+    w[4], w[5] = -4.0, -1.0
+    got = run(spark, [w, [-1.0, *[0.0] * 9]], wf.dejittered(F.col("w"), 2, 3))
+    assert len(got[0]) == 50 and got[0].index(min(got[0])) == 20 and min(got[0]) == -4 and got[1] is None

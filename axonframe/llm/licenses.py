@@ -1,13 +1,17 @@
 """License scans by conditional compression.
 
-Blocks of lines with license words are compressed by zstandard, alone and with each template's wording as a raw
-dictionary. The template that saves most bytes wins, and the word-by-word differences from its wording confirm it or not.
+Around each license word, as far as the longest template reaches, every template is aligned with the text word by word.
+Where few words differ and zstandard saves bytes with the template's wording as a raw dictionary, it is confirmed, with the
+lines of its own first and last word. Blocks of lines with license words that no confirmed finding touches are given the
+template that saves most bytes.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,7 +43,7 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
 }
 #: A line with one of these words may be part of a license.
-CUES = r"(?i)licen[cs]e|copyright|warrant(?:y|ies)|redistribut|hereby granted|public domain|rights reserved|free software|permission"
+CUES = r"(?i)licen[cs]e|copyright|warrant(?:y|ies)|redistribut|hereby[^0-9A-Za-z]+granted|public[^0-9A-Za-z]+domain|rights[^0-9A-Za-z]+reserved|free[^0-9A-Za-z]+software|permission"
 #: Lines without a cue that a block may hold between two with one.
 GAP = 3
 #: Share of the template's words that may differ in a confirmed finding.
@@ -49,10 +53,15 @@ _WORD = re.compile(r"[0-9A-Za-z]+(?:[.\-][0-9A-Za-z]+)*")
 _CUE = re.compile(CUES)
 
 
+def _line_starts(text: str) -> list[int]:
+    return [0, *[m.end() for m in re.finditer("\n", text)]]
+
+
 def blocks(text: str) -> list[tuple[int, int, str]]:
     """(first line, last line, wording) of the candidate blocks: runs of lines with cues, and each such line of longer runs."""
     lines = text.split("\n")
-    hits = [i for i, x in enumerate(lines) if _CUE.search(x)]
+    starts = _line_starts(text)
+    hits = sorted({bisect_right(starts, at) - 1 for m in _CUE.finditer(text) for at in (m.start(), m.end() - 1)})
     runs: list[list[int]] = []
     for i in hits:
         if runs and i - runs[-1][-1] <= GAP + 1:
@@ -77,45 +86,140 @@ def wording(text: str, template: str) -> tuple[list[str], list[str], int]:
     return lacks, extra, len(a)
 
 
+def _weight(word: str) -> float:
+    """What a differing word costs: a number more than any finding may."""
+    return 1e9 if any(c.isdigit() for c in word) else 1
+
+
+def aligned(a: list[str], b: list[str], limit: float) -> list[tuple[float, int, int]]:
+    """(words that differ, start, end) for each end in b of a stretch from which a differs in at most `limit` words, lacking or
+    too many: the best stretch of that end, by dynamic programming over the cells within the limit."""
+    n, price = len(a), [_weight(w) for w in a]
+    cost, start = [0.0, *[1e18] * n], [0] * (n + 1)
+    last = 0
+    while last < n and cost[last] + price[last] <= limit:
+        cost[last + 1] = cost[last] + price[last]
+        last += 1
+    found = []
+    for j, w in enumerate(b):
+        extra = _weight(w)
+        diagonal, diagonal_start = 0.0, j
+        above, above_start, now = 0.0, j + 1, 0
+        start[0] = j + 1
+        for i in range(1, n + 1):
+            if i > last + 1 and above + price[i - 1] > limit:
+                break
+            old, old_start = cost[i], start[i]
+            best, at = old + extra, old_start
+            if a[i - 1] == w and diagonal <= best:
+                best, at = diagonal, diagonal_start
+            if above + price[i - 1] < best:
+                best, at = above + price[i - 1], above_start
+            cost[i], start[i] = best, at
+            diagonal, diagonal_start, above, above_start = old, old_start, best, at
+            if best <= limit:
+                now = i
+        last = now
+        if cost[n] <= limit:
+            found.append((cost[n], start[n], j + 1))
+    return found
+
+
+def differences(a: list[str], b: list[str]) -> tuple[list[str], list[str]]:
+    """The words that b lacks and has too many, as few as possible."""
+    common = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            common[i][j] = common[i + 1][j + 1] + 1 if a[i] == b[j] else max(common[i + 1][j], common[i][j + 1])
+    i = j = 0
+    lacks, extra = [], []
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and a[i] == b[j]:
+            i, j = i + 1, j + 1
+        elif j == len(b) or i < len(a) and common[i + 1][j] >= common[i][j + 1]:
+            lacks.append(a[i])
+            i += 1
+        else:
+            extra.append(b[j])
+            j += 1
+    return lacks, extra
+
+
 class Scanner:
     """The templates as dictionaries; remembers what it has said about a wording."""
 
     def __init__(self, templates: dict[str, str]):
         self.templates = templates
+        self.words = {k: _WORD.findall(v.lower()) for k, v in templates.items()}
+        self.bags = {k: Counter(v) for k, v in self.words.items()}
+        self.reach = max((int(len(v) * (1 + DIFFER)) + 1 for v in self.words.values()), default=0)
         self.alone = zstandard.ZstdCompressor(level=LEVEL)
         made = {k: zstandard.ZstdCompressionDict(v.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for k, v in templates.items()}
         self.given = {k: zstandard.ZstdCompressor(level=LEVEL, dict_data=d) for k, d in made.items()}
         self.known: dict[str, tuple] = {}
 
     def judge(self, text: str) -> tuple:
-        """(license, bytes alone, bytes saved, confirmed, words lacking, words too many): the best confirmed template, or else the first in rank."""
+        """(license, bytes alone, bytes saved, False, words lacking, words too many): the first template in rank, for a block without a confirmed one."""
         if text in self.known:
             return self.known[text]
         raw = text.encode()
         alone = len(self.alone.compress(raw))
         saves = {k: alone - len(c.compress(raw)) for k, c in self.given.items()}
-        rank = sorted(saves, key=lambda k: (-saves[k], len(self.templates[k]), k))
-        out = None
-        for k in rank[:5]:  # of equal savings the one with the fewest differences counts
-            lacks, extra, n = wording(text, self.templates[k])
-            numbers = any(c.isdigit() for w in [*lacks, *extra] for c in w)
-            ok = saves[k] > 0 and len(lacks) + len(extra) <= DIFFER * n and not numbers
-            got = (k, alone, saves[k], ok, " ".join(lacks), " ".join(extra))
-            if out is None or ok and not out[3] or ok and saves[k] == out[2] and len(lacks) + len(extra) < len(f"{out[4]} {out[5]}".split()):
-                out = got
+        best = min(saves, key=lambda k: (-saves[k], len(self.templates[k]), k))
+        lacks, extra, _ = wording(text, self.templates[best])
+        out = (best, alone, saves[best], False, " ".join(lacks), " ".join(extra))
         if len(self.known) > 10_000:
             self.known.clear()
         if len(text) < 2_000:
             self.known[text] = out
         return out
 
+    def confirmed(self, text: str) -> list[tuple]:
+        """(first line, last line, license, bytes alone, bytes saved, True, words lacking, words too many) of all confirmed templates."""
+        places = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+        words = [text[s:e].lower() for s, e in places]
+        begins, lines = [s for s, _ in places], _line_starts(text)
+        regions: list[list[int]] = []
+        for m in _CUE.finditer(text):
+            low, high = max(0, bisect_right(begins, m.start()) - 1 - self.reach), min(len(words), bisect_left(begins, m.end()) + self.reach)
+            if regions and low <= regions[-1][1]:
+                regions[-1][1] = high
+            else:
+                regions.append([low, high])
+        found = []
+        for low, high in regions:
+            bag = Counter(words[low:high])
+            for k, a in self.words.items():
+                if sum(min(c, bag[w]) for w, c in self.bags[k].items()) >= (1 - DIFFER) * len(a):
+                    found += [(c - len(a), len(self.templates[k]), k, low + s, low + e) for c, s, e in aligned(a, words[low:high], DIFFER * len(a))]
+        out, taken = [], []
+        for _, _, k, s, e in sorted(found):  # of findings that overlap, the one with most of its wording
+            if e <= s or (at := bisect_right(taken, (s, len(words)))) and taken[at - 1][1] > s or at < len(taken) and taken[at][0] < e:
+                continue
+            raw = text[places[s][0] : places[e - 1][1]].replace("\n", " ").encode()
+            alone = len(self.alone.compress(raw))
+            saved = alone - len(self.given[k].compress(raw))
+            if saved > 0:
+                taken.insert(at, (s, e))
+                lacks, extra = differences(self.words[k], words[s:e])
+                first, last = (bisect_right(lines, begins[i]) - 1 for i in (s, e - 1))
+                out.append((first, last, k, alone, saved, True, " ".join(lacks), " ".join(extra)))
+        return sorted(out)
+
+    def scan(self, text: str) -> list[tuple]:
+        """Confirmed findings, and what the candidate blocks without one resemble most."""
+        sure = self.confirmed(text)
+        touched = {i for r in sure for i in range(r[0], r[1] + 1)}
+        rest = [(first, last, *self.judge(block)) for first, last, block in blocks(text) if touched.isdisjoint(range(first, last + 1))]
+        return sorted(sure + rest)
+
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row for each candidate block: id, first_line, last_line, license, bytes_alone, bytes_saved, confirmed, lacks, extra.
+    """One row for each confirmed finding and each candidate block that none touches: id, first_line, last_line, license, bytes_alone, bytes_saved, confirmed, lacks, extra.
 
     Whole texts are read; lines are numbered from 0. confirmed findings differ from the template in a tenth of its words at
-    most, and in no number. Texts without license words, empty and null ones give no rows. Repeated rows give repeated
-    findings; ties of saved bytes go to the wording with fewer differences, then the shorter template; ids may be null; other columns are not read.
+    most, and in no number; each has the lines of its own words, of which no two findings share any. Texts without license words, empty and null ones give no rows. Repeated rows give repeated
+    findings; of templates that match the same words the one with most of its wording there counts, then the shorter; ids may be null; other columns are not read.
     """
     kinds = [("first_line", T.LongType()), ("last_line", T.LongType()), ("license", T.StringType()), ("bytes_alone", T.LongType()), ("bytes_saved", T.LongType()), ("confirmed", T.BooleanType()), ("lacks", T.StringType()), ("extra", T.StringType())]
     schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), *[T.StructField(k, t) for k, t in kinds]])
@@ -127,9 +231,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, id_c
         for batch in batches:
             at, rows = [], []
             for k, text in enumerate(batch["text"]):
-                for first, last, block in blocks(text.as_py()):
+                for row in scanner.scan(text.as_py()):
                     at.append(k)
-                    rows.append((first, last, *scanner.judge(block)))
+                    rows.append(row)
             columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(at, pa.int64())), *columns], names=["id", *[k for k, _ in kinds]])
 

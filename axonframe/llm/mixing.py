@@ -6,10 +6,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import saved
+
 #: Rows that one group of the ranking window holds on average; groups are cut by hash, so no source makes a larger one.
 RANKED_TOGETHER = 2_000
-#: More sources than this are an error: the schedule of one period is a table that is broadcast.
+#: More sources than this are an error: the state of the schedule is one array of them.
 MOST_SOURCES = 1024
+#: Parts of the whole that a weight is counted in: far more than a run has slots.
+PARTS = 1_000_000_000
+#: Stretches of a run at most; longer runs have longer ones.
+STRETCHES = 4096
+
+#: The sources of the slots 0 .. period - 1 for s, an array of structs with w: of the released blocks the one due first.
+_PICKS = """aggregate(sequence(0L, period - 1),
+             named_struct('done', transform(s, x -> 0L), 'picks', cast(array() as array<int>)),
+             (a, t) -> transform(
+                 array(array_min(transform(s, (x, i) ->
+                     if(a.done[i] < x.w and a.done[i] * period div x.w <= t,
+                        named_struct('due', ((a.done[i] + 1) * period + x.w - 1) div x.w, 'i', i),
+                        null)))),
+                 m -> named_struct('done', transform(a.done, (d, i) -> if(i = m.i, d + 1, d)), 'picks', concat(a.picks, array(m.i))))[0],
+             a -> a.picks)"""
+
+#: The blocks of each source in the stretches 0 .. n - 1 of `period` slots: those due by its end, then released ones by due time.
+_QUOTAS = """aggregate(sequence(0L, n - 1),
+             named_struct('done', transform(s, x -> 0L), 'out', cast(array() as array<struct<start: array<bigint>, q: array<bigint>>>)),
+             (a, c) -> transform(
+                 transform(
+                     transform(array(transform(s, (x, i) -> greatest(0L, (c + 1) * period * x.w div parts - a.done[i]))),
+                         must -> named_struct('must', must, 'more', slice(array_sort(filter(transform(s, (x, i) ->
+                             if((c + 1) * period * x.w % parts > 0 and a.done[i] + must[i] = (c + 1) * period * x.w div parts,
+                                named_struct('due', ((a.done[i] + must[i] + 1) * parts + x.w - 1) div x.w, 'i', i), null)), y -> y is not null)),
+                             1, cast(period - aggregate(must, 0L, (z, y) -> z + y) as int)))),
+                     m -> transform(m.must, (d, i) -> d + if(exists(m.more, y -> y.i = i), 1L, 0L))),
+                 q -> named_struct('done', zip_with(a.done, q, (x, y) -> x + y), 'out', concat(a.out, array(named_struct('start', a.done, 'q', q)))))[0],
+             a -> a.out)"""
 
 
 def _ranked(rows: DataFrame) -> DataFrame:
@@ -41,17 +72,7 @@ def pfair_schedule(targets: DataFrame) -> DataFrame:
         "s", F.expr("aggregate(s, 0L, (a, x) -> a + x.w)").alias("period")
     )
     small = F.when(F.size("s") <= MOST_SOURCES, F.col("s")).otherwise(F.raise_error(F.lit(f"more than {MOST_SOURCES} sources")))
-    picks = F.expr(
-        """aggregate(sequence(0L, period - 1),
-             named_struct('done', transform(s, x -> 0L), 'picks', cast(array() as array<int>)),
-             (a, t) -> transform(
-                 array(array_min(transform(s, (x, i) ->
-                     if(a.done[i] < x.w and a.done[i] * period div x.w <= t,
-                        named_struct('due', ((a.done[i] + 1) * period + x.w - 1) div x.w, 'i', i),
-                        null)))),
-                 m -> named_struct('done', transform(a.done, (d, i) -> if(i = m.i, d + 1, d)), 'picks', concat(a.picks, array(m.i))))[0],
-             a -> a.picks)"""
-    )
+    picks = F.expr(_PICKS)
     one = lists.where(F.size("s") > 0).withColumn("s", small).withColumn("picks", picks)
     slots = one.select("s", "period", F.posexplode("picks").alias("slot", "i"))
     slots = slots.select(F.expr("s[i].src").alias("src"), F.expr("s[i].w").alias("w"), "period", F.col("slot").cast("long"))
@@ -59,6 +80,31 @@ def pfair_schedule(targets: DataFrame) -> DataFrame:
     return slots.withColumn("j", j.cast("long"))
 
 
+def block_slots(targets: DataFrame) -> DataFrame:
+    """(src, block, slot) of all blocks, for targets (src, w, r, m): w parts of the whole, r of a stretch, m blocks.
+
+    The run is cut into stretches of the sum of r slots. At the end of each, every source has its whole share w / sum(w) of
+    all slots so far, rounded up or down: blocks due by then are in, and released ones fill it by due time. Within a
+    stretch these whole numbers are scheduled by pfair_schedule's rule. So no source is ever two blocks off, nor one block
+    at the ends of stretches, however long the run is.
+    """
+    lists = targets.where("w > 0").agg(F.sort_array(F.collect_list(F.struct("src", "w", "r", "m"))).alias("s")).where(F.size("s") > 0)
+    lists = lists.withColumn("s", F.when(F.size("s") <= MOST_SOURCES, F.col("s")).otherwise(F.raise_error(F.lit(f"more than {MOST_SOURCES} sources"))))
+    lists = lists.withColumn("parts", F.expr("aggregate(s, 0L, (a, x) -> a + x.w)"))
+    lists = lists.withColumn("slots", F.expr("array_max(transform(s, x -> (x.m * parts + x.w - 1) div x.w))"))
+    lists = lists.withColumn("period", F.expr(f"greatest(aggregate(s, 0L, (a, x) -> a + x.r), (slots + {STRETCHES - 1}) div {STRETCHES})"))
+    lists = lists.withColumn("n", F.expr("(slots + period - 1) div period"))
+    each = saved(lists.withColumn("out", F.expr(_QUOTAS)).select("s", "period", F.posexplode("out").alias("c", "x")).select("s", "period", "c", "x.*"))
+    kinds = each.select("period", "q").distinct().withColumn("s", F.expr("transform(q, x -> named_struct('w', x))")).repartition("q")
+    picks = kinds.select("q", F.posexplode(F.expr(_PICKS)).alias("at", "i"))
+    picks = picks.withColumn("j", (F.row_number().over(Window.partitionBy("q", "i").orderBy("at")) - 1).cast("long"))
+    held = each.select("period", "c", "q", "start", F.posexplode("s").alias("i", "x")).withColumn("from", F.expr("start[i]"))
+    held = held.withColumn("to", F.expr("least(x.m, from + q[i])")).where("from < to")
+    blocks = held.select("q", "i", "period", "c", "from", F.col("x.src").alias("src"), F.explode(F.expr("sequence(from, to - 1)")).alias("block"))
+    placed = blocks.withColumn("j", F.expr("block - from")).join(picks, ["q", "i", "j"])
+    return placed.select("src", "block", F.expr("c * period + at").alias("slot"))
+
+
 def mix_sources(
     docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 8, resolution: int = 1000, power: float = 0.5,
     id_column: str = "doc_id", source_column: str = "source",
@@ -66,11 +112,11 @@ def mix_sources(
     """All rows of docs with their place in a mix of the sources: columns doc (the row), src, block, slot, ix.
 
     weights gives target weights by source; sources that it lacks, and all if it is None, weigh their
-    number of rows to `power`. Weights become whole blocks a period of about `resolution` slots, one at
-    least. A source's rows, in the order of md5(id), form blocks of block_docs; block k gets slot
-    (k div w) * period + the slot of block k mod w. Reading by (slot, ix) interleaves the sources with
-    less than a block's deviation from the targets at every slot; slots of sources that have run out
-    stay empty, so the others share by their weights. Every row is returned once.
+    number of rows to `power`. A source's rows, in the order of md5(id), form blocks of block_docs, whose
+    slots are those of block_slots, with stretches of about `resolution` slots. Reading by (slot, ix)
+    interleaves the sources with less than two blocks' deviation from the targets at every slot, and less than
+    one at the ends of stretches; slots of sources that have run out stay empty, so the others share by
+    their weights. Rows of a source of weight 0 have no slot (null). Every row is returned once.
 
     A null source is a source of its own; rows of equal id are ordered arbitrarily among themselves; an
     empty table gives no rows; other columns, whatever their names, ride along in doc.
@@ -80,23 +126,22 @@ def mix_sources(
     rows = docs.select(F.struct("*").alias("doc"), name.alias("src"), F.col(id_column).alias("id"))
     sizes = rows.groupBy("src").agg(F.count("*").alias("n"))
     given = spark.createDataFrame([(f"={k}", float(v)) for k, v in (weights or {}).items()], "src string, given double")
-    heavy = sizes.join(F.broadcast(given), "src", "left").select("src", F.coalesce("given", F.pow("n", F.lit(power))).alias("v"))
+    heavy = sizes.join(F.broadcast(given), "src", "left").select("src", "n", F.greatest(F.lit(0.0), F.coalesce("given", F.pow("n", F.lit(power)))).alias("v"))
     total = heavy.agg(F.sum("v").alias("total"))
+    share = F.when(F.col("v") > 0, F.col("v") / F.col("total")).otherwise(0.0)
     targets = heavy.crossJoin(F.broadcast(total)).select(
-        "src", F.greatest(F.lit(1), F.round(F.col("v") * resolution / F.col("total"))).cast("long").alias("w")
-    )
-    schedule = pfair_schedule(targets)
-    per_source = schedule.select("src", "w", "period").distinct()
+        "src", F.when(F.col("v") > 0, F.greatest(F.lit(1), F.round(share * PARTS))).otherwise(0).cast("long").alias("w"),
+        F.greatest(F.lit(1), F.round(F.col("v") * resolution / F.col("total"))).cast("long").alias("r"), F.ceil(F.col("n") / block_docs).cast("long").alias("m"),
+    )
     ranked = _ranked(rows).withColumn("block", F.expr(f"ix div {block_docs}"))
-    placed = ranked.join(F.broadcast(per_source), "src").withColumn("j", F.expr("block % w"))
-    placed = placed.join(F.broadcast(schedule.select("src", "j", F.col("slot").alias("at"))), ["src", "j"])
-    return placed.select("doc", "src", "block", F.expr("(block div w) * period + at").alias("slot"), "ix")
+    return ranked.join(saved(block_slots(targets)).hint("merge"), ["src", "block"], "left").select("doc", "src", "block", "slot", "ix")
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
     """docs, the same columns, laid out in the order of the mix: ranges of slots by partition, sorted within."""
     mixed = mix_sources(docs, **options)
-    return mixed.repartitionByRange("slot", "ix").sortWithinPartitions("slot", "ix").select("doc.*")
+    order = [F.col("slot").asc_nulls_last(), F.col("ix")]
+    return mixed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc.*")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

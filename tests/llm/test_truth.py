@@ -41,6 +41,23 @@ def test_mixing_deviation(spark):
         assert r.j * 13 // r.w <= r.slot < -(-(r.j + 1) * 13 // r.w)
 
 
+@pytest.mark.parametrize("weights", [None, {"s0": 0.9, "s1": 0.0999, "s2": 0.0001, "s3": 0.0}])
+def test_mixing_deviation_from_unrounded(spark, weights):
+    """Skewed sources: at each slot less than two blocks from the unrounded targets, and all slots of a run's start in use."""
+    sizes = [40_000, *[2_000] * 20, *[7] * 30] if weights is None else [20_000, 2_000, 8, 16]
+    rows = [(k * 100_000 + i, f"s{k}") for k, n in enumerate(sizes) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mix_sources(df, weights).select("src", "block", "slot").distinct().collect()
+    assert len(got) == sum(-(-n // 8) for n in sizes)
+    raw = {f"=s{k}": math.sqrt(n) if weights is None else weights[f"s{k}"] for k, n in enumerate(sizes)}
+    target = {k: v / sum(raw.values()) for k, v in raw.items()}
+    slots = [r.slot for r in got if r.slot is not None]
+    assert len(slots) == len(set(slots)) and all((r.slot is None) == (target[r.src] == 0) for r in got)
+    for r in got:
+        if r.slot is not None:
+            assert abs(r.block - r.slot * target[r.src]) < 2 and abs(r.block + 1 - (r.slot + 1) * target[r.src]) < 2
+
+
 def test_quality_against_sql(spark):
     same_as_sql(quality.op2_quality_rules(spark, SF), quality.SQL)
 

@@ -4,12 +4,14 @@ One pattern finds candidates; each is then validated by kind (Luhn digit, octets
 valid is permuted within its format by a keyed Feistel network, so equal values get equal pseudonyms in all
 documents and different values different ones; what is not valid stays.
 
- - card: 13 to 19 digits, blanks or hyphens between groups of four; all but the last digit permuted, Luhn digit made anew
- - iban: letters of the country kept, the digits of the account permuted, check digits made anew
+ - card: 13 to 19 digits, blanks or hyphens between groups of four or of 4-6-5 and 4-6-4; all but the last digit permuted, Luhn digit made anew
+ - iban: letters of the country kept, letters and digits of the account permuted within their kinds, check digits made anew;
+   in one piece, or in groups of four with the length of its country
  - phone: + and country code kept, the other digits permuted; also (ddd) ddd-dddd and ddd-ddd-dddd
  - ssn: ddd-dd-dddd outside of the never assigned ranges; the digits permuted
  - ip: four octets, permuted as one 32-bit number
- - date: yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy of the 72,900 days from 1900-01-01, permuted among these days
+ - date: yyyy-mm-dd, dd.mm.yyyy, mm/dd/yyyy of the 72,900 days from 1900-01-01, permuted among these days; dd/mm/yyyy with a
+   day above 12, permuted among such days
  - email: letters and digits before the @ permuted, the domain kept
  - secret: 32 or more hexadecimal digits with a letter and a digit among them; permuted
 """
@@ -21,13 +23,20 @@ from pyspark.sql import functions as F
 
 KEY = "axonframe"
 ROUNDS = 8
+#: Countries by the length of their IBAN, for those printed in groups: their end cannot be told from words that follow.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_GROUPED = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
 #: The kinds, the one that is tried first leading, each with the pattern of its candidates.
 KINDS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{12,32}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{_GROUPED})(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])",
     "phone": r"(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .-]?\([0-9]{1,4}\))?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![A-Za-z0-9])(?:\([0-9]{3}\) ?|[0-9]{3}-)[0-9]{3}-[0-9]{4}(?![0-9])",
-    "card": r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7})(?![A-Za-z0-9])",
+    "card": r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})(?![A-Za-z0-9])",
     "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
     "date": r"(?<![A-Za-z0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![A-Za-z0-9/-])",
     "ip": r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])",
@@ -96,9 +105,16 @@ def _mod97(text: Column) -> Column:
     return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), F.lit(10)).otherwise(F.lit(100)) + value(c)) % 97)
 
 
+def _month_first(m: Column) -> Column:
+    return F.try_to_date(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 1, 2), F.substring(m, 4, 2)), "yyyy-MM-dd")
+
+
+def _day_first(m: Column) -> Column:
+    return F.try_to_date(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)), "yyyy-MM-dd")
+
+
 def _date_of(m: Column) -> Column:
-    iso = F.when(m.rlike("^[0-9]{4}-"), m).when(m.contains("."), F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)))
-    return F.try_to_date(iso.otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 1, 2), F.substring(m, 4, 2))), "yyyy-MM-dd")
+    return F.when(m.rlike("^[0-9]{4}-"), F.try_to_date(m, "yyyy-MM-dd")).when(m.contains("."), _day_first(m)).otherwise(F.coalesce(_month_first(m), _day_first(m)))
 
 
 def _day(m: Column) -> Column:
@@ -108,7 +124,7 @@ def _day(m: Column) -> Column:
 def _valid() -> dict:
     return {
         "email": lambda m: F.lit(True),
-        "iban": lambda m: _mod97(F.concat(F.substring(m, 5, 30), F.substring(m, 1, 4))) == 1,
+        "iban": lambda m: _let(F.replace(m, F.lit(" "), F.lit("")), lambda x: _mod97(F.concat(F.substring(x, 5, 30), F.substring(x, 1, 4))) == 1),
         "secret": lambda m: m.rlike("[0-9]") & m.rlike("[A-Fa-f]"),
         "phone": lambda m: F.length(_digits(m)).between(7, 15),
         "card": lambda m: _let(_digits(m), lambda d: F.length(d).between(13, 19) & (_luhn_sum(d, False) % 10 == 0) & ~d.rlike("^0+$")),
@@ -127,7 +143,12 @@ def _pseudonyms(key: str) -> dict:
     def iban(m: Column) -> Column:
         country = F.substring(m, 1, 2)
         check = lambda p: F.lpad((98 - _mod97(F.concat(p, country, F.lit("00")))).cast("string"), 2, "0")
-        return _let(permuted(F.substring(m, 5, 32), 10, "iban", key), lambda p: F.concat(country, check(p), p))
+        account = F.substring(F.replace(m, F.lit(" "), F.lit("")), 5, 30)
+        letters = F.lower(F.regexp_replace(account, "[^A-Z]", ""))
+        swapped = F.upper(F.translate(permuted(F.translate(letters, _LETTERS, _AS_DIGITS), 26, "iban", key), _AS_DIGITS, _LETTERS))
+        digits = permuted(_digits(account), 10, "iban", key)
+        whole = _let(_refilled(_refilled(account, "A-Z", swapped), "0-9", digits), lambda p: F.concat(country, check(p), p))
+        return _refilled(m, "A-Z0-9", whole)
 
     def phone(m: Column) -> Column:
         code = F.regexp_extract(m, r"^(\+[0-9]{1,3}(?![0-9]))?", 0)
@@ -140,9 +161,12 @@ def _pseudonyms(key: str) -> dict:
         return _let(new, lambda n: F.concat_ws(".", *[F.shiftright(n, s).bitwiseAND(255) for s in (24, 16, 8, 0)]))
 
     def date(m: Column) -> Column:
-        new = F.date_add(F.lit("1900-01-01").cast("date"), feistel(_day(m).cast("long"), F.lit(_HALF), F.lit(_HALF), F.lit("date"), key).cast("int"))
-        form = lambda d, f: F.date_format(d, f)
-        return _let(new, lambda d: F.when(m.rlike("^[0-9]{4}-"), form(d, "yyyy-MM-dd")).when(m.contains("."), form(d, "dd.MM.yyyy")).otherwise(form(d, "MM/dd/yyyy")))
+        moved = lambda n: feistel(n, F.lit(_HALF), F.lit(_HALF), F.lit("date"), key)
+        on = lambda n: F.date_add(F.lit("1900-01-01").cast("date"), n.cast("int"))
+        form = lambda n, f: F.date_format(on(n), f)
+        again = lambda n: F.aggregate(F.sequence(F.lit(1), F.lit(64)), n, lambda x, _: F.when(F.dayofmonth(on(x)) > 12, x).otherwise(moved(x)))
+        day_first = m.contains("/") & _month_first(m).isNull()  # moved on until the day is above 12 again, so that it reads the same way
+        return _let(moved(_day(m).cast("long")), lambda n: F.when(m.rlike("^[0-9]{4}-"), form(n, "yyyy-MM-dd")).when(m.contains("."), form(n, "dd.MM.yyyy")).when(day_first, _let(again(n), lambda x: form(x, "dd/MM/yyyy"))).otherwise(form(n, "MM/dd/yyyy")))
 
     def email(m: Column) -> Column:
         name = F.substring_index(m, "@", 1)

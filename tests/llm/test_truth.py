@@ -220,3 +220,26 @@ def test_pseudonyms_permute(spark):
     assert sorted(new) == [f"{i:03d}" for i in range(1000)] and new != sorted(new)
     days = spark.range(72_900).select(private.feistel(F.col("id"), F.lit(270), F.lit(270), F.lit("d"), "k").alias("y"))
     assert days.distinct().count() == 72_900 and days.selectExpr("max(y)").first()[0] == 72_899
+
+
+@pytest.mark.parametrize("kind, value", [
+    ("iban", "GB82WEST12345698765432"), ("iban", "DE89 3704 0044 0532 0130 00"), ("iban", "GB82 WEST 1234 5698 7654 32"), ("iban", "BE68 5390 0754 7034"),
+    ("iban", "DE89370400440532013000"), ("card", "3782 822463 10005"), ("card", "3782-822463-10005"), ("date", "25/03/1985"), ("date", "03/25/1985"),
+])
+def test_forms_of_personal_data(spark, kind, value):
+    """Each form is found among words and numbers, keeps its form and its check, and an invalid one stays."""
+    df = spark.createDataFrame([(1, f"see {value} 2024 there"), (2, f"see {value[:-1]}{(int(value[-1]) + 1) % 10} there")], "doc_id long, text string")
+    got = {r.id: r for r in private.pseudonymised(df).collect()}
+    new = got[1].text.removeprefix("see ").removesuffix(" 2024 there")
+    assert got[1][f"n_{kind}"] == 1 and new != value
+    assert [c if c in " -/" else c.isdigit() for c in new] == [c if c in " -/" else c.isdigit() for c in value]
+    if kind == "iban":
+        compact = new.replace(" ", "")
+        assert new[:2] == value[:2] and int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1
+    if kind == "card":
+        digits = [int(c) for c in reversed(new) if c.isdigit()]
+        assert sum(digits[::2] + [sum(divmod(2 * d, 10)) for d in digits[1::2]]) % 10 == 0
+    if value == "25/03/1985":
+        assert 12 < int(new[:2]) <= 31 and 1 <= int(new[3:5]) <= 12
+    if kind != "date":
+        assert got[2].text == df.collect()[1].text

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,14 @@ BLANKS = r"[\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; set only where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; set only where it is unset, and only for a
+    local master, whose executors share any folder."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where:
         set_already = sc._jsc.sc().getCheckpointDir()
+        if set_already.isEmpty() and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = set_already.get() if set_already.isDefined() else "/tmp/checkpoints"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(where)
@@ -31,6 +35,14 @@ def saved(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Deletes the files of a saved table that nothing will read again."""
+    jvm = df.sparkSession._jvm
+    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def words(text) -> F.Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text, in order; an empty array for null."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
@@ -54,8 +66,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(low, "n").where("x > n").select(F.col("m").alias("r"), F.col("x").alias("n")).distinct()
         low = large.groupBy("n").agg(F.min("r").alias("m"))
         small = large.join(low, "n").where("r <> m").select(F.col("m").alias("r"), F.col("r").alias("n"))
-        now = saved(small.union(low.select("m", "n")).where("r <> n").distinct())
-        state = now.agg(F.count("*").alias("k"), F.sum(F.xxhash64("n", "r").cast("decimal(38,0)")).alias("s")).first()
+        before, now = now, saved(small.union(low.select("m", "n")).where("r <> n").distinct())
+        dropped(before)
+        state = now.agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("n", "r")).alias("s")).first()
         if state == seen or state["k"] == 0:
             return now.select(F.col("n").alias("node"), F.col("r").alias("component")).union(now.select("r", "r").distinct())
         seen = state

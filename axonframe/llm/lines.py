@@ -1,28 +1,32 @@
 """Fuzzy line dedup by MinHash, in DataFrame and SQL operations only.
 
-Lines are known by 128 bits of hash. Their shingles are runs of eight characters (the whole line if it is shorter).
-Twenty-one minima of the shingles' hashes, three to a band, make seven bands; lines with equal bands meet in a
-bucket. Exact Jaccard similarity confirms links: first each line with the bucket head that it shares most bands with, then
-with other heads that it is still apart from, last all lines of a bucket that are still apart, block against block within an
-expression, from which only links come out. One line of each component stays: the first by document id and line number.
+Lines are known by 128 bits of hash. Their shingles are runs of eight characters (code points; the whole line if it is
+shorter). One permutation deals a line's shingle hashes into 32 bins and keeps each bin's least; three bins make a band,
+ten bands a line's keys. A band without shingles has no key, so a line of few shingles meets every line that differs from
+it in fewer places than it has bands. Exact Jaccard similarity confirms links: first each line of a bucket with the
+bucket's head; in buckets whose other lines are still apart, those outside the largest component with one of its lines;
+then, where lines are apart even so, those outside with all others, compared within the join's condition, from which only
+links come out. One line of each component stays: the first
+by document id and line number.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import components, saved
 
 SHINGLE = 8
-BANDS, ROWS = 7, 3
-#: Lines of a bucket that are compared in one row, at most about twice as many.
-BLOCK = 3072
+#: Bits of a shingle's hash that name its bin, and what bins are used: BANDS * ROWS of 2 ** BIN_BITS.
+BIN_BITS = 5
+BANDS, ROWS = 10, 3
+#: Hashes of a bin that are kept on average in long lines, and places at a line's start whose hashes always are.
+KEPT, FIRST = 4, 32
+#: Lines of a bucket that one task compares with others at a time.
+BLOCK = 1024
 #: Lines link from this Jaccard similarity of their shingle sets, in hundredths.
 PERCENT = 80
-#: What a shingle's hash is combined with by exclusive or: the least value belongs to the shingle nearest to the constant.
-_NEAR = [(0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64) >> 33 for k in range(BANDS * ROWS)]
 
 
 def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -35,101 +39,108 @@ def _named(lines: DataFrame) -> DataFrame:
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
-def _starts(u: str) -> str:
-    """Where shingles start in a line's UTF-16 bytes."""
-    return f"sequence(1, greatest(1, octet_length({u}) - {2 * SHINGLE - 1}), 2)"
-
-
 def _banded(lines: DataFrame) -> DataFrame:
-    """(key, h1, h2): a row for each band of each distinct line. Exploded shingles and minima run as one compiled loop."""
-    wide = _named(lines).select("h1", "h2", F.encode("line", "UTF-16BE").alias("u"))
+    """(key, h1, h2): a row for each band of each distinct line. Shingles are exploded, hashed and dealt in one compiled loop.
+
+    In a long line only hashes low enough to be a bin's least go on, KEPT of a bin on average, and those of the first
+    places, for lines that repeat themselves: a bin's least is the same whatever else is left out.
+    """
+    wide = _named(lines).select("h1", "h2", F.encode("line", "UTF-32").alias("u"))
     each = wide.select("h1", "h2", "u", F.explode(F.expr(_starts("u"))).alias("at"))
-    hashed = each.select("h1", "h2", F.expr(f"cast(shiftrightunsigned(xxhash64(substring(u, at, {2 * SHINGLE})), 33) as int)").alias("x"))
-    found = hashed.groupBy("h1", "h2").agg(*[F.min(F.col("x").bitwiseXOR(F.lit(c))).alias(f"m{k}") for k, c in enumerate(_NEAR)])
-    keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return found.select(F.explode(F.array(*keys)).alias("key"), "h1", "h2")
+    hashed = each.select("h1", "h2", "u", "at", F.expr(f"xxhash64(substring(u, at, {4 * SHINGLE}))").alias("x"))
+    low = F.col("x").bitwiseAND(F.lit((1 << 31) - 1))
+    bin_ = F.shiftrightunsigned("x", 64 - BIN_BITS).cast("int")
+    dealt = hashed.select("h1", "h2", "u", "at", bin_.alias("bin"), low.alias("v"))
+    dealt = dealt.where(f"(at <= {4 * FIRST} or v * octet_length(u) < {KEPT << BIN_BITS + 2}L << 31) and bin < {BANDS * ROWS}")
+    dealt = dealt.select("h1", "h2", F.expr(f"cast(bin div {ROWS} as int)").alias("band"), (F.col("bin") % ROWS).alias("row"), F.col("v").cast("int").alias("v"))
+    found = dealt.groupBy("h1", "h2", "band").agg(*[F.min(F.when(F.col("row") == r, F.col("v"))).alias(f"m{r}") for r in range(ROWS)])
+    return found.select(F.xxhash64("band", *[F.coalesce(f"m{r}", F.lit(0)) for r in range(ROWS)]).alias("key"), "h1", "h2")
 
 
-def _shingle_set(text: str) -> Column:
-    parts = f"transform(array(encode({text}, 'UTF-16BE')), u -> array_distinct(transform({_starts('u')}, i -> xxhash64(substring(u, i, {2 * SHINGLE})))))[0]"
-    return F.expr(parts)
+def _starts(u: str) -> str:
+    """Where shingles start in a line's UTF-32 bytes."""
+    return f"sequence(1, greatest(1, octet_length({u}) - {4 * SHINGLE - 1}), 4)"
+
+
+def _shingles(text: str) -> Column:
+    """The hashes of a line's shingles, in order, repeated ones too."""
+    return F.expr(f"transform(array(encode({text}, 'UTF-32')), u -> transform({_starts('u')}, i -> xxhash64(substring(u, i, {4 * SHINGLE}))))[0]")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of line names whose exact similarity is percent or more."""
-    side = lambda x: texts.select(F.col("name").alias(x), F.col("line").alias(f"t_{x}"))
-    sets = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _shingle_set("t_a").alias("x"), _shingle_set("t_b").alias("y"))
-    sizes = saved(sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), (F.size("x") + F.size("y")).alias("n")))
-    return sizes.where(f"100L * i >= {percent}L * (n - i)").select("a", "b")
+    """The pairs (a, b) of line ids whose exact similarity is percent or more."""
+    side = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"t_{x}"))
+    sets = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _shingles("t_a").alias("x"), _shingles("t_b").alias("y"))
+    sizes = saved(sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), F.size(F.array_union("x", "y")).alias("n")))
+    return sizes.where(f"100L * i >= {percent}L * n").select("a", "b")
 
 
-def _labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows (…, name) with `component`: the name's component by the links, or the name itself."""
-    labels = components(links).select(F.col("node").alias("name"), "component")
-    return rows.join(labels, "name", "left").withColumn("component", F.coalesce("component", "name"))
+def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, id, component, size, main): the lines, but the heads, of buckets that hold several components, and the largest of these; met (key, id, head)."""
+    own = met.where("id <> head").join(labels.select(F.col("node").alias("id"), "component"), "id", "left")
+    own = own.select("key", "id", F.coalesce("component", "id").alias("component"))
+    counted = own.groupBy("key", "component").agg(F.count("*").alias("c"))
+    parted = counted.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("size"), F.max_by("component", "c").alias("main")).where("k > 1").drop("k")
+    return saved(own.join(parted, "key"))
 
 
-def _of_blocks(mixed: DataFrame, met: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) to confirm of lines of a bucket in different components: mixed (key, name, component, size).
+def _compared(mixed: DataFrame, met: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) to confirm of lines of a bucket in different components.
 
-    Blocks of a bucket are compared each with each, in the bucket of the least key that two lines share.
+    Lines outside their bucket's largest component are dealt into blocks, and each block meets the whole bucket. Sets are
+    compared within the condition of the join, a pair in the least key that it shares: first a quarter of their 31-bit
+    hashes, with four deviations to spare, then all, a hundredth below the similarity.
     """
-    names = mixed.select("name").distinct()
-    keys = met.join(names, "name", "left_semi").groupBy("name").agg(F.collect_list("key").alias("keys"))
-    sets = texts.join(names, "name", "left_semi").select("name", F.transform(_shingle_set("line"), lambda x: F.shiftrightunsigned(x, 33).cast("int")).alias("s"))
-    cut = mixed.withColumn("k", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("name"), "k"))
-    cut = cut.join(keys, "name").join(sets, "name")
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    dealt = dealt.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    groups = dealt.groupBy("key", "lo", "hi").agg(F.collect_list(F.struct("own", "name", "component", "keys", "s")).alias("m"))
-    near = f"""transform(array(size(array_intersect(a.s, b.s))), i -> 100L * i >= {percent - 1}L * (size(a.s) + size(b.s) - i))[0]"""
-    pair = f"""((lo = hi and j > i) or (lo <> hi and a.own = lo and b.own = hi)) and a.component <> b.component
-        and 100L * least(size(a.s), size(b.s)) >= {percent}L * greatest(size(a.s), size(b.s))
-        and key = array_min(array_intersect(a.keys, b.keys)) and {near}"""
-    found = f"flatten(transform(m, (a, i) -> transform(filter(m, (b, j) -> {pair}), b -> struct(least(a.name, b.name) as a, greatest(a.name, b.name) as b))))"
-    return groups.select(F.explode(F.expr(found)).alias("p")).select("p.a", "p.b")
-
-
-def fuzzy_links(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) between names, struct(h1, h2), of lines (line) whose similarity is percent or more, found as the module says."""
-    bands = saved(_banded(lines).select("key", F.struct("h1", "h2").alias("name")))
-    shared = bands.groupBy("key").agg(F.min("name.h1").alias("low"), F.max("name.h1").alias("high")).where("low <> high").select("key", "low")
-    met = saved(bands.join(shared, "key"))
-    heads = met.where("name.h1 = low").groupBy("key").agg(F.min("name.h1").alias("h1"), F.min("name.h2").alias("h2"))
-    stars = met.join(heads.select("key", F.struct("h1", "h2").alias("head")), "key").where("head <> name")
-    stars = saved(stars.groupBy(F.col("head").alias("a"), F.col("name").alias("b")).agg(F.count("*").alias("c")))
-    needed = met.select("name.h1", "name.h2").distinct()
-    texts = _named(lines).join(needed, ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
-    texts = saved(texts.select(F.struct("h1", "h2").alias("name"), "line"))
-
-    best = stars.groupBy("b").agg(F.min(F.struct((-F.col("c")).alias("c"), "a")).alias("m")).select("m.a", "b")
-    best = saved(best)
-    links = _confirmed(best, texts, percent)
+    ids = mixed.select("id").distinct()
+    keys = met.join(ids, "id", "left_semi").groupBy("id").agg(F.collect_list("key").alias("keys"))  # BANDS at most
+    sets = texts.join(keys, "id").select("id", "keys", F.array_distinct(F.transform(_shingles("line"), lambda x: F.shiftrightunsigned(x, 33).cast("int"))).alias("s"))
+    sets = saved(sets.withColumn("t", F.filter("s", lambda x: x % 4 == 0)))
+    rows = mixed.join(sets, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    a = rows.where("component <> main").select("key", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "s", "t", "keys")])
+    b = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "component", "main", "s", "t", "keys")
+    p = percent / 100
+    apart = f"component_a <> component and (component = main or id_a < id) and 100L * least(size(s_a), size(s)) >= {percent - 1}L * greatest(size(s_a), size(s))"
+    once = "a.key = array_min(array_intersect(keys_a, keys))"
+    likely = f"{1 + p} * size(array_intersect(t_a, t)) >= {p} * (size(t_a) + size(t)) - {4 * (p * (1 - p)) ** 0.5} * sqrt(size(t_a) + size(t))"
+    near = f"{100 + percent - 1}L * size(array_intersect(s_a, s)) >= {percent - 1}L * (size(s_a) + size(s))"
+    found = a.alias("a").join(b.alias("b"), F.expr(f"a.key = b.key and a.block = b.block and {apart} and {once} and {likely} and {near}"))
+    return found.select(F.least("id_a", "id").alias("a"), F.greatest("id_a", "id").alias("b")).distinct()
+
+
+def fuzzy_components(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(h1, h2, component): the names of lines (line) that link with another, and a number for their component. Links are
+    found as the module says."""
+    keys = _banded(lines)
+    shared = keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1").select("key")
+    met = saved(keys.join(shared, "key"))
+    texts = _named(lines).join(met.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+    texts = saved(texts.withColumn("id", F.monotonically_increasing_id()))
+    met = met.join(texts.select("h1", "h2", "id"), ["h1", "h2"]).select("key", "id")
+    met = saved(met.join(met.groupBy("key").agg(F.min("id").alias("head")), "key"))
+    links = _confirmed(met.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), texts, percent)
+    mixed = _mixed(met, components(links))
+    pivots = mixed.where("component = main").groupBy("key").agg(F.max_by("id", F.xxhash64("id")).alias("a"))
+    pivots = mixed.where("component <> main").join(pivots, "key").select("a", F.col("id").alias("b")).distinct()
+    links = links.union(_confirmed(pivots, texts, percent))
     labels = components(links)
-    label = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-    rest = stars.select("a", "b").join(best, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left")
-    rest = rest.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-    links = links.union(_confirmed(rest, texts, percent))
-
-    own = _labelled(met.select("key", "name"), links)
-    counted = own.groupBy("key", "component").agg(F.count("*").alias("c"))
-    parted = counted.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("size")).where("k > 1").select("key", "size")
-    mixed = saved(own.join(parted, "key"))
-    return links.union(_confirmed(_of_blocks(mixed, met, texts, percent).distinct(), texts, percent))
+    more = _confirmed(_compared(_mixed(met, labels), met, texts, percent), texts, percent)
+    labels = labels if more.isEmpty() else components(links.union(more))
+    return texts.select("id", "h1", "h2").join(labels.withColumnRenamed("node", "id"), "id").select("h1", "h2", "component")
 
 
 def repeated_lines(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc, no, exact): the lines to drop; exact says that the line stays elsewhere letter by letter."""
     every = _lines(docs, id_column, text_column)
-    lines = saved(_named(every).select("doc", "no", F.struct("h1", "h2").alias("name")))
-    links = saved(fuzzy_links(every.select("line"), percent))
-    kinds = lines.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("doc", "no")).alias("first"))
-    linked = components(links).select(F.col("node").alias("name"), "component")
-    kinds = kinds.join(linked, "name", "left").where("n > 1 or component is not null")
-    kinds = saved(kinds.select("name", "first", F.coalesce("component", "name").alias("component")))
-    stays = kinds.groupBy("component").agg(F.min("first").alias("stays"))
-    judged = kinds.join(stays, "component").select("name", "stays", (F.col("first") == F.col("stays")).alias("exact"))
-    return lines.join(judged, "name").where(F.struct("doc", "no") != F.col("stays")).select("doc", "no", "exact").distinct()
+    lines = saved(_named(every).select("doc", "no", "h1", "h2"))
+    linked = saved(fuzzy_components(every.select("line"), percent))
+    again = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    # a group is a component of links, or else one name
+    group = [F.coalesce("component", F.lit(-1)).alias("c"), *[F.when(F.col("component").isNull(), F.col(h)).otherwise(0).alias(g) for h, g in (("h1", "g1"), ("h2", "g2"))]]
+    names = saved(again.join(linked, ["h1", "h2"], "full_outer").select("h1", "h2", *group))
+    kinds = saved(lines.join(names, ["h1", "h2"]).groupBy("h1", "h2", "c", "g1", "g2").agg(F.min(F.struct("doc", "no")).alias("first")))
+    stays = kinds.groupBy("c", "g1", "g2").agg(F.min("first").alias("stays"))
+    judged = kinds.join(stays, ["c", "g1", "g2"]).select("h1", "h2", "stays", (F.col("first") == F.col("stays")).alias("exact"))
+    return lines.join(judged, ["h1", "h2"]).where(F.struct("doc", "no") != F.col("stays")).select("doc", "no", "exact").distinct()
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -142,7 +153,7 @@ def dedup_lines(docs: DataFrame, percent: int = PERCENT, id_column: str = "doc_i
     """
     gone = repeated_lines(docs, percent, id_column, text_column)
     per_doc = gone.groupBy("doc").agg(F.collect_list("no").alias("gone"), F.count_if("exact").alias("n_exact"), F.count_if(~F.col("exact")).alias("n_fuzzy"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("doc"), F.col(text_column).alias("text")).join(per_doc, "doc", "left")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("doc")).join(per_doc, "doc", "left").withColumn("text", F.col("row")[text_column])
     kept = F.expr(r"array_join(transform(array(split(text, '\n')), s -> transform(array_except(sequence(0, size(s) - 1), gone), i -> s[i]))[0], '\n')")
     counted = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)

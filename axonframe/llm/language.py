@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Buckets of hashed byte n-grams (two and three bytes of UTF-8, A-Z lower-cased).
 BUCKETS = 4096
-#: Labelled rows that the model learns from, all languages together: the bound of the sample.
+#: Labelled rows that the model learns from, all languages together: the bound of the sample, but for LEAST_ROWS of each language.
 SAMPLE_ROWS = 2400
+LEAST_ROWS = 4
 #: Centroids per language.
 CENTROIDS = 4
 #: A text is rejected if its cosine is below this part of the lowest cosine of the centroid's own sample.
@@ -74,7 +77,9 @@ def _centroids(rows: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.n
 
 
 class LanguageModel:
-    """Languages, their centroids and rejection bounds, of bounded size; tasks get `parts()` by broadcast."""
+    """Languages, their centroids and rejection bounds, of bounded size; tasks get `parts()` by broadcast.
+
+    vectors holds a row of counts for each text, langs its language."""
 
     def __init__(self, vectors: np.ndarray, langs: list[str], seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -105,20 +110,26 @@ def _predict(model: dict, texts: list[bytes]) -> tuple[list[str], np.ndarray, np
     return [model["langs"][i] for i in best], score, score < model["bounds"][best] * few
 
 
+def _hash_of_id(column: str, modulus: int) -> Column:
+    """crc32 of an id as text modulo a number; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
 def _train_rows(docs: DataFrame) -> DataFrame:
-    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
-    return docs.select("doc_id", "text", "lang").where(~held & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    return docs.select("doc_id", "text", "lang").where((_hash_of_id("doc_id", 5) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
 
 
-def fit_language_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """A model from about sample_rows labelled rows whose crc32(doc_id) mod 5 is not 0, whole texts, the same share of
-    the bound for each language, chosen by hash. Their n-gram counts are taken in tasks; only these reach the driver."""
+def fit_language_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
+    """The parts of a model from about sample_rows labelled rows whose crc32(doc_id) mod 5 is not 0, whole texts, the same share
+    of the bound for each language, at least LEAST_ROWS, chosen by hash. Their n-gram counts are taken in tasks, the
+    sample is clustered in one, and only the model reaches the driver."""
     rows = _train_rows(docs)
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(sample_rows // 4).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row a language
+    nothing = LanguageModel(np.zeros((0, BUCKETS), np.float32), []).parts()
     if not sizes:
-        return LanguageModel(np.zeros((0, BUCKETS), np.float32), [])
-    each = max(4, sample_rows // len(sizes))
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, each / n)))])
+        return nothing
+    each = max(LEAST_ROWS, sample_rows // len(sizes))
+    share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(min(1.0, each / n)))])
     place = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     taken = rows.where(place < share[F.col("lang")])
 
@@ -127,15 +138,19 @@ def fit_language_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Langu
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 found = _counts([t.as_buffer().to_pybytes() for t in part["text"].cast(pa.binary())])
-                cells = [x.astype(np.float16).tobytes() for x in np.minimum(found, 60000)]
+                cells = [zlib.compress(x.tobytes(), 1) for x in found]
                 yield pa.RecordBatch.from_arrays([part["lang"].cast(pa.string()), pa.array(cells, pa.binary())], ["lang", "cells"])
 
-    got = taken.mapInArrow(count, "lang string, cells binary").orderBy("lang", "cells").collect()
-    vectors = np.stack([np.frombuffer(r["cells"], np.float16) for r in got]).astype(np.float32) if got else np.zeros((0, BUCKETS), np.float32)
-    return LanguageModel(vectors, [r["lang"] for r in got])
+    def fit(group: pa.Table) -> pa.Table:
+        got = sorted(zip(group["lang"].to_pylist(), group["cells"].to_pylist(), strict=True))
+        vectors = np.stack([np.frombuffer(zlib.decompress(x), np.float32) for _, x in got])
+        return pa.table({"model": pa.array([pickle.dumps(LanguageModel(vectors, [lang for lang, _ in got]).parts())], pa.binary())})
+
+    found = taken.mapInArrow(count, "lang string, cells binary").groupBy(F.lit(1)).applyInArrow(fit, "model binary").first()
+    return pickle.loads(found["model"]) if found else nothing
 
 
-def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: dict, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row (id, lang_pred, score, rejected) for each row of docs, over whole texts.
 
     lang_pred is the language of the nearest centroid, score its cosine (0 to 1), rejected whether it is
@@ -144,7 +159,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
     the first language by name; ids may be null; other columns are not read.
     """
     schema = T.StructType([T.StructField("id", docs.schema[id_column].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    handed = docs.sparkSession.sparkContext.broadcast(model.parts())
+    handed = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,7 +180,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_column: str = "doc_id", t
     return rows.mapInArrow(run, schema)
 
 
-def drop_rejected(docs: DataFrame, model: LanguageModel) -> DataFrame:
+def drop_rejected(docs: DataFrame, model: dict) -> DataFrame:
     """The rows of docs, same columns, that `identify` does not reject."""
     judged = identify(docs.select(F.struct("*").alias("row"), F.col("text").alias("text")), model, "row", "text")
     return judged.where(~F.col("rejected")).select("id.*")
@@ -174,5 +189,4 @@ def drop_rejected(docs: DataFrame, model: LanguageModel) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs.select("doc_id", "text"), fit_language_model(docs))
-    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
-    return found.select(F.col("id").alias("doc_id"), held.alias("held_out"), "lang_pred", "score", "rejected")
+    return found.select(F.col("id").alias("doc_id"), (_hash_of_id("id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")

@@ -146,7 +146,7 @@ def fit_language_model(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict:
         vectors = np.stack([np.frombuffer(zlib.decompress(x), np.float32) for _, x in got])
         return pa.table({"model": pa.array([pickle.dumps(LanguageModel(vectors, [lang for lang, _ in got]).parts())], pa.binary())})
 
-    found = taken.mapInArrow(count, "lang string, cells binary").groupBy(F.lit(1)).applyInArrow(fit, "model binary").first()
+    found = taken.mapInArrow(count, "lang string, cells binary").withColumn("all", F.lit(True)).groupBy("all").applyInArrow(fit, "model binary").first()
     return pickle.loads(found["model"]) if found else nothing
 
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axonframe.operators.cluster import chosen_models, labelled, mixtures
+
 
 def merge(spikes: DataFrame, clusters: list[int], into: int) -> DataFrame:
     return spikes.withColumn("cluster", F.when(F.col("cluster").isin(clusters), into).otherwise(F.col("cluster")))
@@ -32,6 +34,55 @@ def relabel(spikes: DataFrame, labels: DataFrame, cluster: int) -> DataFrame:
     return found.withColumn("cluster", F.when(hit, F.col("cluster") * 10 + F.col("part")).otherwise(F.col("cluster"))).drop("part")
 
 
+def solution_clusters(labels: DataFrame, channel: str, solution: int, clusters: list[int] | None = None) -> DataFrame:
+    """The spikes that a stored solution (channel, solution, cluster, spike_id, …) puts into some clusters, or into any: what a
+    session activates. A solution that is not stored gives no rows."""
+    found = labels.where((F.col("channel") == channel) & (F.col("solution") == solution))
+    return found if clusters is None else found.where(F.col("cluster").isin(clusters))
+
+
+def split_by_mixture(spikes: DataFrame, cluster: int, columns: list[str], parts: int, restarts: int = 10) -> DataFrame:
+    """(spike_id, part): a proposed split of a cluster by the best converged mixture of so many components on its rows' columns.
+
+    Nothing is changed before `commit_split`; without a converged fit there are no rows."""
+    own = spikes.where(F.col("cluster") == cluster).withColumn("channel", F.lit("split"))
+    models = chosen_models(mixtures(own, "channel", columns, parts, parts, restarts))
+    found = labelled(own.drop("cluster"), models, columns)
+    return found.where("cluster is not null").select("spike_id", F.col("cluster").alias("part"))
+
+
+def commit_split(spikes: DataFrame, labels: DataFrame, cluster: int, parts: list[int]) -> DataFrame:
+    """The chosen parts of a proposed split as clusters of their own, the rest of the cluster gone; with no choice all stays."""
+    if not parts:
+        return spikes
+    found = relabel(spikes, labels, cluster)
+    chosen = [cluster * 10 + p for p in parts]
+    others = spikes.where(F.col("cluster") != cluster).select("spike_id")
+    return found.join(others, "spike_id", "left_semi").unionByName(found.join(others, "spike_id", "left_anti").where(F.col("cluster").isin(chosen)))
+
+
+def invalid_clusters(spikes: DataFrame, recordings: DataFrame) -> DataFrame:
+    """(cluster, no_rec, no_time, no_wave): clusters with spikes of recordings that the map lacks, or without time or waveform."""
+    known = recordings.select("rec", F.lit(True).alias("known"))
+    found = spikes.join(known, "rec", "left").groupBy("cluster").agg(
+        F.count_if(F.col("known").isNull()).alias("no_rec"), F.count_if(F.col("t").isNull()).alias("no_time"), F.count_if(F.coalesce(F.size("w"), F.lit(0)) <= 0).alias("no_wave")
+    )
+    return found.where("no_rec + no_time + no_wave > 0")
+
+
+def rerooted(recordings: DataFrame, paths: DataFrame) -> DataFrame:
+    """recordings (rec, path) with the path of paths (path) that ends in the same name, or their own if none does."""
+    base = lambda c: F.regexp_extract(c, r"([^/\\\\]+)[/\\\\]*$", 1)
+    new = paths.groupBy(base("path").alias("base")).agg(F.min("path").alias("new"))
+    found = recordings.withColumn("base", base("path")).join(new, "base", "left")
+    return found.select("rec", F.coalesce("new", "path").alias("path"))
+
+
+def detection_complete(status: DataFrame) -> DataFrame:
+    """(rec, complete): whether every channel of a recording is done; status (rec, channel, done), null for not."""
+    return status.groupBy("rec").agg(F.every(F.coalesce("done", F.lit(False))).alias("complete"))
+
+
 def equal_clusters(a: DataFrame, b: DataFrame, time: str = "t") -> DataFrame:
     """(equal): whether the clusters hold the same times as often. Counts are compared, so nothing is sorted as a whole."""
     both = a.select(time, F.lit(1).alias("s")).unionByName(b.select(time, F.lit(-1).alias("s")))
@@ -45,7 +96,7 @@ def missing(expected: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame
 
 def save_units(spikes: DataFrame, flags: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(units, rest): spikes of the clusters in flags (cluster, single, pyramidal, interneuron) with these columns, and the others."""
-    return spikes.join(F.broadcast(flags), "cluster"), spikes.join(F.broadcast(flags.select("cluster")), "cluster", "left_anti")
+    return spikes.join(flags, "cluster"), spikes.join(flags.select("cluster"), "cluster", "left_anti")
 
 
 @dataclass

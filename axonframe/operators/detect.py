@@ -67,7 +67,7 @@ def recording_cutoff(trace: DataFrame, fs: int, voltage: float, max_rate: float,
 def truncated(trace: DataFrame, cutoffs: DataFrame, fs: int, least_seconds: int = 60) -> DataFrame:
     """The samples before the channel's cutoff, of channels that last for least_seconds."""
     kept = cutoffs.where(F.col("cutoff") >= least_seconds).select("channel", "cutoff")
-    return trace.join(F.broadcast(kept), "channel").where(F.col("ix") < F.col("cutoff") * fs).select(*trace.columns)
+    return trace.join(kept, "channel").where(F.col("ix") < F.col("cutoff") * fs).select(*trace.columns)
 
 
 def voltage_per_second(trace: DataFrame, fs: int) -> DataFrame:
@@ -77,7 +77,7 @@ def voltage_per_second(trace: DataFrame, fs: int) -> DataFrame:
 def without_artifacts(trace: DataFrame, deviations: float = 10.0) -> DataFrame:
     """Samples whose magnitude is below so many standard deviations of the channel."""
     spread = trace.groupBy("channel").agg(F.stddev_pop("v").alias("sd"))
-    return trace.join(F.broadcast(spread), "channel").where(F.abs("v") < deviations * F.col("sd")).select(*trace.columns)
+    return trace.join(spread, "channel").where(F.abs("v") < deviations * F.col("sd")).select(*trace.columns)
 
 
 def bandpass(trace: DataFrame, fs: float, low: float, high: float, taps: int = 101) -> DataFrame:

@@ -4,30 +4,52 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def cluster_models(rows: DataFrame, columns: list[str], cluster: str = "cluster") -> DataFrame:
-    """(cluster, n, mean_<c>, inv_<c>_<d>): means and the inverse of the sample covariance, by cofactors, of two or three columns."""
+    """(cluster, n, mean_<c>, inv_<c>_<d>): means and the inverse of the sample covariance, of any number of columns.
+
+    Sums come from one aggregate; the small matrices, one row a cluster, are inverted in Arrow batches. Inverses are null
+    where the covariance has none."""
     k = len(columns)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    stats = [F.avg(c).alias(f"mean_{c}") for c in columns] + [F.covar_samp(columns[i], columns[j]).alias(f"s{i}{j}") for i, j in pairs]
+    stats = [F.avg(c).alias(f"mean_{c}") for c in columns] + [F.covar_samp(columns[i], columns[j]).alias(f"s{i}_{j}") for i, j in pairs]
     m = rows.groupBy(cluster).agg(F.count("*").alias("n"), *stats)
-    s = lambda i, j: F.col(f"s{min(i, j)}{max(i, j)}")
-    if k == 2:
-        cof = {(0, 0): s(1, 1), (0, 1): -s(0, 1), (1, 1): s(0, 0)}
-        det = s(0, 0) * s(1, 1) - s(0, 1) * s(0, 1)
-    elif k == 3:
-        rest = lambda i: [x for x in range(3) if x != i]
-        minor = lambda i, j: s(rest(i)[0], rest(j)[0]) * s(rest(i)[1], rest(j)[1]) - s(rest(i)[0], rest(j)[1]) * s(rest(i)[1], rest(j)[0])
-        cof = {(i, j): minor(i, j) * (-1) ** (i + j) for i, j in pairs}
-        det = s(0, 0) * minor(0, 0) - s(0, 1) * minor(0, 1) + s(0, 2) * minor(0, 2)
-    else:
-        raise ValueError("two or three columns")
-    inverse = [(v / F.nullif(det, F.lit(0.0))).alias(f"inv_{columns[i]}_{columns[j]}") for (i, j), v in cof.items()]
-    return m.select(cluster, "n", *[f"mean_{c}" for c in columns], *inverse)
+    cov = F.array(*[F.array(*[F.col(f"s{min(i, j)}_{max(i, j)}") for j in range(k)]) for i in range(k)])
+    return inverted(m.select(cluster, "n", F.array(*[f"mean_{c}" for c in columns]).alias("mean"), cov.alias("cov")), columns)
+
+
+def inverted(models: DataFrame, columns: list[str]) -> DataFrame:
+    """(…, mean_<c>, inv_<c>_<d>) of models (…, mean, cov): the inverse's upper half, null if the covariance is singular."""
+    k = len(columns)
+    keys = [c for c in models.columns if c not in ("mean", "cov")]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+
+    def run(batches):
+        for batch in batches:
+            flat = []
+            for cov in batch["cov"]:
+                a = np.array([[np.nan if v is None else v for v in row] for row in cov], float)
+                scale = np.sqrt(np.abs(np.diag(a))) if np.isfinite(a).all() else np.zeros(k)
+                sound = (scale > 0).all() and np.linalg.cond(unit := a / np.outer(scale, scale)) < 1e12
+                inverse = np.linalg.inv(unit) / np.outer(scale, scale) if sound else None
+                flat.append(None if inverse is None else [float(inverse[i, j]) for i, j in pairs])
+            yield batch[keys].assign(mean=batch["mean"], inverse=flat)
+
+    schema = T.StructType([*[models.schema[c] for c in keys], T.StructField("mean", T.ArrayType(T.DoubleType())), T.StructField("inverse", T.ArrayType(T.DoubleType()))])
+    found = models.mapInPandas(run, schema)
+    means = [F.get("mean", F.lit(i)).alias(f"mean_{c}") for i, c in enumerate(columns)]
+    return found.select(*keys, *means, *[F.get("inverse", F.lit(x)).alias(f"inv_{columns[i]}_{columns[j]}") for x, (i, j) in enumerate(pairs)])
+
+
+def component_models(models: DataFrame, columns: list[str]) -> DataFrame:
+    """(channel, component, mean_<c>, inv_<c>_<d>): every component of fitted mixtures (channel, means, covs) as `mahalanobis` takes it."""
+    each = models.select("channel", F.posexplode(F.arrays_zip("means", "covs")).alias("component", "m"))
+    return inverted(each.select("channel", "component", F.col("m.means").alias("mean"), F.col("m.covs").alias("cov")), columns)
 
 
 def squared_distance(columns: list[str]) -> Column:
@@ -40,53 +62,68 @@ def squared_distance(columns: list[str]) -> Column:
     return out
 
 
-def mahalanobis(rows: DataFrame, columns: list[str], cluster: str = "cluster") -> DataFrame:
-    """Every row against every cluster's model: rows with `component` and `distance`. The models, one row a cluster, are broadcast."""
-    models = cluster_models(rows.where(F.col(cluster).isNotNull()), columns, cluster).withColumnRenamed(cluster, "component").drop("n")
-    return rows.crossJoin(F.broadcast(models)).withColumn("distance", F.sqrt(squared_distance(columns))).select(*rows.columns, "component", "distance")
+def with_each(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """Each row with each of the models, one a cluster: these travel as one row that holds them all, and rows do not move."""
+    listed = models.agg(F.collect_list(F.struct(*models.columns)).alias("_models"))
+    return rows.crossJoin(listed).withColumn("_m", F.explode("_models")).select(*rows.columns, "_m.*")
+
+
+def mahalanobis(rows: DataFrame, columns: list[str], cluster: str = "cluster", models: DataFrame | None = None) -> DataFrame:
+    """Every row against every cluster's model: rows with `component` and `distance`.
+
+    Models are the clusters' sample moments or, if given, those of a fit (component, mean_<c>, inv_<c>_<d>, and `channel`
+    where rows have it too: then rows meet the components of their own channel)."""
+    if models is None:
+        models = cluster_models(rows.where(F.col(cluster).isNotNull()), columns, cluster).withColumnRenamed(cluster, "component").drop("n")
+    met = rows.join(models, "channel") if "channel" in models.columns else with_each(rows, models)
+    return met.withColumn("distance", F.sqrt(squared_distance(columns))).select(*rows.columns, "component", "distance")
 
 
 def equal_bins(values: DataFrame, keys: list[str], value: str, bins: int = 10) -> DataFrame:
     """(keys, bin, n): equal bins between a key's least and greatest value, the last closed; empty bins are not listed."""
     ends = values.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     ix = F.least(F.floor((F.col(value) - F.col("lo")) / F.nullif((F.col("hi") - F.col("lo")) / bins, F.lit(0.0))), F.lit(bins - 1))
-    return values.join(F.broadcast(ends), keys).groupBy(*keys, F.coalesce(ix, F.lit(0)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
-
-
-def chi2_sf(x: Column, df: int) -> Column:
-    """The chance that a chi-squared of an even number of degrees of freedom exceeds x."""
-    if df % 2:
-        raise ValueError("an even number of degrees of freedom; chi2_sf_odd has the others")
-    terms = sum((F.pow(x / 2, F.lit(j)) / math.factorial(j) for j in range(df // 2)), F.lit(0.0))
-    return F.exp(-x / 2) * terms
+    return values.join(ends, keys).groupBy(*keys, F.coalesce(ix, F.lit(0)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def chi2_sf_odd(x: Column, df: int) -> Column:
-    """The same for odd degrees of freedom, by math.erfc in an Arrow batch: Spark SQL has no error function."""
+#: Chebyshev coefficients of erfc, relative error 1.2e-7 everywhere (Numerical Recipes, 6.2): fixed values.
+_ERFC = [-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277]
 
-    @F.pandas_udf("double")
-    def tail(v: pd.Series) -> pd.Series:
-        def one(y: float) -> float:
-            term, total = math.sqrt(y / 2) / math.gamma(1.5), 0.0
-            for j in range((df - 1) // 2):
-                total += term
-                term *= (y / 2) / (j + 1.5)
-            return math.erfc(math.sqrt(y / 2)) + math.exp(-y / 2) * total
 
-        return v.map(one)
+def erfc(x: Column) -> Column:
+    """The complementary error function of numbers that are not negative."""
+    t = 1 / (1 + 0.5 * x)
+    power = F.lit(_ERFC[-1])
+    for c in _ERFC[-2::-1]:
+        power = power * t + c
+    return t * F.exp(power - x * x)
 
-    return tail(x)
 
-
-def l_ratios(rows: DataFrame, columns: list[str], cluster: str = "cluster") -> DataFrame:
-    """(cluster, n, l_ratio): the summed chance that each row outside of the cluster lies as far from it, by the cluster's rows.
-
-    Rejected rows (-1) count as outside of all clusters and are no cluster."""
-    models = cluster_models(rows.where(F.col(cluster) >= 0), columns, cluster).withColumnRenamed(cluster, "component")
-    sf = chi2_sf if len(columns) % 2 == 0 else chi2_sf_odd
-    outside = rows.join(F.broadcast(models), F.col(cluster) != F.col("component"))
-    sums = outside.groupBy("component").agg(F.sum(sf(squared_distance(columns), len(columns))).alias("s"))
-    return models.select("component", "n").join(sums, "component", "left").select(F.col("component").alias(cluster), "n", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("l_ratio"))
+def chi2_sf(x: Column, df: int) -> Column:
+    """The chance that a chi-squared of df degrees of freedom exceeds x, in closed form: a finite sum, with erfc for odd df."""
+    if df % 2 == 0:
+        return F.exp(-x / 2) * sum((F.pow(x / 2, F.lit(j)) / math.factorial(j) for j in range(df // 2)), F.lit(0.0))
+    terms = sum((F.pow(x / 2, F.lit(j + 0.5)) / math.gamma(j + 1.5) for j in range((df - 1) // 2)), F.lit(0.0))
+    return erfc(F.sqrt(x / 2)) + F.exp(-x / 2) * terms
+
+
+def l_ratios(rows: DataFrame, columns: list[str], cluster: str = "cluster", keys: list[str] | None = None) -> DataFrame:
+    """(keys, cluster, n, l_ratio): the summed chance that each row outside of the cluster lies as far from it, by the cluster's rows.
+
+    Rejected rows (-1) count as outside of all clusters and are no cluster. With keys, say a channel and a solution, the
+    clusters of each are apart; a cluster whose covariance has no inverse gets a null ratio."""
+    keys = keys or []
+    named = rows.withColumn("_of", F.struct(*keys, cluster))
+    models = cluster_models(named.where(F.col(cluster) >= 0), columns, "_of").withColumnRenamed("_of", "_model")
+    met = with_each(named, models)
+    if keys:
+        same = [F.col(key).eqNullSafe(F.col(f"_model.{key}")) for key in keys]
+        met = named.join(models, same)
+    outside = met.where(F.col(cluster) != F.col(f"_model.{cluster}"))
+    sums = outside.groupBy("_model").agg(F.sum(chi2_sf(squared_distance(columns), len(columns))).alias("s"), F.count("*").alias("m"))
+    found = models.select("_model", "n", F.col(f"inv_{columns[0]}_{columns[0]}").alias("inv")).join(sums, "_model", "left")
+    ratio = F.when(F.col("inv").isNotNull(), F.coalesce("s", F.lit(0.0)) / F.col("n"))
+    return found.select(*[F.col(f"_model.{c}").alias(c) for c in [*keys, cluster]], "n", ratio.alias("l_ratio"))
 
 
 def severity(v1_pct: Column, l_ratio: Column, cutoff: float = 0.1) -> Column:
@@ -99,15 +136,24 @@ def isolated(v1_pct: Column, l_ratio: Column) -> Column:
     return (v1_pct <= 0.5) & (l_ratio <= 0.1)
 
 
-def without_outliers(rows: DataFrame, value: str, times: float = 3.0, cluster: str = "cluster") -> DataFrame:
+def without_outliers(rows: DataFrame, value: str, times: float = 3.0, cluster: str = "cluster", keys: list[str] | None = None) -> DataFrame:
     """rows with `kept_cluster`: -1 where the value is at or below the cluster's mean less `times` its population deviation.
 
-    The deviation and mean come from an aggregate that is joined back, not from a window, so a large cluster is not one task."""
-    stats = rows.groupBy(cluster).agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("sd"))
-    out = rows.join(F.broadcast(stats), cluster)
+    With keys, say a channel, the clusters of each are apart. The deviation and mean come from an aggregate that is
+    joined back, not from a window, so a large cluster is not one task."""
+    of = [*(keys or []), cluster]
+    stats = rows.groupBy(*of).agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("sd"))
+    out = rows.join(stats, of)
     return out.withColumn("kept_cluster", F.when(F.col(value) <= F.col("m") - times * F.col("sd"), F.lit(-1)).otherwise(F.col(cluster))).drop("m", "sd")
 
 
+def compiled_report(quality: DataFrame, grid: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(report, missing): the quality rows (keys, cluster, n, v1_pct, v2_pct, l_ratio) of all solutions of all channels with
+    `isolated` and `severity`, and the rows of the grid (keys) that have none."""
+    report = quality.withColumn("isolated", isolated(F.col("v1_pct"), F.col("l_ratio"))).withColumn("severity", severity(F.col("v1_pct"), F.col("l_ratio")))
+    return report.join(grid.select(*keys).distinct(), keys, "left_semi"), grid.join(quality.select(*keys).distinct(), keys, "left_anti")
+
+
 def mean_waveforms(spikes: DataFrame, cluster: str = "cluster") -> DataFrame:
     """(cluster, pos, mean_v, sd_v, n) for each sample place."""
     return spikes.select(cluster, F.posexplode("w").alias("pos", "v")).groupBy(cluster, "pos").agg(F.avg("v").alias("mean_v"), F.stddev_pop("v").alias("sd_v"), F.count("*").alias("n"))
@@ -124,7 +170,7 @@ def waveform_density(spikes: DataFrame, height: int = 50, cluster: str = "cluste
 
     points = spikes.select(cluster, F.posexplode("w").alias("pos", "v")).where(~F.isnan("v"))
     ends = points.groupBy(cluster).agg(F.expr("percentile(v, array(0.05, 0.95))").alias("p")).select(cluster, F.expr("p[0]").alias("lo"), F.expr("p[1]").alias("hi"))
-    inside = points.join(F.broadcast(ends), cluster).where("v between lo and hi")
+    inside = points.join(ends, cluster).where("v between lo and hi")
     level = F.least(F.floor((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * height), F.lit(height - 1)).cast("int")
     cells = inside.groupBy(cluster, "pos", F.coalesce(level, F.lit(0)).alias("level")).agg(F.count("*").alias("n"))
     return cells.withColumn("shade", F.cume_dist().over(Window.partitionBy(cluster).orderBy("n")))

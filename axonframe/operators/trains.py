@@ -116,12 +116,12 @@ def smoothed(rates: DataFrame, keys: list[str], sigma: float = 3.0) -> DataFrame
 def zscored(rates: DataFrame, unit: str = "unit", trial: str = "trial") -> DataFrame:
     """Rates less the mean, by the population deviation, of the trials' mean rates at negative times."""
     base = rates.where("center < 0").groupBy(unit, trial).agg(F.avg("rate").alias("m")).groupBy(unit).agg(F.avg("m").alias("mean"), F.stddev_pop("m").alias("sd"))
-    return rates.join(F.broadcast(base), unit).select(unit, trial, "center", ((F.col("rate") - F.col("mean")) / F.nullif("sd", F.lit(0.0))).alias("z"))
+    return rates.join(base, unit).select(unit, trial, "center", ((F.col("rate") - F.col("mean")) / F.nullif("sd", F.lit(0.0))).alias("z"))
 
 
 def without_baseline(rates: DataFrame, unit: str = "unit") -> DataFrame:
     base = rates.where("center < 0").groupBy(unit).agg(F.avg("rate").alias("base"))
-    return rates.join(F.broadcast(base), unit).withColumn("rate", F.col("rate") - F.col("base")).drop("base")
+    return rates.join(base, unit).withColumn("rate", F.col("rate") - F.col("base")).drop("base")
 
 
 def mean_difference(rows: DataFrame, keys: list[str], value: str, is_b: Column) -> DataFrame:
@@ -144,7 +144,7 @@ def mann_whitney(rows: DataFrame, keys: list[str], value: str, is_b: Column) ->
         F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.col("a") * (F.col("b_below") + F.col("b") / 2.0)).alias("u"), F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties")
     )
     n = F.col("n_a") + F.col("n_b")
-    var = F.col("n_a") * F.col("n_b") / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1)))
+    var = F.col("n_a") * F.col("n_b") / 12.0 * ((n + 1) - F.coalesce(F.col("ties") / F.nullif(n * (n - 1), F.lit(0)), F.lit(0.0)))
     off = F.col("u") - F.col("n_a") * F.col("n_b") / 2.0
     return s.select(*keys, "n_a", "n_b", "u", F.when(var > 0, F.signum(off) * F.greatest(F.abs(off) - 0.5, F.lit(0.0)) / F.sqrt(var)).otherwise(F.lit(0.0)).alias("z"))
 
@@ -157,12 +157,49 @@ def two_sided_p(z: Column) -> Column:
     return F.least(F.lit(1.0), poly * F.exp(-x * x))
 
 
+def response_test(rows: DataFrame, keys: list[str], value: str, is_after: Column) -> DataFrame:
+    """(keys, n_before, n_after, mean_before, sem_before, mean_after, sem_after, delta, delta_sem, u, z, p): the rates before and
+    after an event, their difference, and the Mann-Whitney test of after against before.
+
+    Standard errors take the population deviation. Where a side is missing or all values are equal, p is 1 and u 0."""
+    before, after = F.when(~is_after, F.col(value)), F.when(is_after, F.col(value))
+    sides = rows.groupBy(*keys).agg(
+        F.count(before).alias("n_before"), F.count(after).alias("n_after"), F.avg(before).alias("mean_before"), (F.stddev_pop(before) / F.sqrt(F.count(before))).alias("sem_before"),
+        F.avg(after).alias("mean_after"), (F.stddev_pop(after) / F.sqrt(F.count(after))).alias("sem_after"), (F.min(value) == F.max(value)).alias("flat"),
+    )
+    delta = mean_difference(rows, keys, value, is_after).withColumnsRenamed({"difference": "delta", "sem": "delta_sem"})
+    test = mann_whitney(rows, keys, value, ~is_after).select(*keys, "u", "z")
+    none = F.col("flat") | (F.col("n_before") == 0) | (F.col("n_after") == 0)
+    out = sides.join(delta, keys).join(test, keys)
+    return out.select(*keys, "n_before", "n_after", "mean_before", "sem_before", "mean_after", "sem_after", "delta", "delta_sem", F.when(none, 0.0).otherwise(F.col("u")).alias("u"), F.when(none, 0.0).otherwise(F.col("z")).alias("z"), F.when(none, 1.0).otherwise(two_sided_p(F.col("z"))).alias("p"))
+
+
+def raster(spikes: DataFrame, recordings: DataFrame, units: str = "s") -> tuple[DataFrame, DataFrame]:
+    """(points, borders): each spike (rec, sample, unit) at its time over all recordings, and (rec, time) where recordings begin."""
+    per = F.lit(1.0) if units == "samples" else F.col("fs") / (1000.0 if units == "ms" else 1.0)
+    return unit_times(spikes, recordings, units).select("unit", "time"), recordings.select("rec", (F.col("offset") / per).alias("time"))
+
+
+def overlay_psth(rates: DataFrame, begin: float, end: float, sigma: float = 3.0, unit: str = "unit", trial: str = "trial") -> DataFrame:
+    """(unit, center, rate, sem): the mean over trials within [begin, end] and its standard error (ddof 1), smoothed over the centres."""
+    inside = rates.where(F.col("center").between(begin, end))
+    stats = inside.groupBy(unit, "center").agg(F.avg("rate").alias("rate"), (F.stddev_samp("rate") / F.sqrt(F.count("*"))).alias("sem"))
+    mean = smoothed(stats.select(unit, "center", "rate"), [unit], sigma)
+    return mean.join(stats.select(unit, "center", "sem"), [unit, "center"])
+
+
+def held_units(table: DataFrame, name: str = "name") -> DataFrame:
+    """(name, recording, unit): a wide table of held units (name and one column a recording) in long form, without empty cells."""
+    columns = [c for c in table.columns if c != name]
+    return table.unpivot([name], columns, "recording", "unit").where(F.col("unit").isNotNull())
+
+
 def unit_times(spikes: DataFrame, recordings: DataFrame, units: str = "samples") -> DataFrame:
     """spikes (rec, sample, …) with `time`: the sample plus the recording's offset, in samples, ms or s."""
     per = {"samples": F.lit(1.0), "ms": F.col("fs") / 1000.0, "s": F.col("fs")}
     if units not in per:
         raise ValueError(f"units are samples, ms or s, not {units}")
-    joined = spikes.join(F.broadcast(recordings), "rec")
+    joined = spikes.join(recordings, "rec")
     return joined.withColumn("time", (F.col("sample") + F.col("offset")) / per[units]).drop("fs", "offset")
 
 
@@ -176,5 +213,5 @@ def recording_offsets(spikes: DataFrame, recordings: DataFrame) -> DataFrame:
 def windows_over_time(spikes: DataFrame, keys: list[str], time: str, width: float, most: int = 10) -> DataFrame:
     """(keys, window, n, first_t, last_t): windows of `width` from a key's first spike; keys with more than `most` windows are left out."""
     first = spikes.groupBy(*keys).agg(F.min(time).alias("t0"), F.max(time).alias("t1")).where((F.col("t1") - F.col("t0")) / width < most)
-    cut = spikes.join(F.broadcast(first), keys).withColumn("window", F.floor((F.col(time) - F.col("t0")) / F.lit(width)).cast("int"))
+    cut = spikes.join(first, keys).withColumn("window", F.floor((F.col(time) - F.col("t0")) / F.lit(width)).cast("int"))
     return cut.groupBy(*keys, "window").agg(F.count("*").alias("n"), F.min(time).alias("first_t"), F.max(time).alias("last_t"))

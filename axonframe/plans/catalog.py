@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from axonframe.config import Settings
 from axonframe.functions import waveform as wf
 from axonframe.operators import cluster as cl
 from axonframe.operators import curate as cu
 from axonframe.operators import detect as de
 from axonframe.operators import quality as qu
+from axonframe.operators import sort as so
 from axonframe.operators import trains as tr
 from axonframe.sources import tables as src
 
@@ -129,7 +131,7 @@ def isi_violations(spark, sf):
 
 def _by_recording(spark, sf):
     t = tr.intervals(src.train(spark, sf).select("unit", "rec", "us"), ["unit", "rec"], "us", DAY)
-    return t.join(F.broadcast(src.recordings(spark, sf)), "rec").withColumn("ms", F.col("isi") / F.col("fs") / 1000.0)
+    return t.join(src.recordings(spark, sf), "rec").withColumn("ms", F.col("isi") / F.col("fs") / 1000.0)
 
 
 @query(f"""with {TRN}, {REC}, d as (select unit, train.rec, (us - lag(us) over (partition by unit, train.rec order by us)) / fs / 1000.0::double as ms from train join rec on rec.rec = train.rec)
@@ -265,11 +267,20 @@ def mann_whitney_u(spark, sf):
     return rounded(tr.mann_whitney(_centred(spark, sf), ["unit"], "rate", F.col("center") < 0).select("unit", F.col("n_b").alias("n_a"), F.col("n_a").alias("n_b"), "u", "z"), 4)
 
 
-@query()
+_SIDE = "case when center {} 0 then rate end"
+_TEST = SQL["mann_whitney_u"].rpartition("select unit, n_a::bigint")[0]
+
+
+@query(f"""{_TEST.rstrip()}, s2 as (select unit, count({_SIDE.format('<')}) as n_before, count({_SIDE.format('>=')}) as n_after, avg({_SIDE.format('<')}) as mean_before, avg({_SIDE.format('>=')}) as mean_after,
+stddev_pop({_SIDE.format('<')}) as sb, stddev_pop({_SIDE.format('>=')}) as sa from centred group by 1),
+z as (select unit, n_a::double * n_b - ub as u0, ub, -sign(n_a::double * n_b - ub - n_a * n_b / 2.0) * greatest(abs(n_a::double * n_b - ub - n_a * n_b / 2.0) - 0.5, 0) / sqrt(n_a * n_b / 12.0 * ((n_a + n_b + 1) - ties / ((n_a + n_b) * (n_a + n_b - 1)))) as z from u),
+e as (select unit, ub, z, 1 / (1 + 0.3275911 * abs(z) / sqrt(2)) as t from z)
+select s2.unit, n_before, n_after, round(mean_before, 4) as mean_before, round(sb / sqrt(n_before), 4) as sem_before, round(mean_after, 4) as mean_after, round(sa / sqrt(n_after), 4) as sem_after,
+round(mean_after - mean_before, 4) as delta, round(sqrt(sb * sb / n_before + sa * sa / n_after) / sqrt(n_before + n_after), 4) as delta_sem, round(ub, 4) as u, round(z, 4) as z,
+round(least(1.0, t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z / 2)), 4) as p from s2 join e on e.unit = s2.unit""")
 def response_test(spark, sf):
-    """The Mann-Whitney test with its two-sided p; SQL has no error function."""
-    t = tr.mann_whitney(_centred(spark, sf), ["unit"], "rate", F.col("center") >= 0)
-    return rounded(t.withColumn("p", tr.two_sided_p(F.col("z"))))
+    """Rates before and after, their difference, and the Mann-Whitney test with its two-sided p."""
+    return rounded(tr.response_test(_centred(spark, sf), ["unit"], "rate", F.col("center") >= 0), 4)
 
 
 @query(f"with {TRN}, {REC} select id, unit, (us % {DAY} + offs) / (fs / 1000.0::double) as time_ms, (us % {DAY} + offs) / fs as time_s from train join rec on rec.rec = train.rec")
@@ -361,7 +372,7 @@ def artifacts_removed(spark, sf):
 def outlier_channels(spark, sf):
     m = src.trace(spark, sf).groupBy("channel").agg((F.max(F.abs("v")) * F.stddev_samp("v")).alias("measure"))
     limit = m.agg((F.median("measure") + 1.5 * F.stddev_samp("measure")).alias("limit"))
-    return rounded(m.crossJoin(F.broadcast(limit)).select("channel", "measure", (F.col("measure") > F.col("limit")).alias("outlier")), 4)
+    return rounded(m.crossJoin(limit).select("channel", "measure", (F.col("measure") > F.col("limit")).alias("outlier")), 4)
 
 
 @query()
@@ -388,6 +399,58 @@ def l_ratio(spark, sf):
     return rounded(qu.l_ratios(with_shape(spark, sf), ["amplitude", "energy"]))
 
 
+_LI3 = """features as (select l_linenumber as cluster, l_quantity as x, l_extendedprice as y, l_discount as z from lineitem), m as (select cluster as component, count(*) as n, avg(x) mx, avg(y) my, avg(z) mz,
+covar_samp(x, x) xx, covar_samp(y, y) yy, covar_samp(z, z) zz, covar_samp(x, y) xy, covar_samp(x, z) xz, covar_samp(y, z) yz from features group by 1),
+inv as (select *, xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) as det from m),
+d as (select component, n, ((x - mx) * (x - mx) * (yy * zz - yz * yz) + (y - my) * (y - my) * (xx * zz - xz * xz) + (z - mz) * (z - mz) * (xx * yy - xy * xy)
++ 2 * (x - mx) * (y - my) * (xz * yz - xy * zz) + 2 * (x - mx) * (z - mz) * (xy * yz - xz * yy) + 2 * (y - my) * (z - mz) * (xy * xz - xx * yz)) / det as d2 from features join inv on cluster <> component),
+e as (select component, n, d2, sqrt(d2 / 2) as q, 1 / (1 + 0.5 * sqrt(d2 / 2)) as t from d)"""
+
+
+@query(f"""with {_LI3} select component as cluster, n, round(sum(t * exp(-q * q - 1.26551223 + t * (1.00002368 + t * (0.37409196 + t * (0.09678418 + t * (-0.18628806 + t * (0.27886807 + t * (-1.13520398 + t * (1.48851587 + t * (-0.82215223 + t * 0.17087277)))))))))
++ exp(-d2 / 2) * sqrt(d2 / 2) * 2 / sqrt(pi())) / n, 4) as l_ratio from e group by 1, 2""")
+def l_ratio_three(spark, sf):
+    """L-ratios by three columns, an odd number of degrees of freedom."""
+    f = src.table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("cluster"), *[F.col(c).alias(n) for c, n in (("l_quantity", "x"), ("l_extendedprice", "y"), ("l_discount", "z"))])
+    return rounded(qu.l_ratios(f, ["x", "y", "z"]), 4)
+
+
+_SOLVED = "lab as (select s.solution::int as solution, l_returnflag as channel, (l_partkey % s.solution)::int as cluster, l_quantity as x, l_extendedprice as y from lineitem cross join (select unnest(range(3, 6)) as solution) s)"
+
+
+@query(f"""with {_SOLVED}, m as (select channel as mc, solution as ms, cluster as c, count(*) as n, avg(x) mx, avg(y) my, var_samp(x) xx, var_samp(y) yy, covar_samp(x, y) xy from lab group by 1, 2, 3)
+select mc as channel, ms as solution, c as cluster, n, round(sum(exp(-((x - mx) * (x - mx) * yy - 2 * (x - mx) * (y - my) * xy + (y - my) * (y - my) * xx) / (xx * yy - xy * xy) / 2)) / n, 3) as l_ratio
+from lab join m on mc = channel and ms = solution and c <> cluster group by 1, 2, 3, 4""")
+def l_ratio_by_solution(spark, sf):
+    """L-ratios within each solution of each channel."""
+    f = src.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("channel"), "l_partkey", F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"))
+    f = f.withColumn("solution", F.explode(F.sequence(F.lit(3), F.lit(5)))).withColumn("cluster", (F.col("l_partkey") % F.col("solution")).cast("int"))
+    return rounded(qu.l_ratios(f, ["x", "y"], "cluster", ["channel", "solution"]), 3)
+
+
+_COMPILED = """q as (select l_returnflag as channel, l_linenumber as solution, (l_suppkey % 3)::int as cluster, count(*) as n, avg(l_discount) * 10 as v1_pct, avg(l_tax) * 20 as v2_pct, avg(l_tax) * 2.5 as l_ratio from lineitem where l_linenumber > 1 group by 1, 2, 3),
+grid as (select channel, solution::int as solution from (select distinct l_returnflag as channel from lineitem) cross join (select unnest(range(1, 9)) as solution))"""
+
+
+def _compiled(spark, sf):
+    li = src.table(spark, sf, "lineitem").withColumnsRenamed({"l_returnflag": "channel", "l_linenumber": "solution"})
+    q = li.where("solution > 1").groupBy("channel", "solution", (F.col("l_suppkey") % 3).cast("int").alias("cluster")).agg(F.count("*").alias("n"), (F.avg("l_discount") * 10).alias("v1_pct"), (F.avg("l_tax") * 20).alias("v2_pct"), (F.avg("l_tax") * 2.5).alias("l_ratio"))
+    grid = li.select("channel").distinct().withColumn("solution", F.explode(F.sequence(F.lit(1), F.lit(8))))
+    return qu.compiled_report(q, grid, ["channel", "solution"])
+
+
+@query(f"""with {_COMPILED} select channel, solution, cluster, n, round(v1_pct, 4) as v1_pct, round(v2_pct, 4) as v2_pct, round(l_ratio, 4) as l_ratio, v1_pct <= 0.5 and l_ratio <= 0.1 as isolated,
+case when v1_pct > 1 and l_ratio > 0.1 then 'red' when (v1_pct > 0.5 and l_ratio > 0.1) or v1_pct > 1 then 'orange' when v1_pct > 0.5 or l_ratio > 0.1 then 'yellow' end as severity from q""")
+def compiled_report(spark, sf):
+    """Quality of all solutions of all channels in one table."""
+    return rounded(_compiled(spark, sf)[0], 4)
+
+
+@query(f"with {_COMPILED} select channel, solution from grid where not exists (select 1 from q where q.channel = grid.channel and q.solution = grid.solution)")
+def missing_solutions(spark, sf):
+    return _compiled(spark, sf)[1]
+
+
 _ISO = f"""{AE}, {_COV2}, timed as (select cluster, epoch_us(ts) as t from spikes join events on event_id = spike_id),
 d as (select cluster, (t - lag(t) over (partition by cluster order by t)) / 3600e6 as ms from timed),
 v as (select cluster, count(*) as n_timed, count(case when ms < 1 then 1 end) as v1, count(case when ms < 2 then 1 end) as v2, count(case when ms < 1 then 1 end) * 100.0::double / count(*) as v1_pct, count(case when ms < 2 then 1 end) * 100.0::double / count(*) as v2_pct from d group by 1)"""
@@ -430,12 +493,12 @@ def amplitude_outliers(spark, sf):
 
 
 @query(f"""with {FEA}, g as (select s.solution, c.component from (select unnest(range(2, 8)) as solution) s join (select unnest(range(0, 7)) as component) c on component < solution),
-lab as (select s.solution, (l_partkey % s.solution)::bigint as component from lineitem cross join (select unnest(range(2, 8)) as solution) s where l_partkey % 50 < s.solution * 8), n as (select solution, component, count(*) as n from lab group by 1, 2)
+lab as (select s.solution, (l_partkey % s.solution)::bigint as component from lineitem cross join (select unnest(range(2, 8)) as solution) s), n as (select solution, component, count(*) as n from lab group by 1, 2)
 select g.solution::int as solution, not bool_or(coalesce(n, 0) <= 5) as valid from g left join n on n.solution = g.solution and n.component = g.component group by 1""")
 def cluster_sizes_valid(spark, sf):
     solutions = spark.range(2, 8).select(F.col("id").cast("int").alias("solution"))
     grid = solutions.withColumn("component", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("solution") - 1).cast("long"))))
-    rows = src.table(spark, sf, "lineitem").select("l_partkey").crossJoin(F.broadcast(solutions)).where("l_partkey % 50 < solution * 8")
+    rows = src.table(spark, sf, "lineitem").select("l_partkey").withColumn("solution", F.explode(F.sequence(F.lit(2), F.lit(7))))
     sizes = rows.groupBy("solution", (F.col("l_partkey") % F.col("solution")).alias("component")).agg(F.count("*").alias("n"))
     return cl.valid_solutions(grid.join(sizes, ["solution", "component"], "left"), 3)
 
@@ -467,7 +530,48 @@ def cluster_grid(spark, sf):
 def gmm_best(spark, sf):
     """The best mixture of each recording's spikes by BIC, over cluster counts and seeds, in grouped NumPy fits."""
     rows = with_shape(spark, sf).withColumn("slope", F.coalesce(wf.slope(F.col("w")), F.lit(0.0))).withColumn("channel", F.col("cluster") % 2)
-    return rounded(cl.best_fits(cl.mixtures(rows, "channel", ["amplitude", "energy", "slope"]), ["channel"]), 3)
+    return rounded(cl.chosen_models(cl.mixtures(rows, "channel", ["amplitude", "energy", "slope"])).select("channel", "seed", "bic"), 3)
+
+
+@query()
+def gmm_labels(spark, sf):
+    """Spikes by component of a mixture of three, one of each recording: labels by posterior and the rows of each."""
+    rows = with_shape(spark, sf).withColumn("channel", F.col("cluster") % 2)
+    models = cl.chosen_models(cl.mixtures(rows, "channel", ["amplitude", "energy"], 3, 3, 2))
+    return rounded(cl.labelled(rows.drop("cluster"), models, ["amplitude", "energy"]).select("channel", "spike_id", "cluster", "log_density"), 3)
+
+
+@query()
+def metric_table(spark, sf):
+    """The six columns that spikes are clustered by; components without sign."""
+    m = cl.metric_table(src.spikes(spark, sf))
+    return rounded(m.select("spike_id", "amplitude", "energy", "slope", *[F.abs(f"pc{i}").alias(f"pc{i}") for i in range(3)]), 4)
+
+
+@query(f"with {AE}, t as (select event_id, epoch_us(ts) as t, value as v from events) select spike_id, round(amplitude, 6) as amplitude, round(energy, 6) as energy, t, v from ae join t on event_id = spike_id")
+def feature_assembly(spark, sf):
+    shape = with_shape(spark, sf)
+    times = src.table(spark, sf, "events").select(F.col("event_id").alias("spike_id"), F.expr(src.MICROS).alias("t"), F.col("value").alias("v"))
+    return rounded(cl.assembled([shape.select("spike_id", "amplitude"), shape.select("spike_id", "energy"), times]))
+
+
+@query()
+def pooled_pca(spark, sf):
+    s = cl.pooled_components(src.spikes(spark, sf), [0, 1, 2], 2)
+    return rounded(s.select("cluster", "spike_id", *[F.abs(F.get("pcs", F.lit(i))).alias(f"pc{i}") for i in range(2)]), 4)
+
+
+@query(f"with {AE} select spike_id, cluster, round(amplitude, 6) as x, round(energy, 6) as y from ae where cluster >= 0")
+def feature_scatter(spark, sf):
+    return rounded(with_shape(spark, sf).where("cluster >= 0").select("spike_id", "cluster", F.col("amplitude").alias("x"), F.col("energy").alias("y")))
+
+
+@query()
+def sort_run(spark, sf):
+    """The whole job from traces to units over the events' values; cluster, spikes, violations and L-ratio of each unit."""
+    settings = Settings(breach_voltage_cutoff=1e9, detection_spike_detection=0.5, cluster_max_clusters=3, cluster_random_restarts=2)
+    report = so.sort_traces(src.trace(spark, sf), settings, 10_000.0, ("amplitude", "energy")).report
+    return rounded(report.select("channel", "cluster", "n", "v1", "v2", "v1_pct", "v2_pct", "l_ratio", "isolated", "severity"), 4)
 
 
 @query()
@@ -522,11 +626,16 @@ def delete_spikes(spark, sf):
     return cu.delete_spikes(_active(spark, sf), gone).select("rec", "name", "cluster", "spike_id", "t")
 
 
-@query("select true as equal")
+@query(f"""with {_ACT}, g as (select unnest(range(0, 7)) as a, unnest(range(0, 7)) as dummy), p as (select x.a, y.a as b from g x cross join g y where x.a <= y.a),
+c as (select cluster, t, count(*) as n from active group by 1, 2)
+select p.a::int as a, p.b::int as b, not exists (select 1 from (select * from c where cluster = p.a) x full join (select * from c where cluster = p.b) y on x.t = y.t and x.n = y.n where x.t is null or y.t is null) as equal from p""")
 def clusters_equal(spark, sf):
-    a = _active(spark, sf)
-    back = cu.merge(cu.split_by_recording(a, 1), [10, 11, 12, 13, 14], 1)
-    return cu.equal_clusters(a.where("cluster = 1"), back.where("cluster = 1"))
+    """All pairs of clusters, each with itself too: whether they hold the same times as often."""
+    c = _active(spark, sf).groupBy("cluster", "t").agg(F.count("*").alias("n"))
+    pairs = spark.range(7).select(F.col("id").cast("int").alias("a")).withColumn("b", F.explode(F.sequence("a", F.lit(6))))
+    sides = [c.join(pairs, c["cluster"] == pairs[side]).select("a", "b", "t", F.col("n") * sign) for side, sign in (("a", 1), ("b", -1))]
+    differ = sides[0].union(sides[1]).toDF("a", "b", "t", "n").groupBy("a", "b", "t").agg(F.sum("n").alias("d")).groupBy("a", "b").agg(F.count_if(F.col("d") != 0).alias("d"))
+    return pairs.join(differ, ["a", "b"], "left").select("a", "b", (F.coalesce("d", F.lit(0)) == 0).alias("equal"))
 
 
 @query(f"""with {_ACT}, d as (select cluster, rec, (t - lag(t) over (partition by cluster, rec order by t)) / 60e6 as ms from active) select cluster, count(*) as n, count(case when ms < 1 then 1 end) as v1, count(case when ms < 2 then 1 end) as v2 from d group by 1""")
@@ -542,6 +651,51 @@ def saved_units(spark, sf):
     return units.groupBy("cluster", "single", "pyramidal").agg(F.count("*").alias("n"))
 
 
+_LAB = "lab as (select event_type as channel, s.solution::int as solution, (user_id % s.solution)::int as cluster, event_id as spike_id from events cross join (select unnest(range(2, 5)) as solution) s)"
+
+
+def _solutions(spark, sf):
+    e = src.table(spark, sf, "events").select(F.col("event_type").alias("channel"), "user_id", F.col("event_id").alias("spike_id"))
+    return e.withColumn("solution", F.explode(F.sequence(F.lit(2), F.lit(4)))).select("channel", "solution", (F.col("user_id") % F.col("solution")).cast("int").alias("cluster"), "spike_id")
+
+
+@query(f"with {_LAB} select channel, solution, cluster, spike_id from lab where channel = (select min(event_type) from events) and solution = 3 and cluster in (0, 2)")
+def solution_clusters(spark, sf):
+    """Two clusters of a stored solution of the first channel."""
+    first = src.table(spark, sf, "events").agg(F.min("event_type")).first()[0]
+    return cu.solution_clusters(_solutions(spark, sf), first, 3, [0, 2])
+
+
+@query(f"""with {_ACT}, p as (select id, case when rec < 2 then 0 when rec = 2 then 1 end as part from train)
+select case when cluster = 1 then 10 + part else cluster end as cluster, count(*) as n from active join p on p.id = spike_id where cluster <> 1 or part = 1 group by 1""")
+def split_committed(spark, sf):
+    """Cluster 1 split in parts by recording, the second part kept."""
+    a = _active(spark, sf)
+    labels = a.where("cluster = 1").select("spike_id", F.when(F.col("rec") < 2, 0).when(F.col("rec") == 2, 1).alias("part"))
+    return cu.commit_split(a, labels, 1, [1]).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query("""select event_type as cluster, count(case when user_id % 5 > 3 then 1 end) as no_rec, count(case when value is null then 1 end) as no_time, count(case when e.vec_id is null then 1 end) as no_wave
+from events left join embeddings e on e.vec_id = event_id group by 1 having count(case when user_id % 5 > 3 then 1 end) + count(case when value is null then 1 end) + count(case when e.vec_id is null then 1 end) > 0""")
+def invalid_clusters(spark, sf):
+    """Clusters with spikes that a map of four recordings, the times or the waveforms lack."""
+    waves = src.spikes(spark, sf).select("spike_id", "w")
+    e = src.table(spark, sf, "events").select(F.col("event_type").alias("cluster"), (F.col("user_id") % 5).alias("rec"), F.col("event_id").alias("spike_id"), F.col("value").alias("t"))
+    return cu.invalid_clusters(e.join(waves, "spike_id", "left"), spark.range(4).toDF("rec"))
+
+
+@query("""select r_regionkey as rec, case when r_regionkey % 2 = 0 then '/new/place/' || r_name || '.h5' else '/old/' || r_name || '.h5' end as path from region""")
+def rerooted_recordings(spark, sf):
+    r = src.table(spark, sf, "region")
+    recordings = r.select(F.col("r_regionkey").alias("rec"), F.concat(F.lit("/old/"), "r_name", F.lit(".h5")).alias("path"))
+    return cu.rerooted(recordings, r.where("r_regionkey % 2 = 0").select(F.concat(F.lit("/new/place/"), "r_name", F.lit(".h5")).alias("path")))
+
+
+@query("select (user_id % 5)::int as rec, bool_and(coalesce(value > 0.5, false)) as complete from events group by 1")
+def detection_complete(spark, sf):
+    return cu.detection_complete(src.table(spark, sf, "events").select((F.col("user_id") % 5).cast("int").alias("rec"), F.col("event_type").alias("channel"), (F.col("value") > 0.5).alias("done")))
+
+
 @query("""with grid as (select c.channel, k::int as k from (select distinct event_type as channel from events) c cross join (select unnest(range(2, 8)) as k)), done as (select event_type as channel, (user_id % 5 + 2)::int as k from events where value > 150)
 select channel, k from grid where not exists (select 1 from done where done.channel = grid.channel and done.k = grid.k)""")
 def pending_work(spark, sf):

@@ -63,7 +63,7 @@ def test_mann_whitney(spark):
 
 def test_chi_squared(spark):
     for df in (1, 2, 3, 4, 5):
-        f = quality.chi2_sf if df % 2 == 0 else quality.chi2_sf_odd
+        f = quality.chi2_sf
         got = spark.createDataFrame([(3.7,)], "x double").select(f(F.col("x"), df)).first()[0]
         u = np.linspace(0, 1, 400_001)[1:]  # survival by integrating the density over x / u
         x = 3.7 / u
@@ -71,15 +71,122 @@ def test_chi_squared(spark):
         assert got == pytest.approx((density * 3.7 / u**2).sum() / 400_000, rel=1e-3)
 
 
-def test_mixture_finds_planted_clusters(spark):
+def planted(spark, d=2):
     rng = np.random.default_rng(2)
-    x = np.concatenate([rng.standard_normal((80, 2)) * 0.3 + c for c in ((0, 0), (5, 0), (0, 5))])
-    df = spark.createDataFrame([("c", float(a), float(b)) for a, b in x], "channel string, a double, b double")
-    fits = cluster.mixtures(df, "channel", ["a", "b"], 2, 4, 3)
-    best = cluster.best_fits(fits, ["channel", "k"]).orderBy("bic").first()
-    assert best.k == 3
-    sizes = fits.where(f"k = 3 and seed = {best.seed}").first().sizes
-    assert sorted(sizes) == [80, 80, 80]
+    x = np.concatenate([rng.standard_normal((80, d)) * 0.3 + np.eye(d)[i % d] * 5 * (i > 0) for i in range(3)])
+    names = [f"f{i}" for i in range(d)]
+    return x, names, spark.createDataFrame([("c", i, *map(float, r)) for i, r in enumerate(x)], f"channel string, spike_id long, {', '.join(f'{c} double' for c in names)}")
+
+
+def test_mixture_labels(spark):
+    x, names, df = planted(spark, 3)
+    best = cluster.chosen_models(cluster.mixtures(df, "channel", names, 2, 4, 3))
+    assert best.first().k == 3
+    got = {r.spike_id: r.cluster for r in cluster.labelled(df, best, names).collect()}
+    for i in range(3):
+        assert len({got[j] for j in range(80 * i, 80 * i + 80)}) == 1
+    assert len(set(got.values())) == 3
+    rough = df.withColumn("f0", F.when(F.col("spike_id") > 5, F.col("f0")))
+    assert cluster.labelled(rough, best, names).where("cluster is null").count() == 6
+    assert cluster.labelled(df.withColumn("channel", F.lit("other")), best, names).where("cluster is not null").count() == 0
+
+
+def test_mixture_by_jobs_is_the_same(spark):
+    """A channel too large for a group is fitted by jobs over its rows, in the same steps."""
+    _, names, df = planted(spark)
+    kinds = ["k", "seed", "n", "converged"]
+    one = cluster.mixtures(df, "channel", names, 2, 3, 2).orderBy("k", "seed").collect()
+    two = cluster.mixtures(df, "channel", names, 2, 3, 2, group_rows=100).orderBy("k", "seed").collect()
+    assert [[r[c] for c in kinds] for r in one] == [[r[c] for c in kinds] for r in two] and len(one) == 4
+    for a, b in zip(one, two, strict=True):
+        assert a.bic == pytest.approx(b.bic, rel=1e-9) and np.allclose(a.means, b.means) and np.allclose(a.covs, b.covs)
+
+
+def test_metric_table(spark):
+    rng = np.random.default_rng(4)
+    w = rng.standard_normal((60, 8)) * np.arange(1, 9)
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(w)], "spike_id int, w array<double>")
+    got = cluster.metric_table(df).orderBy("spike_id").toPandas()
+    energy = np.sqrt((w * w).sum(1)) / 8
+    scaled = w / energy[:, None]
+    off = scaled - scaled.mean(0)
+    _, _, axes = np.linalg.svd(off, full_matrices=False)
+    assert np.allclose(got.amplitude, w.min(1)) and np.allclose(got.energy, energy)
+    assert np.allclose(got[["pc0", "pc1", "pc2"]].abs(), np.abs(off @ axes[:3].T), atol=1e-6)
+
+
+def test_distances_in_six_columns(spark):
+    x, names, df = planted(spark, 6)
+    df = df.withColumn("cluster", (F.col("spike_id") / 80).cast("int"))
+    got = quality.l_ratios(df, names).orderBy("cluster").collect()
+    far = quality.mahalanobis(df, names).where("spike_id = 100").orderBy("component").collect()
+    for i in range(3):
+        own, rest = x[80 * i : 80 * i + 80], np.delete(x, range(80 * i, 80 * i + 80), 0)
+        inverse = np.linalg.inv(np.cov(own.T))
+        d2 = np.einsum("ni,ij,nj->n", rest - own.mean(0), inverse, rest - own.mean(0))
+        tail = np.exp(-d2 / 2) * (1 + d2 / 2 + (d2 / 2) ** 2 / 2)
+        assert got[i].l_ratio == pytest.approx(tail.sum() / 80, rel=1e-6)
+        off = x[100] - own.mean(0)
+        assert far[i].distance == pytest.approx(math.sqrt(off @ inverse @ off), rel=1e-9)
+    same = df.withColumn("f1", F.col("f0"))
+    assert {r.l_ratio for r in quality.l_ratios(same, names).collect()} == {None}
+    models = quality.component_models(cluster.chosen_models(cluster.mixtures(df, "channel", names[:2], 2, 2, 1)), names[:2])
+    assert quality.mahalanobis(df, names[:2], models=models).count() == 480
+
+
+def test_split_by_mixture(spark):
+    _, names, df = planted(spark, 3)
+    spikes = df.withColumn("cluster", F.lit(4)).withColumn("t", F.col("spike_id"))
+    labels = curate.split_by_mixture(spikes, 4, names, 3, 3)
+    sizes = {r.part: r["count"] for r in labels.groupBy("part").count().collect()}
+    assert sorted(sizes.values()) == [80, 80, 80]
+    kept = curate.commit_split(spikes, labels, 4, [0, 2])
+    assert {r.cluster for r in kept.select("cluster").distinct().collect()} == {40, 42} and kept.count() == 160
+    assert curate.commit_split(spikes, labels, 4, []).count() == 240
+
+
+def test_sort_finds_planted_spikes(spark):
+    """Two shapes of spikes in noise, one channel each of its own: all found, at their places, in two units a channel."""
+    rng = np.random.default_rng(8)
+    rows, places = [], {}
+    for c in ("a", "b"):
+        v = rng.standard_normal(30_000) * 0.3
+        at = np.arange(300, 29_700, 294)
+        for k, p in enumerate(at):
+            v[p - 2 : p + 3] -= np.array([4, 20, 40, 20, 4]) * (1 + (k % 2)) * (1 + rng.standard_normal() * 0.02)
+        places[c] = at
+        rows += [(c, i, float(y)) for i, y in enumerate(v)]
+    trace = spark.createDataFrame(rows, "channel string, ix long, v double")
+    from axonframe.config import Settings
+    from axonframe.operators import sort
+
+    settings = Settings(detection_spike_detection=8.0, cluster_max_clusters=3, cluster_random_restarts=3)
+    got = sort.sort_traces(trace, settings, 10_000.0, ("amplitude", "energy"))
+    spikes = got.spikes.toPandas()
+    for c, at in places.items():
+        own = spikes[spikes.channel == c].sort_values("ix")
+        assert (own.ix.to_numpy() == at).all()
+        big = own.amplitude < -60
+        assert set(own.cluster[big & (own.cluster >= 0)]) & set(own.cluster[~big & (own.cluster >= 0)]) == set()
+    assert got.missing.count() == 0 and got.report.count() >= 4
+
+
+def test_response_of_flat_rates(spark):
+    df = spark.createDataFrame([("u", 1.0, b) for b in (False, True, True)] + [("v", 2.0, True)], "unit string, rate double, after boolean")
+    got = {r.unit: r for r in trains.response_test(df, ["unit"], "rate", F.col("after")).collect()}
+    assert (got["u"].u, got["u"].p, got["u"].delta) == (0, 1, 0) and (got["v"].u, got["v"].p, got["v"].n_before) == (0, 1, 0)
+
+
+def test_rasters_overlays_held_units(spark):
+    spikes = spark.createDataFrame([(0, 10, "u"), (1, 20, "u")], "rec int, sample long, unit string")
+    recordings = spark.createDataFrame([(0, 10.0, 0), (1, 10.0, 100)], "rec int, fs double, offset long")
+    points, borders = trains.raster(spikes, recordings)
+    assert sorted(r.time for r in points.collect()) == [1.0, 12.0] and sorted(r.time for r in borders.collect()) == [0.0, 10.0]
+    rates = spark.createDataFrame([("u", str(t), float(c), float(c + t)) for t in range(3) for c in range(-40, 41, 10)], "unit string, trial string, center double, rate double")
+    over = trains.overlay_psth(rates, -20, 20).orderBy("center").collect()
+    assert [r.center for r in over] == [-20, -10, 0, 10, 20] and all(r.sem == pytest.approx(1 / math.sqrt(3)) for r in over)
+    wide = spark.createDataFrame([("x", "u1", None), ("y", None, "u3")], "name string, day1 string, day2 string")
+    assert sorted(tuple(r) for r in trains.held_units(wide).collect()) == [("x", "day1", "u1"), ("y", "day2", "u3")]
 
 
 def test_curation(spark):

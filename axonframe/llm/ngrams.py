@@ -8,10 +8,10 @@ as Elias-Fano sequences, probabilities in 8 bits. Successors are kept as sums al
 falls; a lookup takes the context's pointers and then finds the successor from the value that its context starts at.
 Probabilities are absolute discounts interpolated with the word's own:
 
-    p(w | v) = max(c(v, w) - D, 0) / c(v) + D * kinds(v) / c(v) * p(w) / share        p(w) = (c(w) - D + D * V / (V + 1)) / N
+    p(w | v) = max(c(v, w) - D, 0) / c(v) + D * kinds(v) / c(v) * p(w)        p(w) = (c(w) - D + D * V / (V + 1)) / N
 
-where a split context discounts within its part, share being the part's mass of p. Words not in training are one unknown
-word. The memory of a task is bounded by the pack's and shard's size, whatever the corpus.
+Words not in training are one unknown word. A split context is scored by the same formula: the words that follow it are
+counted over all its parts first, and each part gets the number.
 """
 
 from __future__ import annotations
@@ -149,8 +149,9 @@ class EliasFano:
 class BigramTrie:
     """Contexts, their pointers and successors, with quantised discounted probabilities; all levels memory-mapped."""
 
-    def __init__(self, v: np.ndarray, w: np.ndarray, count: np.ndarray, total: np.ndarray, share: np.ndarray):
-        """Bigrams sorted by v and w, with counts; total and share are those of each bigram's context (part)."""
+    def __init__(self, v: np.ndarray, w: np.ndarray, count: np.ndarray, total: np.ndarray, whole: dict[int, int] | None = None):
+        """Bigrams sorted by v and w, with counts; total is the count of each bigram's context, whole the number of words after
+        the contexts that are split."""
         new = np.diff(v, prepend=v[:1] + np.uint64(1)) != 0
         first = np.flatnonzero(new)
         edges = np.append(first, len(v))
@@ -163,7 +164,9 @@ class BigramTrie:
         self.steps = np.quantile(logs, np.linspace(0, 1, 256)) if len(logs) else np.zeros(256)
         self.codes = _mapped(np.searchsorted((self.steps[1:] + self.steps[:-1]) / 2, logs).astype(np.uint8))
         kinds = np.diff(edges)
-        self.back = _mapped((DISCOUNT * kinds / (total[first] * share[first])).astype(np.float32))
+        if whole:
+            kinds = np.array([whole.get(int(c), k) for c, k in zip(v[first], kinds, strict=True)])
+        self.back = _mapped((DISCOUNT * kinds / total[first]).astype(np.float32))
 
     def probability(self, v: np.ndarray, w: np.ndarray, unigram: np.ndarray) -> np.ndarray:
         """p(w | v); contexts and words that training has not seen leave the unigram."""
@@ -249,8 +252,8 @@ def _packs(docs: DataFrame, shards: int, id_column: str, text_column: str) -> Da
 
 
 def _ranked_words(vocabularies: DataFrame, shards: int) -> DataFrame:
-    """(pack, shard, blob): ids and counts of a pack's words of a shard, in the order in which they were sent; pack null:
-    the shard's tokens, words and its counts' sum by part."""
+    """(pack, shard, blob): ids, counts and parts of a pack's words of a shard, in the order in which they were sent; pack null:
+    the shard's words, tokens and the largest count."""
     schema = "pack string, shard int, blob binary"
 
     def count(group: pa.Table) -> pa.Table:
@@ -261,13 +264,11 @@ def _ranked_words(vocabularies: DataFrame, shards: int) -> DataFrame:
         rank = np.empty(len(every), np.uint64)
         rank[np.lexsort((every, -total.astype(np.int64)))] = np.arange(len(every), dtype=np.uint64)
         ids = np.where(total > 0, rank * np.uint64(shards) + np.uint64(shard) + np.uint64(2), _UNKNOWN)
-        seen = total > 0
-        part = (every >> np.uint64(52)).astype(np.int64)
-        words, tokens = np.bincount(part[seen], minlength=PARTS), np.bincount(part[seen], weights=total[seen].astype(float), minlength=PARTS)
+        sums = np.array([np.count_nonzero(total), total.sum(), total.max(initial=0)], np.uint64)
         ends = np.cumsum([0, *[len(h) for h, _ in sent]])
         blobs = [_packed(ids[back[a:b]], total[back[a:b]], every[back[a:b]] >> np.uint64(52)) for a, b in zip(ends, ends[1:], strict=False)]
         names = group["pack"].to_pylist()
-        return pa.table({"pack": pa.array([*names, None]), "shard": pa.array([shard] * (len(names) + 1), pa.int32()), "blob": pa.array([*blobs, _packed(words.astype(np.uint64), tokens.astype(np.uint64))], pa.binary())})
+        return pa.table({"pack": pa.array([*names, None]), "shard": pa.array([shard] * (len(names) + 1), pa.int32()), "blob": pa.array([*blobs, _packed(sums)], pa.binary())})
 
     return vocabularies.select("pack", "shard", "blob").groupBy("shard").applyInArrow(count, schema)
 
@@ -276,10 +277,20 @@ def _unigram(count: np.ndarray, n: float, v: float) -> np.ndarray:
     return (np.maximum(count - DISCOUNT, 0) + DISCOUNT * v / (v + 1)) / max(n, 1)
 
 
-def _sent(packs: DataFrame, words: DataFrame, word_shards: int, shards: int, n: int, v: int, texts: int) -> DataFrame:
+def _shard(before: np.ndarray, part: np.ndarray, shards: int) -> np.ndarray:
+    return ((before * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)) % np.uint64(shards)
+
+
+def _splits(total: np.ndarray) -> np.ndarray:
+    """Into how many parts a context is split by its count."""
+    return np.where(total > HOT, 2 ** np.ceil(np.log2(np.maximum(total, 1) / HOT)), 1).clip(1, PARTS)
+
+
+def _sent(packs: DataFrame, words: DataFrame, word_shards: int, shards: int, n: int, v: int, texts: int, split_only: bool = False) -> DataFrame:
     """(shard, pack, kind, blob): what packs send to shards. Kind 0: word before and its part (in one number), word, document,
     count and whether it is for training, quantised probability of the word, total of the word before, its parts; kind 1:
-    the documents' own figures, to any shard."""
+    the documents' own figures, to any shard. With split_only instead, as kind 2, each training word after a split context
+    once: word before and part, word, total."""
     by_pack = words.groupBy("pack").agg(F.collect_list(F.struct("shard", "blob")).alias("found"))
     both = packs.join(by_pack, "pack").select("pack", "blob", "found")
 
@@ -306,15 +317,24 @@ def _sent(packs: DataFrame, words: DataFrame, word_shards: int, shards: int, n:
                 before[1:], before[starts] = w[:-1], _START
                 total = np.empty(len(flat))
                 total[1:], total[starts] = counts[flat][:-1], texts
+                if split_only:
+                    hot = np.flatnonzero((total > HOT) & (w > 0) & (held[doc] == 0))
+                    hot = hot[np.lexsort((w[hot], before[hot]))]
+                    hot = hot[np.flatnonzero((np.diff(before[hot], prepend=np.uint64(0)) != 0) | (np.diff(w[hot], prepend=np.uint64(0)) != 0))]
+                    own_part = np.floor(part[flat[hot]] * _splits(total[hot]) / PARTS)
+                    to = _shard(before[hot], own_part, shards)
+                    out = [(int(s), 2, _packed(before[i] * np.uint64(PARTS) + own_part[to == s].astype(np.uint64), w[i], total[i].astype(np.uint64))) for s in np.unique(to) for i in [hot[to == s]]]
+                    yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([name] * len(out), pa.string()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["shard", "pack", "kind", "blob"])
+                    continue
                 keep = np.lexsort((doc, w, before))
                 same = np.ones(len(keep), bool)
                 same[1:] = (np.diff(before[keep]) != 0) | (np.diff(w[keep]) != 0) | (np.diff(doc[keep]) != 0)
                 first = np.flatnonzero(same)
                 times = np.diff(np.append(first, len(keep)))
                 at = keep[first]
-                splits = np.where(total[at] > HOT, 2 ** np.ceil(np.log2(np.maximum(total[at], 1) / HOT)), 1).clip(1, PARTS)
+                splits = _splits(total[at])
                 own_part = np.floor(part[flat[at]] * splits / PARTS)
-                to = ((before[at] * np.uint64(0x9E3779B97F4A7C15) + own_part.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)) % np.uint64(shards)
+                to = _shard(before[at], own_part, shards)
                 lot = np.argsort(to, kind="stable")
                 ends = np.searchsorted(to[lot], np.arange(shards + 1))
                 out = []
@@ -325,16 +345,44 @@ def _sent(packs: DataFrame, words: DataFrame, word_shards: int, shards: int, n:
                         context = before[i] * np.uint64(PARTS) + own_part[here].astype(np.uint64)
                         again = np.argsort(context, kind="stable")
                         here, i, context = here[again], i[again], context[again]
-                        out.append((s, 0, _packed(np.diff(context, prepend=np.uint64(0)), w[i], doc[i], times[here] * 2 + (held[doc[i]] == 0), code[flat[i]], total[i], splits[here])))
+                        out.append((s, 0, _packed(np.diff(context, prepend=np.uint64(0)), w[i], doc[i], times[here] * 2 + (held[doc[i]] == 0), code[flat[i]], total[i])))
                 out.append((int(np.uint64(xxhash.xxh64_intdigest(name)) % np.uint64(shards)), 1, figures))
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([name] * len(out)), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], names=["shard", "pack", "kind", "blob"])
 
     return both.mapInArrow(run, "shard int, pack string, kind int, blob binary")
 
 
-def _scored(sent: DataFrame, mass: np.ndarray) -> DataFrame:
+def _split_kinds(sent: DataFrame, shards: int) -> DataFrame:
+    """(shard, pack, kind, blob), kind 3: for each part of a split context, the number of words that follow the context, all its parts
+    together. Parts are counted in their own shards, so that no task holds a context."""
+
+    def count(group: pa.Table) -> pa.Table:
+        got = [_unpacked(x) for x in group["blob"].to_pylist()]
+        context, word, total = (np.concatenate([g[i] for g in got]) for i in range(3))
+        order = np.lexsort((word, context))
+        context, word, total = context[order], word[order], total[order]
+        new = np.flatnonzero((np.diff(context, prepend=np.uint64(0)) != 0) | (np.diff(word, prepend=np.uint64(0)) != 0) | (np.arange(len(context)) == 0))
+        first = new[np.flatnonzero(np.diff(context[new], prepend=np.uint64(0)) != 0)] if len(new) else new
+        kinds = np.diff(np.append(np.searchsorted(context[new], context[first]), len(new)))
+        return pa.table({"before": pa.array((context[first] // np.uint64(PARTS)).astype(np.int64)), "total": pa.array(total[first].astype(np.int64)), "kinds": pa.array(kinds, pa.int64())})
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before, total, kinds = (batch[c].to_numpy() for c in ("before", "total", "kinds"))
+            splits = _splits(total.astype(float)).astype(np.int64)
+            row = np.repeat(np.arange(len(splits)), splits)
+            part = np.arange(len(row)) - np.repeat(np.cumsum(splits) - splits, splits)
+            context = before[row].astype(np.uint64) * np.uint64(PARTS) + part.astype(np.uint64)
+            to = _shard(before[row].astype(np.uint64), part, shards)
+            blobs = [_packed(context[i : i + 1], kinds[row[i : i + 1]].astype(np.uint64)) for i in range(len(row))]
+            yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.nulls(len(row), pa.string()), pa.array([3] * len(row), pa.int32()), pa.array(blobs, pa.binary())], names=["shard", "pack", "kind", "blob"])
+
+    parts = sent.groupBy("shard").applyInArrow(count, "before long, total long, kinds long")
+    return parts.groupBy("before", "total").agg(F.sum("kinds").alias("kinds")).mapInArrow(dealt, "shard int, pack string, kind int, blob binary")
+
+
+def _scored(sent: DataFrame) -> DataFrame:
     """(pack, kind, blob): the shard's part of each document's score, and the documents' figures as they came."""
-    sums = np.concatenate([[0.0], np.cumsum(mass)])
 
     def score(group: pa.Table) -> pa.Table:
         kinds, names, blobs = group["kind"].to_pylist(), group["pack"].to_pylist(), group["blob"].to_pylist()
@@ -343,7 +391,8 @@ def _scored(sent: DataFrame, mass: np.ndarray) -> DataFrame:
         if mine:
             got = [_unpacked(blobs[k]) for k in mine]
             context = np.concatenate([np.cumsum(g[0], dtype=np.uint64) for g in got])
-            word, times, code, total, splits = (np.concatenate([g[i] for g in got]) for i in (1, 3, 4, 5, 6))
+            word, times, code, total = (np.concatenate([g[i] for g in got]) for i in (1, 3, 4, 5))
+            whole = {int(c): int(k) for x, y in zip(kinds, blobs, strict=True) if x == 3 for c, k in zip(*_unpacked(y), strict=True)}
             ends = np.cumsum([0, *[len(g[0]) for g in got]])
             del got
             train = np.flatnonzero((times & np.uint64(1)) > 0)
@@ -353,9 +402,7 @@ def _scored(sent: DataFrame, mass: np.ndarray) -> DataFrame:
             first = np.flatnonzero((np.diff(c, prepend=np.uint64(0)) != 0) | (np.diff(w, prepend=np.uint64(0)) != 0) | (np.arange(len(c)) == 0))
             count = np.add.reduceat(times[order], first) if len(first) else np.zeros(0, np.int64)
             at = order[first]
-            own, k = (context[at] % np.uint64(PARTS)).astype(np.int64), splits[at].astype(np.int64)
-            share = np.where(k > 1, sums[(own + 1) * PARTS // k] - sums[own * PARTS // k], 1.0)
-            trie = BigramTrie(context[at], word[at], count, total[at].astype(float), share)
+            trie = BigramTrie(context[at], word[at], count, total[at].astype(float), whole)
             unigram = 10.0 ** (code.astype(float) / 65535 * _LEAST)
             log = np.empty(len(word))
             for a in range(0, len(word), 200_000):
@@ -400,17 +447,17 @@ def scored_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     word_shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packs = saved(_packs(docs, word_shards, id_column, text_column))
     words = saved(_ranked_words(packs.where("shard >= 0"), word_shards))
-    by_part = [_unpacked(r["blob"]) for r in words.where("pack is null").select("blob").toLocalIterator()]  # one fixed-size row a shard
-    kinds = np.sum([x for x, _ in by_part], axis=0).astype(float) if by_part else np.zeros(PARTS)
-    tokens = np.sum([x for _, x in by_part], axis=0).astype(float) if by_part else np.zeros(PARTS)
-    n, v = int(tokens.sum()), int(kinds.sum())
-    mass = (tokens - DISCOUNT * kinds + kinds * DISCOUNT * v / (v + 1)) / max(n, 1)
-    mass[0] += DISCOUNT * v / (v + 1) / max(n, 1)
+    sums = [_unpacked(r["blob"])[0].astype(int) for r in words.where("pack is null").select("blob").toLocalIterator()]  # one row a shard, three numbers
+    v, n, top = (f(s[i] for s in sums) if sums else 0 for i, f in enumerate((sum, sum, max)))
+    v, n, top = int(v), int(n), int(top)
     held = F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % 7 == 2
     texts = docs.where(~held).count()
     shards = max(word_shards, n // SHARD + 1)
-    sent = _sent(packs.where("shard = -1"), words.where("pack is not null"), word_shards, shards, n, v, texts)
-    found = _summed(_scored(sent, mass))
+    given = packs.where("shard = -1"), words.where("pack is not null"), word_shards, shards, n, v, texts
+    sent = _sent(*given)
+    if max(top, texts) > HOT:
+        sent = sent.union(_split_kinds(_sent(*given, split_only=True), shards))
+    found = _summed(_scored(sent))
     ids = packs.where("shard = -1").select("pack", F.posexplode("ids").alias("ix", "id"))
     out = ids.join(found, ["pack", "ix"])
     return out.select("id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,20 +30,45 @@ def shared_folder(spark: SparkSession) -> str:
     return where
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared folder and read from there: lineage ends, lost executors cost nothing."""
+#: Paths of tables saved within the scratch blocks that are open, the innermost last.
+_scratch: list[list[str]] = []
+
+
+def saved(df: DataFrame, keep: bool = False) -> DataFrame:
+    """The rows written once to the shared folder and read from there: lineage ends, lost executors cost nothing.
+
+    Within a `scratch` block the files go at its end, or at the end of the block around it if they are to be kept."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if len(_scratch) > keep:
+        _scratch[-1 - keep].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A block whose saved tables nothing reads after it: their files are deleted at its end, and so are, by Spark's cleaner,
+    the shuffle files of its jobs, which would otherwise wait for the driver's next garbage collection."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _delete(spark, path)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a saved table that nothing will read again."""
-    jvm = df.sparkSession._jvm
     for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _delete(df.sparkSession, folder)
 
 
 def words(text) -> F.Column:
@@ -57,7 +85,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     around the smallest node. Only minima are aggregated, so a hub's neighbours never meet in one
     row, and each round ends in a written table.
     """
-    start = edges.select(F.col(a).alias("p"), F.col(b).alias("q")).where("p is not null and q is not null and p <> q")
+    with scratch(edges.sparkSession):
+        return saved(_stars(edges.select(F.col(a).alias("p"), F.col(b).alias("q"))), keep=True)
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    start = edges.where("p is not null and q is not null and p <> q")
     now = saved(start.select(F.least("p", "q").alias("r"), F.greatest("p", "q").alias("n")).distinct())
     seen = None
     while True:
@@ -66,8 +99,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = both.join(low, "n").where("x > n").select(F.col("m").alias("r"), F.col("x").alias("n")).distinct()
         low = large.groupBy("n").agg(F.min("r").alias("m"))
         small = large.join(low, "n").where("r <> m").select(F.col("m").alias("r"), F.col("r").alias("n"))
-        before, now = now, saved(small.union(low.select("m", "n")).where("r <> n").distinct())
-        dropped(before)
+        now = saved(small.union(low.select("m", "n")).where("r <> n").distinct())
         state = now.agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("n", "r")).alias("s")).first()
         if state == seen or state["k"] == 0:
             return now.select(F.col("n").alias("node"), F.col("r").alias("component")).union(now.select("r", "r").distinct())

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, saved
+from .common import components, saved, scratch
 
 SHINGLE = 8
 #: Bits of a shingle's hash that name its bin, and what bins are used: BANDS * ROWS of 2 ** BIN_BITS.
@@ -132,7 +132,8 @@ def repeated_lines(docs: DataFrame, percent: int = PERCENT, id_column: str = "do
     """(doc, no, exact): the lines to drop; exact says that the line stays elsewhere letter by letter."""
     every = _lines(docs, id_column, text_column)
     lines = saved(_named(every).select("doc", "no", "h1", "h2"))
-    linked = saved(fuzzy_components(every.select("line"), percent))
+    with scratch(docs.sparkSession):
+        linked = saved(fuzzy_components(every.select("line"), percent), keep=True)
     again = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
     # a group is a component of links, or else one name
     group = [F.coalesce("component", F.lit(-1)).alias("c"), *[F.when(F.col("component").isNull(), F.col(h)).otherwise(0).alias(g) for h, g in (("h1", "g1"), ("h2", "g2"))]]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, saved
+from .common import components, saved, scratch
 
 WORDS = 5
 REGISTERS = 1024
@@ -236,18 +236,8 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select(*pairs.columns)
 
 
-def linked(docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row (id, n_shingles, component_id, kept) for each row of docs.
-
-    Documents are linked if 100 * intersection >= percent * union of their sets; component_id is the smallest
-    id reachable by links, itself included, and kept says that it is the row's own. Without words or text a
-    document's set is empty and it is linked with nothing. Rows with one id are one node, so
-    copies of a row share its component. A null id takes the component of its class if another row has the
-    same set. An empty table gives no rows; other columns are not read.
-    """
-    sketches = saved(sketched(docs, id_column, text_column))
-    by_set = ["n", "fa", "fb"]
-    classes = saved(sketches.where("n > 0").groupBy(*by_set).agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
+def _class_labels(docs: DataFrame, sketches: DataFrame, classes: DataFrame, by_set: list[str], percent: int, id_column: str, text_column: str) -> DataFrame:
+    """(node, component) of the classes' representatives that link with another."""
     reps = sketches.join(classes.select(F.col("rep").alias("id"), *by_set), ["id", *by_set], "left_semi").dropDuplicates(["id"])
     reps = saved(reps.where(F.col("n") * (100 - percent) >= percent))  # smaller sets are equal or not linked
     bands = saved(_banded(reps))
@@ -284,8 +274,24 @@ def linked(docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_c
     cross = _likely(cross, reps, percent).union(_of_blocks(mixed.where(f"size > {SMALL}"), reps, percent)).distinct()
     done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = saved(_confirmed(cross.join(done, ["a", "b"], "left_anti"), texts, percent))
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    return labels if more.isEmpty() else components(links.union(more))
+
+
+def linked(docs: DataFrame, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row (id, n_shingles, component_id, kept) for each row of docs.
+
+    Documents are linked if 100 * intersection >= percent * union of their sets; component_id is the smallest
+    id reachable by links, itself included, and kept says that it is the row's own. Without words or text a
+    document's set is empty and it is linked with nothing. Rows with one id are one node, so
+    copies of a row share its component. A null id takes the component of its class if another row has the
+    same set. An empty table gives no rows; other columns are not read.
+    """
+    by_set, spark = ["n", "fa", "fb"], docs.sparkSession
+    with scratch(spark):
+        sketches = saved(sketched(docs, id_column, text_column))
+        classes = saved(sketches.where("n > 0").groupBy(*by_set).agg(F.min("id").alias("rep"), F.count("*").alias("copies")), keep=True)
+        labels = saved(_class_labels(docs, sketches, classes, by_set, percent, id_column, text_column), keep=True)
+        sketches = saved(sketches.select("id", *by_set), keep=True)
 
     named = sketches.select("id", *by_set).join(classes.where("copies > 1").select(*by_set, "rep"), by_set, "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     found = named.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")

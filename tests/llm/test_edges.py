@@ -86,6 +86,13 @@ def test_lines(rough, empty):
     assert by[2] == "" and by[1].startswith("the quick") and by[7].count("\n") == 0 and by[3] is None and by[5] == " \n\t \n"
 
 
+def test_lines_by_code_points(spark):
+    """Twelve emoji have five shingles; the last one's change leaves four of six, so both lines stay."""
+    df = spark.createDataFrame([(1, "😀😁😂😃😄😅😆😇😈😉😊😋"), (2, "😀😁😂😃😄😅😆😇😈😉😊😌")], "doc_id long, text string")
+    assert {r.n_fuzzy for r in lines.dedup_lines(df).collect()} == {0}
+    assert {r.n_fuzzy for r in lines.dedup_lines(df, 60).collect()} == {0, 1}
+
+
 def test_licenses(rough, empty):
     got = licenses.scan_licenses(rough).collect()
     assert [(r.id, r.first_line, r.license, r.confirmed) for r in got] == [(9, 0, "MIT-notice", True)]

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from axonframe.functions import waveform as wf
+from axonframe.functions.ranks import cumulative
 
 
 def pca_model(rows: DataFrame, column: str = "w", k: int | None = None):
@@ -46,12 +47,12 @@ def component_count(ratios: DataFrame, share: float = 0.95) -> DataFrame:
 def lilliefors(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, n, d): the largest gap between the empirical distribution and the normal one of the same mean and deviation.
 
-    Constant groups have a null d. Ranks come from one row a distinct value of a key."""
+    Constant groups have a null d. Ranks come from one row a distinct value of a key, cut into ranges."""
     stats = rows.groupBy(*keys).agg(F.avg(value).alias("m"), F.stddev_samp(value).alias("sd"), F.count("*").alias("n"))
-    counts = rows.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c")).join(stats, keys)
-    upto = F.sum("c").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    counts = rows.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    counts = cumulative(counts, keys, "v", ["c"]).join(stats, keys)
     z = (F.col("v") - F.col("m")) / F.nullif("sd", F.lit(0.0))
-    gap = counts.withColumn("e", upto / F.col("n")).withColumn("phi", normal_cdf(z))
+    gap = counts.withColumn("e", F.col("upto_c") / F.col("n")).withColumn("phi", normal_cdf(z))
     return gap.groupBy(*keys).agg(F.max("n").alias("n"), F.max(F.greatest(F.abs(F.col("e") - F.col("phi")), F.abs(F.col("phi") - F.col("e") + F.col("c") / F.col("n")))).alias("d"))
 
 

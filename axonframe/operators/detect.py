@@ -6,17 +6,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from axonframe.functions.ranks import quantiles
+
 
 def detection_threshold(trace: DataFrame, times: float = 5.0) -> DataFrame:
     """(channel, threshold): mean less `times` the median of |v| / 0.6745."""
-    return trace.groupBy("channel").agg((F.avg("v") - times * F.median(F.abs("v") / 0.6745)).alias("threshold"))
+    middle = quantiles(trace, ["channel"], F.abs("v") / 0.6745, {"middle": 0.5})
+    return trace.groupBy("channel").agg(F.avg("v").alias("mean")).join(middle, "channel").select("channel", (F.col("mean") - times * F.col("middle")).alias("threshold"))
+
+
+#: Samples of a stretch, within which windows run.
+STRETCH = 65_536
 
 
-def runs(places: DataFrame, keys: list[str], ix: str = "ix") -> DataFrame:
-    """places with `run`: the number, from 1, of the run of consecutive ix that a row belongs to; sparse rows, one window a key."""
-    w = Window.partitionBy(*keys).orderBy(ix)
-    new = F.when(F.col(ix) - F.lag(ix).over(w) == 1, 0).otherwise(1)
-    return places.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
+def runs(places: DataFrame, keys: list[str], ix: str = "ix", width: int = STRETCH) -> DataFrame:
+    """places with `run`: the number, from 1, of the run of consecutive ix within its keys that a row belongs to.
+
+    Windows hold a stretch of `width` samples; a table with one row a stretch says how many runs began before it and whether
+    its first run goes on from the stretch before. A repeated ix begins a run; rows without keys or ix are left out.
+    """
+    cut = places.withColumn("stretch", F.floor(F.col(ix) / width))
+    w = Window.partitionBy(*keys, "stretch").orderBy(ix)
+    marked = cut.withColumn("new", F.when(F.col(ix) - F.lag(ix).over(w) == 1, 0).otherwise(1))
+    ends = marked.groupBy(*keys, "stretch").agg(F.min(ix).alias("first"), F.max(ix).alias("last"), F.sum("new").alias("begun"))
+    by = Window.partitionBy(*keys).orderBy("stretch")
+    ends = ends.withColumn("goes_on", F.when(F.col("first") - F.lag("last").over(by) == 1, 1).otherwise(0))
+    before = F.coalesce(F.sum(F.col("begun") - F.col("goes_on")).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = ends.select(*keys, "stretch", (before - F.col("goes_on")).alias("carried"))
+    inside = marked.withColumn("inside", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return inside.join(ends, [*keys, "stretch"]).select(*[F.col(c) for c in places.columns], (F.col("inside") + F.col("carried")).alias("run"))
 
 
 def threshold_runs(trace: DataFrame, threshold: float) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from axonframe.functions.ranks import quantiles
+
 
 def cluster_models(rows: DataFrame, columns: list[str], cluster: str = "cluster") -> DataFrame:
     """(cluster, n, mean_<c>, inv_<c>_<d>): means and the inverse of the sample covariance, of any number of columns.
@@ -169,7 +171,7 @@ def waveform_density(spikes: DataFrame, height: int = 50, cluster: str = "cluste
     from pyspark.sql.window import Window
 
     points = spikes.select(cluster, F.posexplode("w").alias("pos", "v")).where(~F.isnan("v"))
-    ends = points.groupBy(cluster).agg(F.expr("percentile(v, array(0.05, 0.95))").alias("p")).select(cluster, F.expr("p[0]").alias("lo"), F.expr("p[1]").alias("hi"))
+    ends = quantiles(points, [cluster], F.col("v"), {"lo": 0.05, "hi": 0.95})
     inside = points.join(ends, cluster).where("v between lo and hi")
     level = F.least(F.floor((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * height), F.lit(height - 1)).cast("int")
     cells = inside.groupBy(cluster, "pos", F.coalesce(level, F.lit(0)).alias("level")).agg(F.count("*").alias("n"))

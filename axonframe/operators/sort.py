@@ -13,6 +13,7 @@ from axonframe.operators import cluster as cl
 from axonframe.operators import detect as de
 from axonframe.operators import quality as qu
 from axonframe.operators import trains as tr
+from axonframe.sources.recordings import settled
 
 
 @dataclass
@@ -27,7 +28,7 @@ class Sorted:
 
 def waveforms(trace: DataFrame, settings: Settings, fs: float) -> DataFrame:
     """(channel, ix, spike_id, w): the waveforms of each channel's spikes below its own threshold, first places first."""
-    limits = de.detection_threshold(trace, settings.detection_spike_detection)
+    limits = settled(de.detection_threshold(trace, settings.detection_spike_detection))
     shifted = trace.join(limits, "channel").select("channel", "ix", (F.col("v") - F.col("threshold")).alias("v"), "threshold")
     points = de.spike_snapshots(shifted.select("channel", "ix", "v"), 0.0, fs, settings.spike_pre_time, settings.spike_post_time)
     lists = points.groupBy("channel", "ix").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("s"))  # a snapshot's samples
@@ -39,15 +40,19 @@ def sort_traces(trace: DataFrame, settings: Settings, fs: float, columns: tuple[
     """The whole job over traces (channel, ix, v): cut at breaches, spikes and waveforms, artefacts out, metrics, mixtures over
     cluster counts and seeds, labels under the best by BIC, low amplitudes to -1, intervals and L-ratios in a report.
 
-    Channels that are too short, or without a converged fit, end in `missing`. fs is in samples a second."""
+    Channels that are too short, or without a converged fit, end in `missing`. fs is in samples a second. Spikes, fits and
+    units are computed once and kept as checkpoints."""
     cutoffs = de.recording_cutoff(trace, int(fs), settings.breach_voltage_cutoff, settings.breach_max_breach_rate, settings.breach_max_breach_count, settings.breach_max_breach_avg)
     kept = de.truncated(trace, cutoffs, int(fs), 1)
     spikes = waveforms(kept, settings, fs)
     spikes = spikes.withColumn("amplitude", wf.amplitude(F.col("w"))).withColumn("energy", wf.energy(F.col("w"))).withColumn("slope", F.coalesce(wf.slope(F.col("w")), F.lit(0.0)))
+    spikes = settled(spikes)
     fits = cl.mixtures(spikes, "channel", list(columns), settings.cluster_min_clusters, settings.cluster_max_clusters, restarts or settings.cluster_random_restarts, settings.cluster_convergence_criterion, settings.cluster_max_iterations)
+    fits = settled(fits)
     models = cl.chosen_models(fits)
     units = cl.labelled(spikes, models, list(columns)).where("cluster is not null")
     units = qu.without_outliers(units, "amplitude", settings.cluster_intra_cluster_cutoff, "cluster", ["channel"]).withColumn("cluster", F.col("kept_cluster")).drop("kept_cluster")
+    units = settled(units)
     isi = tr.intervals(units.where("cluster >= 0").select("channel", "cluster", F.col("ix").cast("double").alias("at")), ["channel", "cluster"], "at", fs * 3600)
     violations = tr.isi_violations(isi, ["channel", "cluster"], F.col("isi") * 1000.0 / fs).drop("n", "n_isi")
     quality = qu.l_ratios(units, list(columns), "cluster", ["channel"]).join(violations, ["channel", "cluster"])

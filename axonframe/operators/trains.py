@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from axonframe.functions.ranks import cumulative
+
 
 def intervals(spikes: DataFrame, keys: list[str], time: str, width: float) -> DataFrame:
     """spikes with `isi`, the time since the key's spike before (null for the first).
@@ -135,11 +137,10 @@ def mean_difference(rows: DataFrame, keys: list[str], value: str, is_b: Column)
 def mann_whitney(rows: DataFrame, keys: list[str], value: str, is_b: Column) -> DataFrame:
     """(keys, n_a, n_b, u, z): U of A against B from tie counts, and its normal score with tie and continuity correction.
 
-    Values are counted first, so ranks come from one row a distinct value. Without spread z is 0.
+    Values are counted first, so ranks come from one row a distinct value, cut into ranges. Without spread z is 0.
     """
     v = rows.groupBy(*keys, F.col(value).alias("v")).agg(F.count_if(~is_b).alias("a"), F.count_if(is_b).alias("b"))
-    below = Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    u = v.withColumn("b_below", F.coalesce(F.sum("b").over(below), F.lit(0))).withColumn("t", F.col("a") + F.col("b"))
+    u = cumulative(v, keys, "v", ["b"]).withColumn("b_below", F.col("upto_b") - F.col("b")).withColumn("t", F.col("a") + F.col("b"))
     s = u.groupBy(*keys).agg(
         F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.sum(F.col("a") * (F.col("b_below") + F.col("b") / 2.0)).alias("u"), F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties")
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from axonframe.config import Settings
 from axonframe.functions import waveform as wf
+from axonframe.functions.ranks import quantiles
 from axonframe.operators import cluster as cl
 from axonframe.operators import curate as cu
 from axonframe.operators import detect as de
@@ -144,7 +145,9 @@ def isi_by_recording(spark, sf):
 @query(f"""with {TRN}, {REC}, d as (select unit, train.rec, (us - lag(us) over (partition by unit, train.rec order by us)) / fs / 1000.0::double as ms from train join rec on rec.rec = train.rec)
 select rec, count(*) as n, round(avg(ms), 6) as mean_ms, round(median(ms), 6) as median_ms from d group by 1""")
 def recording_interval_stats(spark, sf):
-    return rounded(_by_recording(spark, sf).groupBy("rec").agg(F.count("*").alias("n"), F.avg("ms").alias("mean_ms"), F.median("ms").alias("median_ms")))
+    gaps = _by_recording(spark, sf)
+    middle = quantiles(gaps, ["rec"], F.col("ms"), {"median_ms": 0.5})
+    return rounded(gaps.groupBy("rec").agg(F.count("*").alias("n"), F.avg("ms").alias("mean_ms")).join(middle, "rec"))
 
 
 @query(f"""with {TRN}, d as (select unit, (us - lag(us) over (partition by unit order by us)) / 60e6 as ms from train), c as (select unit, least(floor(ms), 10)::int as bin, count(*) as n from d where ms is not null group by 1, 2)
@@ -727,10 +730,10 @@ def referenced_or_raw(spark, sf):
 def ensemble_order(spark, sf):
     from pyspark.sql.window import Window
 
-    mid = src.train(spark, sf).groupBy("unit").agg(F.median(F.col("t") - F.floor(F.col("t") / 1440) * 1440).alias("mid"))
+    mid = quantiles(src.train(spark, sf), ["unit"], F.col("t") - F.floor(F.col("t") / 1440) * 1440, {"mid": 0.5})
     return rounded(mid.select("unit", F.col("mid").alias("median_t"), F.rank().over(Window.orderBy("mid")).alias("place")), 4)  # one row a unit
 
 
 @query(f"with {AE} select cluster, round(quantile_cont(amplitude, 0.95), 6) as p95 from ae group by 1")
 def held_unit_percentile(spark, sf):
-    return rounded(with_shape(spark, sf).groupBy("cluster").agg(F.percentile("amplitude", 0.95).alias("p95")))
+    return rounded(quantiles(with_shape(spark, sf), ["cluster"], F.col("amplitude"), {"p95": 0.95}))

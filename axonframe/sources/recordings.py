@@ -48,6 +48,20 @@ def encoded(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn("json", F.to_json(F.struct((F.base64(column) if kind == "binary" else F.col(column)).alias(column))))
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows computed once and kept in the checkpoint folder, which driver and executors share; what follows starts there.
+
+    The folder is the session's spark.checkpoint.dir; where that is unset, a local master gets one of its own."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(where or "/tmp/checkpoints")
+    return df.checkpoint()
+
+
 class Hdf5Channels(DataSource):
     """spark.read.format("hdf5_channels").option("path", file): spikes of the channels whose name holds a u; needs h5py."""
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from axonframe.functions import ranks
 from axonframe.operators import cluster, curate, detect, quality, trains
 
 
@@ -19,6 +20,36 @@ def test_runs_and_spikes(spark):
     assert sorted({r.ix for r in got.collect()}) == [1, 4]
 
 
+def test_runs_cross_stretches(spark):
+    ix = [0, 1, 2, 3, 4, 5, 8, 11, 12, 13, 15, 16, 17, 30]
+    t = spark.createDataFrame([(c, i, -9.0) for c in "ab" for i in ix], "channel string, ix long, v double")
+    want, run = [], 0
+    for i, x in enumerate(ix):
+        run += i == 0 or x != ix[i - 1] + 1
+        want.append((x, run))
+    for width in (1, 3, 4, 100):
+        got = detect.runs(t, ["channel"], width=width)
+        assert got.columns == ["channel", "ix", "v", "run"]
+        for c in "ab":
+            assert sorted((r.ix, r.run) for r in got.where(F.col("channel") == c).collect()) == want
+    assert detect.runs(t.limit(0), ["channel"]).count() == 0
+
+
+def test_cumulative_counts_and_quantiles(spark):
+    draw = np.random.default_rng(8)
+    data = {"a": draw.normal(size=501), "b": draw.integers(0, 4, 300).astype(float), "c": np.array([7.0]), None: draw.normal(size=12)}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in data.items() for v in vs] + [("a", None), ("d", None)], "k string, v double")
+    got = {r.k: r for r in ranks.quantiles(rows, ["k"], F.col("v"), {"low": 0.05, "mid": 0.5, "top": 1.0}).collect()}
+    assert set(got) == {*data, "d"}
+    for k, vs in data.items():
+        assert (got[k].low, got[k].mid, got[k].top) == pytest.approx(tuple(np.quantile(vs, [0.05, 0.5, 1.0])), abs=1e-12)
+    assert got["d"].mid is None
+    counts = rows.where("v is not null").groupBy("k", "v").agg(F.count("*").alias("n"))
+    for r in ranks.cumulative(counts, ["k"], "v", ["n"], 5).collect():
+        assert (r.upto_n, r.total_n) == ((data[r.k] <= r.v).sum(), len(data[r.k]))
+    assert ranks.quantiles(rows.limit(0), ["k"], F.col("v"), {"mid": 0.5}).count() == 0
+
+
 def test_bandpass_blocks(spark):
     n = 70_000
     x = np.sin(np.arange(n) / 7) + np.random.default_rng(1).standard_normal(n)

@@ -76,6 +76,10 @@ def words(text) -> F.Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), BLANKS), lambda w: w != "")
 
 
+#: Edges of a task in a round over few edges, and what counts as few; more edges are dealt as the session is set to.
+EDGES, FEW = 250_000, 1_000_000
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list as rows (node, component), component the smallest node.
 
@@ -83,7 +87,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ignored. Each round makes every node point to the smallest neighbour, first from larger
     neighbours (large star) and then among smaller ones (small star), until the edges are stars
     around the smallest node. Only minima are aggregated, so a hub's neighbours never meet in one
-    row, and each round ends in a written table.
+    row, and each round ends in a written table. A round over few edges takes as many tasks as these need, dealt by node
+    once, instead of all of the session's shuffle partitions several times.
     """
     with scratch(edges.sparkSession):
         return saved(_stars(edges.select(F.col(a).alias("p"), F.col(b).alias("q"))), keep=True)
@@ -92,15 +97,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def _stars(edges: DataFrame) -> DataFrame:
     start = edges.where("p is not null and q is not null and p <> q")
     now = saved(start.select(F.least("p", "q").alias("r"), F.greatest("p", "q").alias("n")).distinct())
-    seen = None
+    seen, k = None, now.count()
     while True:
-        both = now.union(now.select("n", "r")).toDF("n", "x")
+        tasks = k // EDGES + 1
+        dealt = lambda df: df.repartition(tasks, "n") if k <= FEW else df  # noqa: E731, B023
+        both = dealt(now.union(now.select("n", "r")).toDF("n", "x"))
         low = both.groupBy("n").agg(F.least("n", F.min("x")).alias("m"))
-        large = both.join(low, "n").where("x > n").select(F.col("m").alias("r"), F.col("x").alias("n")).distinct()
+        large = dealt(both.join(low, "n").where("x > n").select(F.col("m").alias("r"), F.col("x").alias("n"))).distinct()
         low = large.groupBy("n").agg(F.min("r").alias("m"))
         small = large.join(low, "n").where("r <> m").select(F.col("m").alias("r"), F.col("r").alias("n"))
-        now = saved(small.union(low.select("m", "n")).where("r <> n").distinct())
+        now = saved(dealt(small.union(low.select("m", "n")).where("r <> n")).distinct())
         state = now.agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("n", "r")).alias("s")).first()
         if state == seen or state["k"] == 0:
             return now.select(F.col("n").alias("node"), F.col("r").alias("component")).union(now.select("r", "r").distinct())
-        seen = state
+        seen, k = state, state["k"]

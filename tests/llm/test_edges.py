@@ -1,5 +1,6 @@
 """Every operator on rough rows and on an empty table."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +117,28 @@ def test_mixing(rough, empty):
     assert ordered.columns == rough.columns and ordered.count() == rough.count()
     weighed = mixing.mix_sources(rough, weights={"a": 3, "b": 1}, resolution=10).groupBy("src").agg(F.max("slot").alias("s")).collect()
     assert {r.src for r in weighed} == {"=a", "=b", "=c", "null"}
+
+
+def test_components_of_chains_stars_and_loops(spark, monkeypatch):
+    """Against a plain union-find, in few tasks and as the session is set to; loops, repeats and nulls are no edges."""
+    from axonframe.llm import common
+
+    draw = np.random.default_rng(4)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(7, int(x)) for x in draw.integers(1000, 1300, 200)] + [tuple(map(int, e)) for e in draw.integers(2000, 2600, (250, 2))]
+    edges += [(5, 5), (None, 3), (4, None), (101, 100)]
+    root = {x: x for e in edges if None not in e and e[0] != e[1] for x in e}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a in root and b in root and a != b:
+            low, high = sorted((top(a), top(b)))
+            root[high] = low
+    df = spark.createDataFrame(edges, "a long, b long")
+    for few in (0, 1_000_000):
+        monkeypatch.setattr(common, "FEW", few)
+        assert {r.node: r.component for r in common.components(df).collect()} == {x: top(x) for x in root}
+        assert common.components(df.limit(0)).count() == 0

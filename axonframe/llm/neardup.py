@@ -4,10 +4,10 @@ A document's set holds its distinct five-word shingles, as 64-bit hashes. Its sk
 falls into one by its first bits, and the register keeps the smallest of a second hash as the number of leading
 zeros and ten mantissa bits. Documents with equal sets form a class, and one of them stands for it. Bands of four
 registers (empty ones filled from others chosen by hash) give buckets, and each bucket pairs one member, the one that
-shares most buckets, with the others. Links are confirmed on whole sets: first one pair for each document, then the
-pairs whose ends are still apart and whose estimated similarity allows it, last what else a bucket holds whose ends are
-still apart: pairs of small buckets one by one, large buckets block against block, where only pairs whose estimates
-allow a link come out. No pair that shares a bucket goes unchecked unless it is connected already.
+shares most buckets, with the others. Pairs whose estimated similarity allows a link are confirmed on whole sets: first
+one pair for each document, then the pairs whose ends are still apart, last what else a bucket holds whose ends are still
+apart: pairs of small buckets one by one, in large buckets the documents outside its main component, in blocks, against
+themselves and the rest. No pair that shares a bucket goes unchecked unless it is connected already.
 """
 
 from __future__ import annotations
@@ -195,10 +195,14 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _of_blocks(mixed: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of large buckets in different components that may link: (key, id, n, component, size), blocks of a
-    bucket each against each. A pair that shares several buckets counts in the first of its bands."""
-    cut = mixed.withColumn("k", F.ceil(F.col("size") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), "k"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    """Pairs (a, b) of large buckets in different components that may link: (key, id, n, component, main, most, size), where
+    most rows of a bucket are of its main component. The first blocks hold the outsiders and meet every block; the others
+    hold the main component and meet only those, so a few outsiders do not deal a large bucket again and again. A pair
+    that shares several buckets counts in the first of its bands."""
+    cut = mixed.withColumn("outer", F.ceil((F.col("size") - F.col("most")) / BLOCK)).withColumn("k", F.col("outer") + F.ceil(F.col("most") / BLOCK))
+    outside, at = F.col("component") != F.col("main"), F.xxhash64("id")
+    cut = cut.withColumn("own", F.when(outside, F.pmod(at, "outer")).otherwise(F.col("outer") + F.pmod(at, F.col("k") - F.col("outer"))))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(outside, F.col("k")).otherwise(F.col("outer")) - 1)))
     dealt = cut.select("key", "id", "n", "component", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).join(sketches.select("id", "sketch"), "id")
 
     def compare(group: pa.Table) -> pa.Table:
@@ -255,7 +259,7 @@ def _class_labels(docs: DataFrame, sketches: DataFrame, classes: DataFrame, by_s
 
     best = stars.groupBy("b").agg(F.min(F.struct((-F.col("c")).alias("c"), "a")).alias("m")).select("m.a", "b")
     best = saved(best)
-    links = saved(_confirmed(best, texts, percent))
+    links = saved(_confirmed(_likely(best, reps, percent), texts, percent))
     labels = components(links)
 
     rest = _apart(stars.select("a", "b").join(best, ["a", "b"], "left_anti"), labels)
@@ -265,7 +269,7 @@ def _class_labels(docs: DataFrame, sketches: DataFrame, classes: DataFrame, by_s
     own = bands.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     counted = own.groupBy("key", "component").agg(F.count("*").alias("c"))
     main = counted.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k"), F.sum("c").alias("size"))
-    mixed = saved(own.join(main.where("k > 1").select("key", "size", F.col("m.component").alias("main")), "key"))
+    mixed = saved(own.join(main.where("k > 1").select("key", "size", F.col("m.component").alias("main"), F.col("m.c").alias("most")), "key"))
     small = mixed.where(f"size <= {SMALL}")
     x = small.where("component <> main").select("key", F.col("id").alias("a"), "n", F.col("component").alias("ca"))
     y = small.select("key", F.col("id").alias("b"), F.col("n").alias("n_first"), F.col("component").alias("cb"), "main")

@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding: an Aho-Corasick automaton over the pieces drives one pass over each text.
 
-At every position the automaton's output links give the pieces that end there. For a unigram model they relax
-the best sum of scores (Viterbi). The scores of a BPE model are merge ranks, whose best sum is not the model's
-encoding; for such a model a position's only candidate that counts is the one that may follow the last piece of
-the encoding up to its start, which makes the same single pass give exactly the merges' result.
+At every position the automaton's output links give the pieces that end there, and they relax the best sum of scores
+(Viterbi). The scores of a BPE model are merge ranks, whose best sum over all paths is not the model's encoding; for such
+a model a piece relaxes a position only if the merges leave it whole after the last piece of the best path up to its
+start, and the paths of such pairs are exactly the merges' results. Words with two blanks in a row, whose pieces tie in
+score, are merged.
 """
 
 from __future__ import annotations
@@ -94,7 +95,7 @@ class PieceCoder:
         self.automaton = ahocorasick.Automaton()
         for p in self.ids:
             if not model["bpe"] or len(p) == 1 or p in model["splits"]:
-                self.automaton.add_word(p, p)
+                self.automaton.add_word(p, (len(p), self.score[p], p))
         self.automaton.make_automaton()
         if any(BLANK in p.lstrip(BLANK) for p in self.ids):
             self.parts = re.compile(".+", re.S)
@@ -143,30 +144,27 @@ class PieceCoder:
         return out
 
     def best(self, s: str) -> list[str]:
-        """One pass over characters that all have pieces."""
-        n = len(s)
+        """Viterbi in one pass over characters that all have pieces: each piece that output links give at an end relaxes the
+        best sum there. In a BPE model a piece that may not follow the best path up to its start relaxes nothing."""
+        n, bpe, known, may_follow = len(s), self.model["bpe"], self.follows.get, self.may_follow
         last: list[str | None] = [None] * (n + 1)
-        if self.model["bpe"]:
-            known, may_follow = self.follows.get, self.may_follow
-            for end, piece in self.automaton.iter(s):
-                if last[end + 1] is None:
-                    start = end + 1 - len(piece)
-                    if start:
-                        before = last[start]
-                        if before is None:
-                            continue
-                        ok = known((before, piece))
-                        if ok is None:
-                            ok = may_follow(before, piece)
-                        if not ok:
-                            continue
-                    last[end + 1] = piece
-        else:
-            total = [0.0] + [-np.inf] * n
-            for end, piece in self.automaton.iter(s):
-                value = total[end + 1 - len(piece)] + self.score[piece]
-                if value > total[end + 1]:
-                    total[end + 1], last[end + 1] = value, piece
+        total = [0.0] + [-np.inf] * n
+        for end, (size, score, piece) in self.automaton.iter(s):
+            end += 1
+            if bpe and last[end]:  # of a BPE model's pieces only one may end here
+                continue
+            start = end - size
+            if start:
+                before = last[start]
+                if before is None:
+                    continue
+                if bpe:
+                    ok = known((before, piece))
+                    if not (may_follow(before, piece) if ok is None else ok):
+                        continue
+            value = total[start] + score
+            if value > total[end]:
+                total[end], last[end] = value, piece
         out, i = [], n
         while i:
             out.append(last[i])

@@ -70,6 +70,42 @@ def test_lines_against_sql(spark):
     same_as_sql(lines.op7_line_dedup(spark, SF), lines.SQL)
 
 
+def test_lines_of_a_family_against_brute_force(spark, monkeypatch):
+    """Lines around one original, some pairs above the similarity and many below it, in blocks."""
+    monkeypatch.setattr(lines, "BLOCK", 16)
+    rng = random.Random(8)
+    base = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(150))
+    every = []
+    for _ in range(70):
+        line = list(base)
+        for _ in range(rng.randint(0, 4)):
+            line[rng.randrange(len(line))] = rng.choice("ABCDEFGHIJ")
+        every.append("".join(line))
+    every = sorted(set(every))
+    sets = [{t[i : i + 8] for i in range(len(t) - 7)} for t in every]
+    parent = list(range(len(every)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(every)):
+        for j in range(i):
+            shared = len(sets[i] & sets[j])
+            if 100 * shared >= 80 * (len(sets[i]) + len(sets[j]) - shared):
+                parent[root(i)] = root(j)
+    df = spark.createDataFrame([(t,) for t in every], "line string")
+    named = lines._named(df).join(lines.fuzzy_components(df), ["h1", "h2"], "left").collect()
+    got = collections.defaultdict(set)
+    for r in named:
+        got[r.line if r.component is None else r.component].add(r.line)
+    want = collections.defaultdict(set)
+    for i, t in enumerate(every):
+        want[root(i)].add(t)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values())) and 1 < len(want) < len(every)
+
+
 def test_large_bucket_in_blocks(spark, monkeypatch):
     """A family around one original, some links above the similarity and some below: blocks find what brute force finds."""
     monkeypatch.setattr(neardup, "SMALL", 4)

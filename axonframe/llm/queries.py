@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, licenses, lines, mixing, neardup, ngrams, pieces, private, quality, vectors
+from . import language, leaks, licenses, lines, mixing, neardup, ngrams, pieces, private, quality, spelling, vectors
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_pii_pseudonyms": private.op9_pii_pseudonyms,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
+    "op13_benchmark_decontamination": leaks.op13_benchmark_decontamination,
 }
 SQL = {
     "op2_quality_rules": quality.SQL,
@@ -22,4 +24,6 @@ SQL = {
     "op6_embedding_near_dedup": vectors.SQL,
     "op7_line_dedup": lines.SQL,
     "op10_mix_sources": mixing.SQL,
+    "op12_spelling_variants": spelling.SQL,
+    "op13_benchmark_decontamination": leaks.SQL,
 }

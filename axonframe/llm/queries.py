@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language, leaks, licenses, lines, mixing, neardup, ngrams, pieces, private, quality, spelling, vectors
+from . import language, leaks, licenses, lines, mixing, neardup, ngrams, pieces, private, quality, spelling, tries, vectors
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_pii_pseudonyms": private.op9_pii_pseudonyms,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_conversation_trie": tries.op11_conversation_trie,
     "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_benchmark_decontamination": leaks.op13_benchmark_decontamination,
 }
@@ -24,6 +25,7 @@ SQL = {
     "op6_embedding_near_dedup": vectors.SQL,
     "op7_line_dedup": lines.SQL,
     "op10_mix_sources": mixing.SQL,
+    "op11_conversation_trie": tries.SQL,
     "op12_spelling_variants": spelling.SQL,
     "op13_benchmark_decontamination": leaks.SQL,
 }

@@ -1,20 +1,21 @@
-"""Reduction and clustering: PCA, component counts, Gaussian mixtures over a grid of cluster counts and seeds, model choice."""
+"""Reduction and clustering: PCA, component counts, the grid of mixtures, model choice, feature tables."""
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from axonframe.functions import waveform as wf
-from axonframe.functions.ranks import cumulative
+from axonframe.functions.ranks import _same, cumulative
+from axonframe.operators.mixture import bic, chosen_models, labelled, mixtures, solution_models
+from axonframe.operators.moments import components, projected
+
+__all__ = ["bic", "chosen_models", "labelled", "mixtures", "solution_models"]
 
 
 def pca_model(rows: DataFrame, column: str = "w", k: int | None = None):
@@ -32,16 +33,37 @@ def pca_scores(rows: DataFrame, k: int = 3, column: str = "w") -> DataFrame:
     return scored.withColumn("pcs", vector_to_array("pcs")).drop("raw", "centred")
 
 
-def variance_curve(ratios: DataFrame, limit: float = 0.999) -> DataFrame:
-    """(component, ratio, cumulative) up to the first component that brings the sum above the limit; ratios (component, ratio)."""
-    w = Window.orderBy("component").rowsBetween(Window.unboundedPreceding, 0)  # one row a component
+def variance_curve(ratios: DataFrame, limit: float = 0.999, keys: list[str] | None = None) -> DataFrame:
+    """(keys, component, ratio, cumulative) up to the first component that brings a key's sum above the limit; ratios (keys, component,
+    ratio), components from 0 in falling order. Null ratios give no rows."""
+    w = Window.partitionBy(*(keys or [])).orderBy("component").rowsBetween(Window.unboundedPreceding, 0)  # one row a component
     total = ratios.withColumn("cumulative", F.sum("ratio").over(w))
     return total.where(F.col("cumulative") - F.col("ratio") <= limit)
 
 
-def component_count(ratios: DataFrame, share: float = 0.95) -> DataFrame:
-    """(n): components until their share of the variance is above `share`."""
-    return variance_curve(ratios, share).agg(F.count("*").alias("n"))
+def component_count(ratios: DataFrame, share: float = 0.95, keys: list[str] | None = None) -> DataFrame:
+    """(keys, n): components until their share of the variance is above `share`; keys without variance are left out."""
+    return variance_curve(ratios, share, keys).groupBy(*(keys or [])).agg(F.count("*").alias("n"))
+
+
+def channel_components(spikes: DataFrame, settings_share: float | None = 0.95, fixed: int = 5, channel: str = "channel", column: str = "w") -> DataFrame:
+    """(channel, n, mean, axes, ratios, n_pc): the principal components of each channel's waveforms by their energy, in one job,
+    and how many count: until their share of the variance is above settings_share, or `fixed` of them if that is None. A channel
+    without variance has none."""
+    found = components(spikes.withColumn("_scaled", wf.scaled(F.col(column))), [channel], "_scaled")
+    if settings_share is None:
+        return found.withColumn("n_pc", F.when(F.col("ratios").isNull(), 0).otherwise(F.least(F.lit(fixed), F.size("mean"))))
+    count = component_count(found.select(channel, F.posexplode("ratios").alias("component", "ratio")), settings_share, [channel])
+    return _same(found, count.withColumn("n", F.col("n").cast("int")).withColumnRenamed("n", "n_pc"), [channel], "left").fillna(0, ["n_pc"])
+
+
+def channel_metrics(spikes: DataFrame, models: DataFrame, channel: str = "channel", column: str = "w") -> DataFrame:
+    """spikes with `amplitude`, `energy`, `slope`, `pcs` (scores on the channel's counted components) and `x`, all of these in an
+    array. A waveform without a slope (its least sample is the first) has slope 0; one of zero energy has no scores and no x."""
+    w = F.col(column)
+    shaped = spikes.withColumn("amplitude", wf.amplitude(w)).withColumn("energy", wf.energy(w)).withColumn("slope", F.coalesce(wf.slope(w), F.lit(0.0)))
+    scored = projected(shaped.withColumn("_scaled", wf.scaled(w)), models, [channel], "_scaled").drop("_scaled")
+    return scored.withColumn("x", F.when(F.col("pcs").isNotNull(), F.concat(F.array("amplitude", "energy", "slope"), "pcs")))
 
 
 def lilliefors(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -74,184 +96,6 @@ def cluster_grid(channels: DataFrame, least: int = 2, most: int = 7, restarts: i
     return grid.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))))
 
 
-#: Rows of a channel, its sample by hash, from which a fit's first means come.
-START_ROWS = 4096
-#: Rows of the largest channel whose fits run within one group; larger ones are fitted by a Spark job an iteration.
-GROUP_ROWS = 1_000_000
-FIT = "k int, seed int, n long, converged boolean, log_likelihood double, bic double, weights array<double>, means array<array<double>>, covs array<array<array<double>>>"
-
-
-def bic(log_likelihood: float, n: int, k: int, d: int) -> float:
-    """-2 lnL + p ln n with the p free numbers of a mixture of k full-covariance components in d dimensions."""
-    p = k * d * (d + 1) / 2 + k * d + k - 1
-    return -2 * log_likelihood + p * math.log(n)
-
-
-def first_means(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k rows of the sample, each after the first drawn by its squared distance to the ones before."""
-    rng = np.random.default_rng(seed)
-    centres = [sample[rng.integers(len(sample))]]
-    for _ in range(1, k):
-        gap = np.min([((sample - c) ** 2).sum(1) for c in centres], axis=0)
-        centres.append(sample[rng.choice(len(sample), p=gap / gap.sum())] if gap.sum() > 0 else sample[rng.integers(len(sample))])
-    return np.array(centres)
-
-
-def log_densities(x: np.ndarray, model: tuple) -> np.ndarray:
-    """The log of weight times density of each component (columns) at each row; model (weights, means, covs)."""
-    out = np.empty((len(x), len(model[0])))
-    for j, (weight, mean, cov) in enumerate(zip(*model, strict=True)):
-        root = np.linalg.cholesky(cov)
-        out[:, j] = np.log(weight) - (np.linalg.solve(root, (x - mean).T) ** 2).sum(0) / 2 - np.log(np.diag(root)).sum() - x.shape[1] * np.log(2 * np.pi) / 2
-    return out
-
-
-def moments(x: np.ndarray, model: tuple | np.ndarray) -> tuple:
-    """What rows add to a step: the log-likelihood, and each component's share, sum and sum of outer products. A model of
-    means alone shares rows out to the nearest."""
-    if isinstance(model, tuple):
-        logs = log_densities(x, model)
-        top = logs.max(1)
-        each = top + np.log(np.exp(logs - top[:, None]).sum(1))
-        share, total = np.exp(logs - each[:, None]), each.sum()
-    else:
-        share, total = np.eye(len(model))[np.argmin([((x - c) ** 2).sum(1) for c in model], axis=0)], 0.0
-    return total, share.sum(0), share.T @ x, np.einsum("nk,ni,nj->kij", share, x, x, optimize=True)
-
-
-def next_model(found: tuple, n: int, ridge: float = 1e-6) -> tuple:
-    """(weights, means, covs) from the moments of all rows."""
-    _, weight, sums, squares = found
-    weight = weight + 1e-12
-    means = sums / weight[:, None]
-    covs = squares / weight[:, None, None] - means[:, :, None] * means[:, None, :]
-    return weight / weight.sum(), means, covs + ridge * np.eye(means.shape[1])
-
-
-def fit_steps(start: np.ndarray, n: int, step, tol: float, most: int) -> tuple:
-    """(model, log-likelihood, converged): expectation-maximisation with step(model), the moments of all rows under it, until
-    the mean log-likelihood changes by less than tol."""
-    model, before = next_model(step(start), n), -np.inf
-    for _ in range(most):
-        found = step(model)
-        if abs(found[0] / n - before) < tol:
-            return model, float(found[0]), True
-        before, model = found[0] / n, next_model(found, n)
-    return model, float(step(model)[0]), False
-
-
-def _fitted(k: int, seed: int, n: int, found: tuple, centre: np.ndarray) -> tuple:
-    (weights, means, covs), log_likelihood, converged = found
-    return k, seed, n, converged, log_likelihood, bic(log_likelihood, n, k, len(centre)), weights.tolist(), (means + centre).tolist(), covs.tolist()
-
-
-def mixtures(rows: DataFrame, channel: str, columns: list[str], least: int = 2, most: int = 7, restarts: int = 10, tol: float = 1e-4, steps: int = 1000, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(channel, k, seed, n, converged, log_likelihood, bic, weights, means, covs): a mixture for each channel, cluster count and seed.
-
-    Channels of up to group_rows rows are fitted in groups, one for each channel and count, all seeds in turn; larger ones
-    by jobs over all their rows, an iteration of all their fits each, of which only moments reach the driver. Both ways take
-    the same steps. Rows with a null or no number in a column are left out; a channel of fewer rows than k has no such fit.
-    """
-    kind = rows.schema[channel].dataType
-    schema = T.StructType([T.StructField("channel", kind), *T._parse_datatype_string(FIT).fields])
-    x = rows.select(F.col(channel).alias("channel"), F.array(*[F.col(c).cast("double") for c in columns]).alias("x")).where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v)))
-    x = x.withColumn("h", F.xxhash64("x"))
-    large = [r["channel"] for r in x.groupBy("channel").agg(F.count("*").alias("n")).where(F.col("n") > group_rows).select("channel").collect()]  # one row a million
-    small = x.where(F.coalesce(~F.col("channel").isin(large), F.lit(True))) if large else x
-
-    def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        k = int(key[1])
-        data = np.stack(group.sort_values("h", kind="stable")["x"].to_numpy())
-        n, centre = len(data), np.sort(data, axis=0).mean(0)
-        data = data - centre  # in the order of hashes, whatever the order of arrival
-        out = []
-        for seed in range(restarts if n >= k else 0):
-            out.append((key[0], *_fitted(k, seed, n, fit_steps(first_means(data[:START_ROWS], k, seed), n, lambda m: moments(data, m), tol, steps), centre)))
-        return pd.DataFrame(out, columns=schema.names)
-
-    counts = small.withColumn("k", F.explode(F.sequence(F.lit(least), F.lit(most))))
-    fits = counts.groupBy("channel", "k").applyInPandas(fit, schema)
-    for name in large:
-        own = x.where(F.col("channel") == F.lit(name)).select("x", "h")
-        fits = fits.union(rows.sparkSession.createDataFrame([(name, *f) for f in _large_fits(own, least, most, restarts, tol, steps)], schema))
-    return fits
-
-
-def _large_fits(x: DataFrame, least: int, most: int, restarts: int, tol: float, steps: int) -> list[tuple]:
-    """The fits of one channel (x, h) by Spark jobs: each sums the moments of all fits that still move, partition by partition."""
-    n = x.count()
-    d = len(x.first()["x"])
-    centre = np.array(x.agg(*[F.avg(F.col("x")[i]) for i in range(d)]).first())
-    sample = np.array([r["x"] for r in x.orderBy("h").limit(START_ROWS).collect()]) - centre
-    models: dict = {(k, seed): first_means(sample, k, seed) for k in range(least, most + 1) for seed in range(restarts)}
-    before, done = dict.fromkeys(models, -np.inf), {}
-
-    def summed(batches):
-        total: dict = {}
-        for batch in batches:
-            data = np.stack(batch["x"].to_numpy()) - centre
-            for at in range(0, len(data), 100_000):
-                for key, model in moving.items():
-                    found = moments(data[at : at + 100_000], model)
-                    total[key] = found if key not in total else tuple(p + q for p, q in zip(total[key], found, strict=True))
-        if total:
-            yield pd.DataFrame([(*key, *[np.asarray(p, float).ravel().tolist() for p in found]) for key, found in total.items()], columns=["k", "seed", "l", "w", "s", "q"])
-
-    for turn in range(steps + 2):
-        moving = {key: m for key, m in models.items() if key not in done}
-        if not moving:
-            break
-        parts = x.select("x").mapInPandas(summed, "k int, seed int, l array<double>, w array<double>, s array<double>, q array<double>")
-        cells = parts.unpivot(["k", "seed"], ["l", "w", "s", "q"], "what", "v").select("k", "seed", "what", F.posexplode("v").alias("i", "v"))
-        found: dict = {}
-        for r in cells.groupBy("k", "seed", "what", "i").agg(F.sum("v").alias("v")).collect():  # k * (1 + d + d * d) + 1 numbers a fit
-            found.setdefault((r["k"], r["seed"]), {}).setdefault(r["what"], {})[r["i"]] = r["v"]
-        for key, got in found.items():
-            k = key[0]
-            flat = {what: np.array([v[i] for i in range(len(v))]) for what, v in got.items()}
-            step = flat["l"][0], flat["w"], flat["s"].reshape(k, d), flat["q"].reshape(k, d, d)
-            if turn and (abs(step[0] / n - before[key]) < tol or turn > steps):
-                done[key] = (models[key], float(step[0]), bool(abs(step[0] / n - before[key]) < tol))
-            else:
-                before[key], models[key] = step[0] / n if turn else -np.inf, next_model(step, n)
-    return [_fitted(k, seed, n, found, centre) for (k, seed), found in sorted(done.items())]
-
-
-def labelled(rows: DataFrame, models: DataFrame, columns: list[str], channel: str = "channel") -> DataFrame:
-    """rows with `cluster` (from 0), the component of the greatest posterior under the model of their channel, and `log_density`.
-
-    models has one row a channel (channel, weights, means, covs). Rows without a model or with a null or no number get null.
-    """
-    schema = T.StructType([*rows.schema.fields, T.StructField("cluster", T.IntegerType()), T.StructField("log_density", T.DoubleType())])
-    one = models.select(F.col("channel").alias("model_of"), "weights", "means", "covs")
-    met, kept = rows.join(one, rows[channel].eqNullSafe(one["model_of"]), "left").drop("model_of"), rows.columns
-
-    def run(batches):
-        for batch in batches:
-            x = batch[columns].astype(float).to_numpy().reshape(len(batch), len(columns))
-            cluster, dense = np.full(len(batch), -1), np.full(len(batch), np.nan)
-            sound = np.isfinite(x).all(1) & batch["weights"].notna().to_numpy()
-            for _, places in pd.Series(np.arange(len(batch)))[sound].groupby(batch[channel].astype(str).to_numpy()[sound]):
-                first = batch.iloc[places.iloc[0]]
-                deep = lambda a, n: np.array([deep(y, n - 1) for y in a] if n else a, float)
-                logs = log_densities(x[places], (deep(first["weights"], 0), deep(first["means"], 1), deep(first["covs"], 2)))
-                cluster[places], dense[places] = logs.argmax(1), np.logaddexp.reduce(logs, axis=1)
-            out = batch[kept].copy()
-            out["cluster"] = pd.array(np.where(cluster < 0, None, cluster), "Int32")
-            out["log_density"] = pd.array(np.where(np.isnan(dense), None, dense), "Float64")
-            yield out
-
-    return met.mapInPandas(run, schema)
-
-
-def chosen_models(fits: DataFrame) -> DataFrame:
-    """(channel, k, seed, bic, weights, means, covs): of each channel's converged fits the one with the least BIC, the first of equals."""
-    best = fits.where("converged").groupBy("channel").agg(F.min(F.struct("bic", "k", "seed")).alias("m"))
-    keys = best.select(F.col("channel").alias("c"), F.col("m.k").alias("bk"), F.col("m.seed").alias("bs"))
-    hit = F.col("channel").eqNullSafe(F.col("c")) & (F.col("k") == F.col("bk")) & (F.col("seed") == F.col("bs"))
-    return fits.join(keys, hit).select("channel", "k", "seed", "bic", "weights", "means", "covs")
-
-
 def metric_table(spikes: DataFrame, n_pc: int = 3) -> DataFrame:
     """spikes with `amplitude`, `energy`, `slope` and `pc0`, …: the principal components of the waveforms by their energy."""
     w = F.col("w")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,18 +54,20 @@ def detected_spikes(trace: DataFrame, threshold: float) -> DataFrame:
     return low.select("channel", "run", F.col("m.ix").alias("ix"), F.col("m.v").alias("v"))
 
 
-def snapshot_bounds(fs: float, pre_ms: float, post_ms: float) -> tuple[int, int]:
-    """Samples from the first, before the spike, to the one after the last: cut toward zero, a tenth of a millisecond wider each way."""
-    return -int((pre_ms + 0.1) * (fs / 1000)), 1 + int((post_ms + 0.1) * (fs / 1000))
+def snapshot_places(fs: float, pre_ms: float, post_ms: float) -> list[int]:
+    """Offsets of a snapshot's samples from the spike: steps of one from a tenth of a millisecond before the first to one after the
+    last, each cut toward zero, so that the spike's own sample stands twice where the first step is not whole."""
+    first, end = -(pre_ms + 0.1) * fs / 1000, 1 + (post_ms + 0.1) * fs / 1000
+    return [int(first + i) for i in range(math.ceil(end - first))]
 
 
 def spike_snapshots(trace: DataFrame, threshold: float, fs: float, pre_ms: float = 0.5, post_ms: float = 1.0) -> DataFrame:
     """(channel, ix, pos, v): samples around each spike; spikes whose snapshot leaves the trace are dropped."""
-    low, high = snapshot_bounds(fs, pre_ms, post_ms)
+    places = snapshot_places(fs, pre_ms, post_ms)
     found = detected_spikes(trace, threshold).select("channel", "ix")
-    wanted = found.select("channel", F.col("ix").alias("spike"), F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("at")).withColumn("ix", F.col("spike") + F.col("at"))
-    got = wanted.join(trace, ["channel", "ix"]).withColumn("n", F.count("*").over(Window.partitionBy("channel", "spike")))
-    return got.where(F.col("n") == high - low).select("channel", F.col("spike").alias("ix"), (F.col("at") - low).alias("pos"), "v")
+    wanted = found.select("channel", F.col("ix").alias("spike"), F.posexplode(F.array(*[F.lit(p) for p in places])).alias("pos", "at"))
+    got = wanted.withColumn("ix", F.col("spike") + F.col("at")).join(trace, ["channel", "ix"]).withColumn("n", F.count("*").over(Window.partitionBy("channel", "spike")))
+    return got.where(F.col("n") == len(places)).select("channel", F.col("spike").alias("ix"), F.col("pos").cast("long").alias("pos"), "v")
 
 
 def recording_cutoff(trace: DataFrame, fs: int, voltage: float, max_rate: float, max_secs: int, max_mean: float) -> DataFrame:
@@ -98,16 +104,18 @@ def without_artifacts(trace: DataFrame, deviations: float = 10.0) -> DataFrame:
     return trace.join(spread, "channel").where(F.abs("v") < deviations * F.col("sd")).select(*trace.columns)
 
 
+def bandpass_kernel(fs: float, low: float, high: float, taps: int = 101) -> np.ndarray:
+    """A windowed-sinc kernel (Hamming) that passes frequencies from low to high."""
+    k = np.arange(taps) - taps // 2
+    sinc = lambda f: 2 * f / fs * np.sinc(2 * f / fs * k)
+    return (sinc(high) - sinc(low)) * np.hamming(taps)
+
+
 def bandpass(trace: DataFrame, fs: float, low: float, high: float, taps: int = 101) -> DataFrame:
     """(channel, ix, v): a windowed-sinc FIR filter (Hamming); ends see zeros. Samples go to blocks with half a filter of
     margin on both sides, so a task filters a block and no window spans a channel."""
-    import numpy as np
-    import pandas as pd
-
     half, block = taps // 2, 65_536
-    k = np.arange(taps) - half
-    sinc = lambda f: 2 * f / fs * np.sinc(2 * f / fs * k)
-    kernel = (sinc(high) - sinc(low)) * np.hamming(taps)
+    kernel = bandpass_kernel(fs, low, high, taps)
     near = F.array_distinct(F.array(F.expr(f"(ix - {half}) div {block}"), F.expr(f"ix div {block}"), F.expr(f"(ix + {half}) div {block}")))
     dealt = trace.withColumn("block", F.explode(near)).where("block >= 0")
 

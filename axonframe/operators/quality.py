@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axonframe.functions.ranks import quantiles
+from axonframe.operators.moments import grouped_moments, matrix, sound, with_models
 
 
 def cluster_models(rows: DataFrame, columns: list[str], cluster: str = "cluster") -> DataFrame:
@@ -128,6 +130,51 @@ def l_ratios(rows: DataFrame, columns: list[str], cluster: str = "cluster", keys
     return found.select(*[F.col(f"_model.{c}").alias(c) for c in [*keys, cluster]], "n", ratio.alias("l_ratio"))
 
 
+def chi2_tail(x: np.ndarray, df: int) -> np.ndarray:
+    """As `chi2_sf`, for arrays."""
+    half = x / 2
+    if df % 2 == 0:
+        return np.exp(-half) * sum(half**j / math.factorial(j) for j in range(df // 2))
+    terms = sum((half ** (j + 0.5) / math.gamma(j + 1.5) for j in range((df - 1) // 2)), np.zeros(len(x)))
+    return np.array([math.erfc(v) for v in np.sqrt(half)]) + np.exp(-half) * terms
+
+
+def _sound_inverse(cov: np.ndarray) -> np.ndarray | None:
+    """The inverse of a covariance, None if it has none to speak of."""
+    scale = np.sqrt(np.abs(np.diag(cov))) if np.isfinite(cov).all() else np.zeros(len(cov))
+    if not (scale > 0).all() or np.linalg.cond(unit := cov / np.outer(scale, scale)) >= 1e12:
+        return None
+    return np.linalg.inv(unit) / np.outer(scale, scale)
+
+
+def isolation(rows: DataFrame, channel: str, solution: str, x: str = "x", cluster: str = "cluster") -> DataFrame:
+    """(channel, solution, cluster, n, l_ratio): as `l_ratios`, of arrays whose length may differ between channels.
+
+    The clusters' moments come from one pass; rows meet those of their channel and solution as `with_models` says."""
+    of = [channel, solution]
+    moments = grouped_moments(rows.where(F.col(cluster) >= 0), [*of, cluster], x)
+    models = moments.groupBy(*of).agg(F.collect_list(F.struct(F.col(cluster).alias("cluster"), "n", "mean", "m2")).alias("clusters"))
+    schema = T.StructType([*[rows.schema[k] for k in [*of, cluster]], T.StructField("far", T.DoubleType()), T.StructField("sound", T.BooleanType())])
+
+    def run(batch: pa.RecordBatch, model: dict | None) -> pa.RecordBatch:
+        found = []
+        if model:
+            data, labels = matrix(batch.column(x)), batch.column(cluster).to_numpy(zero_copy_only=False)
+            for c in model["clusters"]:
+                d, inverse = data.shape[1], None
+                if c["n"] > 1:
+                    inverse = _sound_inverse(np.array(c["m2"]).reshape(d, d) / (c["n"] - 1))
+                off = data[labels != c["cluster"]] - np.array(c["mean"])
+                far = 0.0 if inverse is None else float(chi2_tail(np.maximum(((off @ inverse) * off).sum(1), 0), d).sum())
+                found.append((c["cluster"], far, inverse is not None))
+        keys = [pa.array([model[k] if model else None] * len(found), batch.schema.field(k).type) for k in of]
+        labels, far, fine = zip(*found, strict=True) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([*keys, pa.array(labels, batch.schema.field(cluster).type), pa.array(far, pa.float64()), pa.array(fine, pa.bool_())], names=schema.names)
+
+    sums = with_models(rows.where(sound(x)).select(*of, cluster, x), models, of, run, schema).groupBy(*of, cluster).agg(F.sum("far").alias("far"), F.every("sound").alias("sound"))
+    return moments.select(*of, cluster, "n").join(sums, [*of, cluster]).select(*of, cluster, "n", F.when(F.col("sound"), F.col("far") / F.col("n")).alias("l_ratio"))
+
+
 def severity(v1_pct: Column, l_ratio: Column, cutoff: float = 0.1) -> Column:
     """red, orange, yellow or null from the 1 ms violations in per cent and the L-ratio."""
     bad = l_ratio > cutoff

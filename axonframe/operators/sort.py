@@ -1,4 +1,4 @@
-"""From traces to units: detection, features, mixtures, labels and quality of all channels in one job."""
+"""From traces to units: filter, detection, features, mixtures, labels and quality of all channels and solutions in one job."""
 
 from __future__ import annotations
 
@@ -18,43 +18,89 @@ from axonframe.sources.recordings import settled
 
 @dataclass
 class Sorted:
-    """What a run leaves: spikes (channel, spike_id, ix, w, amplitude, energy, slope, …, cluster), fits, report and missing channels."""
+    """What a run leaves, all of it kept as checkpoints but for `report`.
 
+    * channels: channel, seconds, cutoff, threshold, n_spikes, n_pc, n_solutions and state, one row a channel: `early cutoff`,
+      `no spikes`, `no solution` or `sorted`
+    * spikes: channel, spike_id, ix, w, amplitude, energy, slope, pcs and x (the columns that are clustered), one row a spike
+    * components: channel, n, mean, axes, ratios, n_pc
+    * fits: of all cluster counts and seeds
+    * solutions: channel, k, bic and valid, the best fit of each count
+    * labels: channel, k, spike_id, ix, amplitude, x, component and cluster (-1 if rejected), of valid solutions
+    * report: channel, k, cluster, n, rejected, v1, v2, v1_pct, v2_pct, l_ratio, isolated and severity"""
+
+    channels: DataFrame
     spikes: DataFrame
+    components: DataFrame
     fits: DataFrame
+    solutions: DataFrame
+    labels: DataFrame
     report: DataFrame
-    missing: DataFrame
 
 
-def waveforms(trace: DataFrame, settings: Settings, fs: float) -> DataFrame:
-    """(channel, ix, spike_id, w): the waveforms of each channel's spikes below its own threshold, first places first."""
-    limits = settled(de.detection_threshold(trace, settings.detection_spike_detection))
+def waveforms(trace: DataFrame, limits: DataFrame, settings: Settings, fs: float) -> DataFrame:
+    """(channel, ix, spike_id, w): each spike below its channel's threshold (channel, threshold), with its waveform at ten times
+    the rate, cut about its own least sample; spikes whose waveform does not reach as far are left out."""
     shifted = trace.join(limits, "channel").select("channel", "ix", (F.col("v") - F.col("threshold")).alias("v"), "threshold")
     points = de.spike_snapshots(shifted.select("channel", "ix", "v"), 0.0, fs, settings.spike_pre_time, settings.spike_post_time)
     lists = points.groupBy("channel", "ix").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("s"))  # a snapshot's samples
     whole = lists.join(limits, "channel").select("channel", "ix", F.transform("s", lambda x: x["v"] + F.col("threshold")).alias("w"))
-    return whole.withColumn("spike_id", F.xxhash64("channel", "ix"))
+    pre, post = (int(ms * fs / 1000) for ms in (settings.spike_pre_time, settings.spike_post_time))
+    return whole.select("channel", "ix", F.xxhash64("channel", "ix").alias("spike_id"), wf.dejittered(F.col("w"), pre, post).alias("w")).where("w is not null")
+
+
+def detection(trace: DataFrame, settings: Settings, fs: float, filtered: bool = False, times: float = 5.0, least_seconds: int = 60) -> tuple[DataFrame, DataFrame]:
+    """(channels, spikes) of traces (channel, ix, v): filtered unless they are already, cut at breaches, channels that end before
+    least_seconds out, spikes `times` medians below the mean. channels: channel, seconds, cutoff, threshold."""
+    line = settled(trace if filtered else de.bandpass(trace, fs, settings.filter_low_cutoff, settings.filter_high_cutoff))
+    cutoffs = settled(de.recording_cutoff(line, int(fs), settings.breach_voltage_cutoff, settings.breach_max_breach_rate, settings.breach_max_breach_count, settings.breach_max_breach_avg))
+    kept = de.truncated(line, cutoffs, int(fs), least_seconds)
+    limits = settled(de.detection_threshold(kept, times))
+    spikes = settled(waveforms(kept, limits, settings, fs))
+    return cutoffs.select("channel", "seconds", "cutoff").join(limits, "channel", "left"), spikes
+
 
+def valid_solutions(labels: DataFrame, models: DataFrame, components: DataFrame) -> DataFrame:
+    """(channel, k, bic, valid): a solution is valid if each of its k components has more than n_pc + 2 of the spikes."""
+    grid = models.join(components.select("channel", "n_pc"), "channel").select("channel", "k", "bic", "n_pc", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("component"))
+    sizes = labels.groupBy("channel", "k", "component").agg(F.count("*").alias("n"))
+    found = grid.join(sizes, ["channel", "k", "component"], "left").groupBy("channel", "k")
+    return found.agg(F.first("bic").alias("bic"), (~F.bool_or(F.coalesce("n", F.lit(0)) <= F.col("n_pc") + 2)).alias("valid"))
 
-def sort_traces(trace: DataFrame, settings: Settings, fs: float, columns: tuple[str, ...] = ("amplitude", "energy", "slope"), restarts: int | None = None) -> Sorted:
-    """The whole job over traces (channel, ix, v): cut at breaches, spikes and waveforms, artefacts out, metrics, mixtures over
-    cluster counts and seeds, labels under the best by BIC, low amplitudes to -1, intervals and L-ratios in a report.
 
-    Channels that are too short, or without a converged fit, end in `missing`. fs is in samples a second. Spikes, fits and
-    units are computed once and kept as checkpoints."""
-    cutoffs = de.recording_cutoff(trace, int(fs), settings.breach_voltage_cutoff, settings.breach_max_breach_rate, settings.breach_max_breach_count, settings.breach_max_breach_avg)
-    kept = de.truncated(trace, cutoffs, int(fs), 1)
-    spikes = waveforms(kept, settings, fs)
-    spikes = spikes.withColumn("amplitude", wf.amplitude(F.col("w"))).withColumn("energy", wf.energy(F.col("w"))).withColumn("slope", F.coalesce(wf.slope(F.col("w")), F.lit(0.0)))
-    spikes = settled(spikes)
-    fits = cl.mixtures(spikes, "channel", list(columns), settings.cluster_min_clusters, settings.cluster_max_clusters, restarts or settings.cluster_random_restarts, settings.cluster_convergence_criterion, settings.cluster_max_iterations)
+def sort_traces(trace: DataFrame, settings: Settings, fs: float, filtered: bool = False, times: float = 5.0, least_seconds: int = 60, restarts: int | None = None) -> Sorted:
+    """The whole job over traces (channel, ix, v), for all channels at once.
+
+    Band-pass filter, cut at breaches, guard against early cutoffs, threshold, snapshots, waveforms at ten times the rate about
+    their least sample, principal components of each channel and how many count, features, mixtures over cluster counts and
+    seeds, the best of each count, its labels and whether it is valid, low amplitudes to -1, interval violations and L-ratios of
+    every cluster of every valid solution. fs is in samples a second. No sample is taken out as an artefact."""
+    channels, spikes = detection(trace, settings, fs, filtered, times, least_seconds)
+    share = settings.pca_variance_explained if settings.pca_use_percent_variance == 1 else None
+    components = settled(cl.channel_components(spikes, share, settings.pca_principal_component_n))
+    spikes = settled(cl.channel_metrics(spikes, components))
+    fits = cl.mixtures(spikes, "channel", "x", settings.cluster_min_clusters, settings.cluster_max_clusters, restarts or settings.cluster_random_restarts, settings.cluster_convergence_criterion, settings.cluster_max_iterations)
     fits = settled(fits)
-    models = cl.chosen_models(fits)
-    units = cl.labelled(spikes, models, list(columns)).where("cluster is not null")
-    units = qu.without_outliers(units, "amplitude", settings.cluster_intra_cluster_cutoff, "cluster", ["channel"]).withColumn("cluster", F.col("kept_cluster")).drop("kept_cluster")
-    units = settled(units)
-    isi = tr.intervals(units.where("cluster >= 0").select("channel", "cluster", F.col("ix").cast("double").alias("at")), ["channel", "cluster"], "at", fs * 3600)
-    violations = tr.isi_violations(isi, ["channel", "cluster"], F.col("isi") * 1000.0 / fs).drop("n", "n_isi")
-    quality = qu.l_ratios(units, list(columns), "cluster", ["channel"]).join(violations, ["channel", "cluster"])
-    report, missing = qu.compiled_report(quality, trace.select("channel").distinct(), ["channel"])
-    return Sorted(units, fits, report, missing)
+    models = settled(cl.solution_models(fits))
+    each = settled(spikes.where("x is not null").select("channel", "spike_id", "ix", "amplitude", "x").join(models.select("channel", "k"), "channel"))
+    labels = settled(cl.labelled(each, models, "x", keys=["channel", "k"], out="component").drop("log_density"))
+    solutions = settled(valid_solutions(labels, models, components))
+    labels = labels.join(solutions.where("valid").select("channel", "k"), ["channel", "k"])
+    labels = settled(qu.without_outliers(labels, "amplitude", settings.cluster_intra_cluster_cutoff, "component", ["channel", "k"]).withColumnRenamed("kept_cluster", "cluster"))
+    counts = spikes.groupBy("channel").agg(F.count("*").alias("n_spikes"))
+    solved = solutions.groupBy("channel").agg(F.count_if("valid").alias("n_solutions"))
+    channels = channels.join(counts, "channel", "left").join(components.select("channel", "n_pc"), "channel", "left").join(solved, "channel", "left").fillna(0, ["n_spikes", "n_solutions"])
+    state = F.when(F.col("cutoff") < least_seconds, "early cutoff").when(F.col("n_spikes") == 0, "no spikes").when(F.col("n_solutions") == 0, "no solution").otherwise("sorted")
+    return Sorted(settled(channels.withColumn("state", state)), spikes, components, fits, solutions, labels, unit_report(labels, fs))
+
+
+def unit_report(labels: DataFrame, fs: float) -> DataFrame:
+    """(channel, k, cluster, n, rejected, v1, v2, v1_pct, v2_pct, l_ratio, isolated, severity) of labels; see `Sorted`."""
+    of = ["channel", "k", "cluster"]
+    kept = labels.where("cluster >= 0")
+    isi = tr.intervals(kept.select(*of, F.col("ix").cast("double").alias("at")), of, "at", fs * 3600)
+    violations = tr.isi_violations(isi, of, F.col("isi") * 1000.0 / fs).drop("n", "n_isi")
+    gone = labels.where("cluster < 0").groupBy("channel", "k", F.col("component").alias("cluster")).agg(F.count("*").alias("rejected"))
+    found = qu.isolation(labels, "channel", "k").join(violations, of).join(gone, of, "left").fillna(0, ["rejected"])
+    found = found.withColumn("isolated", qu.isolated(F.col("v1_pct"), F.col("l_ratio"))).withColumn("severity", qu.severity(F.col("v1_pct"), F.col("l_ratio")))
+    return found.select(*of, "n", "rejected", "v1", "v2", "v1_pct", "v2_pct", "l_ratio", "isolated", "severity")

@@ -10,6 +10,7 @@ from axonframe.functions.ranks import quantiles
 from axonframe.operators import cluster as cl
 from axonframe.operators import curate as cu
 from axonframe.operators import detect as de
+from axonframe.operators import moments as mo
 from axonframe.operators import quality as qu
 from axonframe.operators import sort as so
 from axonframe.operators import trains as tr
@@ -330,11 +331,13 @@ def detected_spikes(spark, sf):
     return de.detected_spikes(src.trace(spark, sf), LOW)
 
 
-_A, _B = de.snapshot_bounds(10_000.0, 0.5, 1.0)
+_PLACES = de.snapshot_places(10_000.0, 0.5, 1.0)
 
 
-@query(f"""with {_FOUND}, s as (select found.channel, found.ix, t.ix - found.ix - {_A} as pos, t.v, count(*) over (partition by found.channel, found.ix) as n from found join trace t on t.channel = found.channel and t.ix >= found.ix + {_A} and t.ix < found.ix + {_B})
-select channel, ix, pos::int as pos, v from s where n = {_B - _A}""")
+@query(f"""with {_FOUND}, places as (select unnest({_PLACES}) as at, unnest(range(0, {len(_PLACES)})) as pos),
+s as (select found.channel, found.ix, pos, t.v, count(*) over (partition by found.channel, found.ix) as n
+from found cross join places join trace t on t.channel = found.channel and t.ix = found.ix + places.at)
+select channel, ix, pos::int as pos, v from s where n = {len(_PLACES)}""")
 def spike_snapshots(spark, sf):
     s = de.spike_snapshots(src.trace(spark, sf), LOW, 10_000.0)
     return s.withColumn("pos", F.col("pos").cast("int"))
@@ -569,12 +572,92 @@ def feature_scatter(spark, sf):
     return rounded(with_shape(spark, sf).where("cluster >= 0").select("spike_id", "cluster", F.col("amplitude").alias("x"), F.col("energy").alias("y")))
 
 
+SORT_FS = 2.0  # samples a second of the stand-in trace in the sorting job, so that the shortest lasts for more than 60 s
+SORT_TIMES = 0.5
+SORT_SETTINGS = Settings(breach_voltage_cutoff=120.0, breach_max_breach_rate=0.5, breach_max_breach_count=2, breach_max_breach_avg=1.5, filter_low_cutoff=0.02, filter_high_cutoff=0.9, spike_pre_time=1000.0, spike_post_time=2000.0, cluster_max_clusters=3, cluster_random_restarts=2)
+_KERNEL = [float(x) for x in de.bandpass_kernel(SORT_FS, SORT_SETTINGS.filter_low_cutoff, SORT_SETTINGS.filter_high_cutoff)]
+_SNAP = de.snapshot_places(SORT_FS, SORT_SETTINGS.spike_pre_time, SORT_SETTINGS.spike_post_time)
+_PRE, _POST = (int(ms * SORT_FS / 1000) for ms in (SORT_SETTINGS.spike_pre_time, SORT_SETTINGS.spike_post_time))
+_SORT = f"""{TRC}, taps as (select unnest({_KERNEL}) as c, unnest(range(0, {len(_KERNEL)})) - {len(_KERNEL) // 2} as k),
+line as (select a.channel, a.ix, sum(b.v * c) as v from trace a join taps on true join trace b on b.channel = a.channel and b.ix = a.ix - k group by 1, 2),
+sizes as (select channel, count(*) as n, count(*) // {int(SORT_FS)} as seconds, count(case when v > 120 then 1 end) as breaches from line group by 1),
+secs as (select line.channel, ix // {int(SORT_FS)} as sec, count(case when v > 120 then 1 end) as b
+from line join sizes on sizes.channel = line.channel where ix // {int(SORT_FS)} < seconds group by 1, 2),
+st as (select channel, count(case when b > 0 then 1 end) as above, coalesce(avg(case when b > 0 then b end), 0) as mean_b, min(case when b > 1.5 then sec end) as early from secs group by 1),
+cuts as (select sizes.channel, seconds, case when breaches * {SORT_FS}::double / n >= 0.5 and above >= 2 and mean_b >= 1.5 then coalesce(early, seconds) else seconds end as cutoff
+from sizes join st on st.channel = sizes.channel),
+kept as (select line.* from line join cuts on cuts.channel = line.channel where cutoff >= 60 and ix < cutoff * {int(SORT_FS)}),
+limits as (select channel, avg(v) - {SORT_TIMES} * median(abs(v) / 0.6745) as threshold from kept group by 1),
+low as (select kept.channel, ix, v, ix - row_number() over (partition by kept.channel order by ix) as grp from kept join limits on limits.channel = kept.channel where v <= threshold),
+found as (select channel, ix from (select *, row_number() over (partition by channel, grp order by v, ix) as k from low) where k = 1),
+snap as (select unnest({_SNAP}) as at, unnest(range(0, {len(_SNAP)})) as pos),
+whole as (select found.channel, found.ix, list(t.v order by pos) as w from found join snap on true join kept t on t.channel = found.channel and t.ix = found.ix + snap.at
+group by 1, 2 having count(*) = {len(_SNAP)}),
+fine as (select channel, ix, list_transform(range(0, {10 * len(_SNAP)}), lambda j: w[least(j // 10, {len(_SNAP) - 1}) + 1]
++ (w[least(j // 10 + 1, {len(_SNAP) - 1}) + 1] - w[least(j // 10, {len(_SNAP) - 1}) + 1]) * least(j * 0.1::double - least(j // 10, {len(_SNAP) - 1}), 1.0)) as w from whole),
+spiked as (select channel, ix, low_at, w from (select *, list_position(w, list_min(w)) - 1 as low_at from fine) where low_at >= {10 * _PRE} and low_at + {10 * _POST} <= {10 * len(_SNAP)})"""
+
+
+@query(f"""with {_SORT}, n as (select channel, count(*) as n_spikes, sum(ix)::bigint as places, round(avg(list_min(w)), 4) as mean_low from spiked group by 1)
+select cuts.channel, seconds, cutoff, round(threshold, 4) as threshold, coalesce(n_spikes, 0) as n_spikes, places, mean_low from cuts
+left join limits on limits.channel = cuts.channel left join n on n.channel = cuts.channel""")
+def sort_detection(spark, sf):
+    """The first half of the sorting job: filter, cutoff, guard, threshold, snapshots and waveforms of all channels."""
+    channels, spikes = so.detection(src.trace(spark, sf), SORT_SETTINGS, SORT_FS, times=SORT_TIMES)
+    n = spikes.groupBy("channel").agg(F.count("*").alias("n_spikes"), F.sum("ix").alias("places"), F.avg(wf.amplitude(F.col("w"))).alias("mean_low"))
+    return rounded(channels.join(n, "channel", "left").fillna(0, ["n_spikes"]), 4)
+
+
+def _sorted(spark, sf):
+    return so.sort_traces(src.trace(spark, sf), SORT_SETTINGS, SORT_FS, times=SORT_TIMES)
+
+
 @query()
 def sort_run(spark, sf):
-    """The whole job from traces to units over the events' values; cluster, spikes, violations and L-ratio of each unit."""
-    settings = Settings(breach_voltage_cutoff=1e9, detection_spike_detection=0.5, cluster_max_clusters=3, cluster_random_restarts=2)
-    report = so.sort_traces(src.trace(spark, sf), settings, 10_000.0, ("amplitude", "energy")).report
-    return rounded(report.select("channel", "cluster", "n", "v1", "v2", "v1_pct", "v2_pct", "l_ratio", "isolated", "severity"), 4)
+    """The whole job from traces to units over the events' values: every cluster of every valid solution of every channel."""
+    return rounded(_sorted(spark, sf).report, 4)
+
+
+@query(f"""with {_SORT}, n as (select channel, count(*) as n_spikes from spiked group by 1) select cuts.channel, cutoff, coalesce(n_spikes, 0) as n_spikes, 0::bigint as lost, 0::bigint as doubled,
+case when cutoff < 60 then 'early cutoff' when n_spikes is null then 'no spikes' else 'clustered' end as state from cuts left join n on n.channel = cuts.channel""")
+def sort_accounts(spark, sf):
+    """What the job makes of every spike: none is lost or doubled in the labels of a valid solution, whatever the fits are."""
+    run = _sorted(spark, sf)
+    each = run.labels.groupBy("channel", "k").agg(F.count("*").alias("n"), F.count_distinct("spike_id").alias("kinds"))
+    worst = each.join(run.channels.select("channel", "n_spikes"), "channel").groupBy("channel").agg(F.max(F.col("n_spikes") - F.col("kinds")).alias("lost"), F.max(F.col("n") - F.col("kinds")).alias("doubled"))
+    state = F.when(F.col("state").isin("sorted", "no solution"), "clustered").otherwise(F.col("state")).alias("state")
+    return run.channels.join(worst, "channel", "left").fillna(0, ["lost", "doubled"]).select("channel", "cutoff", "n_spikes", "lost", "doubled", state)
+
+
+@query(f"""with {PTS}, p as (select cluster, spike_id, pos, v from points where pos % 8 = 0), m as (select cluster, pos, avg(v) as mv, count(*) as n from p group by 1, 2)
+select a.cluster, a.pos::int as i, b.pos::int as j, count(*) as n, round(covar_samp(a.v, b.v), 6) as cov from p a join p b on a.spike_id = b.spike_id and a.cluster = b.cluster and a.pos <= b.pos group by 1, 2, 3""")
+def cluster_moments(spark, sf):
+    """Sample covariances of every eighth sample of all clusters' waveforms, from one pass over all clusters."""
+    rows = src.spikes(spark, sf).select("cluster", F.filter("w", lambda v, i: i % 8 == 0).alias("x"))
+    m = mo.grouped_moments(rows, ["cluster"]).select("cluster", "n", F.posexplode("m2").alias("at", "s"), F.size("mean").alias("d"))
+    i, j = F.expr("cast(at div d * 8 as int)"), F.expr("cast(at % d * 8 as int)")
+    return rounded(m.where("at div d <= at % d").select("cluster", i.alias("i"), j.alias("j"), "n", (F.col("s") / (F.col("n") - 1)).alias("cov")))
+
+
+@query(f"""with {PTS}, s as (select cluster, pos, var_pop(v) as var from points group by 1, 2), r as (select cluster, row_number() over (partition by cluster order by var desc, pos) - 1 as component, var / sum(var) over (partition by cluster) as ratio from s),
+c as (select *, sum(ratio) over (partition by cluster order by component) as cumulative from r)
+select cluster, component::int as component, round(ratio, 6) as ratio, round(cumulative, 6) as cumulative, (count(*) over (partition by cluster))::bigint as n from c where cumulative - ratio <= 0.8""")
+def variance_shares(spark, sf):
+    """Sample places of each cluster's waveforms by their share of the variance, until the sum is above 0.8, and their number."""
+    from pyspark.sql.window import Window
+
+    s = src.spikes(spark, sf).select("cluster", F.posexplode("w").alias("pos", "v")).groupBy("cluster", "pos").agg(F.var_pop("v").alias("var"))
+    rank = (F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("var"), "pos")) - 1).cast("int")  # one row a place
+    ratios = s.select("cluster", rank.alias("component"), (F.col("var") / F.sum("var").over(Window.partitionBy("cluster"))).alias("ratio"))
+    curve = cl.variance_curve(ratios, 0.8, ["cluster"])
+    return rounded(curve.join(cl.component_count(ratios, 0.8, ["cluster"]), "cluster"))
+
+
+@query()
+def channel_components(spark, sf):
+    """The principal components that count of each cluster's waveforms: shares of the variance, for all clusters in one job."""
+    c = cl.channel_components(src.spikes(spark, sf), 0.5, channel="cluster")
+    return rounded(c.select("cluster", "n", "n_pc", F.posexplode("ratios").alias("component", "ratio")).where("component < n_pc"), 5)
 
 
 @query()

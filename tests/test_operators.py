@@ -3,11 +3,14 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from axonframe.config import Settings
 from axonframe.functions import ranks
-from axonframe.operators import cluster, curate, detect, quality, trains
+from axonframe.operators import cluster, curate, detect, mixture, moments, quality, sort, trains
 
 
 def test_runs_and_spikes(spark):
@@ -15,7 +18,7 @@ def test_runs_and_spikes(spark):
     t = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(v)], "channel string, ix long, v double")
     assert sorted((r.first_ix, r.last_ix) for r in detect.threshold_runs(t, -5).collect()) == [(1, 2), (4, 4), (7, 7)]
     assert sorted(r.ix for r in detect.detected_spikes(t, -5).collect()) == [1, 4, 7]
-    assert detect.snapshot_bounds(18_518.0, 0.2, 0.6) == (-5, 13)
+    assert detect.snapshot_places(18_518.0, 0.2, 0.6) == [*range(-5, 1), *range(14)] and len(detect.snapshot_places(30_000.0, 0.5, 1.0)) == 52
     got = detect.spike_snapshots(t, -5, 1000.0, 1.0, 1.0)
     assert sorted({r.ix for r in got.collect()}) == [1, 4]
 
@@ -123,14 +126,131 @@ def test_mixture_labels(spark):
 
 
 def test_mixture_by_jobs_is_the_same(spark):
-    """A channel too large for a group is fitted by jobs over its rows, in the same steps."""
-    _, names, df = planted(spark)
-    kinds = ["k", "seed", "n", "converged"]
-    one = cluster.mixtures(df, "channel", names, 2, 3, 2).orderBy("k", "seed").collect()
-    two = cluster.mixtures(df, "channel", names, 2, 3, 2, group_rows=100).orderBy("k", "seed").collect()
-    assert [[r[c] for c in kinds] for r in one] == [[r[c] for c in kinds] for r in two] and len(one) == 4
+    """Channels too large for a group are fitted by jobs over all of them at once, in the same steps; the input is read once."""
+    x, names, df = planted(spark)
+    other = df.withColumn("channel", F.lit(None).cast("string")).withColumn("f0", F.col("f0") * 2 + 1)
+    few = df.where("spike_id % 40 = 0").withColumn("channel", F.lit("few"))
+    df, read = df.union(other).union(few), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    df = df.mapInPandas(counted, df.schema)
+    kinds = ["channel", "k", "seed", "n", "converged"]
+    order = lambda fits: sorted(fits.collect(), key=lambda r: (str(r.channel), r.k, r.seed))
+    one = order(cluster.mixtures(df, "channel", names, 2, 3, 2))
+    assert read.value == 486
+    two = order(cluster.mixtures(df, "channel", names, 2, 3, 2, group_rows=100))
+    assert read.value == 2 * 486
+    assert [[r[c] for c in kinds] for r in one] == [[r[c] for c in kinds] for r in two] and len(one) == 12
     for a, b in zip(one, two, strict=True):
         assert a.bic == pytest.approx(b.bic, rel=1e-9) and np.allclose(a.means, b.means) and np.allclose(a.covs, b.covs)
+    cut = order(cluster.mixtures(df, "channel", names, 3, 3, 1, tol=0.0, steps=3, group_rows=100))
+    whole = order(cluster.mixtures(df, "channel", names, 3, 3, 1, tol=0.0, steps=3))
+    assert not any(r.converged for r in cut) and np.allclose([r.log_likelihood for r in cut], [r.log_likelihood for r in whole])
+    assert cluster.mixtures(df.limit(0), "channel", names, 2, 3, 2).count() == 0
+
+
+def test_mixture_steps_against_numpy(spark):
+    """One step from given means, and densities, against the formulas written out."""
+    x = np.random.default_rng(3).standard_normal((50, 2)) @ np.array([[2.0, 0.5], [0, 1]])
+    means = x[[3, 20, 40]]
+    near = np.argmin(((x[:, None] - means) ** 2).sum(2), axis=1)
+    weights, mu, covs = (p[0] for p in mixture.next_model(mixture.moment_sums(x, means[None])[1], 2))
+    for j in range(3):
+        own = x[near == j]
+        assert weights[j] == pytest.approx(len(own) / 50) and np.allclose(mu[j], own.mean(0)) and np.allclose(covs[j], np.cov(own.T, bias=True) + 1e-6 * np.eye(2), atol=1e-9)
+    dense = np.array([[w * np.exp(-(r - m) @ np.linalg.inv(c) @ (r - m) / 2) / (2 * np.pi * np.sqrt(np.linalg.det(c))) for w, m, c in zip(weights, mu, covs, strict=True)] for r in x])
+    total, sums = mixture.moment_sums(x, (weights[None], mu[None], covs[None]))
+    share = dense / dense.sum(1)[:, None]
+    assert total[0] == pytest.approx(np.log(dense.sum(1)).sum()) and np.allclose(sums[0, :, 0], share.sum(0)) and np.allclose(sums[0, :, 1:3], share.T @ x)
+
+
+def test_moments_and_components_of_groups(spark):
+    rng = np.random.default_rng(11)
+    data = {"a": rng.standard_normal((70, 4)) @ rng.standard_normal((4, 4)) + 1e3, None: rng.standard_normal((9, 3)), "flat": np.ones((5, 2)), "one": np.array([[1.0, 2.0]])}
+    rows = [(c, x.tolist()) for c, xs in data.items() for x in xs] + [("a", None), ("a", [1.0, None, 2.0, 3.0]), ("a", [float("nan")] * 4), ("none", [])]
+    df = spark.createDataFrame(rows, "channel string, x array<double>").repartition(5)
+    got = {r.channel: r for r in moments.grouped_moments(df, ["channel"]).collect()}
+    assert set(got) == set(data)
+    for c, x in data.items():
+        assert got[c].n == len(x) and np.allclose(got[c].mean, x.mean(0), rtol=1e-12)
+        assert np.allclose(np.reshape(got[c].m2, (x.shape[1], -1)), (x - x.mean(0)).T @ (x - x.mean(0)), atol=1e-8)
+    models = moments.components(df, ["channel"])
+    found = {r.channel: r for r in models.collect()}
+    assert found["flat"].ratios is None and found["one"].ratios is None
+    for c in ("a", None):
+        off = data[c] - data[c].mean(0)
+        _, size, axes = np.linalg.svd(off, full_matrices=False)
+        assert np.allclose(found[c].ratios, size**2 / (size**2).sum()) and np.allclose(np.abs(np.array(found[c].axes) @ axes.T), np.eye(len(size)), atol=1e-6)
+    scored = moments.projected(df, models, ["channel"]).where("x is not null").collect()
+    for r in scored:
+        sound = r.x and all(v is not None and v == v for v in r.x)
+        assert (r.pcs is None) if not sound else np.allclose(r.pcs, (np.array(r.x) - data[r.channel].mean(0)) @ np.array(found[r.channel].axes).T)
+    assert moments.components(df.limit(0), ["channel"]).count() == 0
+
+
+def test_component_counts_of_channels(spark):
+    rng = np.random.default_rng(12)
+    w = {"a": rng.standard_normal((60, 6)) * [9, 5, 1, 0.1, 0.1, 0.1], "b": rng.standard_normal((60, 6)), "zero": np.zeros((4, 6))}
+    df = spark.createDataFrame([(c, i, x.tolist()) for c, xs in w.items() for i, x in enumerate(xs)], "channel string, spike_id int, w array<double>")
+    models = cluster.channel_components(df, 0.9)
+    got = {r.channel: r.n_pc for r in models.collect()}
+    for c in ("a", "b"):
+        scaled = w[c] / (np.sqrt((w[c] ** 2).sum(1)) / 6)[:, None]
+        ratios = np.linalg.svd(scaled - scaled.mean(0), compute_uv=False) ** 2
+        assert got[c] == np.flatnonzero(np.cumsum(ratios / ratios.sum()) > 0.9)[0] + 1
+    assert got["a"] < got["b"] and got.get("zero", 0) == 0
+    assert {r.channel: r.n_pc for r in cluster.channel_components(df, None, 2).collect()}["b"] == 2
+    metrics = cluster.channel_metrics(df, models)
+    assert {(r.channel, len(r.x)) for r in metrics.where("x is not null").collect()} == {("a", 3 + got["a"]), ("b", 3 + got["b"])}
+    curve = cluster.variance_curve(models.select("channel", F.posexplode("ratios").alias("component", "ratio")), 0.9, ["channel"]).groupBy("channel").count()
+    assert {r.channel: r["count"] for r in curve.collect()} == {"a": got["a"], "b": got["b"]}
+
+
+def test_rows_meet_models_either_way(spark):
+    """Broadcast models, and rows dealt with them in several parts, give the same labels."""
+    _, names, df = planted(spark)
+    df = df.union(df.withColumn("channel", F.lit(None).cast("string"))).union(df.limit(5).withColumn("channel", F.lit("other")))
+    best = cluster.chosen_models(cluster.mixtures(df.where("channel is null or channel = 'c'"), "channel", names, 3, 3, 1))
+    one = cluster.labelled(df, best, names)
+    models = best.select("channel", "weights", "means", "covs")
+
+    def run(batch, model):
+        return batch.append_column("k", pa.array([None if model is None else len(model["weights"])] * batch.num_rows, pa.int32()))
+
+    schema = T.StructType([*df.schema.fields, T.StructField("k", T.IntegerType())])
+    key = lambda r: (str(r.channel), r.spike_id)
+    for most in (10**9, 0):
+        got = moments.with_models(df, models, ["channel"], run, schema, most, 37).collect()
+        assert sorted((*key(r), r.k or 0) for r in got) == sorted((*key(r), 0 if r.channel == "other" else 3) for r in one.collect())
+
+
+def test_isolation_of_arrays(spark):
+    x, names, df = planted(spark, 3)
+    df = df.withColumn("cluster", F.when(F.col("spike_id") % 9 == 0, -1).otherwise((F.col("spike_id") / 80).cast("int"))).withColumn("k", F.lit(3))
+    df = df.union(df.withColumn("k", F.lit(4)).withColumn("f0", F.col("f0") * 1.5))
+    want = {(r.k, r.cluster): (r.n, r.l_ratio) for r in quality.l_ratios(df, names, "cluster", ["channel", "k"]).collect()}
+    got = {(r.k, r.cluster): (r.n, r.l_ratio) for r in quality.isolation(df.withColumn("x", F.array(*names)), "channel", "k").collect()}
+    assert set(got) == set(want) and all(got[c][0] == want[c][0] and got[c][1] == pytest.approx(want[c][1], rel=1e-6) for c in want)
+    flat = df.withColumn("x", F.array("f0", "f0", F.lit(1.0)))
+    assert {r.l_ratio for r in quality.isolation(flat, "channel", "k").collect()} == {None}
+    for d in range(1, 8):
+        got = spark.createDataFrame([(v,) for v in (0.0, 0.3, 4.0, 30.0)], "x double").select(quality.chi2_sf(F.col("x"), d)).collect()
+        assert np.allclose([r[0] for r in got], quality.chi2_tail(np.array([0.0, 0.3, 4.0, 30.0]), d), rtol=1e-6)
+
+
+def test_component_models_against_numpy(spark):
+    models = spark.createDataFrame([("c", [[1.0, 2.0], [0.0, 0.0]], [[[2.0, 0.5], [0.5, 1.0]], [[1.0, 1.0], [1.0, 1.0]]])], "channel string, means array<array<double>>, covs array<array<array<double>>>")
+    got = {r.component: r for r in quality.component_models(models, ["a", "b"]).collect()}
+    inverse = np.linalg.inv([[2.0, 0.5], [0.5, 1.0]])
+    assert (got[0].mean_a, got[0].mean_b) == (1, 2) and np.allclose([got[0].inv_a_a, got[0].inv_a_b, got[0].inv_b_b], inverse[[0, 0, 1], [0, 1, 1]])
+    assert got[1].inv_a_a is None
+    row = spark.createDataFrame([("c", 4.0, 1.0)], "channel string, a double, b double")
+    far = {r.component: r.distance for r in quality.mahalanobis(row, ["a", "b"], models=quality.component_models(models, ["a", "b"])).collect()}
+    assert far[0] == pytest.approx(math.sqrt(np.array([3, -1]) @ inverse @ np.array([3, -1]))) and far[1] is None
 
 
 def test_metric_table(spark):
@@ -177,29 +297,45 @@ def test_split_by_mixture(spark):
 
 
 def test_sort_finds_planted_spikes(spark):
-    """Two shapes of spikes in noise, one channel each of its own: all found, at their places, in two units a channel."""
+    """Two shapes of spikes in noise through all steps: all found, in two units a channel; channels that end early or are silent."""
     rng = np.random.default_rng(8)
     rows, places = [], {}
-    for c in ("a", "b"):
+    for c in ("a", "b", "late"):
         v = rng.standard_normal(30_000) * 0.3
         at = np.arange(300, 29_700, 294)
+        shapes = np.array([[0, 0, 5, 30, 60, 30, 5, 0, 0], [2, 10, 35, 40, 60, 10, -20, -25, -5]])
         for k, p in enumerate(at):
-            v[p - 2 : p + 3] -= np.array([4, 20, 40, 20, 4]) * (1 + (k % 2)) * (1 + rng.standard_normal() * 0.02)
+            v[p - 4 : p + 5] -= shapes[k % 2] * (1 + (k % 2)) * (1 + rng.standard_normal() * 0.02)
+        if c == "late":
+            v[4000:] += 2000 * np.sin(np.arange(26_000) * 0.2 * np.pi)  # breaches from 0.4 s on
         places[c] = at
         rows += [(c, i, float(y)) for i, y in enumerate(v)]
+    rows += [("silent", i, 0.0) for i in range(30_000)]
     trace = spark.createDataFrame(rows, "channel string, ix long, v double")
-    from axonframe.config import Settings
-    from axonframe.operators import sort
-
-    settings = Settings(detection_spike_detection=8.0, cluster_max_clusters=3, cluster_random_restarts=3)
-    got = sort.sort_traces(trace, settings, 10_000.0, ("amplitude", "energy"))
+    settings = Settings(cluster_max_clusters=3, cluster_random_restarts=3, breach_max_breach_count=2)
+    got = sort.sort_traces(trace, settings, 10_000.0, least_seconds=1)
+    state = {r.channel: r for r in got.channels.collect()}
+    assert {c: r.state for c, r in state.items()} == {"a": "sorted", "b": "sorted", "late": "early cutoff", "silent": "no spikes"}
+    assert (state["a"].seconds, state["late"].cutoff) == (3, 0) and 1 <= state["a"].n_pc <= 8
     spikes = got.spikes.toPandas()
-    for c, at in places.items():
-        own = spikes[spikes.channel == c].sort_values("ix")
-        assert (own.ix.to_numpy() == at).all()
-        big = own.amplitude < -60
-        assert set(own.cluster[big & (own.cluster >= 0)]) & set(own.cluster[~big & (own.cluster >= 0)]) == set()
-    assert got.missing.count() == 0 and got.report.count() >= 4
+    assert set(spikes.channel) == {"a", "b"} and {len(w) for w in spikes.w} == {80}
+    best = {r.channel: r.k for r in cluster.chosen_models(got.fits).collect()}
+    labels = got.labels.toPandas()
+    for c in ("a", "b"):
+        own = spikes[spikes.channel == c]
+        gap = np.abs(own.ix.to_numpy()[:, None] - places[c]).min(0)
+        assert (gap <= 3).all()  # every planted spike, where the filter leaves its least sample
+        two = labels[(labels.channel == c) & (labels.k == best[c])]
+        two = two[np.abs(two.ix.to_numpy()[:, None] - places[c]).min(1) <= 3]  # the filter's own ripples may be spikes as well
+        order = np.argmin(np.abs(two.ix.to_numpy()[:, None] - places[c]), axis=1) % 2
+        shares = [two.component[order == k].value_counts(normalize=True) for k in (0, 1)]
+        assert best[c] >= 2 and all(x.max() > 0.95 for x in shares) and shares[0].idxmax() != shares[1].idxmax()
+        assert (two.cluster >= 0).mean() > 0.9
+    report = got.report.toPandas()
+    kept = labels[labels.cluster >= 0].groupby(["channel", "k", "cluster"]).size()
+    assert {(r.channel, r.k, r.cluster): r.n for r in report.itertuples()} == kept.to_dict()
+    assert set(report.l_ratio[report.severity.isna()] <= 0.1) <= {True}
+    assert got.solutions.where("valid").count() >= 2
 
 
 def test_response_of_flat_rates(spark):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import configparser
 import dataclasses
 import datetime as dt
+import json
 from dataclasses import dataclass, fields
 
 
@@ -68,6 +69,15 @@ class Settings:
         with open(path, "w") as f:
             parser.write(f)
 
+    def to_json(self) -> str:
+        return json.dumps(dataclasses.asdict(self), sort_keys=True)
+
+    @classmethod
+    def from_json(cls, text: str) -> Settings:
+        """Settings of a JSON object; names that are unknown are left out, those that are missing get their defaults."""
+        known = {x.name for x in fields(cls)}
+        return cls(**{k: v for k, v in json.loads(text).items() if k in known})
+
     def files_for(self, day: dt.date) -> int:
         """How many files a run takes on a day: the weekend's number on Fridays, the weekday's else, or the one set by hand."""
         if self.run_run_type == "Auto":

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from axonframe.functions.ranks import quantiles
+from axonframe.functions import waveform as wf
+from axonframe.functions.ranks import cumulative, quantiles
 from axonframe.operators.moments import grouped_moments, matrix, sound, with_models
 
 
@@ -215,11 +216,46 @@ def waveform_range(spikes: DataFrame, cluster: str = "cluster") -> DataFrame:
 def waveform_density(spikes: DataFrame, height: int = 50, cluster: str = "cluster") -> DataFrame:
     """(cluster, pos, level, n, shade): points of a cluster's waveforms by sample place and height between its 5th and 95th
     percentile, and the share of filled cells with as few points or fewer (histogram equalisation)."""
-    from pyspark.sql.window import Window
-
     points = spikes.select(cluster, F.posexplode("w").alias("pos", "v")).where(~F.isnan("v"))
     ends = quantiles(points, [cluster], F.col("v"), {"lo": 0.05, "hi": 0.95})
     inside = points.join(ends, cluster).where("v between lo and hi")
     level = F.least(F.floor((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * height), F.lit(height - 1)).cast("int")
     cells = inside.groupBy(cluster, "pos", F.coalesce(level, F.lit(0)).alias("level")).agg(F.count("*").alias("n"))
-    return cells.withColumn("shade", F.cume_dist().over(Window.partitionBy(cluster).orderBy("n")))
+    return equalised(cells, [cluster])
+
+
+def equalised(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """cells (keys, n, …) with `shade`: the share of a key's cells with as few points or fewer. Distinct counts are ranked, not cells."""
+    kinds = cells.groupBy(*keys, "n").agg(F.count("*").alias("c"))
+    shades = cumulative(kinds, keys, "n", ["c"]).select(*keys, "n", (F.col("upto_c") / F.col("total_c")).alias("shade"))
+    return cells.join(shades, [*keys, "n"])
+
+
+def waveform_lines(spikes: DataFrame, cluster: str = "cluster", column: str = "w", step: int = 10, width: int = 1600, height: int = 1200) -> DataFrame:
+    """(cluster, x, y, n, shade): how many waveforms' lines pass each cell of a canvas, and its shade by histogram equalisation.
+
+    Every step-th sample of a waveform is a vertex. The canvas reaches from the first to the last vertex and from the 5th to the
+    95th percentile of a cluster's vertices; lines are clipped to it. A line takes one cell for each step along its longer
+    side, at the nearest cell of the other; a vertex between two lines counts once. Equal lines of a cluster are drawn once, with
+    their number, so the drawing depends on the canvas and not on the number of spikes. Samples that are null or no number
+    break a line; a waveform of fewer than two vertices draws nothing."""
+    w = wf.every(wf.doubles(F.col(column)), step)
+    lines = spikes.select(cluster, w.alias("w"))
+    fine = lambda v: v.isNotNull() & ~F.isnan(v)
+    values = lines.select(cluster, F.explode("w").alias("v")).where(fine(F.col("v")))
+    ends = quantiles(values, [cluster], F.col("v"), {"lo": 0.05, "hi": 0.95})
+    segments = lines.where(F.size("w") > 1).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("w") - 2)))
+    segments = segments.select(cluster, "i", F.size("w").alias("m"), F.get("w", F.col("i")).alias("a"), F.get("w", F.col("i") + 1).alias("b"))
+    segments = segments.where(fine(F.col("a")) & fine(F.col("b"))).join(ends, cluster)
+    segments = segments.where("greatest(a, b) >= lo and least(a, b) <= hi")
+    at = lambda v: f"case when {v} < lo then lo when {v} > hi then hi else {v} end"
+    place = lambda v: f"i + case when {v} < lo then (lo - a) / (b - a) when {v} > hi then (hi - a) / (b - a) else {int(v == 'b')}.0 end"
+    column_of = lambda x: f"cast(least(floor(({x}) / (m - 1) * {width}), {width - 1}) as int)"
+    row_of = lambda y: f"cast(least(coalesce(floor((({y}) - lo) / nullif(hi - lo, 0.0) * {height}), 0), {height - 1}) as int)"
+    drawn = segments.selectExpr(cluster, f"{column_of(place('a'))} as x0", f"{row_of(at('a'))} as y0", f"{column_of(place('b'))} as x1", f"{row_of(at('b'))} as y1", "i > 0 and a between lo and hi as goes_on")
+    drawn = drawn.groupBy(cluster, "x0", "y0", "x1", "y1", "goes_on").agg(F.count("*").alias("c"))
+    drawn = drawn.withColumn("long", F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))))
+    drawn = drawn.where("long > 0 or not goes_on").withColumn("k", F.explode(F.sequence(F.col("goes_on").cast("int"), F.col("long"))))
+    cell = lambda p, q: f"cast({p} + if(long > 0, floor((2 * k * ({q} - {p}) + long) / (2 * long)), 0) as int)"
+    cells = drawn.groupBy(cluster, F.expr(cell("x0", "x1")).alias("x"), F.expr(cell("y0", "y1")).alias("y")).agg(F.sum("c").alias("n"))
+    return equalised(cells, [cluster])

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from axonframe.functions.ranks import cumulative
+from axonframe.functions.ranks import cumulative, quantiles
 
 
 def intervals(spikes: DataFrame, keys: list[str], time: str, width: float) -> DataFrame:
@@ -101,18 +104,55 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def smoothed(rates: DataFrame, keys: list[str], sigma: float = 3.0) -> DataFrame:
-    """(keys, center, rate) with each key's rates smoothed by a Gaussian over the centres, mirrored at both ends."""
-    weights = gaussian_weights(sigma)
-    radius = len(weights) // 2
-    series = rates.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("center", "rate"))).alias("s")).withColumn("n", F.size("s"))
+#: Outputs of a block that is smoothed in one go.
+BLOCK = 4096
+
 
-    def at(i: Column) -> Column:
-        mirrored = lambda j: F.when(j < F.col("n"), j).otherwise(2 * F.col("n") - 1 - j)
-        return sum((F.get(F.col("s"), mirrored(F.pmod(i + (k - radius), 2 * F.col("n"))))["rate"] * w for k, w in enumerate(weights)), F.lit(0.0))
+def smoothed(rates: DataFrame, keys: list[str], sigma: float = 3.0, at: str = "center", value: str = "rate", block: int = BLOCK) -> DataFrame:
+    """(keys, at, value): each key's values, in the order of `at`, smoothed by a Gaussian and mirrored at both true ends.
 
-    out = series.select(*keys, F.explode(F.transform("s", lambda x, i: F.struct(x["center"].alias("center"), at(i).alias("rate")))).alias("x"))
-    return out.select(*keys, "x.center", "x.rate")
+    A key's values go to blocks with half a kernel of neighbours on each side, mirrored ones included, so a series of any length
+    is many small groups. Where `at` ties, values are smoothed in any order; a null value takes no part and comes out null."""
+    weights = gaussian_weights(sigma)
+    radius = len(weights) // 2
+    # places from 0 come from cumulative counts, which are cut into ranges
+    rows = cumulative(rates.select(*keys, at, F.col(value).cast("double").alias(value), F.lit(1).alias("one")), keys, at, ["one"])
+    rows = rows.select(*keys, at, value, (F.col("upto_one") - 1).alias("ix"), F.col("total_one").alias("n"))
+    turns = F.explode(F.expr(f"sequence(cast(-(({radius} + 2 * n - 1) div (2 * n)) as long), cast(({radius} + 2 * n - 1) div (2 * n) as long))"))
+    mirrored = rows.withColumn("turn", turns).withColumn("ways", F.explode(F.expr("array(2 * n * turn + ix, 2 * n * turn - 1 - ix)")))
+    near = mirrored.where(f"ways between -{radius} and n - 1 + {radius}")
+    first, last = f"greatest(0L, floor((ways - {radius}) / {block}))", f"least((n - 1) div {block}, floor((ways + {radius}) / {block}))"
+    dealt = near.withColumn("block", F.explode(F.expr(f"sequence({first}, {last})"))).withColumn("own", F.expr(f"ways = ix and ix div {block} = block"))
+    schema = T.StructType([*[rates.schema[k] for k in keys], rates.schema[at], T.StructField(value, T.DoubleType())])
+    kernel = np.array(weights)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("ways", kind="stable")
+        line = group[value].to_numpy(float)
+        out = np.convolve(np.where(np.isnan(line), 0.0, line), kernel, "same")
+        if np.isnan(line).any():
+            share = np.convolve((~np.isnan(line)).astype(float), kernel, "same")
+            out = np.where(np.isnan(line), np.nan, out / np.where(share > 0, share, 1))
+        found = group[[*keys, at]].assign(**{value: out})
+        return found[group["own"].to_numpy(bool)]
+
+    out = dealt.select(*keys, "block", at, value, "ways", "own").groupBy(*keys, "block").applyInPandas(run, schema)
+    return out.withColumn(value, F.nanvl(value, F.lit(None).cast("double")))
+
+
+def ensemble_raster(spikes: DataFrame, time: str, bins_a_second: float = 100.0, sigma: float = 25.0, unit: str = "unit") -> tuple[DataFrame, DataFrame]:
+    """(cells, places): the smoothed raster of all units over a session, and (unit, median, place) by the median spike time.
+
+    Times are in seconds from 0. A bin, numbered by its nearest whole, is 1 if the unit has a spike in it; the rows of all units
+    reach from bin 0 to the session's last and are smoothed as `smoothed` does. cells: unit, bin, value."""
+    ones = spikes.select(unit, F.round(F.col(time) * bins_a_second).cast("long").alias("bin")).where("bin is not null")
+    middle = quantiles(ones, [unit], F.col("bin").cast("double"), {"median": 0.5})
+    places = middle.withColumn("place", F.row_number().over(Window.orderBy("median", unit)) - 1)  # one row a unit
+    last = ones.agg(F.max("bin").alias("last"))
+    stretches = places.select(unit).crossJoin(F.broadcast(last)).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"last div {BLOCK}"))))  # one row of a number
+    grid = stretches.select(unit, F.explode(F.expr(f"sequence(s * {BLOCK}, least(last, s * {BLOCK} + {BLOCK - 1}))")).alias("bin"))
+    full = grid.join(ones.distinct().withColumn("value", F.lit(1.0)), [unit, "bin"], "left").fillna(0.0, ["value"])
+    return smoothed(full, [unit], sigma, "bin", "value"), places
 
 
 def zscored(rates: DataFrame, unit: str = "unit", trial: str = "trial") -> DataFrame:

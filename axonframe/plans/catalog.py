@@ -14,6 +14,7 @@ from axonframe.operators import moments as mo
 from axonframe.operators import quality as qu
 from axonframe.operators import sort as so
 from axonframe.operators import trains as tr
+from axonframe.sources import runs
 from axonframe.sources import tables as src
 
 DAY = 86_400_000_000
@@ -123,6 +124,29 @@ def waveform_density(spark, sf):
 # Intervals and trains ------------------------------------------------------------------------------------------------
 
 
+_LINES = f"""{SPK}, v as (select spike_id, cluster, unnest(range(0, (len(w) + 9) // 10)) as i, list_transform(range(0, (len(w) + 9) // 10), lambda k: w[10 * k + 1]) as p from spikes),
+ends as (select cluster as c, quantile_cont(p[i + 1], 0.05) as lo, quantile_cont(p[i + 1], 0.95) as hi from v group by 1),
+seg as (select cluster, i, len(p) as m, p[i + 1] as a, p[i + 2] as b, lo, hi from v join ends on c = cluster where i + 1 < len(p)),
+inside as (select * from seg where greatest(a, b) >= lo and least(a, b) <= hi),
+clipped as (select *, i + case when a < lo then (lo - a) / (b - a) when a > hi then (hi - a) / (b - a) else 0.0::double end as xa,
+i + case when b < lo then (lo - a) / (b - a) when b > hi then (hi - a) / (b - a) else 1.0::double end as xb, least(greatest(a, lo), hi) as ya, least(greatest(b, lo), hi) as yb from inside),
+cells as (select cluster, least(floor(xa / (m - 1) * 1600), 1599)::int as x0, least(floor((ya - lo) / (hi - lo) * 1200), 1199)::int as y0,
+least(floor(xb / (m - 1) * 1600), 1599)::int as x1, least(floor((yb - lo) / (hi - lo) * 1200), 1199)::int as y1, (i > 0 and a between lo and hi)::int as goes_on from clipped),
+steps as (select *, greatest(abs(x1 - x0), abs(y1 - y0)) as far from cells),
+drawn as (select *, unnest(range(goes_on, far + 1)) as k from steps where far > 0 or goes_on = 0),
+marks as (select cluster, x0 + (case when far > 0 then floor((2 * k * (x1 - x0) + far) / (2 * far)) else 0 end)::int as x,
+y0 + (case when far > 0 then floor((2 * k * (y1 - y0) + far) / (2 * far)) else 0 end)::int as y from drawn),
+filled as (select cluster, x, y, count(*) as n from marks group by 1, 2, 3),
+shaded as (select *, cume_dist() over (partition by cluster order by n) as shade from filled)"""
+
+
+@query(f"""with {_LINES} select cluster, x, count(*) as cells, sum(n)::bigint as n, sum(n * y)::bigint as weight, round(sum(shade), 4) as shade from shaded group by 1, 2""")
+def waveform_lines(spark, sf):
+    """The density of all clusters' waveforms as lines on a canvas of 1600 by 1200 cells, summed up by column."""
+    cells = qu.waveform_lines(src.spikes(spark, sf))
+    return rounded(cells.groupBy("cluster", "x").agg(F.count("*").alias("cells"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("weight"), F.sum("shade").alias("shade")), 4)
+
+
 @query(f"""with {TRN}, d as (select unit, (us - lag(us) over (partition by unit order by us)) / 60e6 as ms from train)
 select unit, count(*) as n, count(ms) as n_isi, count(case when ms < 1 then 1 end) as v1, count(case when ms < 2 then 1 end) as v2,
 round(count(case when ms < 1 then 1 end) * 100.0::double / count(*), 6) as v1_pct, round(count(case when ms < 2 then 1 end) * 100.0::double / count(*), 6) as v2_pct from d group by 1""")
@@ -817,6 +841,84 @@ def ensemble_order(spark, sf):
     return rounded(mid.select("unit", F.col("mid").alias("median_t"), F.rank().over(Window.orderBy("mid")).alias("place")), 4)  # one row a unit
 
 
+_G25 = tr.gaussian_weights(25.0)
+
+
+@query(f"""with {TRN}, ones as (select distinct unit, round_even(t / 60.0, 0)::bigint as bin from (select unit, t - min(t) over () as t from train)), ends as (select max(bin) as last from ones),
+grid as (select u.unit, unnest(range(0, last + 1)) as bin, last + 1 as n from (select distinct unit from ones) u, ends), full_rows as (select g.unit, g.bin, n, (o.bin is not null)::int as v from grid g left join ones o on o.unit = g.unit and o.bin = g.bin),
+w as (select unnest({[k - len(_G25) // 2 for k in range(len(_G25))]}) as k, unnest({[float(x) for x in _G25]}) as weight),
+near as (select r.unit, r.bin, weight, ((r.bin + k) % (2 * n) + 2 * n) % (2 * n) as p, n from full_rows r cross join w)
+select near.unit, near.bin, round(sum(weight * f.v), 5) as value from near join full_rows f on f.unit = near.unit and f.bin = case when p < near.n then p else 2 * near.n - 1 - p end group by 1, 2""")
+def ensemble_raster(spark, sf):
+    """Which hours of the session each unit is active in, smoothed over 25 hours: a series of any length in blocks."""
+    first = src.train(spark, sf).agg(F.min("t").alias("first"))
+    times = src.train(spark, sf).crossJoin(F.broadcast(first)).select("unit", ((F.col("t") - F.col("first")) / 60.0).alias("hours"))
+    return rounded(tr.ensemble_raster(times, "hours", 1.0, 25.0)[0], 5)
+
+
 @query(f"with {AE} select cluster, round(quantile_cont(amplitude, 0.95), 6) as p95 from ae group by 1")
 def held_unit_percentile(spark, sf):
     return rounded(quantiles(with_shape(spark, sf), ["cluster"], F.col("amplitude"), {"p95": 0.95}))
+
+
+# Run folders and versions ---------------------------------------------------------------------------------------------
+
+
+@query(f"""with {_ACT}, merged as (select *, case when cluster in (1, 3) then 99 when cluster = 0 then rec else cluster end as now from active)
+select 'active' as what, now::varchar as name, count(*) as n, sum(t % 1000)::bigint as check_t from merged where now <> 99 or cluster = 0 group by 1, 2
+union all select 'unit', 'unit000', count(*), sum(t % 1000)::bigint from merged where now = 99 and cluster <> 0
+union all select 'log', string_agg(action, ',' order by k), count(*), 0::bigint from (select unnest(['start', 'edit', 'edit', 'undo', 'edit', 'save', 'undo', 'save']) as action, unnest(range(0, 8)) as k)""")
+def version_fold(spark, sf):
+    """A curation session on disk: merge, discard, undo of that, split by recording, a save, its undo, the save again."""
+    path = runs.scratch_folder(spark, "versions").path
+    v = runs.Versions(spark, path)
+    v.start(_active(spark, sf))
+    v.edit("merge", cu.merge(v.spikes(), [1, 3], 99))
+    v.edit("discard", cu.discard(v.spikes(), [6]))
+    v.undo()
+    runs.Versions(spark, path).edit("split", cu.split_by_recording(v.spikes(), 0))  # as another session would
+    v.save("keep", [99, 6], [True, False], [False, False], [False, True])
+    v.undo()
+    v.save("keep", [99], [True], [False], [False])
+    count = lambda df, what, name: df.groupBy(F.lit(what).alias("what"), F.col(name).cast("string").alias("name")).agg(F.count("*").alias("n"), F.sum(F.col("t") % 1000).alias("check_t"))
+    actions = [r["action"] for r in v.log()]
+    log = spark.createDataFrame([("log", ",".join(actions), len(actions), 0)], "what string, name string, n long, check_t long")
+    return count(v.spikes(), "active", "cluster").union(count(v.units(), "unit", "unit")).union(log)
+
+
+@query(f"""with {TRC}, n as (select channel, count(*) as n from trace group by 1)
+select channel, case when n % 2 = 0 then 'done' when n % 3 = 0 then 'failed' else 'started' end as state, case when n % 2 = 0 then 'two' when n % 3 = 0 then 'three' else 'one' end as run, n % 2 <> 0 as pending from n""")
+def run_status(spark, sf):
+    """The latest state of each channel in a run folder's log, and what a later run still has to do."""
+    n = src.trace(spark, sf).groupBy("channel").agg(F.count("*").alias("n"))
+    folder = runs.scratch_folder(spark, "status")
+    folder.note(n.select("channel", F.lit("started").alias("state")), "sort", "one")
+    folder.note(n.where("n % 2 = 0").select("channel", F.lit("done").alias("state")), "sort", "two")
+    folder.note(n.where("n % 2 <> 0 and n % 3 = 0").select("channel", F.lit("failed").alias("state")), "sort", "three")
+    todo = folder.pending(n, "sort").select("channel", F.lit(True).alias("pending"))
+    return folder.status().select("channel", "state", "run").join(todo, "channel", "left").fillna(False, ["pending"])
+
+
+@query(f"""with {SPK}, k as (select cluster, count(*) as n from spikes group by 1), one as (select cluster, row_number() over (order by cluster) - 1 as place from k),
+two as (select cluster, row_number() over (order by cluster) - 1 + (select count(*) from k) as place from k where cluster % 2 = 0)
+select run, unit, cluster, n from (select 'one' as run, printf('unit%03d', place) as unit, cluster from one union all select 'two', printf('unit%03d', place), cluster from two) join k using (cluster)""")
+def unit_names(spark, sf):
+    """The units of two runs, one of which was tried twice: named without gaps, appended once."""
+    spikes = src.spikes(spark, sf).select("spike_id", "cluster")
+    folder = runs.scratch_folder(spark, "units")
+    for run, part in (("one", spikes), ("two", spikes.where("cluster % 2 = 0")), ("two", spikes.where("cluster % 2 = 0"))):
+        runs.append_units(folder, part, run)
+    return folder.read("run_units").groupBy("run", "unit", "cluster").agg(F.count("*").alias("n"))
+
+
+@query(f"""with {SPK}, f as (select distinct cluster from spikes where cluster % 3 = 0), g as (select cluster, unnest([2, 3]) as k from (select distinct cluster from spikes))
+select cluster::varchar as channel, g.k::int as k, coalesce(n, 0)::bigint as n, round(coalesce(m, 0), 6) as m, n is null as missing from g left join (select cluster, k, n, m from (select cluster, count(*) as n, avg(w[1]) as m from spikes group by 1) x, (select unnest([2, 3]) as k) y where not (k = 3 and cluster % 3 = 0)) q using (cluster, k)""")
+def report_files(spark, sf):
+    """Report files of channels and solutions, read back with those that are missing."""
+    rows = src.spikes(spark, sf).groupBy("cluster").agg(F.count("*").alias("n"), F.avg(F.get("w", F.lit(0))).alias("m"))
+    rows = rows.select(F.col("cluster").cast("string").alias("channel"), F.explode(F.array(F.lit(2), F.lit(3))).alias("k"), "n", "m")
+    path = runs.scratch_folder(spark, "reports").path
+    runs.write_reports(rows.where("not (k = 3 and int(channel) % 3 = 0)"), path)
+    found, missing, _ = runs.read_reports(spark, path, "n long, m double", rows)
+    gone = missing.select("channel", "k", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("m"), F.lit(True).alias("missing"))
+    return rounded(found.select("channel", "k", "n", "m", F.lit(False).alias("missing")).union(gone))

@@ -28,37 +28,28 @@ def write_spikes(spikes: DataFrame, path: str) -> None:
     spikes.write.partitionBy("rec", "channel").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
-def write_clusters(assigned: DataFrame, path: str) -> None:
-    """One folder a solution and cluster, as write_spikes."""
-    assigned.write.partitionBy("solution", "cluster").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
-
-
-def first_files(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """(path): the first n files of a folder by name."""
-    return spark.read.format("binaryFile").load(path).select("path").orderBy("path").limit(n)
-
-
-def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, inferSchema=True)
-
-
 def encoded(rows: DataFrame, column: str) -> DataFrame:
     """rows with `json`: the column as JSON text, binary values in base64."""
     kind = dict(rows.dtypes)[column]
     return rows.withColumn("json", F.to_json(F.struct((F.base64(column) if kind == "binary" else F.col(column)).alias(column))))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows computed once and kept in the checkpoint folder, which driver and executors share; what follows starts there.
-
-    The folder is the session's spark.checkpoint.dir; where that is unset, a local master gets one of its own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir, which driver and executors share; where it is unset, a local master gets one of its own."""
     sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and sc._jsc.sc().getCheckpointDir().isDefined():
+        where = sc._jsc.sc().getCheckpointDir().get()
+    if not where and not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where and not sc.master.split("[")[0] == "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(where or "/tmp/checkpoints")
+    return (where or "/tmp/checkpoints").rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows computed once and kept in the checkpoint folder; what follows starts there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

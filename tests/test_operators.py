@@ -356,6 +356,63 @@ def test_rasters_overlays_held_units(spark):
     assert sorted(tuple(r) for r in trains.held_units(wide).collect()) == [("x", "day1", "u1"), ("y", "day2", "u3")]
 
 
+def test_smoothing_in_blocks(spark):
+    """Blocks and halos give what the whole series gives, mirrored at its ends, also where it is shorter than the kernel."""
+    rng = np.random.default_rng(9)
+    for n, sigma in ((1, 3.0), (5, 3.0), (12, 3.0), (13, 3.0), (400, 3.0), (150, 25.0)):
+        v = rng.standard_normal(n)
+        df = spark.createDataFrame([(u, float(3 * i), float(x) + (u == "b")) for u in ("a", "b") for i, x in enumerate(v)], "unit string, center double, rate double").repartition(3)
+        weights = np.array(trains.gaussian_weights(sigma))
+        r = len(weights) // 2
+        line = np.array([v[p if p < n else 2 * n - 1 - p] for p in np.arange(-r, n + r) % (2 * n)])
+        for block in (7, 4096):
+            got = {(x.unit, x.center): x.rate for x in trains.smoothed(df, ["unit"], sigma, block=block).collect()}
+            assert len(got) == 2 * n and np.allclose([got["a", 3.0 * i] for i in range(n)], np.convolve(line, weights, "valid"))
+            assert got["b", 0.0] == pytest.approx(got["a", 0.0] + 1)
+    rough = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, None), ("a", 3.0, 2.0), (None, 1.0, 5.0)], "unit string, center double, rate double")
+    assert sorted((str(r.unit), r.center, r.rate and round(r.rate, 9)) for r in trains.smoothed(rough, ["unit"]).collect()) == [("None", 1.0, 5.0), ("a", 1.0, 2.0), ("a", 2.0, None), ("a", 3.0, 2.0)]
+    assert trains.smoothed(rough.limit(0), ["unit"]).count() == 0
+
+
+def test_ensemble_raster(spark):
+    spikes = spark.createDataFrame([("u", 0.0), ("u", 0.011), ("u", 0.0099), ("v", 0.5), (None, 0.2)], "unit string, t double")
+    cells, places = trains.ensemble_raster(spikes.where("unit is not null"), "t", 100.0, 2.0)
+    got = {(r.unit, r.bin): r.value for r in cells.collect()}
+    assert len(got) == 102 and got["u", 0] > got["u", 5] > 0 and got["u", 40] == 0 and got["v", 50] == max(v for (u, _), v in got.items() if u == "v")
+    assert {r.unit: (r.median, r.place) for r in places.collect()} == {"u": (1.0, 0), "v": (50.0, 1)}
+
+
+def test_waveform_lines(spark):
+    """Clipped lines on a small canvas, against a canvas that is drawn step by step."""
+    rng = np.random.default_rng(10)
+    w = [*(np.round(rng.standard_normal((30, 5)), 1)), np.array([0.0, np.nan, 1.0, 1.0, -1.0]), np.array([0.5]), *[np.zeros(5)] * 3]
+    rows = [(i, 0, [None if v != v and i % 2 else float(v) for v in x]) for i, x in enumerate(w)] + [(99, 1, [2.0] * 4), (100, 1, None)]
+    df = spark.createDataFrame(rows, "spike_id int, cluster int, w array<double>")
+    width, height = 40, 30
+    got = {(r.cluster, r.x, r.y): r for r in quality.waveform_lines(df, step=1, width=width, height=height).collect()}
+    values = np.concatenate(w)
+    lo, hi = np.quantile(values[~np.isnan(values)], [0.05, 0.95])
+    canvas = {}
+    for x in w:
+        for i in range(len(x) - 1):
+            a, b = x[i], x[i + 1]
+            if a != a or b != b or max(a, b) < lo or min(a, b) > hi:
+                continue
+            ends = []
+            for v, t in ((a, 0.0), (b, 1.0)):
+                edge = min(max(v, lo), hi)
+                ends.append((i + (t if edge == v else (edge - a) / (b - a)), edge))
+            (x0, y0), (x1, y1) = ((min(int(p / (len(x) - 1) * width), width - 1), min(int((q - lo) / (hi - lo) * height), height - 1)) for p, q in ends)
+            far = max(abs(x1 - x0), abs(y1 - y0))
+            for k in range(int(i > 0 and lo <= a <= hi), far + 1):
+                cell = (x0 + ((2 * k * (x1 - x0) + far) // (2 * far) if far else 0), y0 + ((2 * k * (y1 - y0) + far) // (2 * far) if far else 0))
+                canvas[cell] = canvas.get(cell, 0) + 1
+    assert {(x, y): r.n for (c, x, y), r in got.items() if c == 0} == canvas
+    counts = np.array(list(canvas.values()))
+    assert all(r.shade == pytest.approx((counts <= r.n).mean()) for (c, _, _), r in got.items() if c == 0)
+    assert {(x, y): r.n for (c, x, y), r in got.items() if c == 1} == {(x, 0): 1 for x in range(width)}
+
+
 def test_curation(spark):
     df = spark.createDataFrame([(i % 2, i % 3, i, float(i)) for i in range(12)], "rec int, cluster int, spike_id long, t double")
     s = curate.Session(df)

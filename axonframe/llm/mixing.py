@@ -10,38 +10,70 @@ from .common import saved
 
 #: Rows that one group of the ranking window holds on average; groups are cut by hash, so no source makes a larger one.
 RANKED_TOGETHER = 2_000
-#: More sources than this are an error: the state of the schedule is one array of them.
-MOST_SOURCES = 1024
-#: Parts of the whole that a weight is counted in: far more than a run has slots.
-PARTS = 1_000_000_000
+#: Parts of the whole that a weight is counted in, fewer if a run has so many slots that slots times parts would not fit a long.
+PARTS, MOST_PRODUCT = 100_000_000_000, 4_000_000_000_000_000_000
 #: Stretches of a run at most; longer runs have longer ones.
 STRETCHES = 4096
-
-#: The sources of the slots 0 .. period - 1 for s, an array of structs with w: of the released blocks the one due first.
-_PICKS = """aggregate(sequence(0L, period - 1),
-             named_struct('done', transform(s, x -> 0L), 'picks', cast(array() as array<int>)),
-             (a, t) -> transform(
-                 array(array_min(transform(s, (x, i) ->
-                     if(a.done[i] < x.w and a.done[i] * period div x.w <= t,
-                        named_struct('due', ((a.done[i] + 1) * period + x.w - 1) div x.w, 'i', i),
-                        null)))),
-                 m -> named_struct('done', transform(a.done, (d, i) -> if(i = m.i, d + 1, d)), 'picks', concat(a.picks, array(m.i))))[0],
-             a -> a.picks)"""
-
-#: The blocks of each source in the stretches 0 .. n - 1 of `period` slots: those due by its end, then released ones by due time.
-_QUOTAS = """aggregate(sequence(0L, n - 1),
-             named_struct('done', transform(s, x -> 0L), 'out', cast(array() as array<struct<start: array<bigint>, q: array<bigint>>>)),
+#: Picks of a stretch that are copied with each slot; full pieces are set aside.
+PIECE = 256
+
+#: The blocks done at the ends of the stretches 1 .. n of `step` slots, for s, an array of structs with w that add up to parts.
+#: Blocks due by then are done; of the others each source has one at most that is released, and as many are done as slots are
+#: left. Those done before stay so. Of those released within the stretch, the latest j may hold only the slots that their
+#: shares of a block add up to, rounded up; within that the ones due first are taken, in the order of releases.
+_STATES = """aggregate(sequence(1L, n),
+             named_struct('done', transform(s, x -> 0L), 'out', cast(array() as array<struct<start: array<bigint>, stop: array<bigint>>>)),
              (a, c) -> transform(
+               transform(
                  transform(
-                     transform(array(transform(s, (x, i) -> greatest(0L, (c + 1) * period * x.w div parts - a.done[i]))),
-                         must -> named_struct('must', must, 'more', slice(array_sort(filter(transform(s, (x, i) ->
-                             if((c + 1) * period * x.w % parts > 0 and a.done[i] + must[i] = (c + 1) * period * x.w div parts,
-                                named_struct('due', ((a.done[i] + must[i] + 1) * parts + x.w - 1) div x.w, 'i', i), null)), y -> y is not null)),
-                             1, cast(period - aggregate(must, 0L, (z, y) -> z + y) as int)))),
-                     m -> transform(m.must, (d, i) -> d + if(exists(m.more, y -> y.i = i), 1L, 0L))),
-                 q -> named_struct('done', zip_with(a.done, q, (x, y) -> x + y), 'out', concat(a.out, array(named_struct('start', a.done, 'q', q)))))[0],
+                   transform(array(transform(s, (x, i) -> named_struct(
+                       'whole', c * step * x.w div parts, 'part', c * step * x.w % parts, 'i', i,
+                       'ahead', a.done[i] > c * step * x.w div parts,
+                       'release', (c * step * x.w div parts) * parts div x.w,
+                       'due', ((c * step * x.w div parts + 1) * parts + x.w - 1) div x.w))),
+                     z -> named_struct(
+                       'base', transform(z, y -> y.whole + if(y.ahead, 1L, 0L)),
+                       'old', array_sort(transform(filter(z, y -> y.part > 0 and not y.ahead and y.release <= (c - 1) * step), y -> named_struct('due', y.due, 'i', y.i))),
+                       'new', array_sort(transform(filter(z, y -> y.part > 0 and not y.ahead and y.release > (c - 1) * step),
+                           y -> named_struct('release', y.release, 'due', y.due, 'i', y.i, 'part', y.part))))),
+                   z -> named_struct('base', z.base, 'old', z.old, 'new', z.new,
+                       'open', c * step - aggregate(z.base, 0L, (p, y) -> p + y), 'parts', aggregate(z.new, 0L, (p, y) -> p + y.part))),
+                 z -> named_struct('base', z.base,
+                     'first', slice(z.old, 1, cast(greatest(0L, z.open - (z.parts + parts - 1) div parts) as int)),
+                     'then', aggregate(z.new,
+                         named_struct(
+                           'pool', slice(z.old, 1 + cast(greatest(0L, z.open - (z.parts + parts - 1) div parts) as int), size(z.old)),
+                           'rest', z.parts, 'skip', greatest(0L, (z.parts + parts - 1) div parts - z.open), 'got', cast(array() as array<int>)),
+                         (p, y) -> transform(
+                           transform(array(named_struct(
+                               'pool', array_append(p.pool, named_struct('due', y.due, 'i', y.i)),
+                               'free', (p.rest + parts - 1) div parts - (p.rest - y.part + parts - 1) div parts)),
+                             q -> named_struct('pool', q.pool, 'free', q.free, 'm', if(q.free > 0 and p.skip = 0, array_min(q.pool), null))),
+                           q -> named_struct(
+                             'pool', if(q.m is null, q.pool, array_remove(q.pool, q.m)),
+                             'rest', p.rest - y.part, 'skip', greatest(0L, p.skip - q.free),
+                             'got', if(q.m is null, p.got, array_append(p.got, q.m.i))))[0],
+                         p -> p.got))),
+               z -> transform(array(transform(z.base, (b, i) -> b + if(exists(z.first, y -> y.i = i) or array_contains(z.then, i), 1L, 0L))),
+                 q -> named_struct('done', q, 'out', concat(a.out, array(named_struct('start', a.done, 'stop', q)))))[0])[0],
              a -> a.out)"""
 
+#: (i, block) of each slot of stretch c: of the released blocks up to `stop` the one that is due first, of those that tie the
+#: first source's.
+_PICKS = f"""aggregate(sequence(c * step, (c + 1) * step - 1),
+             named_struct('done', start, 'cur', cast(array() as array<struct<i: int, block: bigint>>), 'out', cast(array() as array<array<struct<i: int, block: bigint>>>)),
+             (a, t) -> transform(
+               transform(array(array_min(transform(s, (x, i) ->
+                     if(a.done[i] < stop[i] and a.done[i] * parts div x.w <= t,
+                        named_struct('due', ((a.done[i] + 1) * parts + x.w - 1) div x.w, 'i', i),
+                        null)))),
+                 m -> named_struct('i', m.i, 'cur', array_append(a.cur, named_struct('i', m.i, 'block', a.done[m.i])))),
+               q -> named_struct(
+                 'done', transform(a.done, (d, i) -> if(i = q.i, d + 1, d)),
+                 'cur', if(size(q.cur) < {PIECE}, q.cur, slice(q.cur, 1, 0)),
+                 'out', if(size(q.cur) < {PIECE}, a.out, concat(a.out, array(q.cur)))))[0],
+             a -> concat(flatten(a.out), a.cur))"""
+
 
 def _ranked(rows: DataFrame) -> DataFrame:
     """rows (doc, src, id) with `ix`: the row's place from 0 in its source, in the order of md5(id) and id.
@@ -60,63 +92,44 @@ def _ranked(rows: DataFrame) -> DataFrame:
     return ranked.join(offsets, ["src", "part"]).withColumn("ix", F.col("start") + F.col("rn") - 1).drop("part", "rn", "start", "h")
 
 
-def pfair_schedule(targets: DataFrame) -> DataFrame:
-    """One period of the schedule: (src, w, period, j, slot) for targets (src, w), w whole blocks a period.
+def block_slots(targets: DataFrame, stretch: int = 1024) -> DataFrame:
+    """(src, block, slot) of all blocks, for targets (src, v, m): a weight, and how many blocks there are.
 
-    Block j of a source is released at floor(j * period / w) and due before ceil((j + 1) * period / w).
-    Each slot takes, of the released blocks, the one due first (ties: the first source by name). The
-    weights fill the period exactly, so every block gets a slot of its window and no source is ever
-    a block ahead of its share or behind it; the next period starts where all shares are whole.
-    """
-    lists = targets.agg(F.sort_array(F.collect_list(F.struct("src", "w"))).alias("s")).select(
-        "s", F.expr("aggregate(s, 0L, (a, x) -> a + x.w)").alias("period")
-    )
-    small = F.when(F.size("s") <= MOST_SOURCES, F.col("s")).otherwise(F.raise_error(F.lit(f"more than {MOST_SOURCES} sources")))
-    picks = F.expr(_PICKS)
-    one = lists.where(F.size("s") > 0).withColumn("s", small).withColumn("picks", picks)
-    slots = one.select("s", "period", F.posexplode("picks").alias("slot", "i"))
-    slots = slots.select(F.expr("s[i].src").alias("src"), F.expr("s[i].w").alias("w"), "period", F.col("slot").cast("long"))
-    j = F.row_number().over(Window.partitionBy("src").orderBy("slot")) - 1
-    return slots.withColumn("j", j.cast("long"))
-
-
-def block_slots(targets: DataFrame) -> DataFrame:
-    """(src, block, slot) of all blocks, for targets (src, w, r, m): w parts of the whole, r of a stretch, m blocks.
-
-    The run is cut into stretches of the sum of r slots. At the end of each, every source has its whole share w / sum(w) of
-    all slots so far, rounded up or down: blocks due by then are in, and released ones fill it by due time. Within a
-    stretch these whole numbers are scheduled by pfair_schedule's rule. So no source is ever two blocks off, nor one block
-    at the ends of stretches, however long the run is.
+    Block k of a source that has the share w of all weights is released at floor(k / w) and due before ceil((k + 1) / w), over
+    the whole run, and each slot takes, of the released blocks, the one due first (ties: the first source by name). So at
+    every slot each source is less than one block off its share. The run is cut into stretches of `stretch` slots, or more
+    where there would be over STRETCHES of them. How many blocks of each source are done at the ends of stretches follows
+    from shares alone, one stretch after the other, such that blocks meet their releases and dues on both sides; within a
+    stretch slots are filled in a task of its own. A run of one stretch is plain earliest-deadline-first. Any number of
+    sources; the ends of stretches take one task, which holds an array of them.
     """
-    lists = targets.where("w > 0").agg(F.sort_array(F.collect_list(F.struct("src", "w", "r", "m"))).alias("s")).where(F.size("s") > 0)
-    lists = lists.withColumn("s", F.when(F.size("s") <= MOST_SOURCES, F.col("s")).otherwise(F.raise_error(F.lit(f"more than {MOST_SOURCES} sources"))))
+    targets = targets.where("v > 0")
+    total = targets.agg(F.sum("v").alias("total"), F.max(F.ceil(F.col("m") * 2.0 / F.col("v"))).alias("most"))
+    lists = targets.crossJoin(F.broadcast(total))  # one row
+    within = F.expr(f"least({PARTS}L, cast({MOST_PRODUCT}L / (total * most + 1) as bigint))")
+    lists = lists.withColumn("w", F.greatest(F.lit(1), F.round(F.col("v") / F.col("total") * within)).cast("long"))
+    lists = lists.agg(F.sort_array(F.collect_list(F.struct("src", "w", "m"))).alias("s")).where(F.size("s") > 0)
     lists = lists.withColumn("parts", F.expr("aggregate(s, 0L, (a, x) -> a + x.w)"))
     lists = lists.withColumn("slots", F.expr("array_max(transform(s, x -> (x.m * parts + x.w - 1) div x.w))"))
-    lists = lists.withColumn("period", F.expr(f"greatest(aggregate(s, 0L, (a, x) -> a + x.r), (slots + {STRETCHES - 1}) div {STRETCHES})"))
-    lists = lists.withColumn("n", F.expr("(slots + period - 1) div period"))
-    each = saved(lists.withColumn("out", F.expr(_QUOTAS)).select("s", "period", F.posexplode("out").alias("c", "x")).select("s", "period", "c", "x.*"))
-    kinds = each.select("period", "q").distinct().withColumn("s", F.expr("transform(q, x -> named_struct('w', x))")).repartition("q")
-    picks = kinds.select("q", F.posexplode(F.expr(_PICKS)).alias("at", "i"))
-    picks = picks.withColumn("j", (F.row_number().over(Window.partitionBy("q", "i").orderBy("at")) - 1).cast("long"))
-    held = each.select("period", "c", "q", "start", F.posexplode("s").alias("i", "x")).withColumn("from", F.expr("start[i]"))
-    held = held.withColumn("to", F.expr("least(x.m, from + q[i])")).where("from < to")
-    blocks = held.select("q", "i", "period", "c", "from", F.col("x.src").alias("src"), F.explode(F.expr("sequence(from, to - 1)")).alias("block"))
-    placed = blocks.withColumn("j", F.expr("block - from")).join(picks, ["q", "i", "j"])
-    return placed.select("src", "block", F.expr("c * period + at").alias("slot"))
+    lists = lists.withColumn("step", F.expr(f"greatest({stretch}L, (slots + {STRETCHES - 1}) div {STRETCHES})"))
+    lists = saved(lists.withColumn("n", F.expr("(slots + step - 1) div step")))
+    each = saved(lists.select("s", "parts", "step", F.posexplode(F.expr(_STATES)).alias("c", "x")).selectExpr("s", "parts", "step", "bigint(c) as c", "x.*"))
+    picks = each.repartition(F.col("c")).select("s", "step", "c", F.posexplode(F.expr(_PICKS)).alias("at", "x"))
+    placed = picks.selectExpr("s[x.i].src as src", "s[x.i].m as m", "x.block as block", "c * step + at as slot")
+    return placed.where("block < m").select("src", "block", "slot")
 
 
 def mix_sources(
-    docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 8, resolution: int = 1000, power: float = 0.5,
+    docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = 8, stretch: int = 1024, power: float = 0.5,
     id_column: str = "doc_id", source_column: str = "source",
 ) -> DataFrame:
     """All rows of docs with their place in a mix of the sources: columns doc (the row), src, block, slot, ix.
 
     weights gives target weights by source; sources that it lacks, and all if it is None, weigh their
     number of rows to `power`. A source's rows, in the order of md5(id), form blocks of block_docs, whose
-    slots are those of block_slots, with stretches of about `resolution` slots. Reading by (slot, ix)
-    interleaves the sources with less than two blocks' deviation from the targets at every slot, and less than
-    one at the ends of stretches; slots of sources that have run out stay empty, so the others share by
-    their weights. Rows of a source of weight 0 have no slot (null). Every row is returned once.
+    slots are those of block_slots. Reading by (slot, ix) interleaves the sources with less than one block's
+    deviation from the targets at every slot; slots of sources that have run out stay empty, so the others
+    share by their weights. Rows of a source of weight 0 have no slot (null). Every row is returned once.
 
     A null source is a source of its own; rows of equal id are ordered arbitrarily among themselves; an
     empty table gives no rows; other columns, whatever their names, ride along in doc.
@@ -127,14 +140,9 @@ def mix_sources(
     sizes = rows.groupBy("src").agg(F.count("*").alias("n"))
     given = spark.createDataFrame([(f"={k}", float(v)) for k, v in (weights or {}).items()], "src string, given double")
     heavy = sizes.join(F.broadcast(given), "src", "left").select("src", "n", F.greatest(F.lit(0.0), F.coalesce("given", F.pow("n", F.lit(power)))).alias("v"))
-    total = heavy.agg(F.sum("v").alias("total"))
-    share = F.when(F.col("v") > 0, F.col("v") / F.col("total")).otherwise(0.0)
-    targets = heavy.crossJoin(F.broadcast(total)).select(
-        "src", F.when(F.col("v") > 0, F.greatest(F.lit(1), F.round(share * PARTS))).otherwise(0).cast("long").alias("w"),
-        F.greatest(F.lit(1), F.round(F.col("v") * resolution / F.col("total"))).cast("long").alias("r"), F.ceil(F.col("n") / block_docs).cast("long").alias("m"),
-    )
+    targets = saved(heavy.select("src", "v", F.ceil(F.col("n") / block_docs).cast("long").alias("m")))
     ranked = _ranked(rows).withColumn("block", F.expr(f"ix div {block_docs}"))
-    return ranked.join(saved(block_slots(targets)).hint("merge"), ["src", "block"], "left").select("doc", "src", "block", "slot", "ix")
+    return ranked.join(saved(block_slots(targets, stretch)).hint("merge"), ["src", "block"], "left").select("doc", "src", "block", "slot", "ix")
 
 
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
@@ -150,30 +158,31 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc.doc_id", "doc.source", "block", "slot", "ix")
 
 
-#: The schedule by earliest deadline first, one slot a step of the recursion.
+#: The whole run by earliest deadline first, one slot a step of the recursion.
 SQL = """
 with recursive sizes as (
   select coalesce('=' || source, 'null') as src, count(*) as n from documents group by 1),
+shares as (select src, n, pow(n, 0.5) as v, ceil(n / 8.0)::bigint as m from sizes),
+whole as (select sum(v) as total, max(ceil(m * 2.0 / v)) as most from shares),
 targets as (
-  select src, greatest(1, round(pow(n, 0.5) * 1000 / (select sum(pow(n, 0.5)) from sizes)))::bigint as w,
+  select src, m, greatest(1, round(v / total * least(100000000000, (4000000000000000000 / (total * most + 1))::bigint)))::bigint as w,
          (row_number() over (order by src))::int as i
-  from sizes),
-names as (select list(w order by src) as ws, sum(w)::bigint as period from targets),
-edf(t, pick, done) as (
-  select -1::bigint, 0, list_transform(ws, lambda x: 0::bigint) from names
+  from shares, whole),
+names as (
+  select list(w order by src) as ws, sum(w)::hugeint as parts, (select max((m * p + w - 1) // w) from targets, (select sum(w)::hugeint as p from targets)) as slots from targets),
+edf(t, pick, block, done) as (
+  select -1::bigint, 0, 0::bigint, list_transform(ws, lambda x: 0::bigint) from names
   union all
-  select t + 1, p, list_transform(done, lambda d, i: case when i = p then d + 1 else d end)
-  from (select t, done, list_min(list_transform(list_filter(range(1, len(ws) + 1),
-                 lambda i: done[i] < ws[i] and (done[i] * period) // ws[i] <= t + 1),
-                 lambda i: (((done[i] + 1) * period + ws[i] - 1) // ws[i]) * 10000 + i)) % 10000 as p
-        from edf, names where t + 1 < period)),
-schedule as (
-  select targets.src, w, period, t as place, row_number() over (partition by targets.src order by t) - 1 as j
-  from edf join targets on targets.i = edf.pick cross join names where t >= 0),
+  select t + 1, p, done[p], list_transform(done, lambda d, i: case when i = p then d + 1 else d end)
+  from (select t, done, (list_min(list_transform(list_filter(range(1, len(ws) + 1),
+                 lambda i: (done[i] * parts) // ws[i] <= t + 1),
+                 lambda i: (((done[i] + 1) * parts + ws[i] - 1) // ws[i]) * 10000 + i)) % 10000)::int as p
+        from edf, names where t + 1 < slots)),
+schedule as (select src, block, t as slot from edf join targets on targets.i = edf.pick where t >= 0),
 ranked as (
   select doc_id, source, coalesce('=' || source, 'null') as src,
          row_number() over (partition by source order by md5(doc_id::varchar), doc_id) - 1 as ix
   from documents)
-select doc_id, source, ix // 8 as block, ((ix // 8) // w) * period + place as slot, ix
-from ranked join schedule on schedule.src = ranked.src and schedule.j = (ix // 8) % w
+select doc_id, source, ix // 8 as block, slot, ix
+from ranked join schedule on schedule.src = ranked.src and schedule.block = ix // 8
 """

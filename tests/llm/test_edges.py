@@ -115,7 +115,7 @@ def test_mixing(rough, empty):
     assert got.count() == rough.count() and mixing.mix_sources(empty).count() == 0
     ordered = mixing.in_mixed_order(rough)
     assert ordered.columns == rough.columns and ordered.count() == rough.count()
-    weighed = mixing.mix_sources(rough, weights={"a": 3, "b": 1}, resolution=10).groupBy("src").agg(F.max("slot").alias("s")).collect()
+    weighed = mixing.mix_sources(rough, weights={"a": 3, "b": 1}, stretch=10).groupBy("src").agg(F.max("slot").alias("s")).collect()
     assert {r.src for r in weighed} == {"=a", "=b", "=c", "null"}
 
 

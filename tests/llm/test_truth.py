@@ -29,33 +29,51 @@ def test_mixing_against_sql(spark):
     same_as_sql(mixing.op10_mix_sources(spark, SF), mixing.SQL)
 
 
-def test_mixing_deviation(spark):
-    rows = spark.createDataFrame([(s, w) for s, w in (("=a", 7), ("=b", 3), ("=c", 1), ("=d", 2))], "src string, w long")
-    got = mixing.pfair_schedule(rows).orderBy("slot").collect()
-    assert [r.slot for r in got] == list(range(13))
-    done = collections.Counter()
-    for r in got:
-        done[r.src] += 1
-        for s, w in (("=a", 7), ("=b", 3), ("=c", 1), ("=d", 2)):
-            assert abs(done[s] - w * (r.slot + 1) / 13) < 1
-        assert r.j * 13 // r.w <= r.slot < -(-(r.j + 1) * 13 // r.w)
-
-
-@pytest.mark.parametrize("weights", [None, {"s0": 0.9, "s1": 0.0999, "s2": 0.0001, "s3": 0.0}])
-def test_mixing_deviation_from_unrounded(spark, weights):
-    """Skewed sources: at each slot less than two blocks from the unrounded targets, and all slots of a run's start in use."""
-    sizes = [40_000, *[2_000] * 20, *[7] * 30] if weights is None else [20_000, 2_000, 8, 16]
+def test_mixing_against_sql_on_skewed_sources(spark):
+    sizes = [2_000, 200, 20, 8, 7, 1, 300]
+    rows = [(k * 10_000 + i, None if k == 6 else f"s{k}") for k, n in enumerate(sizes) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    want = con.execute(mixing.SQL).df()
+    got = mixing.mix_sources(docs).select("doc.doc_id", "doc.source", "block", "slot", "ix").toPandas()
+    rows = lambda d: sorted((int(r.doc_id), str(r.source), int(r.block), int(r.slot), int(r.ix)) for r in d.itertuples())
+    assert rows(got) == rows(want)
+
+
+#: Sizes of sources and their weights: one large source, far between weights, sources that run out, more than a thousand.
+MIXES = [
+    ([40_000, *[2_000] * 20, *[7] * 30], None, 1024),
+    ([20_000, 2_000, 8, 16], [0.9, 0.0999, 0.0001, 0.0], 1024),
+    ([4_000, 400, 40], None, 16),
+    ([800, 3, 50, 50, 90, 2, 400, 31, 7, 1], [5, 1, 0.3, 0.31, 0.29, 0.001, 2, 0.2, 0.07, 0.013], 8),
+    ([700] * 6 + [60] * 40, [1, 1 / 3, 1 / 7, 0.2, 0.11, 0.05] + [0.01 + k / 900 for k in range(40)], 24),
+    ([200] + [3] * 1_500, None, 256),
+]
+
+
+@pytest.mark.parametrize("sizes, weights, stretch", MIXES)
+def test_mixing_deviation_from_unrounded(spark, sizes, weights, stretch):
+    """At each slot every source is less than one block from its unrounded target, and no slot holds two blocks."""
     rows = [(k * 100_000 + i, f"s{k}") for k, n in enumerate(sizes) for i in range(n)]
     df = spark.createDataFrame(rows, "doc_id long, source string")
-    got = mixing.mix_sources(df, weights).select("src", "block", "slot").distinct().collect()
+    weights = None if weights is None else {f"s{k}": w for k, w in enumerate(weights)}
+    got = mixing.mix_sources(df, weights, stretch=stretch).select("src", "block", "slot").distinct().collect()
     assert len(got) == sum(-(-n // 8) for n in sizes)
     raw = {f"=s{k}": math.sqrt(n) if weights is None else weights[f"s{k}"] for k, n in enumerate(sizes)}
     target = {k: v / sum(raw.values()) for k, v in raw.items()}
     slots = [r.slot for r in got if r.slot is not None]
     assert len(slots) == len(set(slots)) and all((r.slot is None) == (target[r.src] == 0) for r in got)
-    for r in got:
+    for r in got:  # a source is late most just before a block, and early most just after
         if r.slot is not None:
-            assert abs(r.block - r.slot * target[r.src]) < 2 and abs(r.block + 1 - (r.slot + 1) * target[r.src]) < 2
+            assert r.slot * target[r.src] - r.block < 1 and r.block + 1 - (r.slot + 1) * target[r.src] < 1
+
+
+def test_mixing_fills_every_slot(spark):
+    rows = [(k * 1000 + i, f"s{k}") for k, n in enumerate([900, 300, 300]) for i in range(n)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    got = mixing.mix_sources(df, {"s0": 3, "s1": 1, "s2": 1}, block_docs=1, stretch=7)
+    assert sorted(r.slot for r in got.collect()) == list(range(1500))
 
 
 def test_quality_against_sql(spark):

@@ -1,5 +1,6 @@
 """Every template wrapped between other lines, in pairs, and on one line with another."""
 
+import random
 import textwrap
 
 from axonframe.llm import licenses
@@ -39,3 +40,49 @@ def test_numbers_and_limit():
     assert sure("This work is licensed under the GNU General Public License, version 4.") == []
     mit = licenses.TEMPLATES["MIT"].split()
     assert sure(" ".join(mit[:40] + ["x"] * 8 + mit[40:])) == ["MIT"] and sure(" ".join(mit[:40] + ["x"] * 9 + mit[40:])) == []
+
+
+def test_names_and_denials():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    sure = lambda text: sorted(r[2] for r in scanner.scan(text) if r[5])
+    gpl = licenses.TEMPLATES["GPL-3.0-or-later"]
+    assert sure(gpl) == ["GPL-3.0-or-later"] and sure(gpl.replace("General", "Affero General")) == ["AGPL-3.0-or-later"]
+    assert sure(gpl.replace("version 3", "version 2")) == ["GPL-2.0-or-later"]
+    assert sure("This work is licensed under the GNU Affero General Public License, version 3.") == ["AGPL-3.0-notice"]
+    assert sure("This work is licensed under the GNU Lesser General Public License, version 3.") == ["LGPL-3.0-notice"]
+    assert sure("This work is licensed under the GNU Lesser General Public License, version 2.1.") == ["LGPL-2.1-notice"]
+    assert sure("Not released under the MIT License.") == [] and sure("It is not yet released under the MIT License.") == []
+    assert sure("Released under the MIT License.\nSPDX-License-Identifier: BSD-3-Clause") == ["BSD-3-Clause-tag", "MIT-notice"]
+    assert sure("Licensed under CC BY-NC-ND 4.0.") == ["CC-BY-NC-ND-4.0"] and sure("SPDX-License-Identifier: Foo-1.0") == []
+    bsd = licenses.TEMPLATES["BSD-3-Clause"]
+    assert sure(bsd) == ["BSD-3-Clause"] and sure(bsd[: bsd.index(" Neither")]) == ["BSD-2-Clause"]
+    assert sure(gpl.replace("or (at your option) any later version", "and no other version")) == []
+
+
+def test_scan_against_every_alignment():
+    """Ranking by compression loses no wording that aligning every template with the whole text would find."""
+    rng = random.Random(4)
+    names = [k for k in licenses.TEMPLATES if not k.endswith("-tag")]
+    filler = "stone river summer garden the of a software and license house under permission notice walks public domain sea".split()
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    planted = caught = 0
+    for _ in range(60):
+        parts, want = [], []
+        for _ in range(rng.randint(1, 4)):
+            parts.append(" ".join(rng.choice(filler) for _ in range(rng.randint(3, 60))))
+            k = rng.choice(names)
+            words = licenses.TEMPLATES[k].split()
+            for _ in range(int(len(words) * 0.04)):  # a few words changed
+                i = rng.randrange(1, len(words) - 1)
+                if not any(c.isdigit() for c in words[i]) and licenses._WORD.findall(words[i].lower()) and not licenses.NAMING & set(licenses._WORD.findall(words[i].lower())):
+                    words[i] = "zzz"
+            parts.append(" ".join(words) + ".")
+            want.append(k)
+        text = "\n".join(parts)
+        every = [w.lower() for w in licenses._WORD.findall(text)]
+        brute = {k for k in licenses.TEMPLATES if any(not scanner.denied(every, s) for _, s, _ in licenses.aligned(scanner.words[k], every, licenses.DIFFER * len(scanner.words[k])))}
+        got = [r[2] for r in scanner.scan(text) if r[5]]
+        assert set(got) <= brute
+        planted += len(want)
+        caught += sum(min(got.count(k), want.count(k)) for k in set(want))
+    assert caught >= 0.97 * planted, (caught, planted)

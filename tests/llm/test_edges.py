@@ -101,8 +101,8 @@ def test_licenses(rough, empty):
 
 
 def test_private(rough, empty):
-    got = {r.id: r for r in private.pseudonymised(rough).collect()}
-    assert private.pseudonymised(empty).count() == 0
+    got = {r.id: r for r in private.pseudonymised(rough, 'k').collect()}
+    assert private.pseudonymised(empty, 'k').count() == 0
     r = got[8]
     assert (r.n_email, r.n_phone, r.n_card, r.n_ip, r.n_date) == (1, 1, 1, 1, 1) and "@example.com" in r.text
     for x in ("jo.doe", "123-4567", "4539578763621486", "10.1.2.3", "1985-03-09"):

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import duckdb
@@ -283,7 +284,7 @@ def test_pseudonyms_permute(spark):
 def test_forms_of_personal_data(spark, kind, value):
     """Each form is found among words and numbers, keeps its form and its check, and an invalid one stays."""
     df = spark.createDataFrame([(1, f"see {value} 2024 there"), (2, f"see {value[:-1]}{(int(value[-1]) + 1) % 10} there")], "doc_id long, text string")
-    got = {r.id: r for r in private.pseudonymised(df).collect()}
+    got = {r.id: r for r in private.pseudonymised(df, 'k').collect()}
     new = got[1].text.removeprefix("see ").removesuffix(" 2024 there")
     assert got[1][f"n_{kind}"] == 1 and new != value
     assert [c if c in " -/" else c.isdigit() for c in new] == [c if c in " -/" else c.isdigit() for c in value]
@@ -297,3 +298,43 @@ def test_forms_of_personal_data(spark, kind, value):
         assert 12 < int(new[:2]) <= 31 and 1 <= int(new[3:5]) <= 12
     if kind != "date":
         assert got[2].text == df.collect()[1].text
+
+
+def test_pseudonyms_keep_forms_apart_and_linked(spark):
+    """Values of each kind in many documents: equal ones stay equal, different ones different, all of their form."""
+    rng = random.Random(3)
+    luhn = lambda d: str(-sum(v if k % 2 else v * 2 - 9 * (v > 4) for k, v in enumerate(map(int, d[::-1]))) % 10)
+    name = lambda: "".join(rng.choice("abcdeABCDE12.") for _ in range(6)).strip(".") + "x"
+    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    made = {
+        "email": [("jo.doe@example.com"), ("Jo.Doe@example.com"), *{f"{name()}@mail.example.org" for _ in range(40)}],
+        "ssn": [f"{a:03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}" for a in [*range(1, 666, 7), *range(667, 900, 5)]],
+        "card": [(d := "4" + "".join(rng.choice("0123456789") for _ in range(14))) + luhn(d) for _ in range(40)],
+        "secret": [*("AKIA" + "".join(rng.choice(alnum[:26] + alnum[52:]) for _ in range(15)) + "7" for _ in range(20)), *("ghp_" + "".join(rng.choice(alnum) for _ in range(35)) + "3" for _ in range(20)), "0123456789abcdef" * 2],
+        "ip": ["10.0.0.1", "255.255.255.255", "0.0.0.0", "2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:0db8:0000:0000:0000:0000:0000:0002"],
+        "date": ["5.3.1985", "25.3.1985", "05.04.1985", "3/25/1985", "25/3/1985", "03/05/1985", "1985-03-09", "31.12.2050"],
+        "phone": ["0171 1234567", "030/12345678", "01 23 45 67 89", "020 7946 0958", "+49 30 901820", "555-123-4567"],
+        "iban": ["GB82WEST12345698765432", "DE89370400440532013000"],
+    }
+    values = [(k, v) for k, vs in made.items() for v in dict.fromkeys(vs)]
+    docs = [(i, f"first {v} then") for i, (_, v) in enumerate(values)] + [(1000 + i, f"again: {v}.") for i, (_, v) in enumerate(values)]
+    docs += [(5000, f"\ufdd0 first {values[0][1]} then \ufdd0"), (5001, "std::vector a::b 1.2.3 999-00-1234 000-12-3456 300.1.1.1 12:30 2001:db8:::1"), (5002, "31.2.2020 and 13/13/2020")]
+    got = {r.id: r for r in private.pseudonymised(spark.createDataFrame(docs, "doc_id long, text string"), "k").collect()}
+    forms = {"email": r"[A-Za-z0-9.]+@(mail\.)?example\.(com|org)", "ssn": r"(?!000|666|9)\d{3}-(?!00)\d\d-(?!0000)\d{4}", "card": r"\d{16}", "secret": r"AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|[0-9a-f]{32}"}
+    forms |= {"ip": r"\d+\.\d+\.\d+\.\d+|([0-9a-f]{4}:){7}[0-9a-f]{4}", "date": r"\d{1,2}[./]\d{1,2}[./]\d{4}|\d{4}-\d\d-\d\d", "phone": r"[0-9+ /-]+", "iban": r"GB\d\d[A-Z]{4}\d{14}|DE\d{20}"}
+    new = {}
+    for i, (kind, v) in enumerate(values):
+        one, two = got[i].text.removeprefix("first ").removesuffix(" then"), got[1000 + i].text.removeprefix("again: ").removesuffix(".")
+        assert one == two and re.fullmatch(forms[kind], one), (kind, v, one, two)
+        assert got[i][f"n_{kind}"] == 1 and (one != v or kind == "ssn"), (kind, v, one)
+        assert new.setdefault((kind, one), v) == v, (kind, v, one)
+        if kind == "card":
+            assert one[-1] == luhn(one[:-1])
+        if kind in ("email", "secret"):
+            assert [c.isupper() for c in one] == [c.isupper() for c in v]
+    assert got[5000].text == f"\ufdd0 first {got[0].text.split()[1]} then \ufdd0"
+    assert got[5001].text == docs[-2][1] and got[5002].text == docs[-1][1]
+    other = {r.id: r.text for r in private.pseudonymised(spark.createDataFrame(docs[:5], "doc_id long, text string"), "another").collect()}
+    assert all(other[i] != got[i].text for i in range(5))
+    with pytest.raises(ValueError):
+        private.pseudonymised(spark.createDataFrame(docs[:5], "doc_id long, text string"), "")

@@ -37,6 +37,20 @@ def trough(w: Column) -> Column:
     return (F.array_position(w, F.array_min(w)) - 1).cast("int")
 
 
+def local_peaks(w: Column) -> Column:
+    """Places of all strict local maxima, in order; a plateau counts at its middle (the place before it if that is between two),
+    ends never."""
+    none = F.lit(None).cast("int")
+
+    def step(s: Column, i: Column) -> Column:
+        here, back = F.get(w, i), F.get(w, i - 1)
+        found = F.when((here < back) & s["up"].isNotNull(), F.array_append(s["at"], F.floor((s["up"] + i - 1) / 2).cast("int"))).otherwise(s["at"])
+        return F.struct(F.when(here > back, i).when(here < back, none).otherwise(s["up"]).alias("up"), found.alias("at"))
+
+    places = F.when(F.size(w) > 1, F.sequence(F.lit(1), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(places, F.struct(none.alias("up"), F.array().cast("array<int>").alias("at")), step, lambda s: s["at"])
+
+
 def last_peak(w: Column, before: Column) -> Column:
     """Place of the last strict local maximum ahead of `before`; a plateau counts at its middle, ends never; else null.
 

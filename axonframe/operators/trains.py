@@ -229,6 +229,23 @@ def overlay_psth(rates: DataFrame, begin: float, end: float, sigma: float = 3.0,
     return mean.join(stats.select(unit, "center", "sem"), [unit, "center"])
 
 
+def held_criterion(within: DataFrame, across: DataFrame, value: str, percent: float = 95.0, bins: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(bars, criterion) of how alike pairs of units are within a session and across sessions: bars (bin, start, within, across), equal
+    bins over both, the last closed, and criterion (at, held): the percentile of the pairs within, and how many pairs across
+    lie at or below it. Nulls are left out; without any pair within, the criterion is null and nothing is held."""
+    sides = within.select(F.col(value).alias("v"), F.lit(True).alias("own")).union(across.select(F.col(value).alias("v"), F.lit(False).alias("own"))).where("v is not null")
+    ends = sides.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+    place = F.least(F.floor((F.col("v") - F.col("lo")) / F.nullif((F.col("hi") - F.col("lo")) / bins, F.lit(0.0))), F.lit(bins - 1))
+    placed = sides.crossJoin(F.broadcast(ends)).withColumn("bin", F.coalesce(place, F.lit(0)).cast("int"))  # one row of two numbers
+    counts = placed.groupBy("bin").agg(F.count_if("own").alias("within"), F.count_if(~F.col("own")).alias("across"))
+    grid = ends.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.col("lo") + k * (F.col("hi") - F.col("lo")) / bins)).alias("bin", "start"))
+    bars = grid.where("start is not null").join(counts, "bin", "left").fillna(0, ["within", "across"]).select("bin", "start", "within", "across")
+    at = quantiles(within.where(F.col(value).isNotNull()).select(F.lit(0).alias("all"), F.col(value).cast("double").alias("v")), ["all"], F.col("v"), {"at": percent / 100}).select("at")
+    at = at.agg(F.max("at").alias("at"))
+    held = across.crossJoin(F.broadcast(at)).agg(F.count_if(F.col(value) <= F.col("at")).alias("held"))
+    return bars, at.crossJoin(held)
+
+
 def held_units(table: DataFrame, name: str = "name") -> DataFrame:
     """(name, recording, unit): a wide table of held units (name and one column a recording) in long form, without empty cells."""
     columns = [c for c in table.columns if c != name]

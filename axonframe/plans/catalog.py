@@ -11,6 +11,7 @@ from axonframe.operators import cluster as cl
 from axonframe.operators import curate as cu
 from axonframe.operators import detect as de
 from axonframe.operators import moments as mo
+from axonframe.operators import neighbours as ne
 from axonframe.operators import quality as qu
 from axonframe.operators import sort as so
 from axonframe.operators import trains as tr
@@ -861,6 +862,73 @@ def held_unit_percentile(spark, sf):
     return rounded(quantiles(with_shape(spark, sf), ["cluster"], F.col("amplitude"), {"p95": 0.95}))
 
 
+_J3 = f"""{AE}, pairs as (select a.cluster = b.cluster as own, abs(a.amplitude - b.amplitude) as v from ae a join ae b on a.spike_id + 1 = b.spike_id),
+ends as (select min(v) as lo, max(v) as hi from pairs)"""
+
+
+def _alike(spark, sf):
+    s = with_shape(spark, sf).select("spike_id", "cluster", "amplitude")
+    after = s.select((F.col("spike_id") - 1).alias("spike_id"), F.col("cluster").alias("c"), F.col("amplitude").alias("x"))
+    pairs = s.join(after, "spike_id").select((F.col("cluster") == F.col("c")).alias("own"), F.abs(F.col("amplitude") - F.col("x")).alias("v"))
+    return tr.held_criterion(pairs.where("own"), pairs.where("not own"), "v", 80.0)
+
+
+@query(f"""with {_J3} select k::int as bin, round(lo + k * (hi - lo) / 20, 6) as start, count(case when own then 1 end) as within, count(case when not own then 1 end) as across
+from (select unnest(range(0, 20)) as k), ends left join pairs on least(floor((v - lo) / ((hi - lo) / 20)), 19) = k group by k, lo, hi""")
+def held_pairs_histogram(spark, sf):
+    """How alike pairs of neighbouring spikes are within a unit and across units, in equal bins over both."""
+    return rounded(_alike(spark, sf)[0])
+
+
+@query(f"""with {_J3}, c as (select quantile_cont(v, 0.8) as x from pairs where own) select round(x, 6) as "at", (select count(*) from pairs, c where not own and v <= x) as held from c""")
+def held_criterion(spark, sf):
+    """The percentile of pairs within a unit, and how many pairs across units lie at or below it."""
+    return rounded(_alike(spark, sf)[1])
+
+
+@query(f"""with {SPK}, p as (select spike_id, unnest(list_transform(w, lambda x: round(x, 1))) as v, unnest(range(0, len(w))) as pos from spikes),
+g as (select *, pos - row_number() over (partition by spike_id, v order by pos) as grp from p), flat as (select spike_id, v, min(pos) as a, max(pos) as b from g group by spike_id, v, grp),
+n as (select *, lag(v) over o as before, lead(v) over o as after from flat window o as (partition by spike_id order by a))
+select spike_id, ((a + b) // 2)::int as pos, v from n where v > before and v > after""")
+def local_peaks(spark, sf):
+    """All strict local maxima of waveforms in steps of a tenth, where many are plateaus, each at its middle."""
+    s = src.spikes(spark, sf).select("spike_id", F.transform("w", lambda x: F.round(x, 1)).alias("w"))
+    return s.select("spike_id", "w", F.explode(wf.local_peaks(F.col("w"))).alias("pos")).select("spike_id", "pos", F.get("w", F.col("pos")).alias("v"))
+
+
+@query(f"""with {SPK}, e as (select spike_id, unnest(w) as v, generate_subscripts(w, 1) as i from spikes),
+d as (select a.spike_id as a, b.spike_id as b, sqrt(sum((a.v - b.v) * (a.v - b.v))) as d from e a join e b on a.i = b.i and a.spike_id <> b.spike_id group by 1, 2),
+r as (select *, row_number() over (partition by a order by d, b) as k from d) select a as spike_id, k::int as place, round(d, 5) as distance from r where k <= 5""")
+def nearest_neighbours(spark, sf):
+    """The distances of each spike's nearest five others by neighbour descent, which is exact in a table of one block."""
+    from pyspark.sql.window import Window
+
+    graph = ne.neighbour_graph(src.spikes(spark, sf), "spike_id", "w", 5)
+    place = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))  # five rows a spike
+    return rounded(graph.select(F.col("a").alias("spike_id"), place.alias("place"), F.col("d").alias("distance")), 5)
+
+
+@query()
+def neighbour_layout(spark, sf):
+    """A layout of all spikes from their neighbour graph: how far they spread along each axis."""
+    at = ne.reduced(src.spikes(spark, sf), "neighbours", 2, k=8).select("cluster", "spike_id", F.posexplode("at").alias("axis", "v"))
+    return rounded(at.groupBy("axis").agg(F.count("*").alias("n"), F.avg(F.col("v") * F.col("v")).alias("spread")), 9)
+
+
+_SMOOTH = f"""w as (select unnest({[k - len(_W) // 2 for k in range(len(_W))]}) as k, unnest({[float(x) for x in _W]}) as weight), r as (select unit, trial, center, rate, row_number() over (partition by unit, trial order by center) - 1 as ix from rates),
+smooth as (select r.unit, r.trial, r.center, sum(weight * o.rate) as rate from r cross join w join r o on o.unit = r.unit and o.trial = r.trial and o.ix = {_MIRROR.replace('ix', 'r.ix')} group by 1, 2, 3)"""
+
+
+@query(f"""with {_RATES}, {_SMOOTH}, m as (select unit, center, avg(rate) as rate, count(*) as trials from smooth group by 1, 2)
+select unit, center, round(case when unit = 'click' then 2 else 1 end * rate, 4) as rate, trials from m""")
+def psth_store(spark, sf):
+    """Smoothed rates and their unit means in a run folder, by unit; one unit's are stored anew and replace what it had."""
+    folder, rates = runs.scratch_folder(spark, "psth"), tr.smoothed(_rates(spark, sf), ["unit", "trial"])
+    runs.store_rates(folder, rates)
+    runs.store_rates(folder, rates.where("unit = 'click'").withColumn("rate", F.col("rate") * 2))
+    return rounded(folder.read("mean_rates").select("unit", "center", "rate", "trials"), 4)
+
+
 # Run folders and versions ---------------------------------------------------------------------------------------------
 
 

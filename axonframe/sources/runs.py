@@ -114,6 +114,13 @@ def usable_solutions(folder: RunFolder) -> DataFrame:
     return fits.where("converged and bic is not null").groupBy("channel", "k").agg(F.min(F.struct("bic", "seed")).alias("m")).select("channel", "k", "m.seed", "m.bic")
 
 
+def store_rates(folder: RunFolder, rates: DataFrame) -> None:
+    """Stores rates (unit, trial, center, rate) and their means over a unit's trials; the units at hand replace what they had."""
+    rates = settled(rates)
+    folder.commit("rates", rates, ["unit"])
+    folder.commit("mean_rates", rates.groupBy("unit", "center").agg(F.avg("rate").alias("rate"), F.count("*").alias("trials")), ["unit"])
+
+
 def write_reports(report: DataFrame, path: str) -> None:
     """One folder of CSV with a header for each channel and solution (channel, k, …); these folders alone are replaced."""
     report.repartition("channel", "k").write.partitionBy("channel", "k").option("header", True).option("partitionOverwriteMode", "dynamic").mode("overwrite").csv(path)

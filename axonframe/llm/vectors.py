@@ -118,7 +118,7 @@ def _pass(rows: DataFrame, seed: int, bits: int, window: int, cosine: float) ->
     runs = saved(_keyed(rows, seed).withColumn("run", F.xxhash64("label", F.shiftright("key", BITS - bits))).drop("key"))
     large = runs.groupBy("run").agg(F.count("*").alias("size")).where(F.col("size") > window)
     packs = max(1, -(-2 * runs.count() // window))
-    cut = runs.join(F.broadcast(large), "run", "left").withColumn("k", F.coalesce(F.ceil(F.col("size") / window), F.lit(1)).cast("long"))
+    cut = runs.join(large, "run", "left").withColumn("k", F.coalesce(F.ceil(F.col("size") / window), F.lit(1)).cast("long"))
     cut = cut.withColumn("cell", F.when(F.col("size").isNull(), F.pmod("run", F.lit(packs))).otherwise(F.col("run"))).withColumn("own", F.pmod(F.xxhash64("id"), F.col("k")))
     pairs = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     dealt = pairs.select("id", "v", "label", "cell", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
@@ -141,11 +141,11 @@ def _found(rows: DataFrame, cosine: float, window: int, missed: float) -> DataFr
     """Pairs of all passes. Labels of up to a block are compared whole in one, which misses nothing."""
     large = rows.groupBy("label").agg(F.count("*").alias("n")).where(F.col("n") > window).select("label")
     large = saved(large)
-    many = rows.join(F.broadcast(large), "label", "left_semi")
+    many = rows.join(large, "label", "left_semi")
     bits = 0 if large.isEmpty() else bits_for(many, cosine, missed)
     if bits == 0:
         return saved(_pass(rows, 0, 0, window, cosine))
-    found = saved(_pass(rows.join(F.broadcast(large), "label", "left_anti"), 0, 0, window, cosine))
+    found = saved(_pass(rows.join(large, "label", "left_anti"), 0, 0, window, cosine))
     for k in range(passes_for(bits, cosine, missed)):
         found = found.union(saved(_pass(many, k, bits, window, cosine)))
     return found

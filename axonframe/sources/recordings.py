@@ -28,6 +28,12 @@ def write_spikes(spikes: DataFrame, path: str) -> None:
     spikes.write.partitionBy("rec", "channel").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
+def first_files(spark: SparkSession, path: str, n: int) -> list[str]:
+    """The first n Parquet files of a folder by name: what a run of limited length takes."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select("path").distinct()
+    return [r["path"] for r in files.orderBy("path").limit(n).collect()]  # n rows
+
+
 def encoded(rows: DataFrame, column: str) -> DataFrame:
     """rows with `json`: the column as JSON text, binary values in base64."""
     kind = dict(rows.dtypes)[column]

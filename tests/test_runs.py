@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from axonframe import __main__ as command
 from axonframe.config import Settings
 from axonframe.operators import curate, sort
-from axonframe.sources import runs
+from axonframe.sources import recordings, runs
 
 
 @pytest.fixture(scope="module")
@@ -79,6 +79,13 @@ def test_command_line(spark, tmp_path, trace, capsys):
     (tmp_path / "s.json").write_text(SETTINGS.to_json())
     command.main(["sort", str(tmp_path / "traces"), str(tmp_path / "out"), "--fs", "10000", "--settings", str(tmp_path / "s.json"), "--filtered", "--least-seconds", "1"])
     command.main(["status", str(tmp_path / "out")])
+    trace.where("channel = 'b'").coalesce(1).write.parquet(str(tmp_path / "many"))
+    trace.where("channel = 'a'").coalesce(1).write.mode("append").parquet(str(tmp_path / "many"))
+    names = recordings.first_files(spark, str(tmp_path / "many"), 1)
+    assert len(names) == 1 and names == sorted(recordings.first_files(spark, str(tmp_path / "many"), 9))[:1]
+    (tmp_path / "one.json").write_text(Settings(cluster_max_clusters=2, cluster_random_restarts=2, run_run_type="Manual", run_manual_run=1).to_json())
+    command.main(["sort", str(tmp_path / "many"), str(tmp_path / "part"), "--fs", "10000", "--settings", str(tmp_path / "one.json"), "--some-files", "--filtered", "--least-seconds", "1"])
+    assert runs.RunFolder(spark, str(tmp_path / "part")).read("channels").count() == 1
     assert capsys.readouterr().out.count("|a ") >= 2
 
 

@@ -41,3 +41,13 @@ def test_stream(spark, tmp_path):
     query.awaitTermination(60)
     key = lambda df: sorted(map(tuple, df.collect()))
     assert key(spark.table("breaches")) == key(breach_counts(table, 4.0)) and len(key(spark.table("breaches"))) == 3
+
+
+def test_values_as_text(spark):
+    df = spark.createDataFrame([(1, bytearray(b"\x00\xff"), [1.5, None])], "id int, b binary, x array<double>")
+    assert recordings.encoded(df, "b").first().json == '{"b":"AP8="}' and recordings.encoded(df, "x").first().json == '{"x":[1.5,null]}'
+
+
+def test_settings_as_json():
+    s = Settings(cluster_max_clusters=5)
+    assert Settings.from_json(s.to_json()) == s and Settings.from_json('{"cluster_max_clusters": 4, "unknown": 1}').cluster_max_clusters == 4

@@ -242,6 +242,8 @@ def _large_fits(x: DataFrame, large: DataFrame, schema: T.StructType, least: int
 
     def step(state: pa.Table, parts: pa.Table) -> pa.Table:
         row = state.to_pylist()[0]
+        if row["converged"] is not None:
+            return state
         k, d, n = row["k"], len(row["centre"]), row["n"]
         total = float(np.sum(parts["part"].to_numpy()))
         started = len(row["model"]) > 8 * k * d
@@ -254,19 +256,18 @@ def _large_fits(x: DataFrame, large: DataFrame, schema: T.StructType, least: int
 
     def closed(state: pa.Table, parts: pa.Table) -> pa.Table:
         row = state.to_pylist()[0]
+        if row["converged"] is not None:
+            return state
         total = float(np.sum(parts["part"].to_numpy()))
         done = row["before"] is not None and abs(total / row["n"] - row["before"]) < tol
         return pa.Table.from_pylist([row | {"converged": done, "log_likelihood": total}], schema=state.schema)
 
-    done = fits.where("false")
     for turn in range(steps + 2):
-        packed = fits.groupBy("channel").agg(F.first("centre").alias("centre"), F.collect_list(F.struct("k", "seed", "model")).alias("fits"))
+        moving = fits.where("converged is null")
+        packed = moving.groupBy("channel").agg(F.first("centre").alias("centre"), F.collect_list(F.struct("k", "seed", "model")).alias("fits"))
         parts = _same(blocks, packed, ["channel"]).mapInArrow(add, sums)
-        moved = fits.groupBy(*by).cogroup(parts.groupBy(*by)).applyInArrow(closed if turn > steps else step, fits.schema)
-        moved = settled(moved)
-        done = done.union(moved.where("converged is not null"))
-        fits = moved.where("converged is null")
-        if fits.isEmpty():
+        fits = settled(fits.groupBy(*by).cogroup(parts.groupBy(*by)).applyInArrow(closed if turn > steps else step, fits.schema))
+        if fits.where("converged is null").isEmpty():
             break
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -277,7 +278,7 @@ def _large_fits(x: DataFrame, large: DataFrame, schema: T.StructType, least: int
                 out.append((r.channel, *_row(r.k, r.seed, r.n, (tuple(p[0] for p in model), r.log_likelihood, r.converged), np.array(r.centre))))
             yield pd.DataFrame(out, columns=schema.names)
 
-    return done.mapInPandas(rows, schema)
+    return fits.mapInPandas(rows, schema)
 
 
 def labelled(rows: DataFrame, models: DataFrame, columns: list[str] | str, channel: str = "channel", keys: list[str] | None = None, out: str = "cluster") -> DataFrame:

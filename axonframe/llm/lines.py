@@ -42,12 +42,13 @@ def _named(lines: DataFrame) -> DataFrame:
 
 
 def _banded(lines: DataFrame) -> DataFrame:
-    """(key, h1, h2): a row for each band of each distinct line. Shingles are exploded, hashed and dealt in one compiled loop.
+    """(key, h1, h2): a row for each band of each distinct line. Shingles are exploded, hashed and dealt in one compiled loop,
+    after equal lines have met: a line's bins are then filled where the line is, without another shuffle.
 
     In a long line only hashes low enough to be a bin's least go on, KEPT of a bin on average, and those of the first
     places, for lines that repeat themselves: a bin's least is the same whatever else is left out.
     """
-    wide = _named(lines).select("h1", "h2", F.encode("line", "UTF-32").alias("u"))
+    wide = _named(lines).dropDuplicates(["h1", "h2"]).select("h1", "h2", F.encode("line", "UTF-32").alias("u"))
     each = wide.select("h1", "h2", "u", F.explode(F.expr(_starts("u"))).alias("at"))
     hashed = each.select("h1", "h2", "u", "at", F.expr(f"xxhash64(substring(u, at, {4 * SHINGLE}))").alias("x"))
     low = F.col("x").bitwiseAND(F.lit((1 << 31) - 1))
@@ -116,9 +117,11 @@ def _compared(mixed: DataFrame, met: DataFrame, texts: DataFrame, percent: int)
 def fuzzy_components(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(h1, h2, component): the names of lines (line) that link with another, and a number for their component. Links are
     found as the module says."""
-    keys = _banded(lines)
-    shared = keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-    met = saved(keys.join(shared, "key"))
+    with scratch(lines.sparkSession):
+        with scratch(lines.sparkSession):  # the lines that were shuffled go before the keys are
+            keys = saved(_banded(lines), keep=True)
+        shared = keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+        met = saved(keys.join(shared, "key"), keep=True)
     texts = _named(lines).join(met.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
     texts = saved(texts.withColumn("id", F.monotonically_increasing_id()))
     met = met.join(texts.select("h1", "h2", "id"), ["h1", "h2"]).select("key", "id", "many")

@@ -733,7 +733,7 @@ def sort_accounts(spark, sf):
 
 @query(f"""with {PTS}, p as (select cluster, spike_id, pos, v from points where pos % 8 = 0),
 m as (select cluster, pos, avg(v) as mv, count(*) as n from p group by 1, 2)
-select a.cluster, a.pos::int as i, b.pos::int as j, count(*) as n, round(covar_samp(a.v, b.v), 6) as cov
+select a.cluster, a.pos::int as i, b.pos::int as j, count(*) as n, round(covar_samp(a.v, b.v), 6) + 0.0 as cov
 from p a join p b on a.spike_id = b.spike_id and a.cluster = b.cluster and a.pos <= b.pos group by 1, 2, 3""")
 def cluster_moments(spark, sf):
     """Sample covariances of every eighth sample of all clusters' waveforms, from one pass over all clusters."""
@@ -985,7 +985,7 @@ def held_criterion(spark, sf):
     return rounded(_alike(spark, sf)[1])
 
 
-@query(f"""with {SPK}, p as (select spike_id, unnest(list_transform(w, lambda x: round(x, 1))) as v, unnest(range(0, len(w))) as pos from spikes),
+@query(f"""with {SPK}, p as (select spike_id, unnest(list_transform(w, lambda x: round(x, 1) + 0.0)) as v, unnest(range(0, len(w))) as pos from spikes),
 g as (select *, pos - row_number() over (partition by spike_id, v order by pos) as grp from p),
 flat as (select spike_id, v, min(pos) as a, max(pos) as b from g group by spike_id, v, grp),
 n as (select *, lag(v) over o as before, lead(v) over o as after from flat window o as (partition by spike_id order by a))

@@ -68,8 +68,8 @@ def test_trie_equals_brute_force_however_it_is_cut(spark, shard_turns):
 
 
 def test_trie_of_long_conversations_and_of_nothing(spark):
-    turns = [(c, t, "user", f"turn {t if t < 400 else t * c}") for c in (10, 11, 12, 15) for t in range(600)]
-    assert trie_rows(spark, turns, 300) == brute_trie(turns)
+    turns = [(c, t, "user", f"turn {t if t < 80 else t * c}") for c in (10, 11, 12, 15) for t in range(120)]
+    assert trie_rows(spark, turns, 60) == brute_trie(turns)
     assert trie_rows(spark, [], 10) == []
     assert trie_rows(spark, [(None, 1, "user", "x")], 10) == []
 

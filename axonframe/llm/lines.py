@@ -84,7 +84,7 @@ def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
     own = own.select("key", "id", "known", F.coalesce("component", "id").alias("component"))
     counted = own.groupBy("key", "component").agg(F.count("*").alias("c"))
     parted = counted.groupBy("key").agg(F.count("*").alias("k"), F.sum("c").alias("size"), F.max_by("component", "c").alias("main")).where("k > 1").drop("k")
-    return saved(own.join(parted, "key"))
+    return own.join(parted, "key")
 
 
 def _compared(mixed: DataFrame, met: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -117,24 +117,31 @@ def _compared(mixed: DataFrame, met: DataFrame, texts: DataFrame, percent: int)
 def fuzzy_components(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(h1, h2, component): the names of lines (line) that link with another, and a number for their component. Links are
     found as the module says."""
-    with scratch(lines.sparkSession):
-        with scratch(lines.sparkSession):  # the lines that were shuffled go before the keys are
+    spark = lines.sparkSession  # what each block has shuffled and written for itself alone goes when it ends
+    with scratch(spark):
+        with scratch(spark):  # the lines that were shuffled go before the keys are
             keys = saved(_banded(lines), keep=True)
         shared = keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
         met = saved(keys.join(shared, "key"), keep=True)
-    texts = _named(lines).join(met.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
-    texts = saved(texts.withColumn("id", F.monotonically_increasing_id()))
-    met = met.join(texts.select("h1", "h2", "id"), ["h1", "h2"]).select("key", "id", "many")
-    known = met.join(met.groupBy("id").agg(F.sum("many").alias("known")), "id").select("key", "id", "known")
-    heads = known.groupBy("key").agg(F.max_by("id", F.struct("known", "id")).alias("head"))  # an original meets its copies more often than they meet
-    met = saved(known.join(heads, "key"))
-    links = _confirmed(met.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), texts, percent)
-    mixed = _mixed(met, components(links))
-    pivots = mixed.where("component = main").groupBy("key").agg(F.max_by("id", F.struct("known", F.xxhash64("id"))).alias("a"))
-    pivots = mixed.where("component <> main").join(pivots, "key").select("a", F.col("id").alias("b")).distinct()
-    links = links.union(_confirmed(pivots, texts, percent))
+    with scratch(spark):
+        texts = _named(lines).join(met.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+        texts = saved(texts.withColumn("id", F.monotonically_increasing_id()), keep=True)
+    with scratch(spark):
+        met = met.join(texts.select("h1", "h2", "id"), ["h1", "h2"]).select("key", "id", "many")
+        known = met.join(met.groupBy("id").agg(F.sum("many").alias("known")), "id").select("key", "id", "known")
+        heads = known.groupBy("key").agg(F.max_by("id", F.struct("known", "id")).alias("head"))  # an original meets its copies more often than they meet
+        met = saved(known.join(heads, "key"), keep=True)
+    with scratch(spark):
+        links = saved(_confirmed(met.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), texts, percent), keep=True)
     labels = components(links)
-    more = _confirmed(_compared(_mixed(met, labels), met, texts, percent), texts, percent)
+    with scratch(spark):
+        mixed = saved(_mixed(met, labels))
+        pivots = mixed.where("component = main").groupBy("key").agg(F.max_by("id", F.struct("known", F.xxhash64("id"))).alias("a"))
+        pivots = mixed.where("component <> main").join(pivots, "key").select("a", F.col("id").alias("b")).distinct()
+        links = links.union(saved(_confirmed(pivots, texts, percent), keep=True))
+    labels = components(links)
+    with scratch(spark):
+        more = saved(_confirmed(_compared(saved(_mixed(met, labels)), met, texts, percent), texts, percent), keep=True)
     labels = labels if more.isEmpty() else components(links.union(more))
     return texts.select("id", "h1", "h2").join(labels.withColumnRenamed("node", "id"), "id").select("h1", "h2", "component")
 

@@ -59,3 +59,20 @@ def test_stages_take_effect(spark, tmp_path):
     assert all(r.ids == sp.encode(text[r.doc_id]) and r.round_trip for r in got)
     rows = corpus_pipeline.run(spark, SF).collect()
     assert sorted(map(str, rows)) == sorted(map(str, got)) and [(r.slot, r.ix) for r in rows] == sorted((r.slot, r.ix) for r in rows)
+
+
+def test_the_mixing_stage_decides_places(spark, rough, empty, tmp_path):
+    """Encoding takes the places that the mix before it gave, whatever its settings, and gives none by itself."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(200)
+    options = {"weights": {r.source: k % 3 for k, r in enumerate(docs.select("source").distinct().orderBy("source").collect())}, "block_docs": 2}
+    want = {r.doc.doc_id: (r.slot, r.ix) for r in mixing.mix_sources(docs, **options).collect()}
+    assert want != {r.doc.doc_id: (r.slot, r.ix) for r in mixing.mix_sources(docs).collect()}
+    mixing.in_mixed_order(docs, **options).write.parquet(f"file://{tmp_path}/mixed")
+    mixed = spark.read.parquet(f"file://{tmp_path}/mixed")
+    encoded = corpus_pipeline.encode(spark, mixed, SF)
+    assert {r.doc_id: (r.slot, r.ix) for r in encoded.collect()} == want and not encoded.schema["doc_id"].metadata
+    assert corpus_pipeline.encode(spark, docs, SF).where("slot is null and ix is null").count() == 200
+    both = corpus_pipeline.encode(spark, corpus_pipeline.mix(spark, rough, SF), SF).collect()  # rows that share an id, or have none
+    places = [(r.doc.doc_id, r.slot, r.ix) for r in mixing.mix_sources(rough).collect()]
+    assert sorted(map(str, ((r.doc_id, r.slot, r.ix) for r in both))) == sorted(map(str, places))
+    assert corpus_pipeline.encode(spark, corpus_pipeline.mix(spark, empty, SF), SF).count() == 0

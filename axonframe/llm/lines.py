@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import components, saved, scratch
 
@@ -60,6 +61,14 @@ def _banded(lines: DataFrame) -> DataFrame:
     return found.select(F.xxhash64("band", *[F.coalesce(f"m{r}", F.lit(0)) for r in range(ROWS)]).alias("key"), "h1", "h2")
 
 
+def _met(lines: DataFrame) -> DataFrame:
+    """(key, h1, many): the keys that several lines have, with the lines' first hashes and how many there are.
+
+    Keys are shuffled once, straight from the lines, with half of the lines' names: should two lines share it, either stands
+    in the other's buckets as well, which only adds candidates."""
+    return _banded(lines).select("key", "h1").withColumn("many", F.count("*").over(Window.partitionBy("key"))).where("many > 1")
+
+
 def _starts(u: str) -> str:
     """Where shingles start in a line's UTF-32 bytes."""
     return f"sequence(1, greatest(1, octet_length({u}) - {4 * SHINGLE - 1}), 4)"
@@ -119,15 +128,12 @@ def fuzzy_components(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     found as the module says."""
     spark = lines.sparkSession  # what each block has shuffled and written for itself alone goes when it ends
     with scratch(spark):
-        with scratch(spark):  # the lines that were shuffled go before the keys are
-            keys = saved(_banded(lines), keep=True)
-        shared = keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-        met = saved(keys.join(shared, "key"), keep=True)
+        met = saved(_met(lines), keep=True)
     with scratch(spark):
-        texts = _named(lines).join(met.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").dropDuplicates(["h1", "h2"])
+        texts = _named(lines).join(met.select("h1").distinct(), "h1", "left_semi").dropDuplicates(["h1", "h2"])
         texts = saved(texts.withColumn("id", F.monotonically_increasing_id()), keep=True)
     with scratch(spark):
-        met = met.join(texts.select("h1", "h2", "id"), ["h1", "h2"]).select("key", "id", "many")
+        met = met.join(texts.select("h1", "id"), "h1").select("key", "id", "many")
         known = met.join(met.groupBy("id").agg(F.sum("many").alias("known")), "id").select("key", "id", "known")
         heads = known.groupBy("key").agg(F.max_by("id", F.struct("known", "id")).alias("head"))  # an original meets its copies more often than they meet
         met = saved(known.join(heads, "key"), keep=True)

@@ -5,9 +5,9 @@ shorter). One permutation deals a line's shingle hashes into 32 bins and keeps e
 ten bands a line's keys. A band without shingles has no key, so a line of few shingles meets every line that differs from
 it in fewer places than it has bands. Exact Jaccard similarity confirms links: first each line of a bucket with the
 bucket's head; in buckets whose other lines are still apart, those outside the largest component with one of its lines;
-then, where lines are apart even so, those outside with all others, compared within the join's condition, from which only
-links come out. One line of each component stays: the first
-by document id and line number.
+then, where lines are apart even so, those outside with all others, compared within the join's condition. Before texts are
+compared, pairs go whose shingles differ too much by the parities of their hashes in 64 * WORDS cells, which no link does.
+One line of each component stays: the first by document id and line number.
 """
 
 from __future__ import annotations
@@ -26,16 +26,18 @@ BANDS, ROWS = 10, 3
 KEPT, FIRST = 4, 32
 #: Lines of a bucket that one task compares with others at a time.
 BLOCK = 1024
-#: 64-bit words of a line's parities, a power of two.
-WORDS = 8
+#: 64-bit words of a line's parities, a power of two. Lines of more than twice as many shingles as these have bits are also compared by their hashes.
+WORDS = 16
 #: Lines link from this Jaccard similarity of their shingle sets, in hundredths.
 PERCENT = 80
 
 
 def _lines(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(doc, no, line): the lines that hold a word, numbered from 0 within the text, of rows with an id."""
-    rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("doc"), F.posexplode(F.split(text_column, "\n")).alias("no", "line"))
-    return rows.where(F.btrim("line", F.lit(" \t\n\x0b\f\r")) != "")
+    """(doc, no, line): the lines that hold a word, numbered from 0 within the text, of rows with an id.
+
+    Outer forms here and below: before others Spark looks for empty arrays, for which it makes each array twice."""
+    rows = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("doc"), F.posexplode_outer(F.split(text_column, "\n")).alias("no", "line"))
+    return rows.where(F.ltrim("line", F.lit(" \t\n\x0b\f\r")) != "")
 
 
 def _named(lines: DataFrame) -> DataFrame:
@@ -50,7 +52,7 @@ def _banded(lines: DataFrame) -> DataFrame:
     places, for lines that repeat themselves: a bin's least is the same whatever else is left out.
     """
     wide = _named(lines).dropDuplicates(["h1", "h2"]).select("h1", "h2", F.encode("line", "UTF-32").alias("u"))
-    each = wide.select("h1", "h2", "u", F.explode(F.expr(_starts("u"))).alias("at"))
+    each = wide.select("h1", "h2", "u", F.explode_outer(F.expr(_starts("u"))).alias("at"))
     hashed = each.select("h1", "h2", "u", "at", F.expr(f"xxhash64(substring(u, at, {4 * SHINGLE}))").alias("x"))
     low = F.col("x").bitwiseAND(F.lit((1 << 31) - 1))
     bin_ = F.shiftrightunsigned("x", 64 - BIN_BITS).cast("int")
@@ -79,12 +81,33 @@ def _shingles(text: str) -> Column:
     return F.expr(f"transform(array(encode({text}, 'UTF-32')), u -> transform({_starts('u')}, i -> xxhash64(substring(u, i, {4 * SHINGLE}))))[0]")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _marked(texts: DataFrame) -> DataFrame:
+    """(id, n, odd): a line's number of distinct shingles and the parities of their hashes in 64 * WORDS cells."""
+    sets = texts.repartition("id").select("id", F.array_distinct(_shingles("line")).alias("s"))
+    each = sets.select("id", F.size("s").alias("n"), F.explode_outer("s").alias("x"))
+    cell = each.select("id", "n", F.col("x").bitwiseAND(F.lit(WORDS - 1)).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(shiftright(x, {WORDS.bit_length() - 1}) & 63 as int))").alias("m"))
+    words = cell.groupBy("id", "n", "w").agg(F.bit_xor("m").alias("m"))
+    return words.groupBy("id", "n").agg(*[F.bit_or(F.when(F.col("w") == w, F.col("m")).otherwise(F.lit(0))).alias(f"m{w}") for w in range(WORDS)]).select("id", "n", F.array(*[f"m{w}" for w in range(WORDS)]).alias("odd"))
+
+
+def _alike(percent: int) -> str:
+    """The condition that lines of n_a and n_b shingles with odd_a and odd_b may be of that similarity. No more cells than shingles
+    differ, so no link fails it."""
+    odd = " + ".join(f"bit_count(odd_a[{w}] ^ odd_b[{w}])" for w in range(WORDS))
+    return f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b) and {100 + percent}L * ({odd}) <= {100 - percent}L * (n_a + n_b)"
+
+
+def _sided(df: DataFrame, x: str) -> DataFrame:
+    return df.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in df.columns if c != "id"])
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of line ids whose exact similarity is percent or more."""
-    side = lambda x: texts.select(F.col("id").alias(x), F.col("line").alias(f"t_{x}"))
-    sets = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _shingles("t_a").alias("x"), _shingles("t_b").alias("y"))
-    sizes = saved(sets.select("a", "b", F.size(F.array_intersect("x", "y")).alias("i"), F.size(F.array_union("x", "y")).alias("n")))
-    return sizes.where(f"100L * i >= {percent}L * n").select("a", "b")
+    alike = pairs.join(_sided(marks, "a"), "a").join(_sided(marks, "b"), "b").where(_alike(percent)).select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"))
+    text = texts.select("id", "line")
+    sets = alike.join(_sided(text, "a"), "a").join(_sided(text, "b"), "b").select("a", "b", "n", _shingles("line_a").alias("x"), _shingles("line_b").alias("y"))
+    sizes = saved(sets.select("a", "b", "n", F.size(F.array_intersect("x", "y")).alias("i")))
+    return sizes.where(f"100L * i >= {percent}L * (n - i)").select("a", "b")
 
 
 def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
@@ -96,31 +119,30 @@ def _mixed(met: DataFrame, labels: DataFrame) -> DataFrame:
     return own.join(parted, "key")
 
 
-def _compared(mixed: DataFrame, met: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _compared(mixed: DataFrame, met: DataFrame, texts: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) to confirm of lines of a bucket in different components.
 
-    Lines outside their bucket's largest component are dealt into blocks, and each block meets the whole bucket. Sets are
-    compared within the condition of the join, a pair in the least key that it shares: first by the parities of their 31-bit
-    hashes in 64 * WORDS cells, of which no more can differ than hashes do, so that this loses nothing; then a quarter of the
-    hashes, with four deviations to spare; then all, a hundredth below the similarity.
+    Lines outside their bucket's largest component are dealt into blocks, and each block meets the whole bucket. Lines are
+    compared within the condition of the join, a pair in the least key that it shares: by their parities, then, if both have
+    more than twice as many shingles as these have bits, by a quarter of their 31-bit hashes, with four deviations to spare, and by all, a
+    hundredth below the similarity.
     """
     ids = mixed.select("id").distinct()
     keys = met.join(ids, "id", "left_semi").groupBy("id").agg(F.collect_list("key").alias("keys"))  # BANDS at most
-    sets = texts.join(keys, "id").select("id", "keys", F.array_distinct(F.transform(_shingles("line"), lambda x: F.shiftrightunsigned(x, 33).cast("int"))).alias("s"))
-    parity = "array(" + ", ".join(f"aggregate(s, 0L, (m, x) -> m ^ if(x & {WORDS - 1} = {w}, shiftleft(1L, shiftright(x, {WORDS.bit_length() - 1}) & 63), 0L))" for w in range(WORDS)) + ")"
-    sets = saved(sets.withColumn("t", F.filter("s", lambda x: x % 4 == 0)).withColumn("odd", F.expr(parity)))
+    long = texts.join(marks.where(f"n > {2 * 64 * WORDS}").join(ids, "id", "left_semi"), "id", "left_semi")
+    long = long.select("id", F.array_distinct(F.transform(_shingles("line"), lambda x: F.shiftrightunsigned(x, 33).cast("int"))).alias("s"))
+    sets = saved(marks.join(keys, "id").join(saved(long), "id", "left").withColumn("t", F.filter("s", lambda x: x % 4 == 0)))
     rows = mixed.join(sets, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    a = rows.where("component <> main").select("key", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), *[F.col(c).alias(f"{c}_a") for c in ("id", "component", "s", "t", "odd", "keys")])
-    b = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "component", "main", "s", "t", "odd", "keys")
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "odd", "s", "t", "keys")]
+    a = rows.where("component <> main").select("key", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), *side("a"))
+    b = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "main", *side("b"))
     p = percent / 100
-    apart = f"component_a <> component and (component = main or id_a < id) and 100L * least(size(s_a), size(s)) >= {percent - 1}L * greatest(size(s_a), size(s))"
-    odd = " + ".join(f"bit_count(odd_a[{w}] ^ odd[{w}])" for w in range(WORDS))
-    alike = f"{100 + percent - 1}L * ({odd}) <= {100 - percent + 1}L * (size(s_a) + size(s))"
-    once = "a.key = array_min(array_intersect(keys_a, keys))"
-    likely = f"{1 + p} * size(array_intersect(t_a, t)) >= {p} * (size(t_a) + size(t)) - {4 * (p * (1 - p)) ** 0.5} * sqrt(size(t_a) + size(t))"
-    near = f"{100 + percent - 1}L * size(array_intersect(s_a, s)) >= {percent - 1}L * (size(s_a) + size(s))"
-    found = a.alias("a").join(b.alias("b"), F.expr(f"a.key = b.key and a.block = b.block and {apart} and {alike} and {once} and {likely} and {near}"))
-    return found.select(F.least("id_a", "id").alias("a"), F.greatest("id_a", "id").alias("b")).distinct()
+    apart = "component_a <> component_b and (component_b = main or id_a < id_b)"
+    once = "a.key = array_min(array_intersect(keys_a, keys_b))"
+    likely = f"{1 + p} * size(array_intersect(t_a, t_b)) >= {p} * (size(t_a) + size(t_b)) - {4 * (p * (1 - p)) ** 0.5} * sqrt(size(t_a) + size(t_b))"
+    near = f"{100 + percent - 1}L * size(array_intersect(s_a, s_b)) >= {percent - 1}L * (size(s_a) + size(s_b))"
+    found = a.alias("a").join(b.alias("b"), F.expr(f"a.key = b.key and a.block = b.block and {apart} and {_alike(percent)} and {once} and (s_a is null or s_b is null or {likely} and {near})"))
+    return found.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
 def fuzzy_components(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -132,22 +154,24 @@ def fuzzy_components(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     with scratch(spark):
         texts = _named(lines).join(met.select("h1").distinct(), "h1", "left_semi").dropDuplicates(["h1", "h2"])
         texts = saved(texts.withColumn("id", F.monotonically_increasing_id()), keep=True)
+    with scratch(spark):
+        marks = saved(_marked(texts), keep=True)
     with scratch(spark):
         met = met.join(texts.select("h1", "id"), "h1").select("key", "id", "many")
         known = met.join(met.groupBy("id").agg(F.sum("many").alias("known")), "id").select("key", "id", "known")
         heads = known.groupBy("key").agg(F.max_by("id", F.struct("known", "id")).alias("head"))  # an original meets its copies more often than they meet
         met = saved(known.join(heads, "key"), keep=True)
     with scratch(spark):
-        links = saved(_confirmed(met.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), texts, percent), keep=True)
+        links = saved(_confirmed(met.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct(), texts, marks, percent), keep=True)
     labels = components(links)
     with scratch(spark):
         mixed = saved(_mixed(met, labels))
         pivots = mixed.where("component = main").groupBy("key").agg(F.max_by("id", F.struct("known", F.xxhash64("id"))).alias("a"))
         pivots = mixed.where("component <> main").join(pivots, "key").select("a", F.col("id").alias("b")).distinct()
-        links = links.union(saved(_confirmed(pivots, texts, percent), keep=True))
+        links = links.union(saved(_confirmed(pivots, texts, marks, percent), keep=True))
     labels = components(links)
     with scratch(spark):
-        more = saved(_confirmed(_compared(saved(_mixed(met, labels)), met, texts, percent), texts, percent), keep=True)
+        more = saved(_confirmed(_compared(saved(_mixed(met, labels)), met, texts, marks, percent), texts, marks, percent), keep=True)
     labels = labels if more.isEmpty() else components(links.union(more))
     return texts.select("id", "h1", "h2").join(labels.withColumnRenamed("node", "id"), "id").select("h1", "h2", "component")
 

@@ -46,7 +46,8 @@ def _named(lines: DataFrame) -> DataFrame:
 
 def _banded(lines: DataFrame) -> DataFrame:
     """(key, h1, h2): a row for each band of each distinct line. Shingles are exploded, hashed and dealt in one compiled loop,
-    after equal lines have met: a line's bins are then filled where the line is, without another shuffle.
+    after equal lines have met: a line's bins are then filled where the line is, without another shuffle, all in one row, which
+    takes half as long as a row for each band.
 
     In a long line only hashes low enough to be a bin's least go on, KEPT of a bin on average, and those of the first
     places, for lines that repeat themselves: a bin's least is the same whatever else is left out.
@@ -58,9 +59,10 @@ def _banded(lines: DataFrame) -> DataFrame:
     bin_ = F.shiftrightunsigned("x", 64 - BIN_BITS).cast("int")
     dealt = hashed.select("h1", "h2", "u", "at", bin_.alias("bin"), low.alias("v"))
     dealt = dealt.where(f"(at <= {4 * FIRST} or v * octet_length(u) < {KEPT << BIN_BITS + 2}L << 31) and bin < {BANDS * ROWS}")
-    dealt = dealt.select("h1", "h2", F.expr(f"cast(bin div {ROWS} as int)").alias("band"), (F.col("bin") % ROWS).alias("row"), F.col("v").cast("int").alias("v"))
-    found = dealt.groupBy("h1", "h2", "band").agg(*[F.min(F.when(F.col("row") == r, F.col("v"))).alias(f"m{r}") for r in range(ROWS)])
-    return found.select(F.xxhash64("band", *[F.coalesce(f"m{r}", F.lit(0)) for r in range(ROWS)]).alias("key"), "h1", "h2")
+    least = dealt.groupBy("h1", "h2").agg(*[F.min(F.when(F.col("bin") == b, F.col("v").cast("int"))).alias(f"m{b}") for b in range(BANDS * ROWS)])
+    bands = [[F.col(f"m{b}") for b in range(k * ROWS, k * ROWS + ROWS)] for k in range(BANDS)]
+    keys = [F.when(F.coalesce(*m).isNotNull(), F.xxhash64(F.lit(k), *[F.coalesce(x, F.lit(0)) for x in m])) for k, m in enumerate(bands)]
+    return least.select(F.explode_outer(F.array(*keys)).alias("key"), "h1", "h2").where("key is not null")
 
 
 def _met(lines: DataFrame) -> DataFrame:
@@ -82,18 +84,24 @@ def _shingles(text: str) -> Column:
 
 
 def _marked(texts: DataFrame) -> DataFrame:
-    """(id, n, odd): a line's number of distinct shingles and the parities of their hashes in 64 * WORDS cells."""
+    """(id, n, m0, m1, ...): a line's number of distinct shingles and the parities of their hashes in 64 * WORDS cells, a column
+    for each word: with an array of them the join in `_compared` becomes a method of over 8,000 bytes, which the JVM never compiles."""
     sets = texts.repartition("id").select("id", F.array_distinct(_shingles("line")).alias("s"))
     each = sets.select("id", F.size("s").alias("n"), F.explode_outer("s").alias("x"))
     cell = each.select("id", "n", F.col("x").bitwiseAND(F.lit(WORDS - 1)).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(shiftright(x, {WORDS.bit_length() - 1}) & 63 as int))").alias("m"))
-    words = cell.groupBy("id", "n", "w").agg(F.bit_xor("m").alias("m"))
-    return words.groupBy("id", "n").agg(*[F.bit_or(F.when(F.col("w") == w, F.col("m")).otherwise(F.lit(0))).alias(f"m{w}") for w in range(WORDS)]).select("id", "n", F.array(*[f"m{w}" for w in range(WORDS)]).alias("odd"))
+    words = [F.coalesce(F.bit_xor(F.when(F.col("w") == w, F.col("m"))), F.lit(0)).alias(c) for w, c in enumerate(_words())]
+    return cell.groupBy("id").agg(F.first("n").alias("n"), *words)
+
+
+def _words() -> list[str]:
+    """The columns of a line's parities."""
+    return [f"m{w}" for w in range(WORDS)]
 
 
 def _alike(percent: int) -> str:
-    """The condition that lines of n_a and n_b shingles with odd_a and odd_b may be of that similarity. No more cells than shingles
+    """The condition that lines of n_a and n_b shingles with such parities may be of that similarity. No more cells than shingles
     differ, so no link fails it."""
-    odd = " + ".join(f"bit_count(odd_a[{w}] ^ odd_b[{w}])" for w in range(WORDS))
+    odd = " + ".join(f"bit_count({m}_a ^ {m}_b)" for m in _words())
     return f"100L * least(n_a, n_b) >= {percent}L * greatest(n_a, n_b) and {100 + percent}L * ({odd}) <= {100 - percent}L * (n_a + n_b)"
 
 
@@ -133,7 +141,7 @@ def _compared(mixed: DataFrame, met: DataFrame, texts: DataFrame, marks: DataFra
     long = long.select("id", F.array_distinct(F.transform(_shingles("line"), lambda x: F.shiftrightunsigned(x, 33).cast("int"))).alias("s"))
     sets = saved(marks.join(keys, "id").join(saved(long), "id", "left").withColumn("t", F.filter("s", lambda x: x % 4 == 0)))
     rows = mixed.join(sets, "id").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", "odd", "s", "t", "keys")]
+    side = lambda x: [F.col(c).alias(f"{c}_{x}") for c in ("id", "component", "n", *_words(), "s", "t", "keys")]
     a = rows.where("component <> main").select("key", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), *side("a"))
     b = rows.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "main", *side("b"))
     p = percent / 100

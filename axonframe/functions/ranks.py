@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from axonframe.sources.recordings import settled
+
 #: Ranges that a key's values are cut into: the session's shuffle partitions, within these.
 LEAST_RANGES, MOST_RANGES = 64, 4096
 
@@ -25,14 +27,15 @@ def cumulative(counts: DataFrame, keys: list[str], value: str, columns: list[str
     `total_<c>`.
 
     Approximate quantiles cut each key's values into ranges; windows run within a range and over one row a range, so the sums
-    are exact wherever the cuts lie. Nulls come before all values, NaN after them. There are as many ranges as the session has
-    shuffle partitions, which is set by the size of the data, from LEAST_RANGES to MOST_RANGES.
+    are exact wherever the cuts lie. The cuts depend on the order in which rows arrive, so rows with their ranges are settled:
+    cut twice, a value may lie in two ranges. Nulls come before all values, NaN after them. There are as many ranges as the
+    session has shuffle partitions, which is set by the size of the data, from LEAST_RANGES to MOST_RANGES.
     """
     if ranges is None:
         ranges = min(MOST_RANGES, max(LEAST_RANGES, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     shares = [i / ranges for i in range(1, ranges)]
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, shares, 50 * ranges).alias("__cuts"), *[F.sum(c).alias(f"total_{c}") for c in columns])
-    cut = _same(counts, cuts, keys).withColumn("__range", F.size(F.filter(F.coalesce("__cuts", F.array()), lambda c: c < F.col(value)))).drop("__cuts")
+    cut = settled(_same(counts, cuts, keys).withColumn("__range", F.size(F.filter(F.coalesce("__cuts", F.array()), lambda c: c < F.col(value)))).drop("__cuts"))
     inner = Window.partitionBy(*keys, "__range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     ends = cut.groupBy(*keys, "__range").agg(*[F.sum(c).alias(f"__in_{c}") for c in columns])

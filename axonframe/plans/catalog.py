@@ -40,9 +40,15 @@ def query(sql: str | None = None):
 
 
 def rounded(df, digits: int = 6, **by_name):
-    """Doubles rounded, since engines add in different orders."""
+    """Doubles rounded, since engines add in different orders: as SQL's round does, the product with a power of ten to the nearest
+    whole, and not by decimal digits, where a half may be a half in one way only."""
     kinds = dict(df.dtypes)
-    return df.select(*[F.round(c, by_name.get(c, digits)).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
+
+    def near(c):
+        scale = 10.0 ** by_name.get(c, digits)
+        return F.when(F.abs(F.col(c) * scale) < float("inf"), F.round(F.col(c) * scale, 0) / scale).otherwise(F.col(c)).alias(c)
+
+    return df.select(*[near(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
 
 
 # Tables of the SQL twins.

@@ -35,3 +35,12 @@ def test_query(spark, con, name):
         want = con.execute(catalog.SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert cells(got) == cells(want)
+
+
+def test_rounding_is_that_of_sql(spark, con):
+    values = [0.5040625, -0.5040625, 1613 / 3200, 2.5, -2.5, 1e300, 0.49999949999999997, 123456.0000005, float("nan"), float("-inf"), None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = {r["i"]: r["v"] for r in catalog.rounded(rows).collect()}
+    for i, v in enumerate(values):
+        want = con.execute("select round(?::double, 6)", [v]).fetchone()[0]
+        assert got[i] == want or got[i] != got[i] and want != want

@@ -16,6 +16,8 @@ from axonframe.sources.recordings import settled
 
 #: Rows that are compared with each other in one go where a projection is sorted.
 BLOCK = 512
+#: Rows of a part that is compared whole with another part, and rows of it at a time.
+PART, TILE = 8192, 512
 #: New neighbours that each member of a neighbourhood is offered in a round.
 OFFERED = 6
 
@@ -107,6 +109,63 @@ def neighbour_graph(rows: DataFrame, id_column: str, x: str = "x", k: int = 15,
     return graph
 
 
+def _nearest(x: np.ndarray, y: np.ndarray, names: np.ndarray, k: int, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, distance): the k nearest rows of y for each of x, by their names where distances tie; if both are the
+    same rows, none is its own neighbour. Inner products choose, with room for their rounding, and differences decide."""
+    k = min(k, len(y) - same)
+    squares, found = (y * y).sum(1), []
+    for first in range(0, len(x) if k > 0 else 0, TILE):
+        tile = x[first : first + TILE]
+        own = (tile * tile).sum(1)
+        far = own[:, None] + squares[None, :] - 2 * tile @ y.T
+        if same:
+            far[np.arange(len(tile)), first + np.arange(len(tile))] = np.inf
+        spare = 4 * (x.shape[1] + 4) * np.finfo(float).eps * (own + squares.max())
+        row, other = np.nonzero(far <= (np.partition(far, k - 1, axis=1)[:, k - 1] + spare)[:, None])
+        if same:
+            row, other = row[other != first + row], other[other != first + row]
+        d = np.concatenate([np.sqrt(((tile[row[i : i + 65_536]] - y[other[i : i + 65_536]]) ** 2).sum(1)) for i in range(0, len(row), 65_536)])
+        order = np.lexsort((names[other], d, row))
+        row, other, d = row[order], other[order], d[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+        found.append((first + row[kept], other[kept], d[kept]))
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def exact_graph(rows: DataFrame, id_column: str, x: str = "x", k: int = 15, part: int = PART) -> DataFrame:
+    """(a, b, d): the k nearest others of each row and their distances, exactly, the smaller id of those that tie.
+
+    Rows are dealt into parts by hash, and each pair of parts is a group, in which the rows of either meet those of the other; each row's
+    k of every part are then merged. Work grows with the square of the rows and is shared by all tasks, a group holds two
+    parts. Rows are left out, and ids taken, as `neighbour_graph` does."""
+    points = settled(rows.where(F.col(id_column).isNotNull() & sound(x)).select(F.col(id_column).alias("id"), F.transform(x, lambda v: v.cast("double")).alias("x")).dropDuplicates(["id"]))
+    kind = points.schema["id"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("d", T.DoubleType())])
+    parts = points.count() // part + 1
+    own = points.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = met.select(F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "x")
+
+    def compared(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, data, side = group["id"].combine_chunks(), matrix(group["x"]), group["own"].to_numpy()
+        names = ids.to_numpy(zero_copy_only=False)
+        low, high = (np.flatnonzero(side == group[c][0].as_py()) for c in ("low", "high"))
+        same = group["low"][0].as_py() == group["high"][0].as_py()
+        ways, out = [(low, low)] if same else [(low, high), (high, low)], []
+        for a, b in ways:
+            row, other, d = _nearest(data[a], data[b], names[b], k, same)
+            out.append(pa.table({"a": ids.take(pa.array(a[row])), "b": ids.take(pa.array(b[other])), "d": pa.array(d)}))
+        return pa.concat_tables(out)
+
+    # a task a pair of parts, as these take seconds each
+    edges = met.repartition(min(4096, parts * (parts + 1) // 2), "low", "high").groupBy("low", "high").applyInArrow(compared, schema)
+    best = edges.groupBy("a").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "b"))), 1, k).alias("n"))  # k a part
+    return best.select("a", F.explode("n").alias("n")).select("a", "n.b", "n.d")
+
+
 def layout(graph: DataFrame, dimensions: int = 2, steps: int = 16) -> DataFrame:
     """(id, at): a place for each node of a neighbour graph (a, b, d), near places for rows that are joined by near neighbours.
 

@@ -1008,10 +1008,10 @@ group by 1, 2),
 r as (select *, row_number() over (partition by a order by d, b) as k from d) select a as spike_id, k::int as place, round(d, 5) as distance from r
 where k <= 5""")
 def nearest_neighbours(spark, sf):
-    """The distances of each spike's nearest five others by neighbour descent, which is exact in a table of one block."""
+    """The distances of each spike's nearest five others, each compared with all."""
     from pyspark.sql.window import Window
 
-    graph = ne.neighbour_graph(src.spikes(spark, sf), "spike_id", "w", 5)
+    graph = ne.exact_graph(src.spikes(spark, sf), "spike_id", "w", 5)
     place = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))  # five rows a spike
     return rounded(graph.select(F.col("a").alias("spike_id"), place.alias("place"), F.col("d").alias("distance")), 5)
 

@@ -49,3 +49,30 @@ def test_layout_keeps_clusters_apart(spark):
         neighbours.reduced(df, "magic")
     alone = neighbours.reduced(df.limit(1), "neighbours", 2)
     assert alone.where(F.col("at").isNull()).count() == 1
+
+
+def test_exact_graph_over_parts(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((900, 8))
+    x[400:430] = x[0]  # equal rows: the smaller ids are taken
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(2000, None), (None, x[0].tolist())], "id long, x array<double>")
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(far, np.inf)
+    for part in (5000, 200):
+        got = neighbours.exact_graph(rows, "id", "x", 6, part).toPandas().sort_values(["a", "d", "b"])
+        want = np.argsort(far, axis=1, kind="stable")[:, :6]
+        assert got["b"].to_numpy().reshape(-1, 6).tolist() == want.tolist()
+        assert np.allclose(got["d"].to_numpy().reshape(-1, 6), np.take_along_axis(far, want, 1), rtol=0, atol=1e-12)
+    assert neighbours.exact_graph(rows.limit(1), "id", "x").count() == 0
+
+
+def test_nearest_neighbours_of_more_than_a_block(spark, tmp_path):
+    from axonframe.plans import catalog
+
+    x = np.random.default_rng(5).standard_normal((3000, 32))
+    spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = catalog.QUERIES["nearest_neighbours"](spark, str(tmp_path)).toPandas().sort_values(["spike_id", "place"])
+    square = (x * x).sum(1)
+    far = square[:, None] + square[None] - 2 * x @ x.T
+    np.fill_diagonal(far, np.inf)
+    assert np.abs(got["distance"].to_numpy().reshape(-1, 5) - np.sqrt(np.sort(far, axis=1)[:, :5])).max() < 6e-6

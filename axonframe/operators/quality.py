@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from axonframe.functions import waveform as wf
 from axonframe.functions.ranks import cumulative, quantiles
 from axonframe.operators.moments import grouped_moments, matrix, sound, with_models
+from axonframe.sources.recordings import settled
 
 
 def cluster_models(rows: DataFrame, columns: list[str], cluster: str = "cluster") -> DataFrame:
@@ -217,18 +218,30 @@ def waveform_density(spikes: DataFrame, height: int = 50, cluster: str = "cluste
     """(cluster, pos, level, n, shade): points of a cluster's waveforms by sample place and height between its 5th and 95th
     percentile, and the share of filled cells with as few points or fewer (histogram equalisation)."""
     points = spikes.select(cluster, F.posexplode("w").alias("pos", "v")).where(~F.isnan("v"))
-    ends = quantiles(points, [cluster], F.col("v"), {"lo": 0.05, "hi": 0.95})
+    ends = settled(quantiles(points, [cluster], F.col("v"), {"lo": 0.05, "hi": 0.95}))
     inside = points.join(ends, cluster).where("v between lo and hi")
     level = F.least(F.floor((F.col("v") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * height), F.lit(height - 1)).cast("int")
     cells = inside.groupBy(cluster, "pos", F.coalesce(level, F.lit(0)).alias("level")).agg(F.count("*").alias("n"))
     return equalised(cells, [cluster])
 
 
+#: Shades that travel to all tasks at once.
+SHADES = 250_000
+
+
 def equalised(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """cells (keys, n, …) with `shade`: the share of a key's cells with as few points or fewer. Distinct counts are ranked, not cells."""
-    kinds = cells.groupBy(*keys, "n").agg(F.count("*").alias("c"))
+    """cells (keys, n, …) with `shade`: the share of a key's cells with as few points or fewer. Distinct counts are ranked, not cells.
+
+    Cells are settled, as they are read twice. What they are drawn from may be far smaller, and Spark, which goes by its size, would
+    send them through the driver; so the shades, few as distinct counts are, go to the cells, or merge with them if there are many."""
+    cells = settled(cells)
+    kinds = settled(cells.groupBy(*keys, "n").agg(F.count("*").alias("c")))
     shades = cumulative(kinds, keys, "n", ["c"]).select(*keys, "n", (F.col("upto_c") / F.col("total_c")).alias("shade"))
-    return cells.join(shades, [*keys, "n"])
+    return cells.join(shades.hint("broadcast" if kinds.count() <= SHADES else "merge"), [*keys, "n"])
+
+
+#: Columns of a canvas that one task draws, and tasks at least.
+STRIP, DRAWERS = 32, 64
 
 
 def waveform_lines(spikes: DataFrame, cluster: str = "cluster", column: str = "w", step: int = 10, width: int = 1600, height: int = 1200) -> DataFrame:
@@ -243,7 +256,7 @@ def waveform_lines(spikes: DataFrame, cluster: str = "cluster", column: str = "w
     lines = spikes.select(cluster, w.alias("w"))
     fine = lambda v: v.isNotNull() & ~F.isnan(v)
     values = lines.select(cluster, F.explode("w").alias("v")).where(fine(F.col("v")))
-    ends = quantiles(values, [cluster], F.col("v"), {"lo": 0.05, "hi": 0.95})
+    ends = settled(quantiles(values, [cluster], F.col("v"), {"lo": 0.05, "hi": 0.95}))
     segments = lines.where(F.size("w") > 1).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("w") - 2)))
     segments = segments.select(cluster, "i", F.size("w").alias("m"), F.get("w", F.col("i")).alias("a"), F.get("w", F.col("i") + 1).alias("b"))
     segments = segments.where(fine(F.col("a")) & fine(F.col("b"))).join(ends, cluster)
@@ -255,7 +268,14 @@ def waveform_lines(spikes: DataFrame, cluster: str = "cluster", column: str = "w
     drawn = segments.selectExpr(cluster, f"{column_of(place('a'))} as x0", f"{row_of(at('a'))} as y0", f"{column_of(place('b'))} as x1", f"{row_of(at('b'))} as y1", "i > 0 and a between lo and hi as goes_on")
     drawn = drawn.groupBy(cluster, "x0", "y0", "x1", "y1", "goes_on").agg(F.count("*").alias("c"))
     drawn = drawn.withColumn("long", F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))))
-    drawn = drawn.where("long > 0 or not goes_on").withColumn("k", F.explode(F.sequence(F.col("goes_on").cast("int"), F.col("long"))))
+    drawn = drawn.where("long > 0 or not goes_on").withColumn("strip", F.explode(F.expr(f"sequence(x0 div {STRIP}, x1 div {STRIP})")))
+    tasks = max(DRAWERS, int(spikes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    drawn = drawn.repartition(tasks, cluster, "strip")  # lines move, not their cells; by number, as they are small until they are drawn
+    first = f"if(x1 > x0, floor(long * (strip * {STRIP} - x0 - 1) / (x1 - x0)), 0)"  # a step or two too many on both sides
+    last = f"if(x1 > x0, ceil(long * ((strip + 1) * {STRIP} - x0) / (x1 - x0)), long)"
+    ends_at = f"cast(greatest({first}, int(goes_on)) as int), cast(least({last}, long) as int)"
+    drawn = drawn.withColumn("k", F.explode(F.expr(f"sequence({ends_at})")))
     cell = lambda p, q: f"cast({p} + if(long > 0, floor((2 * k * ({q} - {p}) + long) / (2 * long)), 0) as int)"
-    cells = drawn.groupBy(cluster, F.expr(cell("x0", "x1")).alias("x"), F.expr(cell("y0", "y1")).alias("y")).agg(F.sum("c").alias("n"))
+    placed = drawn.select(cluster, "strip", "c", F.expr(cell("x0", "x1")).alias("x"), F.expr(cell("y0", "y1")).alias("y")).where(f"x div {STRIP} = strip")
+    cells = placed.groupBy(cluster, "strip", "x", "y").agg(F.sum("c").alias("n")).drop("strip")
     return equalised(cells, [cluster])

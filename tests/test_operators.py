@@ -440,3 +440,14 @@ def test_lilliefors(spark):
     phi = np.array([0.5 * (1 + math.erf(y / math.sqrt(2))) for y in z])
     e = np.arange(1, 41) / 40
     assert cluster.lilliefors(df, ["k"], "v").first().d == pytest.approx(max(np.abs(e - phi).max(), np.abs(phi - e + 1 / 40).max()), abs=1e-6)
+
+
+def test_cells_of_drawn_lines_do_not_travel_through_the_driver(spark):
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(0, rng.normal(0, 1, 64).tolist()) for _ in range(40)], "cluster int, w array<double>")
+    drawn = quality.waveform_lines(rows)
+    assert drawn.count() > 50_000
+    drawn.collect()
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # cells are drawn once, not for each of their uses
+    assert "BuildLeft" not in plan.split("ExistingRDD")[0]  # and stay where they are

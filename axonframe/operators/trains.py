@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,17 +53,78 @@ def band_join(x: DataFrame, y: DataFrame, keys: list[str], time_x: str, time_y:
     return left.join(right, [*keys, "stretch"]).where(F.abs(F.col(time_x) - F.col(time_y)) <= reach).drop("stretch")
 
 
+def correlogram_edges(reach: int, binsize: int = 1) -> list[int]:
+    """Where the bins over [-reach, reach] begin, and where the last one, which is closed, ends."""
+    bins = -(-(2 * reach + 1) // binsize) - 1
+    return [-reach + i * binsize for i in range(bins + 1)]
+
+
 def correlogram(pairs: DataFrame, keys: list[str], difference: Column, n_x: DataFrame, reach: int, binsize: int = 1) -> DataFrame:
     """keys, bin_start, n and counts_per_spike_ms: histogram of differences over [-reach, reach], the last bin closed."""
-    bins = -(-(2 * reach + 1) // binsize) - 1
-    top = -reach + bins * binsize
-    ix = F.least(F.floor((F.col("d") + reach) / binsize), F.lit(bins - 1)).cast("int")
-    found = pairs.select(*keys, difference.alias("d")).where((F.col("d") >= -reach) & (F.col("d") <= top)).groupBy(*keys, ix.alias("ix")).agg(F.count("*").alias("c"))
-    grid = n_x.withColumn("ix", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    edges = correlogram_edges(reach, binsize)
+    ix = F.least(F.floor((F.col("d") + reach) / binsize), F.lit(len(edges) - 2)).cast("int")
+    found = pairs.select(*keys, difference.alias("d")).where((F.col("d") >= -reach) & (F.col("d") <= edges[-1])).groupBy(*keys, ix.alias("ix")).agg(F.count("*").alias("c"))
+    return on_grid(found, keys, n_x, reach, binsize)
+
+
+def on_grid(found: DataFrame, keys: list[str], n_x: DataFrame, reach: int, binsize: int = 1) -> DataFrame:
+    """Counts (keys, ix, c) as a correlogram with all bins of the keys in n_x (keys, n_x)."""
+    grid = n_x.withColumn("ix", F.explode(F.sequence(F.lit(0), F.lit(len(correlogram_edges(reach, binsize)) - 2))))
     out = grid.join(found, [*keys, "ix"], "left").withColumn("n", F.coalesce("c", F.lit(0)))
     return out.select(*keys, (F.col("ix") * binsize - reach).alias("bin_start"), "n", (F.col("n") / (F.col("n_x") * float(binsize))).alias("counts_per_spike_ms"))
 
 
+#: Stretches of a pair count, in reaches, and distinct times of a stretch that one task compares with others at a time.
+STRETCHED, DENSE = 5, 1_000_000
+
+
+def pair_lags(spikes: DataFrame, unit: str, time: str, reach: int, binsize: int = 1, dense: int = DENSE) -> DataFrame:
+    """(x, y, ix, c): how many pairs of spikes of units x < y have a difference of times x - y in bin ix of a correlogram.
+
+    Pairs are counted, not made: sorted times of y tell how many lie before each edge of x's bins, so work grows as spikes and
+    bins do, however many pairs these are. Equal times of a unit count at once. Spikes go to their stretch of time, and those of y to the next ones as
+    far as the reach; a stretch of more than `dense` times is cut into parts, whose pairs add up. Units are few, as those of an electrode are;
+    spikes without a unit or time have no pair."""
+    edges = np.array(correlogram_edges(reach, binsize), float)
+    wide = STRETCHED * reach
+    fine = spikes.select(F.col(unit).alias("unit"), F.col(time).cast("double").alias("t")).where("unit is not null and not isnan(t)")
+    times = fine.groupBy("unit", "t").agg(F.count("*").alias("c"))
+    at = lambda off: F.floor((F.col("t") + off) / wide)
+    near = times.withColumn("stretch", F.explode(F.sequence(at(-edges[-1]), at(reach)))).withColumn("own", F.col("stretch") == at(0))
+    sizes = near.groupBy("stretch").agg(F.ceil(F.count("*") / dense).cast("int").alias("parts"))
+    met = near.join(sizes, "stretch").withColumn("part", F.pmod(F.xxhash64("t", "unit"), "parts").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    x = met.where("own").select("stretch", "part", every.alias("other"), F.lit(True).alias("is_x"), "unit", "t", "c")
+    y = met.select("stretch", every.alias("part"), F.col("part").alias("other"), F.lit(False).alias("is_x"), "unit", "t", "c")
+    kind = fine.schema["unit"].dataType
+    schema = T.StructType([T.StructField("x", kind), T.StructField("y", kind), T.StructField("ix", T.IntegerType()), T.StructField("c", T.LongType())])
+
+    def counted(group: pa.Table) -> pa.Table:
+        code = group["unit"].combine_chunks().dictionary_encode()
+        units, code = code.dictionary, code.indices.to_numpy()
+        is_x, t, c = group["is_x"].to_numpy(), group["t"].to_numpy(), group["c"].to_numpy()
+        order = np.argsort(t, kind="stable")
+        is_x, t, c, code = is_x[order], t[order], c[order], code[order]
+        sides = [[(t[k], c[k]) for k in (np.flatnonzero((code == u) & (is_x == side)) for u in range(len(units)))] for side in (True, False)]
+        found = ([], [], [], [])
+        for u, a in enumerate(units.to_pylist()):
+            for v, b in enumerate(units.to_pylist()):
+                (tx, cx), (ty, cy) = sides[0][u], sides[1][v]
+                if not a < b or not len(tx) or not len(ty):
+                    continue
+                upto = np.concatenate([[0], np.cumsum(cy)])
+                least = [int((cx * upto[np.searchsorted(ty, tx - e, "right")]).sum()) for e in edges[:-1]]  # differences of e or more
+                least.append(int((cx * upto[np.searchsorted(ty, tx - edges[-1], "left")]).sum()))
+                n = -np.diff(np.array(least, dtype=np.int64))
+                for ix in np.flatnonzero(n):
+                    for column, value in zip(found, (u, v, int(ix), int(n[ix])), strict=True):
+                        column.append(value)
+        names = [units.take(pa.array(found[k], pa.int64())) for k in (0, 1)]
+        return pa.table({"x": names[0], "y": names[1], "ix": pa.array(found[2], pa.int32()), "c": pa.array(found[3], pa.int64())})
+
+    return x.union(y).groupBy("stretch", "part", "other").applyInArrow(counted, schema).groupBy("x", "y", "ix").agg(F.sum("c").alias("c"))
+
+
 def window_counts(spikes: DataFrame, keys: list[str], time: str, first: int, last: int, step: int, width: int) -> DataFrame:
     """(keys, start, n): spikes in the closed windows [start, start + width] for start = first, first + step, … last.
 

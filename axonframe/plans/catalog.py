@@ -221,11 +221,10 @@ c as (select x, y, {_HIST} as ix, count(*) as n from p group by 1, 2, 3), u as (
 select a.unit as x, b.unit as y, (g.ix - 20)::int as bin_start, coalesce(c.n, 0) as n, round(coalesce(c.n, 0) / a.n_x::double, 6) as counts_per_spike_ms
 from u a join u b on a.unit < b.unit {_GRID} left join c on c.x = a.unit and c.y = b.unit and c.ix = g.ix""")
 def pairwise_correlograms(spark, sf):
-    x, y = _pairs(spark, sf)
+    x, _ = _pairs(spark, sf)
     sizes = x.groupBy("x").agg(F.count("*").alias("n_x"))
     grid = sizes.join(F.broadcast(sizes.select(F.col("x").alias("y"))), F.col("x") < F.col("y"))
-    pairs = tr.band_join(x, y, [], "tx", "ty", 20.0).where("x < y")
-    return rounded(tr.correlogram(pairs, ["x", "y"], F.col("tx") - F.col("ty"), grid, 20))
+    return rounded(tr.on_grid(tr.pair_lags(x, "x", "tx", 20), ["x", "y"], grid, 20))
 
 
 @query(f"""with {TRN}, p as (select x.t - y.t as d from train x join train y on abs(x.t - y.t) <= 20 where x.unit = 'click' and y.unit = 'view'),

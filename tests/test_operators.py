@@ -451,3 +451,26 @@ def test_cells_of_drawn_lines_do_not_travel_through_the_driver(spark):
     plan = drawn._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan  # cells are drawn once, not for each of their uses
     assert "BuildLeft" not in plan.split("ExistingRDD")[0]  # and stay where they are
+
+
+@pytest.mark.parametrize("dense", [7, 10**6])
+def test_pair_lags_against_all_pairs(spark, dense):
+    rng = np.random.default_rng(4)
+    rows = [(str(u), float(t)) for u, t in zip(rng.integers(0, 3, 400), rng.integers(0, 900, 400) / 2, strict=True)] + [(None, 1.0), ("1", None)]
+    want = {}
+    for a, s in rows[:400]:
+        for b, t in rows[:400]:
+            if a < b and abs(s - t) <= 20:
+                key = a, b, min(int(np.floor(s - t + 20)), 39)
+                want[key] = want.get(key, 0) + 1
+    got = trains.pair_lags(spark.createDataFrame(rows, "unit string, t double"), "unit", "t", 20, dense=dense).collect()
+    assert {(r.x, r.y, r.ix): r.c for r in got} == want
+
+
+def test_pair_lags_count_pairs_without_making_them(spark):
+    n = 100_000  # ten thousand million pairs
+    rows = spark.range(2 * n).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("unit"), (F.col("id") / n).alias("t"))
+    from axonframe.plans import catalog
+
+    got = catalog.tr.pair_lags(rows, "unit", "t", 20).agg(F.sum("c")).first()[0]
+    assert got == n * n

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from axonframe.config import Settings
-from axonframe.functions import waveform as wf
 from axonframe.operators import cluster as cl
 from axonframe.operators import detect as de
 from axonframe.operators import quality as qu
@@ -38,15 +40,59 @@ class Sorted:
     report: DataFrame
 
 
+#: Samples of a stretch that one group cuts waveforms from, waveforms that are cut at a time, and samples for one of a spike.
+BLOCK, CUT, FINE = 65_536, 4096, 10
+
+
 def waveforms(trace: DataFrame, limits: DataFrame, settings: Settings, fs: float) -> DataFrame:
     """(channel, ix, spike_id, w): each spike below its channel's threshold (channel, threshold), with its waveform at ten times
-    the rate, cut about its own least sample; spikes whose waveform does not reach as far are left out."""
+    the rate, cut about its own least sample; spikes whose waveform does not reach as far are left out, as are those whose snapshot
+    leaves the trace.
+
+    Samples and spikes go to blocks, samples to those within reach as well, and each block cuts all of its waveforms at once."""
     shifted = trace.join(limits, "channel").select("channel", "ix", (F.col("v") - F.col("threshold")).alias("v"), "threshold")
-    points = de.spike_snapshots(shifted.select("channel", "ix", "v"), 0.0, fs, settings.spike_pre_time, settings.spike_post_time)
-    lists = points.groupBy("channel", "ix").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("s"))  # a snapshot's samples
-    whole = lists.join(limits, "channel").select("channel", "ix", F.transform("s", lambda x: x["v"] + F.col("threshold")).alias("w"))
-    pre, post = (int(ms * fs / 1000) for ms in (settings.spike_pre_time, settings.spike_post_time))
-    return whole.select("channel", "ix", F.xxhash64("channel", "ix").alias("spike_id"), wf.dejittered(F.col("w"), pre, post).alias("w")).where("w is not null")
+    found = de.detected_spikes(shifted.select("channel", "ix", "v"), 0.0)
+    places = np.array(de.snapshot_places(fs, settings.spike_pre_time, settings.spike_post_time))
+    pre, post = (int(ms * fs / 1000) * FINE for ms in (settings.spike_pre_time, settings.spike_post_time))
+    reach = int(np.abs(places).max())
+    near = F.explode(F.expr(f"sequence(greatest(0, floor((ix - {reach}) / {BLOCK})), floor((ix + {reach}) / {BLOCK}))"))
+    samples = shifted.select("channel", near.alias("block"), "ix", "v", "threshold", F.lit(False).alias("spike"))
+    spikes = found.select("channel", F.floor(F.col("ix") / BLOCK).alias("block"), "ix", F.lit(None).cast("double").alias("v"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("spike"))
+    schema = T.StructType([trace.schema["channel"], T.StructField("ix", T.LongType()), T.StructField("w", T.ArrayType(T.DoubleType()))])
+    n = FINE * len(places)
+    x = np.arange(n) * (1.0 / FINE)  # as `wf.resampled`
+    low = np.minimum(np.floor(x).astype(int), len(places) - 1)
+    high = np.minimum(low + 1, len(places) - 1)
+    part = np.minimum(x - low, 1.0)
+
+    def cut(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ix, is_spike = group["ix"].to_numpy() - group["block"][0].as_py() * BLOCK + reach, group["spike"].to_numpy()
+        v, own = group["v"].to_numpy()[~is_spike], ix[~is_spike]
+        level = group["threshold"].drop_null()[0].as_py() if len(own) else 0.0
+        line, hole = np.zeros(BLOCK + 2 * reach), np.zeros(BLOCK + 2 * reach, bool)
+        line[own] = v
+        hole[own] = group["v"].is_null().to_numpy()[~is_spike]
+        count = np.bincount(own, minlength=len(line))
+        at = np.sort(ix[is_spike])[:, None] + places
+        at, out = at[(count[at] == 1).all(1)], []
+        for first in range(0, len(at), CUT):
+            some = at[first : first + CUT]
+            w = line[some] + level
+            fine = w[:, low] + (w[:, high] - w[:, low]) * part
+            gone = hole[some][:, low] | hole[some][:, high]
+            dip = np.argmin(np.where(gone | np.isnan(fine), np.inf, fine), 1)
+            inside = (dip >= pre) & (dip + post <= n)
+            to = dip[inside, None] - pre + np.arange(pre + post)
+            values = pa.array(np.take_along_axis(fine[inside], to, 1).ravel(), mask=np.take_along_axis(gone[inside], to, 1).ravel())
+            ends = pa.array(np.arange(inside.sum() + 1) * (pre + post), pa.int32())
+            spot = pa.array(some[inside, 0] - places[0] - reach + group["block"][0].as_py() * BLOCK, pa.int64())
+            out.append(pa.table({"channel": group["channel"].take(pa.array(np.zeros(len(spot), int))), "ix": spot, "w": pa.ListArray.from_arrays(ends, values)}))
+        kind = {"channel": group["channel"].type, "ix": pa.int64(), "w": pa.list_(pa.float64())}
+        return pa.concat_tables([pa.schema(list(kind.items())).empty_table(), *out])
+
+    whole = samples.union(spikes).groupBy("channel", "block").applyInArrow(cut, schema)
+    return whole.select("channel", "ix", F.xxhash64("channel", "ix").alias("spike_id"), "w")
 
 
 def detection(trace: DataFrame, settings: Settings, fs: float, filtered: bool = False, times: float = 5.0, least_seconds: int = 60) -> tuple[DataFrame, DataFrame]:

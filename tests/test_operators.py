@@ -474,3 +474,26 @@ def test_pair_lags_count_pairs_without_making_them(spark):
 
     got = catalog.tr.pair_lags(rows, "unit", "t", 20).agg(F.sum("c")).first()[0]
     assert got == n * n
+
+
+@pytest.mark.parametrize("block", [37, 65_536])
+def test_waveforms_across_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(sort, "BLOCK", block)
+    v = np.random.default_rng(9).normal(0, 1, 600)
+    settings = Settings(spike_pre_time=0.2, spike_post_time=0.6)
+    trace = spark.createDataFrame([("a", i, float(x)) for i, x in enumerate(v)], "channel string, ix long, v double")
+    limits = spark.createDataFrame([("a", -0.5)], "channel string, threshold double")
+    got = {r.ix: r.w for r in sort.waveforms(trace, limits, settings, 10_000.0).collect()}
+    places = detect.snapshot_places(10_000.0, 0.2, 0.6)
+    low = [i for i in range(600) if v[i] <= -0.5]
+    runs = np.split(low, [k for k in range(1, len(low)) if low[k] != low[k - 1] + 1])
+    want = {}
+    for run in runs:
+        spot = int(run[np.argmin(v[run])])
+        if spot + places[0] >= 0 and spot + places[-1] < 600:
+            fine = np.interp(np.arange(10 * len(places)) / 10, np.arange(len(places)), v[[spot + p for p in places]])
+            dip = int(np.argmin(fine))
+            if dip >= 20 and dip + 60 <= len(fine):
+                want[spot] = fine[dip - 20 : dip + 60]
+    assert len(want) > 50 and sorted(got) == sorted(want)
+    assert all(np.allclose(got[spot], want[spot], atol=1e-12) for spot in want)
